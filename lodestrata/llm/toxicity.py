@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,29 @@ def examine(data: bytes, lexicon: Lexicon, groups: list[int]) -> tuple[list[int]
     return hits, votes
 
 
+def one_of_copies(train: DataFrame) -> DataFrame:
+    """doc_id, toxic of ``train`` (doc_id, text, toxic) with one row of each group of copies and
+    near-copies: rows that share one of four minimal hashes of their 5-word shingles. Copies are
+    no independent evidence; counted singly they make chance words of one text look telling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in as_bytes(batch.column("text")):
+                words = words_of(text)
+                shingles = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+                rows.append([int((hashes * np.uint64(k)).min() >> np.uint64(1)) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "toxic", "least"])
+
+    out = materialize(train.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, least array<long>"), "least")
+    for k in range(4):
+        out = out.withColumn("h", F.get("least", F.lit(k)))
+        first = out.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+        out = out.drop("h").join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+    return materialize(out.select("doc_id", "toxic").distinct(), "labelled")
+
+
 def mine(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
     """Entries that mark toxic rows of ``train`` (text, toxic). The threshold on the likelihood
     ratio grows with the number of entries tried, so chance finds stay rare at every size."""
@@ -219,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     usable = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     usable = usable.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = materialize(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
-    lexicon = mine(texts.join(F.broadcast(sample), "doc_id"))  # at most max_labelled ids
+    sample = one_of_copies(texts.join(F.broadcast(sample), "doc_id"))  # at most max_labelled ids
+    lexicon = mine(texts.join(F.broadcast(sample), "doc_id"))
     groups = lexicon.groups()
     sent = spark.sparkContext.broadcast((lexicon, groups))
 
