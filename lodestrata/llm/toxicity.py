@@ -39,7 +39,7 @@ PREFIXES = (4, 5, 6, 7)
 SEED = frozenset(b"idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown dumb jerk bastard fool garbage ugly hate".split())
 YOU = frozenset(b"you your youre u tu du ihr vous usted".split())
 SHOUT = re.compile(rb"!{2,}")
-N_VOTERS = 12
+N_VOTERS = 13
 THRESHOLD = 0.7
 
 
@@ -55,9 +55,9 @@ class Lexicon:
     index: dict[bytes, int]
     known: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
 
-    def find(self, words: set[bytes]) -> tuple[list[int], int]:
-        """Entries present, and how many words stand for some entry."""
-        out, n, known = set(), 0, self.known
+    def find(self, words: set[bytes]) -> tuple[list[int], set[bytes]]:
+        """Entries present, and the words that stand for some entry."""
+        out, own, known = set(), set(), self.known
         if len(known) > 1 << 19:
             known.clear()
         for w in words:
@@ -66,8 +66,8 @@ class Lexicon:
                 found = known[w] = tuple(i for e in entries_of(w) if (i := self.index.get(e)) is not None)
             if found:
                 out.update(found)
-                n += 1
-        return sorted(out), n
+                own.add(w)
+        return sorted(out), own
 
     def groups(self) -> list[int]:
         """Per entry its voter: whole words by parity (1, 2), beginnings by length (3 to 6)."""
@@ -78,7 +78,8 @@ def examine(data: bytes, lexicon: Lexicon, groups: list[int]) -> tuple[list[int]
     """Entries present and votes of one text."""
     words = words_of(data)
     own = set(words)
-    hits, n = lexicon.find(own)
+    hits, telling = lexicon.find(own)
+    n = sum(w in telling for w in words) if telling else 0
     votes = 0
     for h in hits:
         votes |= 1 << groups[h]
@@ -91,7 +92,8 @@ def examine(data: bytes, lexicon: Lexicon, groups: list[int]) -> tuple[list[int]
     letters = sum(map(data.count, (b"e", b"a", b"n", b"t")))
     votes |= (sum(map(data.count, (b"E", b"A", b"N", b"T"))) > letters) << 9
     votes |= (len(SHOUT.findall(data)) >= 3) << 10
-    votes |= (0 < len(words) <= 100 * n) << 11
+    votes |= (0 < len(words) <= 80 * n) << 11
+    votes |= (0 < len(words) <= 130 * n) << 12
     return hits, votes
 
 
@@ -118,6 +120,18 @@ def one_of_copies(train: DataFrame) -> DataFrame:
     return materialize(out.select("doc_id", "toxic").distinct(), "labelled")
 
 
+def without_nested(counts: dict[bytes, tuple[int, int]]) -> list[bytes]:
+    """One entry for one stem: a beginning goes where a longer entry marks nearly as many toxic
+    rows, and then an entry goes where a beginning of it that stays is about as precise."""
+    stem = lambda e: e.removesuffix(b"*")
+    shorter = lambda e: [q for k in PREFIXES if k < len(stem(e)) and (q := stem(e)[:k] + b"*") != e and q in counts]
+    general = {q for e, (t, c) in counts.items() for q in shorter(e) if t >= 0.95 * counts[q][0] and c <= counts[q][1]}
+    left = [e for e in counts if e not in general]
+    precise = lambda e: counts[e][0] / sum(counts[e])
+    stays = set(left)
+    return [e for e in left if not any(q in stays and precise(q) >= precise(e) - 0.1 for q in shorter(e))]
+
+
 def mine(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
     """Entries that mark toxic rows of ``train`` (text, toxic). The threshold on the likelihood
     ratio grows with the number of entries tried, so chance finds stay rare at every size."""
@@ -149,7 +163,8 @@ def mine(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
     g = 2 * (F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0))
     at_least = 2 * math.log(max(2, counts.count()))
     best = counts.where(share >= max(0.5, min(0.95, 2 * base))).withColumn("g", g).where(F.col("g") >= at_least).orderBy(F.desc("g"), "entry").limit(max_entries).collect()
-    return Lexicon({bytes(r["entry"]): i for i, r in enumerate(best)})
+    kept = without_nested({bytes(r["entry"]): (r["toxic"], r["clean"]) for r in best})
+    return Lexicon({e: i for i, e in enumerate(kept)})
 
 
 @dataclass
@@ -180,7 +195,7 @@ def fit_label_model(counts: dict[int, int], labelled: dict[tuple[int, int], int]
     bits, n = as_bits(keys), np.array([counts[k] for k in keys], float)
     lab = sorted(labelled)
     lbits, ly, ln = as_bits([v for v, _ in lab]), np.array([y for _, y in lab], float), np.array([labelled[k] for k in lab], float)
-    lexical = [0, 1, 2, 3, 4, 5, 6, 8]
+    lexical = [0, 1, 2, 3, 4, 5, 6, 8, 11]
     post = np.clip(bits[:, lexical].mean(axis=1) * 2, 0.02, 0.98)
     if len(lab) and 0 < (ly * ln).sum() < ln.sum():
         rates = np.array([((lbits * (ln * c)[:, None]).sum(0) + 1) / ((ln * c).sum() + 2) for c in (1 - ly, ly)])

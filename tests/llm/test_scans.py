@@ -1,0 +1,222 @@
+"""Operators that look at one text at a time, against plain brute force."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lodestrata.llm import decontaminate, licenses, pii, secret_scan
+
+from .cases import LONG, TEXTS, awkward, benchmark, by_id, empty
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(t):
+    return WORD.findall((t or "").translate(UP))
+
+
+# --- secrets
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+SECRETS = ((0, ASSIGN, lambda m: len(m[2]) >= 6), (1, re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), (2, re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24))
+
+
+def brute_secrets(t):
+    return sorted(((k, m.start(), m.end()) for k, rx, ok in SECRETS for m in rx.finditer(t) if ok(m)), key=lambda x: (x[1], x[0]))
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return secret_scan.Scanner()
+
+
+def found(scanner, texts):
+    return [[s for s in secret_scan.in_code_points(t.encode(), x) if scanner.rules[s[0]].base] for t, x in zip(texts, scanner.scan([t.encode() for t in texts]), strict=True)]
+
+
+def test_secrets_on_random_fragments(scanner):
+    r = random.Random(3)
+    parts = ["token", "=", "secret", "api_key", "apikey", ":", " ", '"', "'", "abcdef", "AKIA", "0123456789abcdef01234567", "PASSWORD", "x", ".", "é", "Ñ", "\n", "9", "A" * 20, "ghp_" + "a1" * 18, "eyJ"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    assert found(scanner, texts) == [brute_secrets(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="tokensecrpawdiy_=: \"'AKIA09f.é\n", max_size=80))
+def test_secrets_property(t):
+    s = secret_scan.Scanner(tuple(r for r in secret_scan.RULES if r.base))
+    assert found(s, [t]) == [brute_secrets(t)]
+
+
+def test_secrets_very_long_lane(scanner):
+    t = "token " * 100_000 + "= abcdefgh"
+    assert found(scanner, [t, "", t]) == [brute_secrets(t), [], brute_secrets(t)]
+
+
+def test_secret_added_spans_and_columns(spark):
+    token = "ghp_" + "a1B2" * 9
+    docs = spark.createDataFrame([(1, f"use {token}, it works")], "doc_id long, text string")
+    row = secret_scan.digest_columns(secret_scan.scan_documents(docs), ["assign", "access", "hex"]).first()
+    assert row["spans"] == "forge_token:4:44" and row["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_minimal_automaton_is_minimal_and_right():
+    a = secret_scan.compile_rules(["ab+c", "abd"], search=False)
+    assert a.n_states == 7 or a.n_states == 6  # start, a, ab, ab+, two accepting, dead
+
+
+# --- personal data
+
+
+def brute_pii(t):
+    def luhn(d):
+        s = [int(c) for c in d][::-1]
+        return (sum(s[::2]) + sum(x * 2 - 9 * (x > 4) for x in s[1::2])) % 10 == 0
+
+    rules = (
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15),
+    )
+    return sorted(((k, m.start(), m.end()) for k, (rx, ok) in enumerate(rules) for m in re.finditer(rx, t) if ok(m)), key=lambda x: (x[1], x[0]))
+
+
+def test_pii_on_random_fragments():
+    r = random.Random(5)
+    parts = ["a", "@", ".", "b-c", "1", "22", "255", "256", "4111111111111111", " ", "-", "+1", "(555)", "010", "2030", "é", "00000", "%", "\n", "x@y.z", "1.2.3.4"]
+    for _ in range(8000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        assert pii.base_spans(t) == brute_pii(t), t
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a@.-+()0123456789 é", max_size=60))
+def test_pii_property(t):
+    assert pii.base_spans(t) == brute_pii(t)
+
+
+@pytest.mark.parametrize("t", ["a" * 300_000, "1" * 300_000, "0" * 5000 + ".0.0.0", "@" * 100_000, "+1" * 100_000, "1." * 100_000])
+def test_pii_is_linear(t):
+    pii.base_spans(t)
+
+
+def test_pii_model_takes_what_looks_like_base():
+    yes, no = 0b111111, 0b010000
+    counts, fixed = {(3, yes): 300, (3, no): 900}, {(3, 0b110011): 500, (3, yes): 200}
+    post = pii.fit_reliabilities(counts, fixed)
+    assert post[3, yes] > 0.9 > 0.1 > post[3, no]
+    assert pii.fit_reliabilities({}, fixed) == {}
+
+
+# --- decontamination
+
+
+def brute_contamination(text, items, n=13):
+    w = words(text)
+    hit, which = set(), set()
+    for item, t in items:
+        iw = words(t)
+        k = min(n, len(iw))
+        for i in range(len(iw) - k + 1 if k else 0):
+            for j in range(len(w) - k + 1):
+                if w[j : j + k] == iw[i : i + k]:
+                    hit |= set(range(j, j + k))
+                    which.add(str(item))
+    return len(w), len(hit), len(which), hashlib.sha256(",".join(sorted(which)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(7)
+    vocabulary = ["alpha", "Beta", "gámma", "de", "x1", "Ω"]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(10, text(30)), (2, text(14)), (3, text(13)), (4, "alpha x1 de"), (5, None), (6, "..."), (7, text(20))]
+    docs = []
+    for i in range(120):
+        t = text(r.randint(0, 40))
+        if i % 3 == 0:
+            source = r.choice(items)[1] or ""
+            t = t + ", " + source.upper().replace("Ω", "Ω") + "; " + text(r.randint(0, 300))
+        docs.append((i, t))
+    got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), benchmark(spark, items))
+    assert by_id(got) == sorted(((i, *brute_contamination(t, items)) for i, t in docs), key=repr)
+
+
+def test_decontamination_in_several_blocks(spark):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(9)]
+    docs = spark.createDataFrame([(i, f"start {t} end") for i, t in items], "doc_id long, text string")
+    one, many = decontaminate.benchmark_blocks(benchmark(spark, items)), decontaminate.benchmark_blocks(benchmark(spark, items), block_bytes=300)
+    assert len(one) == 1 and len(many) > 3
+    texts = [r["text"].encode() for r in docs.orderBy("doc_id").collect()]
+    assert list(decontaminate.judge(texts, [b.value for b in one])) == list(decontaminate.judge(texts, [b.value for b in many]))
+
+
+def test_longest_matches(spark):
+    item = " ".join(f"w{j}" for j in range(25))
+    docs = spark.createDataFrame([(1, f"x y {item} z"), (2, "w3 " + " ".join(f"w{j}" for j in range(5, 20)))], "doc_id long, text string")
+    rows = {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in decontaminate.scan(docs, benchmark(spark, [(5, item)]), with_matches=True).collect()}
+    assert rows == {1: [("5", 0, 2, 25)], 2: [("5", 5, 1, 15)]}
+
+
+# --- licences
+
+
+def brute_license(data, templates, threshold):
+    grams = lambda ws: set(zip(ws, ws[1:], strict=False))
+    lines = [words(x) for x in data.split("\n")]
+    best = 0.0
+    for _, t in templates:
+        b = grams(words(t))
+        for unit in [*lines, [w for x in lines for w in x]]:
+            a = grams(unit)
+            if a and b:
+                best = max(best, 2 * len(a & b) / (len(a) + len(b)))
+    return best if best >= threshold else None
+
+
+def test_licenses_against_brute_force():
+    r = random.Random(11)
+    m = licenses.LicenseMatcher()
+    for _ in range(300):
+        name, t = r.choice(licenses.TEMPLATES)
+        w = t.split()
+        for _ in range(r.randint(0, len(w) // 3)):
+            w[r.randrange(len(w))] = r.choice(["changed", "words", "License"])
+        data = "some prose here\n" * r.randint(0, 2) + " ".join(w) + "\nmore prose" * r.randint(0, 1)
+        got, want = m.match(data.encode()), brute_license(data, licenses.TEMPLATES, licenses.THRESHOLD)
+        assert (got is None) == (want is None) and (got is None or abs(got.dice - want) < 1e-12 or got.dice > want)
+
+
+def test_license_over_several_lines():
+    t = dict((n, t) for n, t in licenses.TEMPLATES if len(t) > 400)["MIT"].split()
+    wrapped = "\n".join(" ".join(t[i : i + 9]) for i in range(0, len(t), 9))
+    got = licenses.LicenseMatcher().match(("Prose before it.\n" * 30 + wrapped + "\nProse after it." * 30).encode())
+    assert got and licenses.TEMPLATES[got.template][0] == "MIT" and got.first_line >= 29
+
+
+# --- every awkward row, and no rows
+
+
+@pytest.mark.parametrize("scan", [lambda d: licenses.scan(d), lambda d: pii.scan_documents(d), lambda d: secret_scan.scan_documents(d), lambda d: decontaminate.scan(d, benchmark(d.sparkSession, [(1, "the lazy dog near the river bank")]))])
+def test_awkward_rows(spark, scan):
+    rows = scan(awkward(spark)).collect()
+    assert sorted(map(repr, (r["doc_id"] for r in rows))) == sorted(repr(i) for i, _ in TEXTS)
+    assert scan(empty(spark)).collect() == []
+
+
+def test_awkward_results(spark):
+    d = awkward(spark)
+    assert {r["license"] for r in licenses.scan(d).where("doc_id = 11").collect()} == {"Proprietary"}
+    counts = {r["doc_id"]: r for r in secret_scan.digest_columns(pii.scan_documents(d), list(pii.KINDS)).where("doc_id is not null").collect()}
+    assert counts[7]["n_email"] == counts[7]["n_phone"] == LONG.count("\n") and counts[9]["n_card"] == counts[9]["n_ip"] == counts[9]["n_email"] == 1
+    assert counts[5]["spans"] == counts[4]["spans"] == ""
+    hits = {r["doc_id"]: r["contaminated"] for r in decontaminate.scan(d, benchmark(spark, [(1, "the lazy dog near the river bank")])).collect()}
+    assert hits[1] and hits[3] and not hits[7] and not hits[4] and not hits[5]
+    left = decontaminate.remove_contaminated(d, benchmark(spark, [(1, "the lazy dog near the river bank")]))
+    assert left.columns == d.columns and left.count() == len(TEXTS) - 3
+    assert not any(r["contaminated"] for r in decontaminate.scan(d, benchmark(spark, [])).collect())
