@@ -37,7 +37,6 @@ def platt_curves(df: DataFrame, group: str, score: str, label: str, steps: int =
     """(group, a, b) of sigmoid(a * score + b) per group, class-balanced gradient descent over
     score values counted per group; a group with one class keeps its raw scores (a null)."""
     counted = df.groupBy(group, score, label).count()
-    most = counted.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y, n = rows[score].to_numpy(float), rows[label].to_numpy(float), rows["count"].to_numpy(float)
@@ -53,7 +52,7 @@ def platt_curves(df: DataFrame, group: str, score: str, label: str, steps: int =
 
     kind = dict(df.dtypes)[group]
     # distinct scores are rounded by the caller, which bounds a group
-    return counted.join(most, group).drop("n").groupBy(group).applyInPandas(fit, f"{group} {kind}, a double, b double")
+    return counted.groupBy(group).applyInPandas(fit, f"{group} {kind}, a double, b double")
 
 
 def platt(score: Column, a: Column, b: Column) -> Column:
