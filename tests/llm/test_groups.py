@@ -194,7 +194,10 @@ def test_label_model_finds_accuracies_and_correlations():
     votes += [votes[3].copy()] + [fires(0.5, 0.5) for _ in range(toxicity.N_VOTERS - 5)]  # a copy, and noise
     patterns = sum(v.astype(int) << j for j, v in enumerate(votes))
     counts = dict(zip(*(x.tolist() for x in np.unique(patterns, return_counts=True)), strict=True))
-    m = toxicity.fit_label_model(counts, {})
+    labelled = {}
+    for v, t in zip(patterns[:600].tolist(), y[:600].tolist(), strict=True):  # a few labels say which class is which
+        labelled[v, int(t)] = labelled.get((v, int(t)), 0) + 1
+    m = toxicity.fit_label_model(counts, labelled)
     assert abs(m.prior - 0.2) < 0.03 and np.all(np.abs(m.rates[1][:4] - 0.8) < 0.05) and np.all(np.abs(m.rates[0][:4] - 0.02) < 0.03)
     assert m.correlation[3, 4] > 0.95 and m.discount[4] < 0.6 < m.discount[0]
 
