@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 SPACE = r"[\t\n\r\f\x0B \x{00A0}]+"
 #: Words that carry no meaning for lexical search.
 STOPWORDS = (
-    "the and for are was were what which who how many much did does has have had with from that this these those "
-    "into about between per its can you when where why"
+    "about after also among and are before between did does for from have how into many much not over that the their "
+    "them then these this through under what when where which who with would"
 ).split()
+#: A question word that opens a second clause.
+SECOND_CLAUSE = (
+    r"(?i)(?:\b(?:and|or)\b|[.;?])\s*,?\s*"
+    r"(?:what|who|when|where|why|how|which|is|are|was|were|do|does|did|has|have|can|could|should|would|will)\b"
+)
 
 
 def clean(x: Column) -> Column:
@@ -91,8 +96,8 @@ def tokens(x: Column) -> Column:
 
 def acronyms(x: Column) -> Column:
     """First letters of runs of three or more capitalised words, in lower case."""
-    runs = F.regexp_extract_all(x, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+){2,})"), 1)
-    return F.transform(runs, lambda r: F.lower(F.regexp_replace(r, "[^A-Z]", "")))
+    runs = F.regexp_extract_all(x, F.lit(r"\b([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){2,})\b"), 1)
+    return F.transform(runs, lambda r: F.lower(F.array_join(F.transform(F.split(r, r"\s+"), lambda w: F.substring(w, 1, 1)), "")))
 
 
 def lexical_query(x: Column) -> Column:
@@ -120,8 +125,7 @@ def strip_fence(x: Column) -> Column:
 
 def decomposition_reason(x: Column) -> Column:
     """Why a question holds several, or null."""
-    clause = r"(?i)(?:,|;| and| but| also) +(?:what|which|who|how|when|where|why)\b"
-    return F.when(F.length(x) - F.length(F.replace(x, F.lit("?"), F.lit(""))) > 1, F.lit("multiple_questions")).when(F.regexp_like(x, F.lit(clause)), F.lit("second_clause"))
+    return F.when(F.length(x) - F.length(F.replace(x, F.lit("?"), F.lit(""))) > 1, F.lit("multiple_questions")).when(F.regexp_like(x, F.lit(SECOND_CLAUSE)), F.lit("second_clause"))
 
 
 def markdown_cell(x: Column) -> Column:

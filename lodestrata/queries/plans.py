@@ -16,7 +16,7 @@ SINCE = Filter("year", "gte", 1996)
 
 def _by_period(aggregate: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        plan = Plan(aggregate=aggregate, filters=(SINCE,), group_by=("metric_name", "year", "quarter"))
+        plan = Plan(aggregate=aggregate, filters=(SINCE,), group_by=("metric_name", "year", "quarter"), limit=200)
         kind = "long" if aggregate == "count" else "double"
         return execute(plan, facts(spark, sf_dir)).withColumn("value", F.round(F.col("value").cast(kind), 6))
 
