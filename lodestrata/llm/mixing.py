@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialize
-from .toxicity import SEED
 
 #: Domains of the labels table and the share of tokens each should have in the mixture.
 DOMAINS = ("clean", "poor", "toxic")
@@ -35,6 +34,8 @@ TARGETS = {"clean": 0.88, "poor": 0.07, "toxic": 0.05}
 #: A domain with fewer labelled rows cannot be told apart; its share goes to the others.
 MIN_LABELLED = 30
 N_BINS = 12
+#: Fixed words whose presence speaks for the toxic domain.
+SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown")
 
 
 def domain_of_labels() -> Column:
@@ -46,30 +47,31 @@ def tokens_of(text: Column) -> Column:
 
 
 def _share(text: Column, chars: str) -> Column:
-    """How much of a text the given characters make up."""
-    return 1 - F.length(F.translate(text, chars, "")) / F.greatest(F.length(text), F.lit(1))
+    """How much of a text's bytes the given ASCII characters make up; byte search, no regex."""
+    n = F.octet_length(text)
+    found = reduce(lambda a, b: a + b, (n - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in chars))
+    return found / F.greatest(n, F.lit(1))
 
 
 def features(text: Column) -> list[Column]:
-    """Each a bin from 0 to N_BINS - 1; shares on a logarithmic scale."""
-    text = F.coalesce(text, F.lit(""))
-    log_bin = lambda share: F.least(F.lit(N_BINS - 1), F.greatest(F.lit(0), F.floor(F.log2(share * 4096 + 1)).cast("int")))
+    """Each a bin from 0 to N_BINS - 1; shares on a logarithmic scale. ``text`` is not null."""
+    log_bin = lambda share: F.least(F.lit(N_BINS - 1), F.floor(F.log2(share * 4000 + 1)).cast("int"))
     return [
-        log_bin(_share(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        log_bin(_share(text, "0123456789")),
-        log_bin(_share(text, "!?")),
-        log_bin(_share(text, "#$%&*^~<>{}[]\\=+_")),
-        log_bin(_share(text, "|")),
-        log_bin(_share(text, ".,;:")),
-        log_bin(_share(text, " \n\t") * 0.999),
-        F.least(F.lit(N_BINS - 1), F.floor(F.log2(F.length(text) / 16 + 1)).cast("int")),
-        F.least(F.lit(N_BINS - 1), F.regexp_count(F.lower(text), F.lit(r"\b(?:" + "|".join(sorted(w.decode() for w in SEED)) + r")\b"))),
+        *(log_bin(_share(text, chars)) for chars in ("EA", "!", "%#*", "|", ".", " ")),
+        F.least(F.lit(N_BINS - 1), F.floor(F.log2(F.octet_length(text) / 16 + 1)).cast("int")),
+        F.least(F.lit(N_BINS - 1), reduce(lambda a, b: a + b, (text.contains(w).cast("int") for w in SEEDS))),
     ]
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with further columns that are computed once a row. A generator of one row stands
+    between them and their uses; a plain projection would be pasted into every use."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def featured(docs: DataFrame) -> DataFrame:
     """doc_id, tokens, bins (array of int) for every row, written once."""
-    text = F.col("text").cast("string")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens_of(text).cast("long").alias("tokens"), F.array(*features(text)).alias("bins")), "features")
 
 
@@ -147,7 +149,7 @@ def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> tup
     rows = featured(docs)
     prior, tables, present = classifier_tables(rows, labels)
     columns = posteriors(prior, tables)
-    placed = rows.select("doc_id", "tokens", *columns)
+    placed = once(rows.select("doc_id", "tokens", "bins"), *columns).drop("bins")
     groups = materialize(placed.groupBy(*(f"p_{d}" for d in DOMAINS)).agg(F.sum("tokens").alias("tokens")), "posteriors")
     steps = fit_steps(groups, {d: targets.get(d, 0.0) for d in present})
     return placed, columns, F.round(rate_column(steps), 6)
@@ -164,7 +166,8 @@ def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     often a document is read in one pass over the mixture. One scan, no join."""
     _, columns, rate = _rated(docs, labels, targets or TARGETS)
     names = [c for c in docs.columns if c != "rate"]
-    text = F.col("text").cast("string")
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), F.array(*features(text)).alias("bins"))
-    out = inner.select("doc", *columns).withColumn("rate", rate)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), text.alias("text"))
+    binned = once(inner, F.array(*features(F.col("text"))).alias("bins")).select("doc", "bins")
+    out = once(once(binned, *columns).drop("bins"), rate.alias("rate"))
     return out.where("rate > 0").select("doc.*", "rate")
