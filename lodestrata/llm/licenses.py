@@ -1,20 +1,22 @@
 """Licence scan: normalised text against licence templates by Dice over word bigrams.
 
-Units of a document, its lines, the stretch from the first to the last line that shares
-bigrams with a template, and the whole text, are compared with every template whose size can
-reach the threshold: with a and b bigrams Dice is at most 2 min(a, b) / (a + b), so b must lie
-between a t / (2 - t) and a (2 - t) / t. Templates are found through an index of their bigrams.
+Units of a document are runs of its lines. They are found from runs of words: the best run for
+a template begins and ends with bigrams of the template; with a and b distinct bigrams Dice is
+at most 2 min(a, b) / (a + b), so b must lie between a t / (2 - t) and a (2 - t) / t. Templates
+are found through an index of their bigrams, and a text is searched for those of which it has
+at least a t / (2 - t) distinct bigrams.
 
 Defined cases: null and empty texts have no licence; of equal scores the template listed first
-wins, of equal units the first in the text; repeated rows each get their row; an empty table
+wins, of equal runs the first in the text; repeated rows each get their row; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,46 +77,61 @@ class LicenseMatcher:
         for k, grams in enumerate(self.grams):
             for g in grams:
                 self.index.setdefault(g, []).append(k)
-        self.bounds = [(len(g) * threshold / (2 - threshold), len(g) * (2 - threshold) / threshold) for g in self.grams]
-
-    def _compare(self, grams: frozenset, shared: Counter, first: int, last: int) -> Iterator[Match]:
-        for k in sorted(shared):
-            low, high = self.bounds[k]
-            if low <= len(grams) <= high:
-                dice = 2 * shared[k] / (len(grams) + len(self.grams[k]))
-                if dice >= self.threshold:
-                    yield Match(k, dice, first, last)
+        self.bounds = [(len(g) * threshold / (2 - threshold) - 1e-9, len(g) * (2 - threshold) / threshold + 1e-9) for g in self.grams]
+
+    def _runs(self, grams: list[tuple[bytes, bytes]], at: list[int], k: int) -> Iterator[tuple[float, int, int]]:
+        """The best run for template k from each start: dice, first and last bigram; ``at``: where it has bigrams.
+
+        A best run begins and ends with bigrams of the template, and the first one does not come
+        again in it, for the run without it would be as good. So each start is followed until its
+        bigram comes again or the run has too many distinct bigrams: at most (bigrams of the
+        template) x (bigrams of the text) steps."""
+        own, (low, high) = self.grams[k], self.bounds[k]
+        for s in at:
+            seen, shared, best = {grams[s]}, 1, None
+            for e in range(s, at[-1] + 1):
+                g = grams[e]
+                if e > s:
+                    if g in seen:
+                        if g == grams[s]:
+                            break
+                        continue
+                    seen.add(g)
+                    if len(seen) > high:
+                        break
+                    if g not in own:
+                        continue
+                    shared += 1
+                if shared >= low:
+                    dice = 2 * shared / (len(seen) + len(own))
+                    if dice >= self.threshold and (best is None or dice > best[0]):
+                        best = dice, s, e
+            if best:
+                yield best
 
     def match(self, data: bytes) -> Match | None:
-        """The best match of any unit, or None."""
-        index, found = self.index, []
-        lines = [normalise(x) for x in data.split(b"\n")]
-        touched: dict[int, tuple[int, int]] = {}
-        before: list[bytes] = []
-        for i, words in enumerate(lines):
-            hits = [g for g in zip(words, words[1:], strict=False) if g in index]
-            joint = (before[-1], words[0]) if before and words else None
-            for g in [*hits, *([joint] if joint in index else [])]:
+        """The best match of any run, or None."""
+        index, words = self.index, normalise(data)
+        grams = list(zip(words, words[1:], strict=False))
+        traces: dict[int, list[int]] = {}
+        for i, g in enumerate(grams):
+            if g in index:
                 for k in index[g]:
-                    touched[k] = (touched.get(k, (i,))[0], i)
-            if hits:
-                grams = bigrams(words)
-                found += self._compare(grams, Counter(k for g in grams if g in index for k in index[g]), i, i)
-            before = words or before
-        for k, (a, b) in touched.items():
-            # longer stretches: a template over several lines, from its first to its last trace
-            a = max(0, a - 1) if a == b else a
-            if a < b and len(self.grams[k]) > 8:
-                for lo, hi in {(a, b), (max(0, a - 1), b)}:
-                    size = sum(map(len, lines[lo : hi + 1])) - 1
-                    if size <= 4 * self.bounds[k][1] + 16:  # repeated bigrams count once, so a stretch may be longer than its set
-                        grams = bigrams([w for x in lines[lo : hi + 1] for w in x])
-                        found += self._compare(grams, Counter({k: len(grams & self.grams[k])}), lo, hi)
-        if touched and len(lines) > 1:
-            size = sum(map(len, lines)) - 1
-            if size <= 4 * max(h for _, h in self.bounds) + 16:
-                grams = bigrams([w for x in lines for w in x])
-                found += self._compare(grams, Counter(k for g in grams if g in index for k in index[g]), 0, len(lines) - 1)
+                    traces.setdefault(k, []).append(i)
+        found, ends = [], None
+        for k, at in traces.items():
+            low = self.bounds[k][0]
+            if len(at) < low or len({grams[i] for i in at}) < low:
+                continue
+            for dice, s, e in self._runs(grams, at, k):
+                ends = ends or list(accumulate(len(normalise(x)) for x in data.split(b"\n")))  # words up to the end of each line
+                first, last = bisect_right(ends, s), bisect_right(ends, e + 1)
+                unit = bigrams(words[ends[first - 1] if first else 0 : ends[last]])
+                dice = 2 * len(unit & self.grams[k]) / (len(unit) + len(self.grams[k]))
+                if dice >= self.threshold:
+                    found.append(Match(k, dice, first, last))
+                if dice == 1.0:  # what starts later is no better and not before it
+                    break
         return min(found, key=lambda m: (-m.dice, m.template, m.first_line, m.last_line), default=None)
 
 

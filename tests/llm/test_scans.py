@@ -199,6 +199,16 @@ def test_license_over_several_lines():
     assert got and licenses.TEMPLATES[got.template][0] == "MIT" and got.first_line >= 29
 
 
+def test_license_beside_stray_bigrams_and_copies():
+    t = dict((n, t) for n, t in licenses.TEMPLATES if len(t) > 400)["MIT"].split()
+    wrapped = "\n".join(" ".join(t[i : i + 9]) for i in range(0, len(t), 9))
+    prose = "It was the end of the day in the house, subject to the weather.\nMore of the same, without any limit.\n" * 40
+    for data in (prose + wrapped + "\n" + prose, wrapped + "\n" + prose + wrapped + "\n", "\n".join([wrapped] * 9)):
+        got = licenses.LicenseMatcher().match(data.encode())
+        assert got and licenses.TEMPLATES[got.template][0] == "MIT" and got.dice == 1.0
+        assert got.last_line - got.first_line == wrapped.count("\n")
+
+
 # --- every awkward row, and no rows
 
 
