@@ -1,6 +1,7 @@
 """Licence scan: normalised text against licence templates by Dice over word bigrams.
 
-Units of a document are runs of its lines. They are found from runs of words: the best run for
+Units of a document are all runs of its words, over lines and within them; a matcher without
+``within_lines`` widens them to whole lines. The best run for
 a template begins and ends with bigrams of the template; with a and b distinct bigrams Dice is
 at most 2 min(a, b) / (a + b), so b must lie between a t / (2 - t) and a (2 - t) / t. Templates
 are found through an index of their bigrams, and a text is searched for those of which it has
@@ -69,7 +70,8 @@ class Match:
 
 
 class LicenseMatcher:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, within_lines: bool = False):
+        self.within_lines = within_lines
         self.names = [n for n, _ in templates]
         self.grams = [bigrams(normalise(t.encode())) for _, t in templates]
         self.threshold = threshold
@@ -126,8 +128,9 @@ class LicenseMatcher:
             for dice, s, e in self._runs(grams, at, k):
                 ends = ends or list(accumulate(len(normalise(x)) for x in data.split(b"\n")))  # words up to the end of each line
                 first, last = bisect_right(ends, s), bisect_right(ends, e + 1)
-                unit = bigrams(words[ends[first - 1] if first else 0 : ends[last]])
-                dice = 2 * len(unit & self.grams[k]) / (len(unit) + len(self.grams[k]))
+                if not self.within_lines:
+                    unit = bigrams(words[ends[first - 1] if first else 0 : ends[last]])
+                    dice = 2 * len(unit & self.grams[k]) / (len(unit) + len(self.grams[k]))
                 if dice >= self.threshold:
                     found.append(Match(k, dice, first, last))
                 if dice == 1.0:  # what starts later is no better and not before it
@@ -137,7 +140,7 @@ class LicenseMatcher:
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license (null if none), dice, first_line, last_line (from 0) for every row."""
-    matcher = docs.sparkSession.sparkContext.broadcast(LicenseMatcher(templates, threshold))  # its size depends on the templates only
+    matcher = docs.sparkSession.sparkContext.broadcast(LicenseMatcher(templates, threshold, within_lines=True))  # its size depends on the templates only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = matcher.value

@@ -209,6 +209,29 @@ def test_license_beside_stray_bigrams_and_copies():
         assert got.last_line - got.first_line == wrapped.count("\n")
 
 
+def test_license_inside_lines(spark):
+    texts = ["We ship this tool. Licensed under the MIT License. See the docs for how it is built and used on every system.", "A tool that is\nreleased under\nthe MIT License. It has\nmany other lines of text in it", "No notice in this text. All of it is prose."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["dice"], r["first_line"], r["last_line"]) for r in licenses.scan(docs).collect()}
+    assert got == {0: ("MIT", 1.0, 0, 0), 1: ("MIT", 1.0, 1, 2), 2: (None, None, None, None)}
+
+
+def test_license_runs_against_brute_force():
+    r = random.Random(5)
+    templates = (("A", "a b c d e a b f"), ("B", "b c"), ("C", "d e d f g"))
+    m = licenses.LicenseMatcher(templates, within_lines=True)
+    grams = lambda ws: set(zip(ws, ws[1:], strict=False))
+    for _ in range(300):
+        w = [r.choice("abcdefgh") for _ in range(r.randint(0, 30))]
+        if r.random() < 0.5:
+            at = r.randint(0, len(w))
+            w[at:at] = r.choice(templates)[1].split()
+        targets = [grams(words(t)) for _, t in templates]
+        best = max((2 * len(a & b) / (len(a) + len(b)) for i in range(len(w)) for j in range(i + 2, len(w) + 1) for a in [grams(w[i:j])] for b in targets), default=0)
+        got = m.match("".join(x + r.choice(" \n") for x in w).encode())
+        assert (got.dice if got else 0) == (best if best >= 0.8 else 0)
+
+
 # --- every awkward row, and no rows
 
 
