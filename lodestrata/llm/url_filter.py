@@ -2,14 +2,17 @@
 
 Only DataFrame functions run here. Segments of a path that vary (numbers, long hex, dates, or a
 position at which one branch has many values) become wildcards; the counts of the resulting
-templates, pages and labelled pages, are combined up the tree by grouped aggregation. A branch
-whose labelled share of bad pages does not differ from its siblings' (two-proportion z below
-``merge_z``) takes the pooled counts of its parent; a template is rejected when its smoothed
-share of bad pages reaches ``reject_at``.
+templates, pages and labelled pages, are summed at every level up to the host. A branch whose
+labelled share of bad pages does not differ from its siblings' (two-proportion z below
+``merge_z``, scaled down for few labels) is merged: it takes the counts of its parent, or of the
+nearest branch above that is not merged itself, at last of the host. Nor does a branch that
+differs vanish in a wildcard. A template is rejected when its smoothed share of bad pages
+reaches ``reject_at``.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, takes part in the
 tree as the empty template of the empty host and is allowed unless its labels say otherwise;
-repeated rows each get a verdict; an empty table gives an empty result.
+without labels every url is allowed but by rule; repeated rows each get a verdict; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,6 +71,14 @@ def typed_segments(path: Column, depth: int) -> Column:
     return F.when(F.size(typed) > depth, F.concat(F.slice(typed, 1, depth), F.array(F.lit("{rest}")))).otherwise(typed)
 
 
+def _differs(n: Column, b: Column, all_n: Column, all_b: Column, prior: float, merge_z: float, prior_weight: float) -> Column:
+    """Whether a branch with ``b`` bad of ``n`` labelled differs from the rest of its parent's."""
+    rest_n, rest_b = all_n - n, all_b - b
+    p = (all_b + prior) / (all_n + 1)
+    z = F.abs(F.try_divide(b, n) - F.try_divide(rest_b, rest_n)) / F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), rest_n)))
+    return F.coalesce(z * n / (n + prior_weight) >= merge_z, F.lit(False))
+
+
 def template_tree(urls: DataFrame, labelled: DataFrame, depth: int = 6, max_children: int = 50, merge_z: float = 2.0, prior_weight: float = 5.0) -> DataFrame:
     """host, typed (the typed segments, joined), template, pages, labelled, bad, purity: one row
     per typed template of a host.
@@ -80,26 +91,31 @@ def template_tree(urls: DataFrame, labelled: DataFrame, depth: int = 6, max_chil
     judged = labelled.groupBy("host", key.alias("typed")).agg(F.count(F.lit(1)).alias("labelled"), F.sum(F.col("bad").cast("long")).alias("bad"))
     tree = seen.join(judged, ["host", "typed"], "left").na.fill(0, ["labelled", "bad"]).withColumn("segments", F.when(F.col("typed") == "", F.array().cast("array<string>")).otherwise(F.split("typed", "/")))
     tree = materialize(tree.withColumn("template", F.array().cast("array<string>")), "tree")
-    # top down: a position at which a branch has more than max_children values is one variable
+    totals = tree.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()
+    prior = (totals.b + 1) / (totals.n + 2) if totals.n else 0.0
+    # top down: a position at which a branch has more than max_children values is one variable,
+    # but for values that differ from the others
     for level in range(1, depth + 2):
         here = F.get("segments", F.lit(level - 1))
-        wide = tree.where(here.isNotNull()).groupBy("host", F.concat_ws("/", "template").alias("above")).agg(F.count_distinct(here).alias("n")).where(F.col("n") > max_children).select("host", "above", F.lit(True).alias("wide"))
-        tree = tree.withColumn("above", F.concat_ws("/", "template")).join(wide, ["host", "above"], "left")
-        step = F.when(here.isNull(), F.array().cast("array<string>")).when(F.col("wide"), F.array(F.lit("*"))).otherwise(F.array(here))
-        tree = materialize(tree.withColumn("template", F.concat("template", step)).drop("above", "wide"), "tree")
-    leaves = tree.groupBy("host", F.concat_ws("/", "template").alias("template")).agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    leaves = leaves.withColumn("parent", F.regexp_replace("template", r"(^|/)[^/]*$", ""))
-    totals = leaves.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()
-    prior = ((totals.b or 0) + 1) / ((totals.n or 0) + 2)
-    pooled = leaves.groupBy("host", "parent").agg(F.sum("labelled").alias("parent_labelled"), F.sum("bad").alias("parent_bad"))
-    both = leaves.join(pooled, ["host", "parent"])
-    rest_n, rest_b = F.col("parent_labelled") - F.col("labelled"), F.col("parent_bad") - F.col("bad")
-    p = (F.col("parent_bad") + prior) / (F.col("parent_labelled") + 1)
-    z = F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - F.try_divide(rest_b, rest_n)) / F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_n)))
-    merged = F.coalesce(z < merge_z, F.lit(True))
-    n, b = F.when(merged, F.col("parent_labelled")).otherwise(F.col("labelled")), F.when(merged, F.col("parent_bad")).otherwise(F.col("bad"))
-    judged = both.select("host", "template", "pages", n.alias("labelled"), b.alias("bad"), ((b + prior_weight * prior) / (n + prior_weight)).alias("purity"))
-    return tree.select("host", "typed", F.concat_ws("/", "template").alias("template")).join(judged, ["host", "template"])
+        placed = tree.withColumn("above", F.concat_ws("/", "template")).withColumn("here", here)
+        values = placed.where("here is not null").groupBy("host", "above", "here").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+        wide = values.groupBy("host", "above").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("all_n"), F.sum("b").alias("all_b")).where(F.col("values") > max_children).select("host", "above", "all_n", "all_b", F.lit(True).alias("wide"))
+        own = values.where("n > 0").join(wide, ["host", "above"]).where(_differs(F.col("n"), F.col("b"), F.col("all_n"), F.col("all_b"), prior, merge_z, prior_weight)).select("host", "above", "here", F.lit(True).alias("own"))
+        step = F.when(F.col("here").isNull(), F.array().cast("array<string>")).when(F.col("wide") & F.col("own").isNull(), F.array(F.lit("*"))).otherwise(F.array("here"))
+        placed = placed.join(wide.select("host", "above", "wide"), ["host", "above"], "left").join(own, ["host", "above", "here"], "left")
+        tree = materialize(placed.withColumn("template", F.concat("template", step)).select(tree.columns), "tree")
+    leaves = tree.groupBy("host", "template").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    # every branch a template lies in, itself and the host included
+    above = materialize(leaves.select("*", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level")).withColumn("branch", F.concat_ws("/", F.slice("template", F.lit(1), F.col("level")))), "branches")
+    sums = above.groupBy("host", "level", "branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+    parents = sums.select("host", (F.col("level") + 1).alias("level"), F.col("branch").alias("parent"), F.col("n").alias("all_n"), F.col("b").alias("all_b"))
+    judged = sums.withColumn("parent", F.regexp_replace("branch", r"(^|/)[^/]*$", "")).join(parents, ["host", "level", "parent"], "left")
+    stands = (F.col("level") == 0) | _differs(F.col("n"), F.col("b"), F.col("all_n"), F.col("all_b"), prior, merge_z, prior_weight)
+    lasting = judged.where(stands).select("host", "level", "branch", "n", "b")  # not merged
+    nearest = above.join(lasting, ["host", "level", "branch"]).groupBy("host", "template").agg(F.max_by(F.struct("n", "b"), "level").alias("of"), F.first("pages").alias("pages"))
+    n, b = F.col("of.n"), F.col("of.b")
+    pooled = nearest.select("host", F.concat_ws("/", "template").alias("template"), "pages", n.alias("labelled"), b.alias("bad"), ((b + prior_weight * prior) / (n + prior_weight)).alias("purity"))
+    return tree.select("host", "typed", F.concat_ws("/", "template").alias("template")).join(pooled, ["host", "template"])
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[Rule], reject_at: float = 0.5, depth: int = 6, max_children: int = 50) -> DataFrame:

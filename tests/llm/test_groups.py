@@ -285,3 +285,15 @@ def test_url_tree_wildcards(spark):
     urls = [f"http://h.org/user{i}/about" for i in range(80)] + ["http://h.org/12/x.html"]
     rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame([], "url string, bad int"), [], max_children=50).collect()
     assert {r["template"] for r in rows} == {"*/about", "*/x.html"}
+
+
+def test_url_branches_merge_up_to_the_host(spark):
+    sections = {"http://spam.org/a": 1, "http://spam.org/b": 1, "http://fine.org/a": 0, "http://fine.org/b": 0, "http://mixed.org/good": 0, "http://mixed.org/bad": 1}
+    pages = [(f"{k}/{i}", bad) for k, bad in sections.items() for i in range(20)]
+    unseen = ["http://spam.org/new/1", "http://fine.org/new/1", "http://spam.org/new/deep/x/2"]
+    urls = [u for u, _ in pages] + unseen
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(pages, "url string, bad int"), []).collect()
+    by = {urls[r["page_id"]]: r for r in rows}
+    assert [by[u]["verdict"] for u in unseen] == ["block", "allow", "block"]
+    assert {by[f"http://spam.org/{k}/0"]["purity"] for k in "ab"} == {by[u]["purity"] for u in (unseen[0], unseen[2])}  # pooled
+    assert by["http://mixed.org/good/0"]["verdict"] == "allow" and by["http://mixed.org/bad/0"]["verdict"] == "block"  # not pooled
