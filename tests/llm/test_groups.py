@@ -244,6 +244,19 @@ def test_mixing_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_mixing_features_read_whole_classes(spark):
+    def bins(*texts):
+        out = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", F.array(*mixing.features(F.col("text"))).alias("bins"))
+        return [r["bins"] for r in out.orderBy("i").collect()]
+
+    plain = "some plain words in a row"
+    base, *others = bins(plain, plain.upper().replace("E", "X").replace("A", "Y"), plain[:-3] + "123", plain[:-1] + "?", plain[:-1] + "$", plain[:-1] + ";", plain.replace(" ", "\n"))
+    for k, changed in zip((0, 1, 2, 3, 5), others, strict=False):
+        assert changed[k] > base[k]
+    assert others[5][6] == base[6]
+    assert [b[8] for b in bins("IDIOT, Idiot idiot dumb", "idiotic clownfish", "")] == [4, 0, 0]
+
+
 # --- urls
 
 
