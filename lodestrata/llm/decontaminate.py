@@ -8,7 +8,8 @@ occurrences along an item and a text give the longest verbatim matches and their
 a document whose matches cover enough of it is removed. Documents are read once and never
 shuffled; only the benchmark travels, in blocks whose size in bytes is bounded.
 
-Defined cases: a null text has no words; items without words match nothing; an item of fewer
+Defined cases: an item with a null id is searched and counts in n_hit and contaminated, but not
+in n_items and items_sha256, which are of ids; a null text has no words; items without words match nothing; an item of fewer
 than ``window`` words is one window; repeated rows each get their row; empty tables give rows
 without hits or no rows.
 """
@@ -38,14 +39,14 @@ class TestSuffixes:
     """Suffixes of a block of items: item number, position, window width and window of each."""
 
     vocabulary: dict[bytes, int]
-    item_ids: list[str]
+    item_ids: list[str | None]
     item: np.ndarray
     position: np.ndarray
     width: np.ndarray
     windows: np.ndarray  # (suffixes, window), 0 beyond the width
 
     @classmethod
-    def of(cls, items: list[tuple[str, bytes]], window: int = WINDOW) -> TestSuffixes:
+    def of(cls, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> TestSuffixes:
         vocabulary: dict[bytes, int] = {}
         item, position, width, rows = [], [], [], []
         for k, (_, text) in enumerate(items):
@@ -156,7 +157,7 @@ def judge(texts: list[bytes], blocks: list[TestSuffixes], want_matches: bool = F
                         matches[d].append({"item_id": tests.item_ids[i], "item_word": p, "doc_word": a - int(bounds[d]), "n_words": n})
         hit = np.concatenate([[0], np.cumsum(np.cumsum(covered) > 0)])
         for d in range(len(own)):
-            yield Verdict(int(n_words[d]), int(hit[bounds[d + 1]] - hit[bounds[d]]), sorted(items[d]), matches[d])
+            yield Verdict(int(n_words[d]), int(hit[bounds[d + 1]] - hit[bounds[d]]), sorted(items[d] - {None}), matches[d])
         at = stop
 
 
@@ -168,12 +169,12 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: in
     """Broadcasts of test suffixes. A block has at most ``block_bytes`` of text, or one item: the
     size is measured, and a larger benchmark is fetched and sent in more blocks."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + 2 * total // block_bytes if total > block_bytes else 1
     out = []
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # about block_bytes / 2
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about block_bytes / 2
         out.append(spark.sparkContext.broadcast(TestSuffixes.of([(r[0], bytes(r[1])) for r in rows], window)))
     return out
 

@@ -156,6 +156,15 @@ def test_decontamination_in_several_blocks(spark):
     assert list(decontaminate.judge(texts, [b.value for b in one])) == list(decontaminate.judge(texts, [b.value for b in many]))
 
 
+def test_items_without_id_are_searched(spark):
+    docs = spark.createDataFrame([(1, "start one two three end"), (2, "start four five six end"), (3, "nothing")], "doc_id long, text string")
+    items = benchmark(spark, [(None, "one two three"), (None, "four five six"), (7, "four five six")])
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.scan(docs, items).collect()}
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {1: (3, 0, digest(b""), True), 2: (3, 1, digest(b"7"), True), 3: (0, 0, digest(b""), False)}
+    assert [r["doc_id"] for r in decontaminate.remove_contaminated(docs, items).collect()] == [3]
+
+
 def test_longest_matches(spark):
     item = " ".join(f"w{j}" for j in range(25))
     docs = spark.createDataFrame([(1, f"x y {item} z"), (2, "w3 " + " ".join(f"w{j}" for j in range(5, 20)))], "doc_id long, text string")
