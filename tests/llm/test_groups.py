@@ -218,6 +218,13 @@ def test_quality_shrinks_sparse_sites(spark):
     assert abs(rate[0] - rate[1000]) < 0.05
 
 
+def test_seed_near_you_is_seen_anywhere():
+    lexicon = toxicity.Lexicon({})
+    far = b"idiot and some other plain words in a row " * 1100
+    assert not toxicity.examine(far, lexicon, [])[1] >> 8 & 1
+    assert toxicity.examine(far + b"you idiot", lexicon, [])[1] >> 8 & 1
+
+
 # --- mixing
 
 
