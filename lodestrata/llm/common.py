@@ -30,7 +30,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/lodestrata-{name}-{uuid.uuid4().hex}"
+    """A new path in this application's scratch folder, which goes when the application ends."""
+    folder = f"{shared_root(spark)}/lodestrata-{spark.sparkContext.applicationId}"
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.mkdirs(hpath):
+        fs.deleteOnExit(hpath)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,12 +52,75 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table that materialize() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/lodestrata-" in f}:
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables that materialize() made, once nothing reads them any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/lodestrata-" in f}:
+            delete_path(df.sparkSession, path)
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def id_key(doc_id: Column) -> list[Column]:
+    """An id as two columns that are never null, for joins in which null equals null."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(0)), doc_id.isNull()]
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+#: Words of 64 bits in the largest filter that without() broadcasts (about 60 MB as a hash table).
+FILTER_WORDS = 1 << 20
+
+
+def without(docs: DataFrame, drop: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (never null) are no row of ``drop``, which has the same
+    keys in the same order and is a written table.
+
+    A filter of one hash per key, a table of 64-bit words of bounded size, goes to every task and
+    tells what surely stays; those rows are not shuffled. Only what may be dropped meets ``drop``
+    in an anti-join on all keys, which is exact. With far more keys than the filter has bits it
+    lets everything through to the join, and the result is the same."""
+    n = drop.count()
+    if not n:
+        return docs
+    words = min(FILTER_WORDS, 1 << max(6, (n // 2).bit_length()))
+    tag = f"k{uuid.uuid4().hex}"
+    slot, word, bits, names = f"{tag}_slot", f"{tag}_word", f"{tag}_bits", [f"{tag}_{i}" for i in range(len(keys))]
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(words * 64))
+    drop = drop.toDF(*names)
+    filled = drop.select(place(F.col(names[0])).alias(slot)).groupBy(F.expr(f"shiftright({slot}, 6)").alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 as int)))").alias(bits))
+    probed = docs.withColumn(slot, place(keys[0])).withColumn(word, F.expr(f"shiftright({slot}, 6)")).join(F.broadcast(filled), word, "left")
+    perhaps = F.expr(f"coalesce(shiftright({bits}, cast({slot} & 63 as int)) & 1 = 1, false)")
+    own = [quoted(c) for c in docs.columns]
+    stays = probed.where(~perhaps).select(*own)
+    rest = probed.where(perhaps).withColumns(dict(zip(names, keys, strict=True))).join(drop, names, "left_anti").select(*own)
+    return stays.union(rest)
+
+
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows of ``df``, those with the smallest hashes of ``keys``. Rows are thinned
+    by hash before they are ordered, so no task orders more than a few times ``n``."""
+    total = df.count()
+    if total > 4 * n:
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * (2 * n / total)))
+    return df.orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)), *keys).limit(n)
+
+
+def numbers(values: list[float]) -> Column:
+    """A constant array of doubles, as one literal whatever its length."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>") if len(values) else F.array().cast("array<double>")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that a worker holds the Python objects of a few rows only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,20 +1,25 @@
 """Toxicity by weak supervision.
 
 1. Lexicon entries (words and word beginnings) are mined from labelled training rows by
-   log-likelihood ratio, beside a small fixed list.
-2. Lexicon and pattern voters vote on every document; the vote patterns of all documents, at
-   most 2^N_VOTERS, are counted in one grouped aggregation.
+   log-likelihood ratio, beside small fixed lists of insults, profanity, threats and phrases.
+2. Voters of different kinds (fixed and mined lexicons, phrases, second person near a telling
+   word, density, shouting, masked and drawn-out spelling) vote on every document in one pass;
+   the vote patterns of all documents, at most 2^N_VOTERS, are counted in one grouped aggregation.
 3. A generative label model is fitted to these counts by expectation maximisation: each voter's
    rates in both classes, and correlations of voters within a class, which discount voters that
    say the same thing.
-4. A linear classifier of lexicon entries and votes is trained on posterior labels of at most
-   ``max_labelled`` labelled rows. Its output is the score.
+4. A linear classifier of lexicon entries and votes is trained on the label model's posteriors:
+   of at most ``max_labelled`` labelled rows, whose label is one more voter, and of as many
+   unlabelled ones. Its output is the score, computed in the JVM from the votes of step 2.
 
 Rows whose crc32(doc_id) mod 3 is 1 never take part in a fit of labels; lang, source and doc_id
-are no inputs. Defined cases: null and empty texts are scored (no entries, no votes); labels
+are no inputs. Near-copies among labelled rows of one label (0.8 of their 5-word shingles) count
+once in mining. Defined cases: null and empty texts are scored (no entries, no votes); labels
 that are null or of unknown documents are ignored, of several labels of one document the
-largest counts; without usable labels the label model alone scores; repeated rows each get
-their row; an empty table gives an empty result.
+largest counts; without usable labels the label model alone scores; texts of any length are read
+whole, in pieces; entries of equal weight are ordered by their bytes; repeated rows each get
+their row; a row goes from drop_toxic if its own id and text were scored toxic; an empty table
+gives an empty result; extra columns are never read, and no column name of theirs clashes.
 """
 
 from __future__ import annotations
@@ -27,20 +32,28 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, held_out, materialize, words_of
+from .common import WORD_TABLE, as_bytes, discard, hash_sample, held_out, id_key, materialize, numbers, pieces, quoted, slices, text_key, without, words_of
 
-#: Bounds of what is fitted on the driver: labelled rows, lexicon entries.
-MAX_LABELLED, MAX_ENTRIES = 20_000, 4096
+#: Bound of the rows that are fitted on the driver, labelled and again unlabelled.
+MAX_LABELLED = 20_000
 PREFIXES = (4, 5, 6, 7)
-#: Fixed seed words.
+#: Fixed words and phrases of the voters.
 SEED = frozenset(b"idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown dumb jerk bastard fool garbage ugly hate".split())
+INSULTS_ELSEWHERE = frozenset("idiota imbécil imbecil estúpido estúpida tonto basura inútil payaso idiote imbécile crétin débile connard ordure abruti nul clown idioten dummkopf trottel arschloch blöd dumm abschaum versager widerlich".encode().split())
+PROFANITY = frozenset("shit shitty fuck fucking crap damn bitch ass asshole dick piss merde putain chier mierda puta joder scheiße scheisse verdammt kacke".encode().split())
+THREATS = frozenset("kill killed murder hang stab shoot destroy beat burn tuer matar töten umbringen".encode().split())
+ATTACKS = tuple("shut up|get lost|go to hell|screw you|nobody likes|you are a|you are an|you are such|go away|ta gueule|va te faire|tu es un|du bist ein|halt die klappe|eres un|cállate|vete a".encode().split(b"|"))
 YOU = frozenset(b"you your youre u tu du ihr vous usted".split())
 SHOUT = re.compile(rb"!{2,}")
-N_VOTERS = 13
+MASKED = re.compile(rb"[A-Za-z][*@$]{1,3}[A-Za-z]")
+DRAWN = re.compile(rb"([A-Za-z])\1{3}")
+VOTERS = ("insult", "insult elsewhere", "profanity", "threat", "mined word", "mined beginning", "attack", "twice", "near you", "shouting", "bangs", "dense", "masked", "drawn out")
+N_VOTERS = len(VOTERS)
 THRESHOLD = 0.7
+NEAR = 3
 
 
 def entries_of(word: bytes) -> list[bytes]:
@@ -50,74 +63,118 @@ def entries_of(word: bytes) -> list[bytes]:
 
 @dataclass
 class Lexicon:
-    """Mined entries; ``known`` caches the entries of words seen."""
+    """Mined entries by number; whole words, and beginnings by length."""
 
     index: dict[bytes, int]
-    known: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
-
-    def find(self, words: set[bytes]) -> tuple[list[int], set[bytes]]:
+    whole: dict[bytes, int] = field(init=False)
+    beginnings: list[tuple[int, dict[bytes, int]]] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.whole = {e: i for e, i in self.index.items() if not e.endswith(b"*")}
+        by_length: dict[int, dict[bytes, int]] = {}
+        for e, i in self.index.items():
+            if e.endswith(b"*"):
+                by_length.setdefault(len(e) - 1, {})[e[:-1]] = i
+        self.beginnings = sorted(by_length.items())
+
+    def find(self, words: set[bytes]) -> tuple[set[int], set[bytes]]:
         """Entries present, and the words that stand for some entry."""
-        out, own, known = set(), set(), self.known
-        if len(known) > 1 << 19:
-            known.clear()
-        for w in words:
-            found = known.get(w)
-            if found is None:
-                found = known[w] = tuple(i for e in entries_of(w) if (i := self.index.get(e)) is not None)
-            if found:
-                out.update(found)
-                own.add(w)
-        return sorted(out), own
+        own = {w for w in words if w in self.whole} if self.whole else set()
+        out = {self.whole[w] for w in own}
+        for k, starts in self.beginnings:
+            for w in words:
+                if w[:k] in starts and len(w) > k:
+                    out.add(starts[w[:k]])
+                    own.add(w)
+        return out, own
 
     def groups(self) -> list[int]:
-        """Per entry its voter: whole words by parity (1, 2), beginnings by length (3 to 6)."""
-        return [2 + PREFIXES.index(len(e) - 1) + 1 if e.endswith(b"*") else 1 + len(e) % 2 for e in sorted(self.index, key=self.index.get)]
+        """Per entry its voter."""
+        return [5 if e.endswith(b"*") else 4 for e in sorted(self.index, key=self.index.get)]
 
 
 def examine(data: bytes, lexicon: Lexicon, groups: list[int]) -> tuple[list[int], int]:
     """Entries present and votes of one text."""
-    words = words_of(data)
-    own = set(words)
-    hits, telling = lexicon.find(own)
-    n = sum(w in telling for w in words) if telling else 0
-    votes = 0
+    hits: set[int] = set()
+    votes, n_words, telling, before = 0, 0, 0, []
+    for piece in pieces(data):
+        words = piece.translate(WORD_TABLE).split()
+        own = set(words)
+        found, marks = lexicon.find(own)
+        hits |= found
+        for j, fixed in enumerate((SEED, INSULTS_ELSEWHERE, PROFANITY, THREATS)):
+            if not fixed.isdisjoint(own):
+                votes |= 1 << j
+                if j < 3:
+                    marks |= fixed & own
+        n_words += len(words)
+        telling += sum(map(marks.__contains__, words)) if marks else 0
+        if not votes >> 8 & 1 and not YOU.isdisjoint(own.union(before)) and (marks or not SEED.isdisjoint(before)):
+            joined = before + words
+            at = [i for i, w in enumerate(joined) if w in marks or w in SEED]
+            votes |= any(w in YOU for i in at for w in joined[max(0, i - NEAR) : i + NEAR + 1]) << 8
+        before = words[-NEAR:]
     for h in hits:
         votes |= 1 << groups[h]
-    seeds = own & SEED
-    if seeds:
-        votes |= 1
-        at = [i for i, w in enumerate(words) if w in seeds]
-        votes |= any(w in YOU for i in at for w in words[max(0, i - 3) : i + 4]) << 8
-    votes |= (n >= 2) << 7
+    plain = data.lower()
+    votes |= any(a in plain for a in ATTACKS) << 6
+    votes |= (telling >= 2) << 7
     letters = sum(map(data.count, (b"e", b"a", b"n", b"t")))
     votes |= (sum(map(data.count, (b"E", b"A", b"N", b"T"))) > letters) << 9
-    votes |= (len(SHOUT.findall(data)) >= 3) << 10
-    votes |= (0 < len(words) <= 80 * n) << 11
-    votes |= (0 < len(words) <= 130 * n) << 12
-    return hits, votes
+    votes |= (b"!!" in data and sum(1 for _ in SHOUT.finditer(data)) >= 3) << 10
+    votes |= (0 < n_words <= 100 * telling) << 11
+    votes |= (MASKED.search(data) is not None) << 12
+    votes |= (DRAWN.search(data) is not None) << 13
+    return sorted(hits), votes
 
 
-def one_of_copies(train: DataFrame) -> DataFrame:
-    """doc_id, toxic of ``train`` (doc_id, text, toxic) with one row of each group of copies and
-    near-copies: rows that share one of four minimal hashes of their 5-word shingles. Copies are
-    no independent evidence; counted singly they make chance words of one text look telling."""
+BANDS, SHARE = 8, 0.8
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def shingles_of(text: bytes) -> np.ndarray:
+    """Hashes of the distinct 5-word shingles; a shorter text is one shingle."""
+    words = words_of(text)
+    own = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+
+
+def one_of_copies(train: DataFrame) -> DataFrame:
+    """doc_id, toxic, text of ``train`` with one row of each group of near-copies of one label.
+    Copies are no independent evidence; counted singly they make chance words of one text look
+    telling. Rows that share a band of two minimal hashes are compared with the smallest doc_id
+    of the band, and go only if 0.8 of their shingles are the same."""
+    factors = np.random.default_rng(5).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             rows = []
             for text in as_bytes(batch.column("text")):
-                words = words_of(text)
-                shingles = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
-                rows.append([int((hashes * np.uint64(k)).min() >> np.uint64(1)) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "toxic", "least"])
-
-    out = materialize(train.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, least array<long>"), "least")
-    for k in range(4):
-        out = out.withColumn("h", F.get("least", F.lit(k)))
-        first = out.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-        out = out.drop("h").join(first.select("doc_id").distinct(), "doc_id", "left_semi")
-    return materialize(out.select("doc_id", "toxic").distinct(), "labelled")
+                hashes = shingles_of(text)
+                least = [int((hashes * f).min()) for f in factors]
+                rows.append([xxhash.xxh64_intdigest(repr((i, least[i], least[i + 1])).encode()) >> 1 for i in range(0, 2 * BANDS, 2)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "toxic", "bands"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other = None, None
+        for batch in slices(batches):
+            out = []
+            for i, a, first, b in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("first").to_pylist(), as_bytes(batch.column("first_text")), strict=True):
+                if last != first:
+                    last, other = first, shingles_of(b)
+                own = shingles_of(a)
+                shared = len(np.intersect1d(own, other))
+                if shared >= SHARE * (len(own) + len(other) - shared):
+                    out.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["doc_id"])
+
+    bands = materialize(train.select("doc_id", "toxic", "text").mapInArrow(sketch, "doc_id long, toxic int, bands array<long>").select("doc_id", "toxic", F.explode("bands").alias("band")), "bands")
+    first = bands.groupBy("toxic", "band").agg(F.min("doc_id").alias("first"))
+    pairs = bands.join(first, ["toxic", "band"]).where("doc_id <> first").select("doc_id", "first").distinct()
+    pairs = pairs.join(train.select("doc_id", "text"), "doc_id").join(train.select(F.col("doc_id").alias("first"), F.col("text").alias("first_text")), "first")
+    copies = pairs.mapInArrow(compare, "doc_id long").distinct()
+    out = materialize(train.join(copies, "doc_id", "left_anti"), "train")
+    discard(bands)
+    return out
 
 
 def without_nested(counts: dict[bytes, tuple[int, int]]) -> list[bytes]:
@@ -132,9 +189,10 @@ def without_nested(counts: dict[bytes, tuple[int, int]]) -> list[bytes]:
     return [e for e in left if not any(q in stays and precise(q) >= precise(e) - 0.1 for q in shorter(e))]
 
 
-def mine(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
+def mine(train: DataFrame) -> Lexicon:
     """Entries that mark toxic rows of ``train`` (text, toxic). The threshold on the likelihood
-    ratio grows with the number of entries tried, so chance finds stay rare at every size."""
+    ratio grows with the number of entries tried, so chance finds stay rare at every size. All
+    entries beyond it are taken."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
@@ -144,11 +202,11 @@ def mine(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
             seen.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 for e in {e for w in set(words_of(text)) for e in entries_of(w)}:
                     seen.setdefault(e, [0, 0])[toxic] += 1
-                if len(seen) > 1 << 19:
+                if len(seen) > 1 << 16:
                     yield flush()
         yield flush()
 
@@ -162,8 +220,9 @@ def mine(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     g = 2 * (F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0))
     at_least = 2 * math.log(max(2, counts.count()))
-    best = counts.where(share >= max(0.5, min(0.95, 2 * base))).withColumn("g", g).where(F.col("g") >= at_least).orderBy(F.desc("g"), "entry").limit(max_entries).collect()
+    best = counts.where(share >= max(0.5, min(0.95, 2 * base))).withColumn("g", g).where(F.col("g") >= at_least).orderBy(F.desc("g"), "entry").collect()  # what passes, of entries of at most max_labelled rows
     kept = without_nested({bytes(r["entry"]): (r["toxic"], r["clean"]) for r in best})
+    discard(counts)
     return Lexicon({e: i for i, e in enumerate(kept)})
 
 
@@ -195,7 +254,7 @@ def fit_label_model(counts: dict[int, int], labelled: dict[tuple[int, int], int]
     bits, n = as_bits(keys), np.array([counts[k] for k in keys], float)
     lab = sorted(labelled)
     lbits, ly, ln = as_bits([v for v, _ in lab]), np.array([y for _, y in lab], float), np.array([labelled[k] for k in lab], float)
-    lexical = [0, 1, 2, 3, 4, 5, 6, 8, 11]
+    lexical = [0, 1, 2, 3, 4, 5, 6, 8, 11]  # what speaks for toxicity by its nature
     post = np.clip(bits[:, lexical].mean(axis=1) * 2, 0.02, 0.98)
     if len(lab) and 0 < (ly * ln).sum() < ln.sum():
         rates = np.array([((lbits * (ln * c)[:, None]).sum(0) + 1) / ((ln * c).sum() + 2) for c in (1 - ly, ly)])
@@ -243,74 +302,75 @@ class ToxicityModel:
     bias: float
     weights: np.ndarray  # entries, then votes
 
-    def score(self, hits: list[int], votes: int) -> float:
+    def score_text(self, data: bytes) -> float:
+        hits, votes = examine(data, self.lexicon, self.groups)
         z = self.bias + sum(self.weights[h] for h in hits) + sum(self.weights[len(self.groups) + j] for j in range(N_VOTERS) if votes >> j & 1)
         return 1 / (1 + math.exp(-min(60.0, max(-60.0, z))))
 
-    def score_text(self, data: bytes) -> float:
-        return self.score(*examine(data, self.lexicon, self.groups))
+    def score(self) -> Column:
+        """The score from the columns ``hits`` and ``votes``."""
+        n = len(self.groups)
+        by_entry, by_vote = numbers(self.weights[:n].tolist()), numbers(self.weights[n:].tolist())
+        z = F.lit(self.bias) + F.aggregate("hits", F.lit(0.0), lambda acc, h: acc + F.get(by_entry, h))
+        z = z + F.aggregate(F.array(*map(F.lit, range(N_VOTERS))), F.lit(0.0), lambda acc, j: acc + F.get(by_vote, j) * F.expr("votes").bitwiseAND(F.pow(F.lit(2), j).cast("int")).cast("boolean").cast("double"))
+        return 1 / (1 + F.exp(-F.least(F.lit(60.0), F.greatest(F.lit(-60.0), z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[ToxicityModel, DataFrame]:
-    """The model, and (doc_id, hits, votes) of every row of ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text_col: str = "text", id_col: str = "doc_id") -> tuple[ToxicityModel, DataFrame]:
+    """The model, and (doc_id, h, hits, votes) of every row of ``docs``; h: hash of the text."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     usable = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
-    usable = usable.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    sample = materialize(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
-    sample = one_of_copies(texts.join(F.broadcast(sample), "doc_id"))  # at most max_labelled ids
-    lexicon = mine(texts.join(F.broadcast(sample), "doc_id"))
+    usable = materialize(usable.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "usable")
+    sample = materialize(hash_sample(usable, max_labelled, "doc_id"), "labelled")  # at most max_labelled rows
+    train = materialize(texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "train")
+    distinct = one_of_copies(train)
+    lexicon = mine(distinct)
     groups = lexicon.groups()
+    discard(usable, train)
     sent = spark.sparkContext.broadcast((lexicon, groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, by = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [examine(t, own, by) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([h for h, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.int32())], names=["doc_id", "hits", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([h for h, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.int32())], names=["doc_id", "h", "hits", "votes"])
 
-    seen = materialize(texts.mapInArrow(run, "doc_id long, hits array<int>, votes int"), "votes")
+    seen = materialize(texts.withColumn("h", text_key(F.col("text"))).mapInArrow(run, "doc_id long, h long, hits array<int>, votes int"), "votes")
     counts = {r["votes"]: r["count"] for r in seen.groupBy("votes").count().collect()}  # at most 2^N_VOTERS
-    rows = seen.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most max_labelled
+    once = distinct.select("doc_id", "toxic")  # at most max_labelled ids
+    rows = seen.join(F.broadcast(once), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     labelled: dict[tuple[int, int], int] = {}
     for r in rows:
         labelled[r["votes"], r["toxic"]] = labelled.get((r["votes"], r["toxic"]), 0) + 1
     model = fit_label_model(counts, labelled) if counts else LabelModel(0.5, np.full((2, N_VOTERS), 0.5), np.eye(N_VOTERS), np.ones(N_VOTERS))
     if len({r["toxic"] for r in rows}) == 2:
-        bits = as_bits([r["votes"] for r in rows])
-        # the row's own label is one more voter, right in 95 of 100 cases
-        odds = np.log(model.posterior(bits).clip(1e-6, 1 - 1e-6))
-        odds = odds - np.log(1 - np.exp(odds)) + np.where(np.array([r["toxic"] for r in rows]) == 1, 1, -1) * math.log(0.95 / 0.05)
-        bias, weights = fit_linear([r["hits"] for r in rows], bits, 1 / (1 + np.exp(-odds)), len(groups))
+        others = hash_sample(seen.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"), max_labelled, "h").collect()
+        bits = as_bits([r["votes"] for r in [*rows, *others]])
+        post = model.posterior(bits).clip(1e-6, 1 - 1e-6)
+        # a labelled row's own label is one more voter, right in 95 of 100 cases
+        said = np.array([(1 if r["toxic"] else -1) * math.log(0.95 / 0.05) for r in rows] + [0.0] * len(others))
+        y = 1 / (1 + np.exp(-(np.log(post / (1 - post)) + said)))
+        bias, weights = fit_linear([r["hits"] for r in [*rows, *others]], bits, y, len(groups))
     else:
         bias, votes = model.log_odds()
         weights = np.concatenate([np.zeros(len(groups)), votes])
+    discard(sample, distinct)
     return ToxicityModel(lexicon, groups, model, float(bias), weights), seen
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     model, seen = fit(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for batch in batches:
-            scores = [own.score(h, v) for h, v in zip(batch.column("hits").to_pylist(), batch.column("votes").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
-
-    scored = seen.mapInArrow(run, "doc_id long, score double")
+    scored = seen.select("doc_id", model.score().alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    model, _ = fit(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for batch in batches:
-            yield batch.filter(pa.array([own.score_text(t) < THRESHOLD for t in as_bytes(batch.column(batch.schema.get_field_index(text_col)))], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns. Texts pass
+    through Python once, to vote; what is scored toxic is then left out by id and text."""
+    model, seen = fit(docs, labels, text_col=text_col, id_col=id_col)
+    toxic = seen.where(model.score() >= THRESHOLD).select(*(k.alias(n) for k, n in zip(id_key(F.col("doc_id")), ("id", "no_id"), strict=True)), "h").distinct()
+    drop = materialize(toxic, "dropped")
+    discard(seen)
+    return without(docs, drop, [*id_key(quoted(id_col)), text_key(quoted(text_col))])
