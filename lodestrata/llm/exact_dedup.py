@@ -6,8 +6,14 @@ reduced set is anti-joined with the index by sort-merge on the bucketing, and wh
 appended. Rows then look up their digest's entry; digests with many rows go through a broadcast
 of at most ``1 / HOT_SHARE`` entries, all others through a sort-merge join.
 
-Defined cases: null text counts as empty; a null doc_id loses to any other; of fully repeated
-rows exactly one is kept; an empty table gives an empty result; extra columns are never read.
+A batch has a name, the caller's or one made of its ids and digests. Entries that carry the
+batch's own name count as its own, so a batch that is added once more, after a crash or by a
+retry, keeps the rows that it kept before and appends nothing twice.
+
+Defined cases: null text counts as empty; a null doc_id loses to any other; of rows that repeat
+id and text exactly one is kept, any of them where their other columns differ; ties of ids are
+settled by the order of reading; texts of any length are hashed whole; an empty table gives an
+empty result; extra columns are never read, and no column name of theirs clashes.
 """
 
 from __future__ import annotations
@@ -18,14 +24,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import delete_path, discard, id_key, materialize, quoted, scratch_path, without
 
 #: A digest with at least this share of a batch's rows is hot; so at most 1 / HOT_SHARE are.
 HOT_SHARE = 1e-3
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
 def digest(text: Column) -> Column:
@@ -33,10 +39,12 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """``name`` in the session's catalog over files at ``path``; an existing path is opened again."""
+    """A table over files at ``path``; an existing path is opened again. Without a path the index
+    lives in the scratch folder and goes with ``close``, which otherwise only forgets the table's
+    name in the session's catalog."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.path = spark, path or scratch_path(spark, "digests")
+        self.spark, self.own, self.path = spark, path is None, path or scratch_path(spark, "digests")
         self.name = f"digests_{uuid.uuid4().hex}"
         if not re.fullmatch(r"[^'\\]+", self.path):
             raise ValueError("the index path must not hold quotes or backslashes")
@@ -46,41 +54,61 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.own:
+            delete_path(self.spark, self.path)
+
     def rows(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Append what is new in ``docs``; returns one row per row of ``docs``: doc_id, keep_id,
-        group_size (rows of this batch with that text), kept, digest."""
-        batch = uuid.uuid4().hex
-        seen = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+        group_size (rows of this batch with that text), kept, digest. The result does not read
+        the index, which may be closed."""
+        return self._place(docs, id_col, text_col, batch).drop("here")
+
+    def _place(self, docs: DataFrame, id_col: str, text_col: str, batch: str | None) -> DataFrame:
+        """As add, with ``here``: whether the row that stays is in this batch."""
+        seen = materialize(docs.select(quoted(id_col).cast("long").alias("doc_id"), digest(quoted(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+        n, sign = seen.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("doc_id", "digest", F.hash("digest", "doc_id")))).first()
+        batch = f"content:{n}:{sign}" if batch is None else f"named:{batch}"
         groups = seen.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
         groups = materialize(groups.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), "group_size"), "groups")
         new = groups.join(self.rows().hint("merge"), "digest", "left_anti")
         new.select("digest", F.col("first_id").alias("keep_id"), F.col("group_size").alias("n_rows"), F.lit(batch).alias("batch")).repartition(self.buckets, "digest").write.insertInto(self.name)
         known = groups.join(self.rows().hint("merge"), "digest").select("digest", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("first_row")).alias("kept_row"))
         known = materialize(known, "known")
-        at_least = max(2, int(seen.count() * HOT_SHARE))
+        discard(groups)
+        at_least = max(2, int(n * HOT_SHARE))
         hot = known.where(F.col("group_size") > at_least)  # fewer than 1 / HOT_SHARE rows, by its own condition
         marked = seen.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
-        out = ("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("kept"), "digest")
+        out = ("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("kept"), "digest", F.col("kept_row").isNotNull().alias("here"))
         rest = seen.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(known.where(F.col("group_size") <= at_least).hint("merge"), "digest")
         return rest.select(*out).union(marked.where("hot").select(*out))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Only ids and digests of dropped
-    rows meet the documents, in a join on (doc_id, digest), which no group of copies makes uneven."""
-    index = index or DigestIndex(docs.sparkSession)
-    pairs = index.add(docs, id_col, text_col).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    pairs = materialize(pairs.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest_of"), "n", "kept"), "pairs")
-    keyed = docs.withColumn("__digest", digest(F.col(text_col)))
-    on = lambda other: F.col(f"`{id_col}`").eqNullSafe(other["__id"]) & (F.col("__digest") == other["__digest_of"])
-    twice = pairs.where("kept and n > 1")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns. Only rows that may be dropped are
+    shuffled, on (id, digest), which no group of copies makes uneven."""
+    own = index or DigestIndex(docs.sparkSession)
+    placed = own._place(docs, id_col, text_col, batch).where("not kept")
+    again = F.col("here") & F.col("doc_id").eqNullSafe(F.col("keep_id"))  # the row that stays comes more than once
+    gone = materialize(placed.select(*(k.alias(n) for k, n in zip(id_key(F.col("doc_id")), ("id", "no_id"), strict=True)), "digest", again.alias("again")).distinct(), "gone")
+    if index is None:
+        own.close()
+    keys = [*id_key(quoted(id_col)), digest(quoted(text_col))]
+    kept = without(docs, gone.drop("again"), keys)
+    twice = gone.where("again").drop("again")
     if twice.isEmpty():
-        drop = pairs.where("not kept")
-        return keyed.join(drop, on(drop), "left_anti").drop("__digest")
-    drop = pairs.where("not kept or n > 1")
-    once = keyed.join(twice, on(twice), "left_semi").dropDuplicates([id_col, "__digest"])
-    return keyed.join(drop, on(drop), "left_anti").unionByName(once).drop("__digest")
+        return kept
+    names = [f"k{uuid.uuid4().hex}_{i}" for i in range(3)]
+    once = docs.withColumns(dict(zip(names, keys, strict=True))).join(twice.toDF(*names), names, "left_semi").dropDuplicates(names)
+    return kept.union(once.select(*(quoted(c) for c in docs.columns)))

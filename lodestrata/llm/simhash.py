@@ -10,8 +10,11 @@ whatever the input. Within a group links come from a search that emits, for each
 set, a star and not its pairs, so no link between different texts is lost and none multiplies.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and are
-linked like any other; a null doc_id takes part in no link and has a null component; two rows
-with one doc_id are one node; extra columns are never read; empty tables give empty results.
+linked like any other; a null doc_id takes part in no link and has a null component; rows that
+share a doc_id are one node, whatever their texts; repeated rows each get their row; texts of
+any length are read whole, in pieces; of a component the smallest doc_id stays, with all its
+rows; extra columns are never read, and no column name of theirs clashes; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, pieces
+from .common import as_bytes, id_key, materialize, pieces, quoted, slices, without
 from .components import connected_components
 
 MAX_DISTANCE = 3
@@ -71,11 +74,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = pa.array([fingerprint(t) for t in as_bytes(batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def star_links(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -173,8 +176,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = connected_components(near_links(nodes))
-    # two rows of one doc_id may carry two fingerprints: they are one node already
+    links = near_links(nodes)
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
+    if not several.isEmpty():  # fingerprints of one doc_id are linked through it
+        of_one = prints.join(several, "doc_id").select("doc_id", "fp").distinct().join(nodes, "fp")
+        links = links.union(of_one.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    roots = connected_components(links)
     placed = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(placed, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -182,6 +189,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id. Rows
     with a null doc_id stay, since nothing links them."""
-    out = near_duplicates(docs, id_col, text_col)
-    drop = out.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    out = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select("doc_id")
+    drop = materialize(out.distinct().select(*(k.alias(n) for k, n in zip(id_key(F.col("doc_id")), ("id", "no_id"), strict=True))), "dropped")
+    return without(docs, drop, id_key(quoted(id_col)))
