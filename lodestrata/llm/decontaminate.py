@@ -1,117 +1,134 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Every batch of documents is one shard: its words are numbered by the benchmark's vocabulary
+Every slice of documents is one shard: its words are numbered by the benchmark's vocabulary
 (other words get 0, which no test suffix holds), and the suffixes at which a window of benchmark
-words can begin are sorted into a suffix array. Every suffix of every test item is
-binary-searched in every shard. Equal ranges give each occurrence of its window, runs of
-occurrences along an item and a text give the longest verbatim matches and their locations, and
-a document whose matches cover enough of it is removed. Documents are read once and never
-shuffled; only the benchmark travels, in blocks whose size in bytes is bounded.
+words can begin are sorted into a suffix array. Every distinct test suffix, cut at the window,
+is binary-searched in every shard. Runs of occurrences along an item and a text are the longest
+verbatim matches with their locations, and from these matches alone follow the words that are
+hit, the items found and whether a document is contaminated and removed.
+
+Documents are never shuffled while there is one block of benchmark text. A larger benchmark goes
+in several blocks of bounded size: the driver and every worker hold one block at a time, the
+texts are read once for each, and the matches of a row are put together by its number.
 
 Defined cases: an item with a null id is searched and counts in n_hit and contaminated, but not
-in n_items and items_sha256, which are of ids; a null text has no words; items without words match nothing; an item of fewer
-than ``window`` words is one window; repeated rows each get their row; empty tables give rows
-without hits or no rows.
+in n_items and items_sha256, which are of ids (in ``matches`` its id is empty); a null text has
+no words; items without words match nothing; an item of fewer than ``window`` words is one
+window; items that share an id count as one in n_items; matches are ordered by their place, then
+id, then place in the item; texts of any length are searched whole; repeated rows each get their
+row; a row is removed if its own id and text were found contaminated; empty tables give rows
+without hits or no rows; extra columns are never read, and no column name of theirs clashes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, as_bytes, pieces, words_of
+from .common import WORD_TABLE, as_bytes, id_key, materialize, pieces, quoted, slices, text_key, without, words_of
 
 WINDOW = 13
-#: Bytes of benchmark text that travel to executors at once; a larger benchmark goes in several blocks.
-BLOCK_BYTES = 32 << 20
-#: Words in one shard, give or take one document.
-SHARD_WORDS = 1 << 20
+#: Bytes of benchmark text searched at once; a larger benchmark goes in several blocks.
+BLOCK_BYTES = 8 << 20
+#: Bytes of text in one shard, give or take one document.
+SHARD_BYTES = 6 << 20
+NONE = np.zeros(0, np.int64)
 
 
 @dataclass
 class TestSuffixes:
-    """Suffixes of a block of items: item number, position, window width and window of each."""
+    """A block of items as one array of word numbers; its suffixes, and the distinct windows."""
 
     vocabulary: dict[bytes, int]
     item_ids: list[str | None]
-    item: np.ndarray
-    position: np.ndarray
-    width: np.ndarray
-    windows: np.ndarray  # (suffixes, window), 0 beyond the width
+    item: np.ndarray  # per suffix: number of its item
+    position: np.ndarray  # and its place in the item
+    width: np.ndarray  # words of its window
+    window_of: np.ndarray  # and that window's number
+    windows: np.ndarray  # distinct windows, 0 beyond their width
+    widths: np.ndarray  # of the distinct windows
+    by_window: np.ndarray  # suffixes ordered by window
+    first: np.ndarray  # where each window's suffixes begin in by_window
 
     @classmethod
     def of(cls, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> TestSuffixes:
         vocabulary: dict[bytes, int] = {}
-        item, position, width, rows = [], [], [], []
-        for k, (_, text) in enumerate(items):
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-            w = min(window, len(ids))
-            for p in range(len(ids) - w + 1 if w else 0):
-                item.append(k)
-                position.append(p)
-                width.append(w)
-                rows.append(ids[p : p + w] + [0] * (window - w))
-        return cls(vocabulary, [i for i, _ in items], *(np.array(x, np.int64) for x in (item, position, width)), np.array(rows, ">u4").reshape(-1, window))
+        arrays = []
+        for _, text in items:
+            words = words_of(text)
+            arrays.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words), np.uint32, len(words)))
+        sizes = np.array([len(a) for a in arrays], np.int64)
+        width_of = np.minimum(sizes, window)
+        n = np.where(sizes > 0, sizes - width_of + 1, 0)
+        item = np.repeat(np.arange(len(items)), n)
+        position = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        width = width_of[item] if len(item) else NONE
+        flat = np.concatenate([*arrays, np.zeros(window, np.uint32)])
+        at = (np.cumsum(sizes) - sizes)[item] + position if len(item) else NONE
+        rows = np.where(np.arange(window) < width[:, None], flat[at[:, None] + np.arange(window)], 0).astype(">u4").reshape(-1, window)
+        _, kept, window_of = np.unique(_keys(rows), return_index=True, return_inverse=True)
+        by_window = np.argsort(window_of, kind="stable")
+        first = np.searchsorted(window_of[by_window], np.arange(len(kept) + 1))
+        return cls(vocabulary, [i for i, _ in items], item, position, width, window_of, rows[kept], width[kept], by_window, first)
 
 
 @dataclass
 class ShardMatches:
-    """Occurrences in one shard: suffix number and word position of each."""
+    """Occurrences in one shard: number of the distinct window and word position of each."""
 
-    suffix: np.ndarray
+    window: np.ndarray
     at: np.ndarray
 
 
 def _keys(windows: np.ndarray) -> np.ndarray:
-    """Rows of big-endian numbers as byte strings, which sort as the rows do."""
+    """Rows of numbers as byte strings that sort as the rows do."""
     return np.ascontiguousarray(windows, ">u4").view(f"S{windows.shape[1] * 4}").ravel()
 
 
 def search_shard(tokens: np.ndarray, tests: TestSuffixes) -> ShardMatches:
-    """Binary-search all test suffixes in the suffix array of ``tokens``."""
-    window, none = tests.windows.shape[1], np.zeros(0, np.int64)
-    if not len(tests.item) or not len(tokens):
-        return ShardMatches(none, none)
+    """Binary-search all distinct test windows in the suffix array of ``tokens``."""
+    window = tests.windows.shape[1]
+    if not len(tests.windows) or not len(tokens):
+        return ShardMatches(NONE, NONE)
     # how many benchmark words follow from each position on, itself included
     known = tokens > 0
     breaks = np.flatnonzero(~known)
     after = np.append(breaks, len(tokens))[np.searchsorted(breaks, np.arange(len(tokens)))] - np.arange(len(tokens))
-    starts = np.flatnonzero(known & (after >= tests.width.min()))
+    starts = np.flatnonzero(known & (after >= tests.widths.min()))
     if not len(starts):
-        return ShardMatches(none, none)
+        return ShardMatches(NONE, NONE)
     padded = np.concatenate([tokens, np.zeros(window, tokens.dtype)])
     suffixes = _keys(padded[starts[:, None] + np.arange(window)])
     array = np.argsort(suffixes, kind="stable")
     ordered = suffixes[array]
     low = np.searchsorted(ordered, _keys(tests.windows), "left")
-    above = np.where(np.arange(window) < tests.width[:, None], tests.windows, 0xFFFFFFFF)
-    high = np.searchsorted(ordered, _keys(above), "right")
-    n = high - low
+    above = np.where(np.arange(window) < tests.widths[:, None], tests.windows, 0xFFFFFFFF)
+    n = np.searchsorted(ordered, _keys(above), "right") - low
     hit = np.flatnonzero(n)
-    suffix = np.repeat(hit, n[hit])
-    offset = np.arange(len(suffix)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
-    return ShardMatches(suffix, starts[array[np.repeat(low[hit], n[hit]) + offset]])
+    found = np.repeat(hit, n[hit])
+    offset = np.arange(len(found)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
+    return ShardMatches(found, starts[array[np.repeat(low[hit], n[hit]) + offset]])
 
 
-def longest_matches(m: ShardMatches, tests: TestSuffixes) -> list[tuple[int, int, int, int]]:
-    """(item, item position, shard position, words) of the matches that extend neither way."""
+def longest_matches(m: ShardMatches, tests: TestSuffixes) -> tuple[np.ndarray, ...]:
+    """Item, place in it, place in the shard and words of the matches that extend neither way."""
     if not len(m.at):
-        return []
-    item, pos = tests.item[m.suffix], tests.position[m.suffix]
-    order = np.lexsort((m.at, m.at - pos, item))
-    item, pos, at = item[order], pos[order], m.at[order]
-    width = tests.width[m.suffix][order]
+        return NONE, NONE, NONE, NONE
+    # from each occurrence of a window to the items that have it
+    n = tests.first[m.window + 1] - tests.first[m.window]
+    suffix = tests.by_window[np.repeat(tests.first[m.window], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    at, item, pos = np.repeat(m.at, n), tests.item[suffix], tests.position[suffix]
+    order = np.lexsort((at, at - pos, item))
+    item, pos, at, width = item[order], pos[order], at[order], tests.width[suffix[order]]
     new = np.ones(len(at), bool)
     new[1:] = (item[1:] != item[:-1]) | (at[1:] - pos[1:] != at[:-1] - pos[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    runs = np.diff(np.append(first, len(at)))
-    return [(int(item[f]), int(pos[f]), int(at[f]), int(width[f] + r - 1)) for f, r in zip(first, runs, strict=True)]
+    return item[first], pos[first], at[first], width[first] + np.diff(np.append(first, len(at))) - 1
 
 
 def tokenise(data: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
@@ -120,54 +137,30 @@ def tokenise(data: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-@dataclass
-class Verdict:
-    n_words: int
-    n_hit: int
-    items: list[str]
-    matches: list[dict]
-
-
-def judge(texts: list[bytes], blocks: list[TestSuffixes], want_matches: bool = False) -> Iterator[Verdict]:
-    """A verdict for each text, shard by shard."""
+def search_texts(texts: list[bytes], tests: TestSuffixes) -> Iterator[tuple[int, list[tuple[str | None, int, int, int]]]]:
+    """Words and longest matches (item id, place in item, place in text, words) of each text."""
     at = 0
     while at < len(texts):
         stop, size = at, 0
-        while stop < len(texts) and (stop == at or size < SHARD_WORDS * 6):
+        while stop < len(texts) and (stop == at or size < SHARD_BYTES):
             size += len(texts[stop])
             stop += 1
-        own = texts[at:stop]
-        covered, items, matches, n_words, bounds = None, [set() for _ in own], [[] for _ in own], None, None
-        for tests in blocks:
-            tokens = [tokenise(t, tests.vocabulary) for t in own]
-            if n_words is None:
-                n_words = np.array([len(t) for t in tokens])
-                bounds = np.concatenate([[0], np.cumsum(n_words + 1)])
-                covered = np.zeros(int(bounds[-1]) + 1, np.int64)
-            m = search_shard(np.concatenate([x for t in tokens for x in (t, np.zeros(1, np.uint32))]), tests)
-            if len(m.at):
-                np.add.at(covered, m.at, 1)
-                np.add.at(covered, m.at + tests.width[m.suffix], -1)
-                doc = np.searchsorted(bounds, m.at, side="right") - 1
-                for d, i in np.unique(np.column_stack([doc, tests.item[m.suffix]]), axis=0).tolist():
-                    items[d].add(tests.item_ids[i])
-                if want_matches:
-                    for i, p, a, n in longest_matches(m, tests):
-                        d = int(np.searchsorted(bounds, a, side="right")) - 1
-                        matches[d].append({"item_id": tests.item_ids[i], "item_word": p, "doc_word": a - int(bounds[d]), "n_words": n})
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(covered) > 0)])
-        for d in range(len(own)):
-            yield Verdict(int(n_words[d]), int(hit[bounds[d + 1]] - hit[bounds[d]]), sorted(items[d] - {None}), matches[d])
+        tokens = [tokenise(t, tests.vocabulary) for t in texts[at:stop]]
+        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])])
+        shard = np.concatenate([x for t in tokens for x in (t, np.zeros(1, np.uint32))])
+        found = search_shard(shard, tests)
+        by_place = np.argsort(found.at, kind="stable")
+        cuts = np.searchsorted(found.at[by_place], bounds)
+        for d in range(len(tokens)):  # one text at a time, so that a passage many items share is spread out for one text only
+            own = by_place[cuts[d] : cuts[d + 1]]
+            matches = longest_matches(ShardMatches(found.window[own], found.at[own]), tests) if len(own) else (NONE,) * 4
+            yield len(tokens[d]), [(tests.item_ids[i], p, a - int(bounds[d]), n) for i, p, a, n in zip(*(x.tolist() for x in matches), strict=True)]
         at = stop
 
 
-def contaminated(v: Verdict) -> bool:
-    return v.n_hit > 0 and 20 * v.n_hit >= v.n_words
-
-
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
-    """Broadcasts of test suffixes. A block has at most ``block_bytes`` of text, or one item: the
-    size is measured, and a larger benchmark is fetched and sent in more blocks."""
+    """Broadcasts of test suffixes. Items go to blocks by a hash, about half of ``block_bytes`` in
+    each; the size is measured first, and the driver holds one block at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -179,32 +172,63 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: in
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, with_matches: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with ``with_matches`` the
-    longest verbatim matches (item_id, item_word, doc_word, n_words) of every document."""
-    blocks = benchmark_blocks(benchmark)
-    kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(judge(as_bytes(batch.column("text")), [b.value for b in blocks], with_matches))
-            columns = [batch.column("doc_id"), pa.array([v.n_words for v in found], pa.int64()), pa.array([v.n_hit for v in found], pa.int64()), pa.array([len(v.items) for v in found], pa.int64()), pa.array([hashlib.sha256(",".join(v.items).encode()).hexdigest() for v in found], pa.string()), pa.array([contaminated(v) for v in found], pa.bool_())]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-            if with_matches:
-                columns, names = [*columns, pa.array([v.matches for v in found], kind)], [*names, "matches"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema + ", matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>" * with_matches)
+MATCH = "array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns, in one pass."""
-    blocks = benchmark_blocks(benchmark)
+def _search(rows: DataFrame, keys: list[str], block) -> DataFrame:  # noqa: ANN001
+    """keys, n_words and matches with one block for every row of ``rows`` (keys, text)."""
+    kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))
+    names = ("item_id", "item_word", "doc_word", "n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [b.value for b in blocks]
-            yield batch.filter(pa.array([not contaminated(v) for v in judge(as_bytes(batch.column(batch.schema.get_field_index(text_col))), own)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in slices(batches, 4096):
+            found = list(search_texts(as_bytes(batch.column("text")), block.value))
+            matches = pa.array([[dict(zip(names, m, strict=True)) for m in ms] for _, ms in found], kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([n for n, _ in found], pa.int64()), matches], names=[*keys, "n_words", "matches"])
+
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + f", n_words long, matches {MATCH}")
+
+
+def covered(matches: Column) -> Column:
+    """How many words lie in some match: matches in the order of their places, each adding what reaches beyond those before it."""
+    spans = F.array_sort(F.transform(matches, lambda m: F.struct(m["doc_word"].alias("s"), (m["doc_word"] + m["n_words"]).alias("e"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(acc["upto"], x["s"]))).alias("n"), F.greatest(acc["upto"], x["e"]).alias("upto"))
+    return F.aggregate(spans, start, step)["n"]
+
+
+def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, h (hash of the text), n_words, matches (longest verbatim matches), n_hit, contaminated for every row."""
+    blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
+    text = quoted(text_col).cast("string")
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_key(text).alias("h"), text.alias("text"))
+    if len(blocks) == 1:
+        found = _search(rows, ["doc_id", "h"], blocks[0])
+    else:
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "shards")
+        parts = [_search(rows.select("row", "doc_id", "h", "text"), ["row", "doc_id", "h"], b) for b in blocks]
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.union(p)
+        found = found.groupBy("row", "doc_id", "h").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("row")  # a list a block
+    found = found.withColumn("n_hit", covered(F.col("matches")))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, with_matches: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with ``with_matches`` the
+    longest verbatim matches (item_id, item_word, doc_word, n_words) of every document."""
+    found = search(docs, benchmark, block_bytes=block_bytes)
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda i: i.isNotNull())))
+    placed = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"], m["item_id"], m["item_word"], m["n_words"])))
+    out = ["doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), "contaminated"]
+    if with_matches:
+        out.append(F.transform(placed, lambda m: F.struct(m["item_id"].alias("item_id"), m["item_word"].alias("item_word"), m["doc_word"].alias("doc_word"), m["n_words"].alias("n_words"))).alias("matches"))
+    return found.select(*out)
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = search(docs, benchmark, id_col, text_col).where("contaminated")
+    drop = materialize(found.select(*(k.alias(n) for k, n in zip(id_key(F.col("doc_id")), ("id", "no_id"), strict=True)), "h").distinct(), "dropped")
+    return without(docs, drop, [*id_key(quoted(id_col)), text_key(quoted(text_col))])

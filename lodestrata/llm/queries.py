@@ -26,7 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """``matches``: the longest verbatim matches, item:place in item:place in text:words, comma-joined."""
+    out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_matches=True)
+    one = lambda m: F.concat_ws(":", F.coalesce(m["item_id"], F.lit("")), m["item_word"], m["doc_word"], m["n_words"])
+    return out.withColumn("matches", F.array_join(F.transform("matches", one), ","))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +54,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
+    with exact_dedup.DigestIndex(spark) as index:
+        out = index.add(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -70,8 +74,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontaminate": r"""
+WITH word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS a FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)),
+item_word AS (SELECT item_id, least(13, len(ws)) AS k, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)),
+item_window AS (SELECT * FROM (SELECT item_id, k, p, list(w) OVER (PARTITION BY item_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)[1:k] AS win FROM item_word) WHERE len(win) = k),
+doc_window AS (SELECT doc_id, a, list(w) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win FROM word),
+hashed AS (SELECT doc_id, a, k, array_to_string(win[1:k], ' ') AS win FROM doc_window, (SELECT DISTINCT k FROM item_window) WHERE len(win) >= k),
+found AS (SELECT DISTINCT doc_id, item_id, k, p - 1 AS p, a - 1 AS a FROM hashed JOIN (SELECT item_id, k, p, array_to_string(win, ' ') AS win FROM item_window) USING (k, win)),
+longest AS (SELECT doc_id, item_id, min(p) AS p, min(a) AS a, max(a) - min(a) + any_value(k) AS n
+  FROM (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, a - p ORDER BY a) AS run FROM found) GROUP BY doc_id, item_id, a - p, run),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + n)) AS x FROM longest) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM longest) GROUP BY doc_id),
+places AS (SELECT doc_id, string_agg(item_id || ':' || p || ':' || a || ':' || n, ',' ORDER BY a, item_id::VARCHAR, p, n) AS matches FROM longest GROUP BY doc_id),
+size AS (SELECT doc_id, count(*) AS n_words FROM word GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) AS contaminated, coalesce(matches, '') AS matches
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN places USING (doc_id)""",
         "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
-FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+FROM d WINDOW w AS (PARTITION BY text_sha256)""",
     }

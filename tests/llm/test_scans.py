@@ -148,12 +148,19 @@ def test_decontamination_against_brute_force(spark):
 
 
 def test_decontamination_in_several_blocks(spark):
-    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(9)]
-    docs = spark.createDataFrame([(i, f"start {t} end") for i, t in items], "doc_id long, text string")
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(9)] + [(None, "w1x0 w1x1 w1x2")]
+    docs = spark.createDataFrame([(i, f"start {t} end {t}") for i, t in items] + [(3, f"w {items[3][1]}"), (20, None), (21, "nothing of it")], "doc_id long, text string")
     one, many = decontaminate.benchmark_blocks(benchmark(spark, items)), decontaminate.benchmark_blocks(benchmark(spark, items), block_bytes=300)
     assert len(one) == 1 and len(many) > 3
-    texts = [r["text"].encode() for r in docs.orderBy("doc_id").collect()]
-    assert list(decontaminate.judge(texts, [b.value for b in one])) == list(decontaminate.judge(texts, [b.value for b in many]))
+    assert by_id(decontaminate.scan(docs, benchmark(spark, items), with_matches=True)) == by_id(decontaminate.scan(docs, benchmark(spark, items), with_matches=True, block_bytes=300))
+
+
+def test_passage_of_many_items(spark):
+    shared = " ".join(f"s{j}" for j in range(15))
+    items = [(i, f"a{i} {shared} b{i}") for i in range(300)]
+    docs = spark.createDataFrame([(i, f"x {shared} y {shared}") for i in range(40)], "doc_id long, text string")
+    rows = decontaminate.scan(docs, benchmark(spark, items), with_matches=True).collect()
+    assert {(r["n_hit"], r["n_items"], len(r["matches"])) for r in rows} == {(30, 300, 600)} and {m["n_words"] for m in rows[0]["matches"]} == {15}
 
 
 def test_items_without_id_are_searched(spark):
