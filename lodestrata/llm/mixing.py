@@ -1,40 +1,46 @@
 """Mixing sources to target weights by soft membership. DataFrame functions only.
 
-1. Surface features of every text are cut into bins; per labelled domain the bin counts of
-   labelled rows, smoothed, are a naive Bayes classifier, whose log-likelihoods enter the plan
-   as literal tables (features x bins x domains, a fixed size). It gives each document a
-   posterior over domains.
+1. Surface features of every text, and how many of its words and word beginnings are on lists
+   mined from labelled rows by likelihood ratio, are cut into bins; a multinomial logistic
+   regression on the bins of at most MAX_LABELLED labelled rows gives each document a posterior
+   over domains, computed in the JVM from constant tables.
 2. Documents with equal posteriors (rounded to 1e-3) get equal rates, so tokens are summed per
    distinct posterior, map-side combined; that table is the least-squares problem.
 3. Preconditioned projected gradient descent finds nonnegative rates r with expected domain totals
    sum(r * tokens * p_k) closest to the targets: each step is one aggregation of as many sums as
-   there are domains and pairs of them, and a step is one number a domain.
+   there are domains and pairs of them, and a step is one number a domain. ``Fit`` tells the
+   distance that is left and whether steps had ceased to lessen it.
 
 Defined cases: a null text has no tokens; a document without tokens gets the rate of its
-posterior; with no labelled rows every posterior is the uniform one; a domain with fewer than
-MIN_LABELLED labelled rows gets no posterior and no target while others have; zero or missing
-targets of a domain pull its rate to zero; repeated rows each get their row; an empty table gives an
-empty result.
+posterior; without labelled rows all posteriors are equal; a domain with few labelled rows, or
+none, has a small share of every posterior, as the rows' number says; zero or missing
+targets of a domain pull its rate to zero; of several labels of one document the largest
+toxicity and the smallest quality count; mined entries of equal weight are ordered by name; texts
+of any length are read whole; repeated rows each get their row; an empty table gives an empty
+result; a column named like the rate is replaced by it, no other name clashes.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize
+from .common import discard, hash_sample, held_out, materialize, numbers, quoted
 from .toxicity import SEED
 
 #: Domains of the labels table and the share of tokens each should have in the mixture.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.88, "poor": 0.07, "toxic": 0.05}
-#: A domain with fewer labelled rows cannot be told apart; its share goes to the others.
-MIN_LABELLED = 30
+#: Labelled rows from which word lists are mined and the classifier is fitted, at most.
+MAX_LABELLED = 20_000
 N_BINS = 12
+PREFIX = 5
 
 
 def domain_of_labels() -> Column:
@@ -45,25 +51,83 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def _share(text: Column, chars: str) -> Column:
-    """How much of a text the given characters make up."""
-    return 1 - F.length(F.translate(text, chars, "")) / F.greatest(F.length(text), F.lit(1))
+def _share(text: Column, others: str) -> Column:
+    """How much of a text is left without what the pattern ``others`` stands for."""
+    return F.length(F.regexp_replace(text, others, "")) / F.greatest(F.length(text), F.lit(1))
 
 
-def features(text: Column) -> list[Column]:
-    """Each a bin from 0 to N_BINS - 1; shares on a logarithmic scale. ``text`` is not null."""
+@dataclass
+class WordLists:
+    """Mined words, and word beginnings of PREFIX letters, of each domain."""
+
+    words: dict[str, list[str]] = field(default_factory=dict)
+
+
+def words_of(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
+def entries_of(words: Column) -> Column:
+    """Words and, marked by a star, their beginnings of PREFIX letters (all of a shorter word)."""
+    return F.concat(words, F.transform(words, lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("*"))))
+
+
+def features(text: Column, words: Column | None = None, distinct: Column | None = None, hits: dict[str, Column] | None = None) -> list[Column]:
+    """Each a bin from 0 to N_BINS - 1; shares on a logarithmic scale. ``text`` is not null;
+    ``hits``: the mined entries of a domain that the text has."""
+    words = words_of(text) if words is None else words
+    distinct = F.array_distinct(words) if distinct is None else distinct
     log_bin = lambda share: F.least(F.lit(N_BINS - 1), F.greatest(F.lit(0), F.floor(F.log2(share * 4096 + 1)).cast("int")))
-    return [
-        log_bin(_share(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        log_bin(_share(text, "0123456789")),
-        log_bin(_share(text, "!?")),
-        log_bin(_share(text, "#$%&*^~<>{}[]\\=+_")),
-        log_bin(_share(text, "|")),
-        log_bin(_share(text, ".,;:")),
-        log_bin(_share(text, " \n\t") * 0.999),
+    part = lambda x: F.least(F.lit(N_BINS - 1), F.floor(x * N_BINS).cast("int"))
+    lines, seeds = F.split(text, "\n"), _strings(sorted(w.decode() for w in SEED))
+    out = [
+        log_bin(_share(text, "[^A-Z]+")),
+        log_bin(_share(text, "[^0-9]+")),
+        log_bin(_share(text, "[^!?]+")),
+        log_bin(_share(text, r"[^#$%&*^~<>{}\[\]\\=+_]+")),
+        log_bin(_share(text, "[^|]+")),
+        log_bin(_share(text, "[^.,;:]+")),
+        log_bin((1 - _share(text, r"[ \n\t]+")) * 0.999),
         F.least(F.lit(N_BINS - 1), F.floor(F.log2(F.length(text) / 16 + 1)).cast("int")),
-        F.least(F.lit(N_BINS - 1), F.regexp_count(F.lower(text), F.lit(r"\b(?:" + "|".join(sorted(w.decode() for w in SEED)) + r")\b"))),
+        F.least(F.lit(N_BINS - 1), F.when(F.arrays_overlap(distinct, seeds), F.size(F.filter(words, lambda w: F.array_contains(seeds, w)))).otherwise(0)),
+        part(F.size(distinct) / F.size(words)),
+        part(F.size(F.array_distinct(lines)) / F.size(lines)),
     ]
+    for d in DOMAINS:
+        found = hits[d] if hits else F.array().cast("array<string>")
+        listed = F.when(F.size(found) == 0, F.lit(0)).otherwise(F.size(_listed(words, found)))
+        out += [F.least(F.lit(N_BINS - 1), F.size(found)), F.least(F.lit(N_BINS - 1), listed), log_bin(listed / F.size(words))]
+    return out
+
+
+def _listed(words: Column, entries: Column) -> Column:
+    """The words, repeats included, that stand for one of ``entries``."""
+    return F.filter(words, lambda w: F.array_contains(entries, w) | F.array_contains(entries, F.concat(F.substring(w, 1, PREFIX), F.lit("*"))))
+
+
+def _strings(values: list[str]) -> Column:
+    """A constant array, as one literal whatever its length; words hold no spaces."""
+    return F.split(F.lit(" ".join(values)), " ")
+
+
+def mine(texts: DataFrame) -> WordLists:
+    """Entries that mark one domain, by likelihood ratio, of rows (text, domain). The threshold
+    grows with the number of entries tried; all entries beyond it are taken."""
+    sizes = {r["domain"]: r["count"] for r in texts.groupBy("domain").count().collect()}
+    total = sum(sizes.values())
+    seen = texts.select("domain", F.explode(F.array_distinct(entries_of(F.array_distinct(words_of(F.col("text")))))).alias("entry"))
+    per = materialize(seen.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("domain") == d).cast("long")).alias(d) for d in DOMAINS)).where("n >= 2 and entry not in ('', '*')"), "entries")
+    at_least = 2 * math.log(max(2, per.count()))
+    lists = WordLists()
+    for d in DOMAINS:
+        base = (sizes.get(d, 0) + 1) / (total + 2)
+        if base >= 0.5:
+            continue  # a mark of what is common tells little
+        share = F.col(d) / F.col("n")
+        g = 2 * (F.col(d) * F.log(share / base) + F.when(F.col(d) < F.col("n"), (F.col("n") - F.col(d)) * F.log((1 - share) / (1 - base))).otherwise(0.0))
+        lists.words[d] = [r["entry"] for r in per.where((F.col(d) >= 2) & (share >= max(0.5, 2 * base)) & (g >= at_least)).select("entry").orderBy("entry").collect()]  # of at most MAX_LABELLED texts
+    discard(per)
+    return lists
 
 
 def once(df: DataFrame, *columns: Column) -> DataFrame:
@@ -72,37 +136,79 @@ def once(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id, tokens, bins (array of int) for every row, written once."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens_of(text).cast("long").alias("tokens"), F.array(*features(text)).alias("bins")), "features")
-
-
-def classifier_tables(rows: DataFrame, labels: DataFrame) -> tuple[list[float], list[list[list[float]]], list[str]]:
-    """Log prior per domain, log-likelihood [feature][bin][domain] and the domains with enough
-    labelled rows, from all labelled rows that are not held out."""
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """doc_id, domain of all documents with labels, held-out ones left out."""
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    known = known.where(~held_out(F.col("doc_id"))).select("doc_id", domain_of_labels().alias("domain")).where("domain is not null")
-    counts = rows.join(known, "doc_id").select("domain", F.posexplode("bins").alias("feature", "bin")).groupBy("domain", "feature", "bin").count().collect()  # domains x features x bins
-    n = {d: sum(r["count"] for r in counts if r["domain"] == d and r["feature"] == 0) for d in DOMAINS}
-    present = [d for d in DOMAINS if n[d] >= MIN_LABELLED] or list(DOMAINS)
-    prior = [math.log((n[d] + 1) / (sum(n.values()) + len(DOMAINS))) if d in present else -1e3 for d in DOMAINS]
-    seen = {(r["domain"], r["feature"], r["bin"]): r["count"] for r in counts}
-    width = len(features(F.lit("")))
-    return prior, [[[math.log((seen.get((d, f, b), 0) + 0.5) / (n[d] + 0.5 * N_BINS)) for d in DOMAINS] for b in range(N_BINS)] for f in range(width)], present
-
-
-def posteriors(prior: list[float], tables: list[list[list[float]]]) -> list[Column]:
-    """Posterior per domain from the ``bins`` column, rounded to 1e-3."""
-    literal = lambda x: F.array(*(literal(y) if isinstance(y, list) else F.lit(y) for y in x))
-    logs = []
-    for k in range(len(DOMAINS)):
-        per_feature = [F.get(literal([row[k] for row in t]), F.get("bins", F.lit(f))) for f, t in enumerate(tables)]
-        logs.append(reduce(lambda a, b: a + b, per_feature, F.lit(prior[k])))
-    top = F.greatest(*logs)
-    weights = [F.exp(x - top) for x in logs]
-    total = reduce(lambda a, b: a + b, weights)
-    return [F.round(w / total, 3).alias(f"p_{d}") for w, d in zip(weights, DOMAINS, strict=True)]
+    return known.where(~held_out(F.col("doc_id"))).select("doc_id", domain_of_labels().alias("domain")).where("domain is not null")
+
+
+def text_of(docs: DataFrame) -> Column:
+    return F.coalesce(quoted("text").cast("string"), F.lit(""))
+
+
+def binned(docs: DataFrame, lists: WordLists, keep: list[Column]) -> DataFrame:
+    """The columns ``keep``, tokens and bins (array of int) of every row; each part is computed once."""
+    text, words, distinct, entries = F.col("__text"), F.col("__words"), F.col("__distinct"), F.col("__entries")
+    hits = {d: F.col(f"__of_{d}") for d in DOMAINS}
+    none = F.array().cast("array<string>")
+    rows = once(docs.select(*keep, text_of(docs).alias("__text")), words_of(text).alias("__words"))
+    rows = once(rows, F.array_distinct(words).alias("__distinct"))
+    rows = once(rows, entries_of(distinct).alias("__entries"))
+    rows = once(rows, *((F.array_intersect(entries, _strings(lists.words[d])) if lists.words.get(d) else none).alias(f"__of_{d}") for d in DOMAINS))
+    rows = once(rows, tokens_of(text).cast("long").alias("__tokens"), F.array(*features(text, words, distinct, hits)).alias("__bins"))
+    return rows.drop("__text", "__words", "__distinct", "__entries", *(f"__of_{d}" for d in DOMAINS))
+
+
+@dataclass
+class Tables:
+    """Per domain a constant and a weight of each bin of each feature [feature * N_BINS + bin]."""
+
+    constant: list[float]
+    weight: list[list[float]]
+
+
+def fit_softmax(bins: np.ndarray, domain: np.ndarray, l2: float = 3e-4, steps: int = 300) -> Tables:
+    """Multinomial logistic regression on bins (rows, features), by Adam on the mean log loss.
+    It starts at the smoothed shares of the domains; without rows all domains are alike."""
+    k, width = len(DOMAINS), bins.shape[1]
+    n = np.bincount(domain, minlength=k)
+    constant, weight = np.log((n + 1) / (n.sum() + k)), np.zeros((k, width * N_BINS))
+    if not len(bins):
+        return Tables(constant.tolist(), weight.tolist())
+    cols = bins + np.arange(width) * N_BINS
+    target = np.eye(k)[domain]
+    m, v = np.zeros((k, weight.shape[1] + 1)), np.zeros((k, weight.shape[1] + 1))
+    for t in range(1, steps + 1):
+        logits = np.stack([constant[j] + weight[j][cols].sum(1) for j in range(k)], 1)
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        off = (p / p.sum(1, keepdims=True) - target) / len(bins)
+        g = np.stack([np.append(np.bincount(cols.ravel(), np.repeat(off[:, j], width), weight.shape[1]) + l2 * weight[j], off[:, j].sum()) for j in range(k)])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        weight -= step[:, :-1]
+        constant = constant - step[:, -1]
+    return Tables(constant.tolist(), weight.tolist())
+
+
+def classifier_tables(rows: DataFrame, sample: DataFrame) -> Tables:
+    """``rows``: doc_id, bins; ``sample``: doc_id, domain of at most MAX_LABELLED rows."""
+    found = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("bins", "domain").collect()
+    bins = np.array([r["bins"] for r in found], np.int64).reshape(len(found), len(features(F.lit(""))))
+    return fit_softmax(bins, np.array([DOMAINS.index(r["domain"]) for r in found], np.int64))
+
+
+def posteriors(rows: DataFrame, tables: Tables) -> DataFrame:
+    """``rows`` with the posterior per domain, rounded to 1e-3, in place of ``bins``. The weights
+    are constants and sums over them folds, whose code does not grow with features or bins."""
+    at = F.transform("bins", lambda b, i: i * N_BINS + b)
+
+    def log_of(constant: float, table: Column) -> Column:
+        return F.aggregate(at, F.lit(constant), lambda acc, j: acc + F.get(table, j))
+
+    logs = [F.col(f"__log_{d}") for d in DOMAINS]
+    rows = once(rows, *(log_of(c, numbers(w)).alias(f"__log_{d}") for c, w, d in zip(tables.constant, tables.weight, DOMAINS, strict=True)))
+    shares = [1 / reduce(lambda a, b: a + b, (F.exp(other - own) for other in logs)) for own in logs]
+    return once(rows, *(F.round(x, 3).alias(f"p_{d}") for x, d in zip(shares, DOMAINS, strict=True))).drop("bins", *(f"__log_{d}" for d in DOMAINS))
 
 
 def rate_column(steps: list[list[float]]) -> Column:
@@ -114,13 +220,22 @@ def rate_column(steps: list[list[float]]) -> Column:
     return F.aggregate(walk, F.lit(1.0), move)
 
 
-def fit_steps(groups: DataFrame, targets: dict[str, float], budget: float | None = None, rounds: int = 16, tolerance: float = 1e-3) -> list[list[float]]:
+@dataclass
+class Fit:
+    steps: list[list[float]]
+    distance: float  # from the targets, as a share of all tokens
+    converged: bool
+
+
+def fit_rates(groups: DataFrame, targets: dict[str, float], budget: float | None = None, rounds: int = 60, tolerance: float = 1e-3) -> Fit:
     """Steps that bring expected domain totals to ``targets`` x ``budget`` tokens (all tokens by
     default). ``groups``: posterior columns and tokens per distinct posterior.
 
     A step follows the gradient in r, scaled per document by its tokens and across domains by
     the Gram matrix of the documents whose rate is above zero, and is then projected; a step
-    that makes the distance larger is halved. One aggregation a round."""
+    that makes the distance larger is halved. One aggregation a round. Converged: the distance is
+    under ``tolerance``, or steps lessen it by under a hundredth of that, as when no nonnegative
+    rates meet the targets."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     k = len(p)
     live = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
@@ -131,46 +246,51 @@ def fit_steps(groups: DataFrame, targets: dict[str, float], budget: float | None
         row = groups.withColumn("rate", rate_column(steps)).agg(*sums).first()
         total = row[-1]
         if not total:
-            return []
+            return Fit([], 0.0, True)
         share = sum(targets.get(d, 0.0) for d in DOMAINS) or 1.0
         want = want or [(budget or total) * targets.get(d, 0.0) / share for d in DOMAINS]
         off = np.array([s - t for s, t in zip(row[:k], want, strict=True)])
         error = float(np.linalg.norm(off)) / total
         if error > last:
             steps[-1] = [x / 2 for x in steps[-1]]
+            if max(map(abs, steps[-1])) < tolerance * 1e-2:
+                return Fit(steps[:-1], last, True)
             continue
         if error < tolerance or last - error < tolerance * 1e-2:
-            break
+            return Fit(steps, error, True)
         gram = np.array(row[k:-1]).reshape(k, k)
         steps.append(np.linalg.solve(gram + np.eye(k) * (1e-6 * np.trace(gram) + 1e-9), off).tolist())
         last = error
-    return steps
-
-
-def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, list[Column], Column]:
-    """Features with posteriors of every row, the posteriors' expressions and the rate's."""
-    rows = featured(docs)
-    prior, tables, present = classifier_tables(rows, labels)
-    columns = posteriors(prior, tables)
-    placed = once(rows.select("doc_id", "tokens", "bins"), *columns).drop("bins")
+    logging.getLogger(__name__).warning("rates did not settle in %d rounds, distance %.4f", rounds, last)
+    return Fit(steps, last, False)
+
+
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: list[Column]) -> DataFrame:
+    """``keep`` (struct ``doc`` or doc_id), tokens, posteriors and rate of every row."""
+    texts = docs.select(quoted("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    present = materialize(labelled_domains(labels).join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "present")
+    sample = materialize(hash_sample(present, MAX_LABELLED, "doc_id"), "sample")  # at most MAX_LABELLED rows
+    train = materialize(texts.join(F.broadcast(sample), "doc_id").select("domain", "text"), "train")
+    lists = mine(train)
+    discard(train, present)
+    rows = materialize(binned(docs, lists, [*keep, quoted("doc_id").cast("long").alias("__id")]), "features")
+    tables = classifier_tables(rows.select(F.col("__id").alias("doc_id"), F.col("__bins").alias("bins")), sample)
+    placed = posteriors(rows.drop("__id").withColumnsRenamed({"__bins": "bins", "__tokens": "tokens"}), tables)
     groups = materialize(placed.groupBy(*(f"p_{d}" for d in DOMAINS)).agg(F.sum("tokens").alias("tokens")), "posteriors")
-    steps = fit_steps(groups, {d: targets.get(d, 0.0) for d in present})
-    return placed, columns, F.round(rate_column(steps), 6)
+    fit = fit_rates(groups, targets)
+    discard(groups, sample)
+    return once(placed, F.round(rate_column(fit.steps), 6).alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, tokens, p_<domain>..., rate for every row."""
-    placed, _, rate = _rated(docs, labels, targets or TARGETS)
-    return placed.withColumn("rate", rate)
+    return _rated(docs, labels, targets or TARGETS, [quoted("doc_id").cast("long").alias("doc_id")])
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs`` whose rate is above zero, with all their columns and ``rate``, how
-    often a document is read in one pass over the mixture. One scan, no join."""
-    _, columns, rate = _rated(docs, labels, targets or TARGETS)
-    names = [c for c in docs.columns if c != "rate"]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), text.alias("text"))
-    binned = once(inner, F.array(*features(F.col("text"))).alias("bins")).select("doc", "bins")
-    out = once(once(binned, *columns).drop("bins"), rate.alias("rate"))
+    often a document is read in one pass over the mixture; a column ``rate`` of ``docs`` is
+    replaced. Rows are written once beside their features, so no text is looked at twice."""
+    doc = F.struct(*(quoted(c) for c in docs.columns if c != "rate")).alias("doc")
+    out = _rated(docs, labels, targets or TARGETS, [doc])
     return out.where("rate > 0").select("doc.*", "rate")
