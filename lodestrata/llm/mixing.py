@@ -51,9 +51,18 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def _share(text: Column, others: str) -> Column:
-    """How much of a text is left without what the pattern ``others`` stands for."""
-    return F.length(F.regexp_replace(text, others, "")) / F.greatest(F.length(text), F.lit(1))
+#: What is no sign, digit or capital: most of a text, taken out once before the classes are counted.
+PLAIN = r"[a-z\x{80}-\x{10FFFF} \n\t\r]+"
+
+
+def _share(marks: Column, others: str, text: Column) -> Column:
+    """How much of ``text`` is left of ``marks`` without what the pattern ``others`` stands for."""
+    return F.length(F.regexp_replace(marks, others, "")) / F.greatest(F.length(text), F.lit(1))
+
+
+def _blank_share(text: Column) -> Column:
+    left = reduce(lambda x, blank: F.replace(x, F.lit(blank), F.lit("")), " \n\t", text)
+    return 1 - F.length(left) / F.greatest(F.length(text), F.lit(1))
 
 
 @dataclass
@@ -72,22 +81,23 @@ def entries_of(words: Column) -> Column:
     return F.concat(words, F.transform(words, lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("*"))))
 
 
-def features(text: Column, words: Column | None = None, distinct: Column | None = None, hits: dict[str, Column] | None = None) -> list[Column]:
+def features(text: Column, words: Column | None = None, distinct: Column | None = None, marks: Column | None = None, hits: dict[str, Column] | None = None) -> list[Column]:
     """Each a bin from 0 to N_BINS - 1; shares on a logarithmic scale. ``text`` is not null;
     ``hits``: the mined entries of a domain that the text has."""
     words = words_of(text) if words is None else words
     distinct = F.array_distinct(words) if distinct is None else distinct
+    marks = F.regexp_replace(text, PLAIN, "") if marks is None else marks
     log_bin = lambda share: F.least(F.lit(N_BINS - 1), F.greatest(F.lit(0), F.floor(F.log2(share * 4096 + 1)).cast("int")))
     part = lambda x: F.least(F.lit(N_BINS - 1), F.floor(x * N_BINS).cast("int"))
     lines, seeds = F.split(text, "\n"), _strings(sorted(w.decode() for w in SEED))
     out = [
-        log_bin(_share(text, "[^A-Z]+")),
-        log_bin(_share(text, "[^0-9]+")),
-        log_bin(_share(text, "[^!?]+")),
-        log_bin(_share(text, r"[^#$%&*^~<>{}\[\]\\=+_]+")),
-        log_bin(_share(text, "[^|]+")),
-        log_bin(_share(text, "[^.,;:]+")),
-        log_bin((1 - _share(text, r"[ \n\t]+")) * 0.999),
+        log_bin(_share(marks, "[^A-Z]+", text)),
+        log_bin(_share(marks, "[^0-9]+", text)),
+        log_bin(_share(marks, "[^!?]+", text)),
+        log_bin(_share(marks, r"[^#$%&*^~<>{}\[\]\\=+_]+", text)),
+        log_bin(_share(marks, "[^|]+", text)),
+        log_bin(_share(marks, "[^.,;:]+", text)),
+        log_bin(_blank_share(text) * 0.999),
         F.least(F.lit(N_BINS - 1), F.floor(F.log2(F.length(text) / 16 + 1)).cast("int")),
         F.least(F.lit(N_BINS - 1), F.when(F.arrays_overlap(distinct, seeds), F.size(F.filter(words, lambda w: F.array_contains(seeds, w)))).otherwise(0)),
         part(F.size(distinct) / F.size(words)),
@@ -148,15 +158,15 @@ def text_of(docs: DataFrame) -> Column:
 
 def binned(docs: DataFrame, lists: WordLists, keep: list[Column]) -> DataFrame:
     """The columns ``keep``, tokens and bins (array of int) of every row; each part is computed once."""
-    text, words, distinct, entries = F.col("__text"), F.col("__words"), F.col("__distinct"), F.col("__entries")
+    text, marks, words, distinct, entries = (F.col(f"__{x}") for x in ("text", "marks", "words", "distinct", "entries"))
     hits = {d: F.col(f"__of_{d}") for d in DOMAINS}
     none = F.array().cast("array<string>")
-    rows = once(docs.select(*keep, text_of(docs).alias("__text")), words_of(text).alias("__words"))
+    rows = once(docs.select(*keep, text_of(docs).alias("__text")), words_of(text).alias("__words"), F.regexp_replace(text, PLAIN, "").alias("__marks"))
     rows = once(rows, F.array_distinct(words).alias("__distinct"))
     rows = once(rows, entries_of(distinct).alias("__entries"))
     rows = once(rows, *((F.array_intersect(entries, _strings(lists.words[d])) if lists.words.get(d) else none).alias(f"__of_{d}") for d in DOMAINS))
-    rows = once(rows, tokens_of(text).cast("long").alias("__tokens"), F.array(*features(text, words, distinct, hits)).alias("__bins"))
-    return rows.drop("__text", "__words", "__distinct", "__entries", *(f"__of_{d}" for d in DOMAINS))
+    rows = once(rows, tokens_of(text).cast("long").alias("__tokens"), F.array(*features(text, words, distinct, marks, hits)).alias("__bins"))
+    return rows.drop("__text", "__marks", "__words", "__distinct", "__entries", *(f"__of_{d}" for d in DOMAINS))
 
 
 @dataclass
