@@ -1,25 +1,34 @@
 """URL filter: explicit rules first, then a per-host tree of path templates.
 
-Only DataFrame functions run here. Segments of a path that vary (numbers, long hex, dates, or a
-position at which one branch has many values) become wildcards; the counts of the resulting
-templates, pages and labelled pages, are summed at every level up to the host. A branch whose
-labelled share of bad pages does not differ from its siblings' (two-proportion z below
-``merge_z``, scaled down for few labels) is merged: it takes the counts of its parent, or of the
-nearest branch above that is not merged itself, at last of the host. Nor does a branch that
-differs vanish in a wildcard. A template is rejected when its smoothed share of bad pages
-reaches ``reject_at``.
+Only DataFrame functions run here, and no step depends on how deep paths are: a template's
+segments are rows (host, path, level, segment), and a branch is known by its host, its level and a
+hash of the segments down to it.
+
+1. Segments that are evidently variable (numbers, hex, dates) become typed wildcards. At a
+   position where a branch has more than ``max_children`` values, those that hold under
+   1 / max_children of its pages become ``*``, unless their labels differ from the rest. Branches
+   are told apart by segments generalised in the same way over the whole position of the host.
+2. Labelled pages are summed over every branch up to the host. A branch stands for itself if its
+   share of bad pages differs from that of its siblings (two-proportion z of at least
+   ``merge_z``, scaled down for few labels); all others merge with their similar siblings into
+   the nearest branch above that stands, at last the host.
+3. A pool is what merged into one standing branch, without what stands below it. Its purity is
+   its share of bad pages smoothed by that of the pool above, and so on up to the share of all
+   labels. A template is rejected when this reaches ``reject_at``.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, takes part in the
 tree as the empty template of the empty host and is allowed unless its labels say otherwise;
-without labels every url is allowed but by rule; repeated rows each get a verdict; an empty table
-gives an empty result.
+without labels every url is allowed but by rule; labels that are null or of other values than 0
+and 1 are ignored; paths of any length take part whole; values with equally many pages are
+treated alike; of rules of equal length the greater text wins; repeated rows, and rows with a null
+page_id, each get a verdict; an empty table gives an empty result; extra columns are never read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -61,14 +70,13 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def typed_segments(path: Column, depth: int) -> Column:
-    """Path segments with evident variables as wildcards; beyond ``depth`` one rest wildcard."""
+def typed_segments(path: Column) -> Column:
+    """Path segments with evident variables as wildcards."""
     raw = F.filter(F.split(path, "/"), lambda s: s != "")
-    typed = F.transform(
+    return F.transform(
         raw,
         lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"), F.lit("{num}")).when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("{hex}")).when(s.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), F.lit("{date}")).otherwise(s),
     )
-    return F.when(F.size(typed) > depth, F.concat(F.slice(typed, 1, depth), F.array(F.lit("{rest}")))).otherwise(typed)
 
 
 def _differs(n: Column, b: Column, all_n: Column, all_b: Column, prior: float, merge_z: float, prior_weight: float) -> Column:
@@ -79,55 +87,74 @@ def _differs(n: Column, b: Column, all_n: Column, all_b: Column, prior: float, m
     return F.coalesce(z * n / (n + prior_weight) >= merge_z, F.lit(False))
 
 
-def template_tree(urls: DataFrame, labelled: DataFrame, depth: int = 6, max_children: int = 50, merge_z: float = 2.0, prior_weight: float = 5.0) -> DataFrame:
-    """host, typed (the typed segments, joined), template, pages, labelled, bad, purity: one row
-    per typed template of a host.
+def _branches(rows: DataFrame, segment: str, branch: str) -> DataFrame:
+    """``rows`` (host, typed, level, ...) with a hash of the segments of a path down to each level.
+    Exclusive or of hashes that hold their level; the window runs over one path only."""
+    down = Window.partitionBy("host", "typed").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(branch, F.bit_xor(F.xxhash64("level", segment)).over(down))
+
+
+def _generalised(rows: DataFrame, above: list[str], segment: str, name: str, max_children: int, differs: Column | None) -> DataFrame:
+    """``rows`` with the segment, or ``*`` where it is one of many rare values under ``above``."""
+    values = rows.groupBy("host", *above, segment).agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
+    all_of = values.groupBy("host", *above).agg(F.count(F.lit(1)).alias("values"), *(F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "bad")))
+    rare = (F.col("values") > max_children) & (F.col("pages") * max_children < F.col("all_pages"))
+    if differs is not None:
+        rare = rare & ~differs
+    stars = values.join(all_of, ["host", *above]).where(rare).select("host", *above, segment, F.lit("*").alias(name))
+    return rows.join(stars, ["host", *above, segment], "left").withColumn(name, F.coalesce(name, segment))
+
+
+def template_tree(urls: DataFrame, labelled: DataFrame, max_children: int = 50, merge_z: float = 2.0, prior_weight: float = 5.0) -> DataFrame:
+    """host, typed (the typed segments, joined), template, pages, labelled, bad (of its pool) and
+    purity: one row per typed template of a host.
 
     ``urls``: (host, segments), one row per page; ``labelled``: (host, segments, bad). Both are
     reduced map-side to one row per template before anything else sees them.
     """
     key = F.concat_ws("/", "segments")
     seen = urls.groupBy("host", key.alias("typed")).agg(F.count(F.lit(1)).alias("pages"))
-    judged = labelled.groupBy("host", key.alias("typed")).agg(F.count(F.lit(1)).alias("labelled"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    tree = seen.join(judged, ["host", "typed"], "left").na.fill(0, ["labelled", "bad"]).withColumn("segments", F.when(F.col("typed") == "", F.array().cast("array<string>")).otherwise(F.split("typed", "/")))
-    tree = materialize(tree.withColumn("template", F.array().cast("array<string>")), "tree")
-    totals = tree.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()
+    judged = labelled.where("bad in (0, 1)").groupBy("host", key.alias("typed")).agg(F.count(F.lit(1)).alias("labelled"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    leaves = materialize(seen.join(judged, ["host", "typed"], "left").na.fill(0, ["labelled", "bad"]), "leaves")
+    totals = leaves.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()
     prior = (totals.b + 1) / (totals.n + 2) if totals.n else 0.0
-    # top down: a position at which a branch has more than max_children values is one variable,
-    # but for values that differ from the others
-    for level in range(1, depth + 2):
-        here = F.get("segments", F.lit(level - 1))
-        placed = tree.withColumn("above", F.concat_ws("/", "template")).withColumn("here", here)
-        values = placed.where("here is not null").groupBy("host", "above", "here").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-        wide = values.groupBy("host", "above").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("all_n"), F.sum("b").alias("all_b")).where(F.col("values") > max_children).select("host", "above", "all_n", "all_b", F.lit(True).alias("wide"))
-        own = values.where("n > 0").join(wide, ["host", "above"]).where(_differs(F.col("n"), F.col("b"), F.col("all_n"), F.col("all_b"), prior, merge_z, prior_weight)).select("host", "above", "here", F.lit(True).alias("own"))
-        step = F.when(F.col("here").isNull(), F.array().cast("array<string>")).when(F.col("wide") & F.col("own").isNull(), F.array(F.lit("*"))).otherwise(F.array("here"))
-        placed = placed.join(wide.select("host", "above", "wide"), ["host", "above"], "left").join(own, ["host", "above", "here"], "left")
-        tree = materialize(placed.withColumn("template", F.concat("template", step)).select(tree.columns), "tree")
-    leaves = tree.groupBy("host", "template").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    # every branch a template lies in, itself and the host included
-    above = materialize(leaves.select("*", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level")).withColumn("branch", F.concat_ws("/", F.slice("template", F.lit(1), F.col("level")))), "branches")
-    sums = above.groupBy("host", "level", "branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-    parents = sums.select("host", (F.col("level") + 1).alias("level"), F.col("branch").alias("parent"), F.col("n").alias("all_n"), F.col("b").alias("all_b"))
-    judged = sums.withColumn("parent", F.regexp_replace("branch", r"(^|/)[^/]*$", "")).join(parents, ["host", "level", "parent"], "left")
-    stands = (F.col("level") == 0) | _differs(F.col("n"), F.col("b"), F.col("all_n"), F.col("all_b"), prior, merge_z, prior_weight)
-    lasting = judged.where(stands).select("host", "level", "branch", "n", "b")  # not merged
-    nearest = above.join(lasting, ["host", "level", "branch"]).groupBy("host", "template").agg(F.max_by(F.struct("n", "b"), "level").alias("of"), F.first("pages").alias("pages"))
-    n, b = F.col("of.n"), F.col("of.b")
-    pooled = nearest.select("host", F.concat_ws("/", "template").alias("template"), "pages", n.alias("labelled"), b.alias("bad"), ((b + prior_weight * prior) / (n + prior_weight)).alias("purity"))
-    return tree.select("host", "typed", F.concat_ws("/", "template").alias("template")).join(pooled, ["host", "template"])
-
-
-def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[Rule], reject_at: float = 0.5, depth: int = 6, max_children: int = 50) -> DataFrame:
+    differs = _differs(F.col("labelled"), F.col("bad"), F.col("all_labelled"), F.col("all_bad"), prior, merge_z, prior_weight)
+    # level 0 is the host; an empty path has only that
+    segments = F.concat(F.array(F.lit("")), F.when(F.col("typed") == "", F.array().cast("array<string>")).otherwise(F.split("typed", "/")))
+    rows = leaves.select("host", "typed", "pages", "labelled", "bad", F.posexplode(segments).alias("level", "segment"))
+    rows = _branches(_generalised(rows, ["level"], "segment", "loose", max_children, None), "loose", "branch")
+    rows = rows.withColumn("above", F.col("branch").bitwiseXOR(F.xxhash64("level", "loose")))
+    rows = materialize(_generalised(rows, ["level", "above"], "segment", "general", max_children, differs).drop("branch", "above"), "segments")
+    rows = materialize(_branches(rows, "general", "branch").withColumn("above", F.col("branch").bitwiseXOR(F.xxhash64("level", "general"))), "tree")
+    sums = rows.groupBy("host", "level", "branch", "above").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    parents = sums.groupBy("host", "level", "above").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    standing = sums.join(parents, ["host", "level", "above"]).where((F.col("level") == 0) | differs).select("host", "level", "branch")
+    # of every path the branches that stand, the deepest of which its template merges into
+    lasting = materialize(rows.join(standing, ["host", "level", "branch"]).select("host", "typed", "level", "branch", "labelled", "bad"), "standing")
+    chain = lasting.groupBy("host", "typed").agg(F.array_sort(F.collect_list(F.struct("level", "branch"))).alias("chain"), F.first("labelled").alias("labelled"), F.first("bad").alias("bad"))  # as long as the path at most
+    chain = materialize(chain.withColumn("pool", F.element_at("chain", -1)), "chain")
+    pools = materialize(chain.groupBy("host", F.col("pool.level").alias("level"), F.col("pool.branch").alias("branch")).agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")), "pools")
+    # the pools above a pool are those of any path in it
+    path = chain.groupBy("host", "pool").agg(F.first("chain").alias("chain")).select("host", "pool", F.explode("chain").alias("of"))
+    counted = path.join(pools.select("host", F.struct("level", "branch").alias("of"), "n", "b"), ["host", "of"], "left").na.fill(0, ["n", "b"])
+    smooth = F.aggregate(F.array_sort("steps"), F.lit(prior), lambda p, x: (x["b"] + prior_weight * p) / (x["n"] + prior_weight))
+    purity = counted.groupBy("host", "pool").agg(F.collect_list(F.struct(F.col("of.level").alias("level"), "n", "b")).alias("steps"), F.max_by("n", "of.level").alias("labelled"), F.max_by("b", "of.level").alias("bad"))
+    purity = purity.select("host", "pool", "labelled", "bad", smooth.alias("purity"))
+    template = rows.where("level > 0").groupBy("host", "typed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "general"))), lambda x: x["general"]), "/").alias("template"))
+    out = leaves.select("host", "typed", "pages").join(template, ["host", "typed"], "left").na.fill("", ["template"])
+    return out.join(chain.select("host", "typed", "pool"), ["host", "typed"]).join(purity, ["host", "pool"]).drop("pool")
+
+
+def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[Rule], reject_at: float = 0.5, max_children: int = 50) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, template, purity.
 
     ``labelled``: (url, bad). The tree has one row per typed template; it joins the pages by
     host and template, where AQE splits a host that holds a large share of all pages.
     """
     at = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    at = at.withColumn("segments", typed_segments(F.col("path"), depth))
-    known = labelled.select(host_of(F.col("url")).alias("host"), typed_segments(path_of(F.col("url")), depth).alias("segments"), "bad")
-    tree = materialize(template_tree(at.select("host", "segments"), known, depth, max_children), "templates")
+    at = at.withColumn("segments", typed_segments(F.col("path")))
+    known = labelled.select(host_of(F.col("url")).alias("host"), typed_segments(path_of(F.col("url"))).alias("segments"), "bad")
+    tree = materialize(template_tree(at.select("host", "segments"), known, max_children), "templates")
     out = at.withColumn("typed", F.concat_ws("/", "segments")).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules)).join(tree.select("host", "typed", "template", "purity"), ["host", "typed"], "left")
     learned = F.when(F.col("purity") >= reject_at, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce(F.col("by_rule.verdict"), learned).alias("verdict"), "template", F.round("purity", 6).alias("purity"))

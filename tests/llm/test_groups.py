@@ -317,3 +317,89 @@ def test_url_branches_merge_up_to_the_host(spark):
     assert [by[u]["verdict"] for u in unseen] == ["block", "allow", "block"]
     assert {by[f"http://spam.org/{k}/0"]["purity"] for k in "ab"} == {by[u]["purity"] for u in (unseen[0], unseen[2])}  # pooled
     assert by["http://mixed.org/good/0"]["verdict"] == "allow" and by["http://mixed.org/bad/0"]["verdict"] == "block"  # not pooled
+
+
+def brute_tree(pages, labelled, max_children=50, merge_z=2.0, w=5.0):
+    """Plain Python: template and purity of each (host, segments) of ``pages``."""
+    from collections import Counter, defaultdict
+
+    seen, n, b = Counter(pages), Counter(p for p, _ in labelled), Counter(p for p, y in labelled if y)
+    prior = (sum(b.values()) + 1) / (sum(n.values()) + 2) if labelled else 0.0
+
+    def differs(own_n, own_b, all_n, all_b):
+        rest_n, rest_b = all_n - own_n, all_b - own_b
+        if not own_n or not rest_n:
+            return False
+        p = (all_b + prior) / (all_n + 1)
+        z = abs(own_b / own_n - rest_b / rest_n) / (p * (1 - p) * (1 / own_n + 1 / rest_n)) ** 0.5
+        return z * own_n / (own_n + w) >= merge_z
+
+    def generalise(context, use_labels):
+        values = defaultdict(lambda: [0, 0, 0])
+        for t in seen:
+            for i, s in enumerate(t[1]):
+                for k, x in enumerate((seen[t], n[t], b[t])):
+                    values[(t[0], i, context(t, i)), s][k] += x
+        groups = defaultdict(list)
+        for (g, s), v in values.items():
+            groups[g].append((s, v))
+        star = set()
+        for g, vs in groups.items():
+            total = [sum(v[k] for _, v in vs) for k in range(3)]
+            star |= {(g, s) for s, v in vs if len(vs) > max_children and v[0] * max_children < total[0] and not (use_labels and differs(v[1], v[2], total[1], total[2]))}
+        return {t: tuple("*" if ((t[0], i, context(t, i)), s) in star else s for i, s in enumerate(t[1])) for t in seen}
+
+    loose = generalise(lambda t, i: None, False)
+    general = generalise(lambda t, i: loose[t][:i], True)
+    sums = defaultdict(lambda: [0, 0])
+    for t in seen:
+        for i in range(len(t[1]) + 1):
+            sums[t[0], general[t][:i]][0] += n[t]
+            sums[t[0], general[t][:i]][1] += b[t]
+    kids = defaultdict(lambda: [0, 0])
+    for (h, x), v in sums.items():
+        if x:
+            kids[h, x[:-1], len(x)][0] += v[0]
+            kids[h, x[:-1], len(x)][1] += v[1]
+    stands = {(h, x) for (h, x), v in sums.items() if not x or differs(*v, *kids[h, x[:-1], len(x)])}
+    chain = {t: [(t[0], general[t][:i]) for i in range(len(t[1]) + 1) if (t[0], general[t][:i]) in stands] for t in seen}
+    pool = defaultdict(lambda: [0, 0])
+    for t, c in chain.items():
+        pool[c[-1]][0] += n[t]
+        pool[c[-1]][1] += b[t]
+    out = {}
+    for t, c in chain.items():
+        p = prior
+        for x in c:
+            p = (pool[x][1] + w * p) / (pool[x][0] + w)
+        out[t] = "/".join(general[t]), round(p, 6)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_url_tree_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    pages, labelled = [], []
+    for _ in range(1500):
+        host = r.choice(["a.org", "b.org", "b.org", ""])
+        first = r.choice(["good", "bad", "bad", f"u{r.randint(0, 90)}"])
+        path = tuple([first, r.choice(["x", "y", f"t{r.randint(0, 200)}"]), "z", "deep", "e", "f", "g", "h"][: r.randint(0, 8)])
+        pages.append((host, path))
+        if r.random() < 0.5:
+            labelled.append((pages[-1], int(r.random() < (0.9 if path[:1] == ("bad",) and host != "a.org" else 0.1))))
+    want = brute_tree(pages, labelled, max_children=8)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = url_filter.template_tree(frame([(h, list(s)) for h, s in pages], "host string, segments array<string>"), frame([(h, list(s), y) for (h, s), y in labelled], "host string, segments array<string>, bad int"), max_children=8)
+    got = {(x["host"], tuple(filter(None, x["typed"].split("/")))): (x["template"], round(x["purity"], 6)) for x in got.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    assert len({v[1] for v in want.values()}) > 4
+
+
+def test_urls_awkward(spark):
+    rows = [(None, None), (None, None), (1, "http://h.org/" + "a/" * 3000 + "x"), (1, "http://h.org/" + "a" * 200_000), (2, "http://h.org"), (2, "http://h.org")]
+    pages = spark.createDataFrame([(*x, "?", "?", "?") for x in rows], "page_id long, url string, host string, path string, segments string")
+    lab = spark.createDataFrame([(None, 0), ("http://h.org/b", None), ("http://h.org/b", 7)], "url string, bad int")
+    got = url_filter.filter_urls(pages, lab, Q.URL_RULES).collect()
+    assert len(got) == len(rows) and {r["verdict"] for r in got if r["host"] == "h.org"} == {"allow"}
+    assert max(len(r["path"]) for r in got) == 200_001 and max(r["template"].count("/") for r in got) == 3000
