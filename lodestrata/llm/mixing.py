@@ -237,42 +237,62 @@ class Fit:
     converged: bool
 
 
-def fit_rates(groups: DataFrame, targets: dict[str, float], budget: float | None = None, rounds: int = 60, tolerance: float = 1e-3) -> Fit:
+def fit_rates(groups: DataFrame, targets: dict[str, float], budget: float | None = None, rounds: int = 80, tolerance: float = 1e-3) -> Fit:
     """Steps that bring expected domain totals to ``targets`` x ``budget`` tokens (all tokens by
     default). ``groups``: posterior columns and tokens per distinct posterior.
 
-    A step follows the gradient in r, scaled per document by its tokens and across domains by
-    the Gram matrix of the documents whose rate is above zero, and is then projected; a step
-    that makes the distance larger is halved. One aggregation a round. Converged: the distance is
-    under ``tolerance``, or steps lessen it by under a hundredth of that, as when no nonnegative
-    rates meet the targets."""
+    A step is a projected gradient step on the squared distance, scaled per document by its
+    tokens, with the gradient taken where the step ends: that implicit form allows long steps and
+    never makes the distance larger. The gradient is one number g a domain, and the g that agrees
+    with where the step ends is found by damped Newton rounds on a convex function of g, one
+    aggregation of a dozen sums each. Converged: the distance is under ``tolerance``, or a step
+    lessens it by under a hundredth of that, as when no nonnegative rates meet the targets."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    k = len(p)
-    live = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
-    sums = [F.sum(F.col("rate") * F.col("tokens") * x) for x in p] + [F.sum(live * x * y) for x in p for y in p] + [F.sum("tokens").cast("double")]
+    k, spent = len(p), 0
+    total = groups.agg(F.sum("tokens").cast("double")).first()[0]
+    if not total:
+        return Fit([], 0.0, True)
+    share = sum(targets.get(d, 0.0) for d in DOMAINS) or 1.0
+    want = np.array([(budget or total) / total * targets.get(d, 0.0) / share for d in DOMAINS])
     steps: list[list[float]] = []
-    last, want = math.inf, None
-    for _ in range(rounds):
-        row = groups.withColumn("rate", rate_column(steps)).agg(*sums).first()
-        total = row[-1]
-        if not total:
-            return Fit([], 0.0, True)
-        share = sum(targets.get(d, 0.0) for d in DOMAINS) or 1.0
-        want = want or [(budget or total) * targets.get(d, 0.0) / share for d in DOMAINS]
-        off = np.array([s - t for s, t in zip(row[:k], want, strict=True)])
-        error = float(np.linalg.norm(off)) / total
-        if error > last:
-            steps[-1] = [x / 2 for x in steps[-1]]
-            if max(map(abs, steps[-1])) < tolerance * 1e-2:
-                return Fit(steps[:-1], last, True)
-            continue
+
+    def look(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Domain totals after a step g, Gram matrix of what stays above zero, half the sum of squares; all per token."""
+        nonlocal spent
+        spent += 1
+        at = groups.withColumn("rate", rate_column([*steps, g.tolist()]))
+        live = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
+        row = at.agg(*(F.sum(F.col("rate") * F.col("tokens") * x) for x in p), *(F.sum(live * x * y) for x in p for y in p), F.sum(F.col("tokens") * F.col("rate") * F.col("rate"))).first()
+        sums = np.array(row, float) / total
+        return sums[:k], sums[k:-1].reshape(k, k), sums[-1] / 2
+
+    g, length = np.zeros(k), 1e4
+    sums, gram, squares = look(g)
+    last = float(np.linalg.norm(sums - want))
+    while last >= tolerance and spent < rounds:
+        value = squares * length
+        while spent < rounds:
+            off = g - length * (sums - want)
+            if np.linalg.norm(off) < 1e-4 * max(1.0, np.linalg.norm(g)):
+                break
+            way, part = np.linalg.solve(np.eye(k) + length * gram, off), 1.0
+            while True:
+                new = g - part * way
+                new_sums, new_gram, new_squares = look(new)
+                new_value = new @ new / 2 + length * (new_squares + new @ want)
+                if new_value <= value - 1e-4 * part * (off @ way) or part < 1e-3 or spent >= rounds:
+                    break
+                part /= 2
+            g, sums, gram, squares, value = new, new_sums, new_gram, new_squares, new_value
+        steps.append(g.tolist())
+        error, g, length = float(np.linalg.norm(sums - want)), np.zeros(k), length * 4
         if error < tolerance or last - error < tolerance * 1e-2:
             return Fit(steps, error, True)
-        gram = np.array(row[k:-1]).reshape(k, k)
-        steps.append(np.linalg.solve(gram + np.eye(k) * (1e-6 * np.trace(gram) + 1e-9), off).tolist())
         last = error
-    logging.getLogger(__name__).warning("rates did not settle in %d rounds, distance %.4f", rounds, last)
-    return Fit(steps, last, False)
+        sums, gram, squares = look(g)
+    if last >= tolerance:
+        logging.getLogger(__name__).warning("rates did not settle in %d rounds, distance %.4f", rounds, last)
+    return Fit(steps, last, last < tolerance)
 
 
 def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: list[Column]) -> DataFrame:
