@@ -4,12 +4,16 @@ A classifier of surface features gives each document its evidence. Summed over a
 a site (``host``) and of a part of a site (``path``), evidence gives counts of expected good
 documents; a Beta prior whose strength is fitted by moments to the spread between sites shrinks
 sparse sites toward the global rate, and sparse paths toward their site. The final odds are the
-document's likelihood ratio times the prior odds of its path.
+document's likelihood ratio, its evidence against the share of good labels the classifier was
+fitted with, times the prior odds of its path, in whose sums and whose site's the document itself
+is left out: its evidence counts once.
 
 Labels are learnt only from rows whose crc32(doc_id) mod 3 is not 1. Defined cases: null texts
-count as empty; null host or path is a site or path of its own; null or unknown labels are
-ignored; with labels of one class only, evidence is neutral; repeated rows each get their row;
-empty tables give an empty result.
+count as empty; texts of any length are read whole; null host or path is a site or path of its
+own; a document alone on its site has the global rate as its prior; null or unknown labels are
+ignored, of several labels of one document the lowest counts; with labels of one class only,
+evidence is neutral; repeated rows each get their row; empty tables give an empty result; extra
+columns are never read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, held_out, materialize
+from .common import as_bytes, discard, hash_sample, held_out, materialize, slices
 
 MAX_LABELLED = 20_000
 CLASSES = {
@@ -57,24 +61,27 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 3
     return mean, scale, w
 
 
-def evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, host, path, p (classifier's probability of good quality) for every row."""
+def evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, float]:
+    """doc_id, host, path, p (classifier's probability of good quality) for every row, and the share of good labels in the fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = pa.array([surface(t) for t in as_bytes(batch.column("text"))], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], x], names=["doc_id", "host", "path", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     rows = materialize(rows.mapInArrow(run, "doc_id long, host string, path string, x array<float>"), "surface")
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where(~held_out(F.col("doc_id")))
-    sample = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = materialize(known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "known")
+    sample = materialize(hash_sample(known, max_labelled, "doc_id"), "sample")
     fit_rows = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("x", "quality").collect()  # at most max_labelled
     y = np.array([r["quality"] for r in fit_rows], float)
     if len(set(y.tolist())) == 2:
         mean, scale, w = fit_logistic(np.array([r["x"] for r in fit_rows], float), y)
     else:
         mean, scale, w = np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1)
+    good = float(y.mean()) if 0 < y.sum() < len(y) else 0.5
+    discard(known, sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +89,7 @@ def evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max
             z = (x - mean) / scale @ w[:-1] + w[-1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "host", "path", "p"])
 
-    return rows.mapInArrow(score, "doc_id long, host string, path string, p double")
+    return rows.mapInArrow(score, "doc_id long, host string, path string, p double"), good
 
 
 def _strength(groups: DataFrame, mean: Column, n: Column, good: Column) -> float:
@@ -99,20 +106,21 @@ def _strength(groups: DataFrame, mean: Column, n: Column, good: Column) -> float
 def score_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
     """doc_id, held_out, evidence, host_rate, path_rate, score, predicted for every row."""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    rows = materialize(evidence(docs, labels, host, path), "evidence")
+    rows, good = evidence(docs, labels, host, path)
+    rows = materialize(rows, "evidence")
     paths = materialize(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")), "paths")
     total = paths.agg(F.sum("good") / F.sum("n")).first()[0]
-    if total is None:
-        total = 0.5
-    total = min(1 - 1e-6, max(1e-6, total))
+    total = 0.5 if total is None else min(1 - 1e-6, max(1e-6, total))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     kappa = _strength(hosts, F.lit(total), F.col("host_n"), F.col("host_good"))
-    hosts = hosts.select(F.col("host").alias("of"), ((F.col("host_good") + kappa * total) / (F.col("host_n") + kappa)).alias("host_rate"))
-    paths = materialize(paths.join(hosts, paths["host"].eqNullSafe(hosts["of"])).drop("of"), "rates")
+    paths = materialize(paths.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).drop("of").withColumn("host_rate", (F.col("host_good") + kappa * total) / (F.col("host_n") + kappa)), "rates")
     below = _strength(paths, F.col("host_rate"), F.col("n"), F.col("good"))
-    rates = paths.select(F.col("host").alias("h"), F.col("path").alias("q"), "host_rate", ((F.col("good") + below * F.col("host_rate")) / (F.col("n") + below)).alias("path_rate"))
-    out = rows.join(rates, rows["host"].eqNullSafe(rates["h"]) & rows["path"].eqNullSafe(rates["q"]), "left")
+    sums = paths.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "good", "host_n", "host_good")
+    out = rows.join(sums, rows["host"].eqNullSafe(sums["h"]) & rows["path"].eqNullSafe(sums["q"]), "left")
+    # without the document's own evidence
+    out = out.withColumn("host_rate", (F.col("host_good") - F.col("p") + kappa * total) / (F.col("host_n") - 1 + kappa))
+    out = out.withColumn("path_rate", (F.col("good") - F.col("p") + below * F.col("host_rate")) / (F.col("n") - 1 + below))
     logit = lambda p: F.log(p / (1 - p))
     safe = lambda c: F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col(c)))
-    score = 1 / (1 + F.exp(-(logit(safe("p")) - F.lit(math.log(total / (1 - total))) + logit(safe("path_rate")))))
+    score = 1 / (1 + F.exp(-(logit(safe("p")) - F.lit(math.log(good / (1 - good))) + logit(safe("path_rate")))))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p").alias("evidence"), "host_rate", "path_rate", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

@@ -403,3 +403,105 @@ def test_urls_awkward(spark):
     got = url_filter.filter_urls(pages, lab, Q.URL_RULES).collect()
     assert len(got) == len(rows) and {r["verdict"] for r in got if r["host"] == "h.org"} == {"allow"}
     assert max(len(r["path"]) for r in got) == 200_001 and max(r["template"].count("/") for r in got) == 3000
+
+
+def test_quality_against_plain_shrinkage(spark):
+    """Rates and scores of a small table, by plain Python from the operator's own evidence."""
+    import math
+
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["some", "plain", "words", "|", "###", "A!"]) for _ in range(r.randint(1, 30))), r.choice(["a", "a", "b", None]), r.choice(["x", "y", None])) for i in range(200)]
+    lab = [(i, int(("|" not in t) ^ (r.random() < 0.2)), 0) for i, t, _, _ in rows if i % 2]
+    got = {x["doc_id"]: x for x in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), labels(spark, lab)).collect()}
+    p = {i: got[i]["evidence"] for i in got}
+    total = sum(p.values()) / len(p)
+    groups = lambda key: {k: [i for i, *x in rows if key(x) == k] for k in {key(x) for _, *x in rows}}
+    hosts, paths = groups(lambda x: x[1]), groups(lambda x: (x[1], x[2]))
+
+    def strength(parts):  # (documents, expected good, mean above)
+        parts = [x for x in parts if x[0] >= 2]
+        n = sum(x[0] for x in parts)
+        within = sum(k * m * (1 - m) for k, _, m in parts) / n
+        between = (sum(k * (g / k - m) ** 2 for k, g, m in parts) - (len(parts) - 1) * within) / (n - sum(k * k for k, _, _ in parts) / n)
+        return min(1e6, max(2.0, within / between - 1)) if between > 0 else 1e6
+
+    good = lambda ids: sum(p[i] for i in ids)
+    kappa = strength([(len(v), good(v), total) for v in hosts.values()])
+    rate = {h: (good(v) + kappa * total) / (len(v) + kappa) for h, v in hosts.items()}
+    below = strength([(len(v), good(v), rate[h]) for (h, _), v in paths.items()])
+    train = [y for i, y, _ in lab if quality_fold(i) != 1]
+    base = sum(train) / len(train)
+    for i, _, h, q in rows:
+        host = (good(hosts[h]) - p[i] + kappa * total) / (len(hosts[h]) - 1 + kappa)
+        path = (good(paths[h, q]) - p[i] + below * host) / (len(paths[h, q]) - 1 + below)
+        odds = p[i] / (1 - p[i]) / (base / (1 - base)) * path / (1 - path)
+        assert abs(got[i]["host_rate"] - host) < 1e-9 and abs(got[i]["path_rate"] - path) < 1e-9
+        assert math.isclose(got[i]["score"], odds / (1 + odds), rel_tol=1e-6)
+
+
+def quality_fold(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 3
+
+
+def test_exact_index_survives_a_replay(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    kept = lambda df: sorted(r["doc_id"] for r in df.where("kept").collect())
+    path = f"file://{tmp_path}/index"
+    for batch in ("first", None):
+        with exact_dedup.DigestIndex(spark, f"{path}-{batch}", buckets=2) as index:
+            index.add(rows, batch=batch)  # the driver dies after the append
+        with exact_dedup.DigestIndex(spark, f"{path}-{batch}", buckets=2) as index:
+            assert kept(index.add(rows, batch=batch)) == [1, 3] == kept(index.add(rows, batch=batch))
+            assert index.rows().count() == 2
+            assert kept(index.add(rows, batch="other")) == []
+            assert sorted(r["doc_id"] for r in exact_dedup.keep_first(rows, index=index, batch=batch).collect()) == [1, 3]
+        assert not [t for t in spark.catalog.listTables() if t.name == index.name]
+
+
+def test_names_of_helpers_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "one two three", "x", "y", "z"), (2, "one two three", "x", "y", "z"), (3, "else", "x", "y", "z")], "doc_id long, text string, __digest string, __id string, `a``b.c` string")
+    for f in (exact_dedup.keep_first, simhash.keep_representatives):
+        out = f(docs)
+        assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def test_one_id_with_several_texts_is_one_node(spark):
+    texts = ["alpha beta gamma delta epsilon", "completely other words are here now"]
+    rows = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (2, texts[1]), (7, texts[0])], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(rows).collect()} == {(5, 2), (2, 2), (7, 2)}
+
+
+def test_mixing_rates_against_plain_least_squares(spark):
+    """No nonnegative rates do better than the fit, by plain projected gradient on the groups."""
+    r = np.random.default_rng(3)
+    for targets in ({"clean": 0.88, "poor": 0.07, "toxic": 0.05}, {"clean": 0.9, "poor": 0.1, "toxic": 0.0}, {"clean": 0.1, "poor": 0.1, "toxic": 0.8}):
+        p = r.dirichlet([2, 0.5, 0.3], 60).round(3)
+        tokens = r.integers(1, 500, 60)
+        frame = spark.createDataFrame([(*map(float, x), int(t)) for x, t in zip(p, tokens, strict=True)], "p_clean double, p_poor double, p_toxic double, tokens long")
+        fit = mixing.fit_rates(frame, targets)
+        want = tokens.sum() * np.array([targets[d] for d in mixing.DOMAINS])
+        a = (p * tokens[:, None]).T
+        rate = np.ones(60)
+        for _ in range(20_000):
+            rate = np.maximum(0, rate - a.T @ (a @ rate - want) / np.linalg.norm(a, 2) ** 2)
+        best = np.linalg.norm(a @ rate - want) / tokens.sum()
+        assert fit.converged and fit.distance <= best + 2e-3
+
+
+def test_near_copies_of_one_label_count_once(spark):
+    r = random.Random(2)
+    text = lambda n: " ".join(r.choice("abcdefghijklmnop") * r.randint(1, 4) for _ in range(n))
+    shared, one = text(60), text(100)
+    rows = [(1, 0, one), (2, 0, one + " z"), (3, 1, one + " y"), (4, 0, shared + text(200)), (5, 0, shared + text(200)), (6, 1, shared + " idiot " + text(200)), (7, 0, ""), (8, 0, "")]
+    left = toxicity.one_of_copies(spark.createDataFrame(rows, "doc_id long, toxic int, text string"))
+    assert sorted(x["doc_id"] for x in left.collect()) == [1, 3, 4, 5, 6, 7]
+
+
+def test_toxicity_score_in_the_plan_is_the_models(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model, seen = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    got = {r["doc_id"]: r["s"] for r in seen.select("doc_id", model.score().alias("s")).collect()}
+    assert all(abs(got[r["doc_id"]] - model.score_text((r["text"] or "").encode())) < 1e-9 for r in docs.collect())
+    assert abs(sum(got.values()) / len(got)) < 0.5
