@@ -47,10 +47,6 @@ def domain_of_labels() -> Column:
     return F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("quality") == 0, F.lit("poor")).when(F.col("quality") == 1, F.lit("clean"))
 
 
-def tokens_of(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-
-
 #: What is no sign, digit or capital: most of a text, taken out once before the classes are counted.
 PLAIN = r"[a-z\x{80}-\x{10FFFF} \n\t\r]+"
 
@@ -67,29 +63,38 @@ def _blank_share(text: Column) -> Column:
 
 @dataclass
 class WordLists:
-    """Mined words, and word beginnings of PREFIX letters, of each domain."""
+    """Mined beginnings of words, of each domain."""
 
     words: dict[str, list[str]] = field(default_factory=dict)
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    """What stands between white space, in lower case, with what sticks to it; one split of a text
+    gives its tokens, its repetitions and the beginnings of its words."""
+    return F.split(F.lower(text), r"[\x20\x09-\x0D]+")
+
+
+def tokens_of(words: Column) -> Column:
+    """Words without the empty ones, which only stand at either end."""
+    empty = (F.get(words, F.lit(0)) == "").cast("int") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+    return F.size(words) - empty
 
 
 def entries_of(words: Column) -> Column:
-    """Words and, marked by a star, their beginnings of PREFIX letters (all of a shorter word)."""
-    return F.concat(words, F.transform(words, lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("*"))))
+    return F.transform(words, lambda w: F.substring(w, 1, PREFIX))
 
 
 def features(text: Column, words: Column | None = None, distinct: Column | None = None, marks: Column | None = None, hits: dict[str, Column] | None = None) -> list[Column]:
     """Each a bin from 0 to N_BINS - 1; shares on a logarithmic scale. ``text`` is not null;
-    ``hits``: the mined entries of a domain that the text has."""
+    ``hits``: per domain, and for the fixed seed words, the beginnings of them that the text has."""
     words = words_of(text) if words is None else words
     distinct = F.array_distinct(words) if distinct is None else distinct
     marks = F.regexp_replace(text, PLAIN, "") if marks is None else marks
+    hits = hits or {d: F.array_intersect(entries_of(distinct), _strings(SEED_STARTS)) if d == "seed" else F.array().cast("array<string>") for d in (*DOMAINS, "seed")}
     log_bin = lambda share: F.least(F.lit(N_BINS - 1), F.greatest(F.lit(0), F.floor(F.log2(share * 4096 + 1)).cast("int")))
     part = lambda x: F.least(F.lit(N_BINS - 1), F.floor(x * N_BINS).cast("int"))
     lines, seeds = F.split(text, "\n"), _strings(sorted(w.decode() for w in SEED))
+    bare = lambda w: F.regexp_replace(w, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
     out = [
         log_bin(_share(marks, "[^A-Z]+", text)),
         log_bin(_share(marks, "[^0-9]+", text)),
@@ -99,24 +104,22 @@ def features(text: Column, words: Column | None = None, distinct: Column | None
         log_bin(_share(marks, "[^.,;:]+", text)),
         log_bin(_blank_share(text) * 0.999),
         F.least(F.lit(N_BINS - 1), F.floor(F.log2(F.length(text) / 16 + 1)).cast("int")),
-        F.least(F.lit(N_BINS - 1), F.when(F.arrays_overlap(distinct, seeds), F.size(F.filter(words, lambda w: F.array_contains(seeds, w)))).otherwise(0)),
+        F.least(F.lit(N_BINS - 1), F.when(F.size(hits["seed"]) > 0, F.size(F.filter(words, lambda w: F.array_contains(seeds, bare(w))))).otherwise(0)),
         part(F.size(distinct) / F.size(words)),
         part(F.size(F.array_distinct(lines)) / F.size(lines)),
     ]
     for d in DOMAINS:
-        found = hits[d] if hits else F.array().cast("array<string>")
-        listed = F.when(F.size(found) == 0, F.lit(0)).otherwise(F.size(_listed(words, found)))
+        found = hits[d]
+        listed = F.when(F.size(found) == 0, F.lit(0)).otherwise(F.size(F.filter(words, lambda w: F.array_contains(found, F.substring(w, 1, PREFIX)))))
         out += [F.least(F.lit(N_BINS - 1), F.size(found)), F.least(F.lit(N_BINS - 1), listed), log_bin(listed / F.size(words))]
     return out
 
 
-def _listed(words: Column, entries: Column) -> Column:
-    """The words, repeats included, that stand for one of ``entries``."""
-    return F.filter(words, lambda w: F.array_contains(entries, w) | F.array_contains(entries, F.concat(F.substring(w, 1, PREFIX), F.lit("*"))))
+SEED_STARTS = sorted({w.decode()[:PREFIX] for w in SEED})
 
 
 def _strings(values: list[str]) -> Column:
-    """A constant array, as one literal whatever its length; words hold no spaces."""
+    """A constant array, as one literal whatever its length; the values hold no white space."""
     return F.split(F.lit(" ".join(values)), " ")
 
 
@@ -126,7 +129,7 @@ def mine(texts: DataFrame) -> WordLists:
     sizes = {r["domain"]: r["count"] for r in texts.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     seen = texts.select("domain", F.explode(F.array_distinct(entries_of(F.array_distinct(words_of(F.col("text")))))).alias("entry"))
-    per = materialize(seen.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("domain") == d).cast("long")).alias(d) for d in DOMAINS)).where("n >= 2 and entry not in ('', '*')"), "entries")
+    per = materialize(seen.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("domain") == d).cast("long")).alias(d) for d in DOMAINS)).where("n >= 2 and entry <> ''"), "entries")
     at_least = 2 * math.log(max(2, per.count()))
     lists = WordLists()
     for d in DOMAINS:
@@ -159,14 +162,18 @@ def text_of(docs: DataFrame) -> Column:
 def binned(docs: DataFrame, lists: WordLists, keep: list[Column]) -> DataFrame:
     """The columns ``keep``, tokens and bins (array of int) of every row; each part is computed once."""
     text, marks, words, distinct, entries = (F.col(f"__{x}") for x in ("text", "marks", "words", "distinct", "entries"))
-    hits = {d: F.col(f"__of_{d}") for d in DOMAINS}
+    hits = {d: F.col(f"__of_{d}") for d in (*DOMAINS, "seed")}
+    listed = lists.words | {"seed": SEED_STARTS}
     none = F.array().cast("array<string>")
     rows = once(docs.select(*keep, text_of(docs).alias("__text")), words_of(text).alias("__words"), F.regexp_replace(text, PLAIN, "").alias("__marks"))
     rows = once(rows, F.array_distinct(words).alias("__distinct"))
     rows = once(rows, entries_of(distinct).alias("__entries"))
-    rows = once(rows, *((F.array_intersect(entries, _strings(lists.words[d])) if lists.words.get(d) else none).alias(f"__of_{d}") for d in DOMAINS))
-    rows = once(rows, tokens_of(text).cast("long").alias("__tokens"), F.array(*features(text, words, distinct, marks, hits)).alias("__bins"))
-    return rows.drop("__text", "__marks", "__words", "__distinct", "__entries", *(f"__of_{d}" for d in DOMAINS))
+    # one look at a text's entries for all lists, and then at the few it has
+    either = sorted({x for own in listed.values() for x in own})
+    rows = once(rows, F.array_intersect(entries, _strings(either)).alias("__any"))
+    rows = once(rows, *((F.array_intersect(F.col("__any"), _strings(listed[d])) if listed.get(d) else none).alias(f"__of_{d}") for d in hits))
+    kept = [quoted(c) for c in docs.select(*keep).columns]
+    return rows.select(*kept, tokens_of(words).cast("long").alias("__tokens"), F.array(*features(text, words, distinct, marks, hits)).alias("__bins"))
 
 
 @dataclass
