@@ -108,10 +108,11 @@ def lexical_query(x: Column) -> Column:
 
 
 def lexical_terms(x: Column) -> Column:
-    """Search terms with a light plural stem."""
+    """Search terms with a light plural stem, and the acronyms of capitalised phrases."""
     stop = F.array(*map(F.lit, STOPWORDS))
     words = F.filter(tokens(x), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
-    return F.array_distinct(F.transform(words, lambda t: F.when(F.length(t) > 4, F.regexp_replace(t, "s$", "")).otherwise(t)))
+    stems = F.transform(words, lambda t: F.when(F.length(t) > 4, F.regexp_replace(t, "s$", "")).otherwise(t))
+    return F.array_distinct(F.concat(stems, acronyms(F.coalesce(x, F.lit("")))))
 
 
 def token_estimate(x: Column) -> Column:
@@ -142,7 +143,7 @@ def grid_to_markdown(grid: Column) -> Column:
     width = F.array_max(F.transform(grid, F.size))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
     rows = F.transform(grid, lambda r: markdown_row(r, width))
-    return F.array_join(F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, 2, 1_000_000)), "\n")
+    return F.array_join(F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, F.lit(2), F.size(rows))), "\n")
 
 
 def dot_ratio(x: Column) -> Column:

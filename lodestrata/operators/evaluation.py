@@ -34,30 +34,37 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def platt_curves(df: DataFrame, group: str, score: str, label: str, steps: int = 400, rate: float = 0.05) -> DataFrame:
-    """(group, a, b) of sigmoid(a * score + b) per group, class-balanced gradient descent over
-    score values counted per group; a group with one class keeps its raw scores (a null)."""
-    counted = df.groupBy(group, score, label).count()
+    """(group, a, b, positives, negatives) of sigmoid(a * score + b) per group, class-balanced
+    gradient descent over score values counted per group; a group with one class keeps its raw
+    scores (a null). The counts give back the base rate that balancing leaves out."""
+    counted, names = df.groupBy(group, score, label).count(), [group, "a", "b", "positives", "negatives"]
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y, n = rows[score].to_numpy(float), rows[label].to_numpy(float), rows["count"].to_numpy(float)
         pos, neg = (n * y).sum(), (n * (1 - y)).sum()
         if not pos or not neg:
-            return pd.DataFrame([[key[0], np.nan, np.nan]], columns=[group, "a", "b"])
+            return pd.DataFrame([[key[0], np.nan, np.nan, int(pos), int(neg)]], columns=names)
         w = n * np.where(y > 0, 0.5 / pos, 0.5 / neg)
         a, b = 1.0, 0.0
         for _ in range(steps):
             err = w * (1 / (1 + np.exp(-np.clip(a * x + b, -60, 60))) - y)
             a, b = a - rate * (err * x).sum(), b - rate * err.sum()
-        return pd.DataFrame([[key[0], a, b]], columns=[group, "a", "b"])
+        return pd.DataFrame([[key[0], a, b, int(pos), int(neg)]], columns=names)
 
     kind = dict(df.dtypes)[group]
     # distinct scores are rounded by the caller, which bounds a group
-    return counted.groupBy(group).applyInPandas(fit, f"{group} {kind}, a double, b double")
+    return counted.groupBy(group).applyInPandas(fit, f"{group} {kind}, a double, b double, positives long, negatives long")
 
 
-def platt(score: Column, a: Column, b: Column) -> Column:
+def platt(score: Column, a: Column, b: Column, positives: Column | None = None, negatives: Column | None = None) -> Column:
+    """The calibrated probability. With the counts of the fit the balanced posterior is brought
+    back to the base rate, so that types of unequal rarity can be compared."""
     z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), a * score + b))
-    return F.when(a.isNull() | F.isnan(a), score).otherwise(1 / (1 + F.exp(-z)))
+    p = 1 / (1 + F.exp(-z))
+    if positives is not None:
+        rate = F.try_divide(positives.cast("double"), positives + negatives)
+        p = F.when((rate > 0) & (rate < 1), p * rate / (p * rate + (1 - p) * (1 - rate))).otherwise(p)
+    return F.when(a.isNull() | F.isnan(a), score).otherwise(p)
 
 
 def citation_scores(cited: Column, expected: Column) -> tuple[Column, Column, Column]:

@@ -20,11 +20,15 @@ def bind_quarter(question: Column) -> Column:
     return the_only(F.regexp_extract_all(F.upper(question), F.lit(r"\bQ([1-4])\b"), 1)).cast("int")
 
 
+def plain_words(text: Column) -> Column:
+    """Words of letters, digits and underscores of any script, in lower case."""
+    return F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != "")
+
+
 def mentions(text: Column, value: Column) -> Column:
-    """``value`` stands in ``text`` as whole words; compared without regard to case."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
-    needle = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", " ")), F.lit(" "))
-    return padded.contains(needle)
+    """``value``, punctuation included, stands in ``text`` with no word character at either side."""
+    exact = F.regexp_replace(F.lower(F.trim(value)), r"([^\p{L}\p{N}\s])", r"\\$1")
+    return F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)(?<!\w)"), exact, F.lit(r"(?!\w)")))
 
 
 def vocabulary(rows: DataFrame, promoted: list[str], json_column: str = "dimensions", least: int = 2, most: int = 200) -> DataFrame:
@@ -39,10 +43,15 @@ def vocabulary(rows: DataFrame, promoted: list[str], json_column: str = "dimensi
 
 def bind_dimensions(questions: DataFrame, vocab: DataFrame) -> DataFrame:
     """(question_id, dimension, value): per dimension the longest value a question mentions, of
-    three letters on and not a number. The vocabulary is bounded by its own HAVING, so the pairs
-    are questions times at most a few hundred values."""
-    usable = vocab.where((F.length("value") >= 3) & ~F.col("value").rlike("^[0-9.]+$"))
-    hits = questions.join(F.broadcast(usable), mentions(F.col("question"), F.col("value")))
+    three characters on and not a number or code of digits. Runs of a question's words, up to as
+    many as the longest value has, meet the vocabulary in a join on equal words; the few pairs
+    that come of it are then compared exactly."""
+    usable = vocab.where((F.length(F.trim("value")) >= 3) & ~F.col("value").rlike(r"^[-.0-9\s]+$")).withColumn("key", F.array_join(plain_words(F.col("value")), " ")).where("key <> ''")
+    longest = usable.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
+    words = questions.select("question_id", "question", plain_words(F.col("question")).alias("w"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
+    asked = words.where(F.size("w") > 0).select("question_id", "question", F.explode(F.array_distinct(runs)).alias("key")) if longest else words.select("question_id", "question", F.lit("").alias("key")).limit(0)
+    hits = asked.join(usable, "key").where(mentions(F.col("question"), F.col("value")))
     return hits.groupBy("question_id", "dimension").agg(F.max_by("value", F.struct(F.length("value").alias("n"), "value")).alias("value"))
 
 

@@ -26,6 +26,10 @@ def active(rows: DataFrame, revisions: DataFrame) -> DataFrame:
     return rows.join(revisions.where("state = 'active'").select("revision_id"), "revision_id")
 
 
+#: Where rows of each source keep their further attributes.
+JSON_COLUMN = {"facts": "dimensions", "records": "attributes"}
+
+
 def filtered(plan: Plan, rows: DataFrame) -> DataFrame:
     if plan.table_number is not None:
         rows = rows.where(F.col("table_number") == plan.table_number)
@@ -34,7 +38,7 @@ def filtered(plan: Plan, rows: DataFrame) -> DataFrame:
     for name, value in plan.dedupe:
         rows = rows.where(F.try_element_at("attributes", F.lit(name)) == value)
     for f in plan.filters:
-        rows = rows.where(predicate(f))
+        rows = rows.where(predicate(f, JSON_COLUMN[plan.source]))
     return rows
 
 
@@ -51,17 +55,17 @@ def ordering(columns: list[str], descending: bool, by: str) -> list[Column]:
     return [first, *(F.col(c).asc_nulls_last() for c in columns if c != by)]
 
 
-def execute(plan: Plan, rows: DataFrame) -> DataFrame:
-    """The plan's answer: group columns and ``value``, or for a select the rows' own columns."""
+def execute(plan: Plan, rows: DataFrame, revisions: DataFrame | None = None) -> DataFrame:
+    """The plan's answer: group columns and ``value``, or for a select the rows' own columns.
+    Only rows of active revisions count; ``rows`` of a source without revisions go without."""
     plan.validate()
-    rows = filtered(plan, rows)
-    keys = [F.try_element_at(F.col("dimensions"), F.lit(k)).alias(k) for k in plan.json_keys]
+    rows = filtered(plan, rows if revisions is None else active(rows, revisions))
     if plan.operation == "select":
-        columns = [*plan.group_by, *plan.json_keys, "value"]
-        out = rows.select(*plan.group_by, *keys, F.col("value_numeric").alias("value"))
-        return out.orderBy(*ordering(columns, plan.descending, plan.order_by or columns[0])).limit(plan.limit)
-    out = rows.groupBy(*plan.group_by, *keys).agg(aggregated(plan).alias("value"))
-    names = [*plan.group_by, *plan.json_keys]
+        value = [F.col("value_numeric").alias("value")] if plan.source == "facts" else []
+        out = rows.select(*plan.group_by, *(F.try_element_at(F.col(JSON_COLUMN[plan.source]), F.lit(k)).alias(k) for k in plan.json_keys), *value)
+        return out.orderBy(*ordering(out.columns, plan.descending, plan.order_by or out.columns[0])).limit(plan.limit)
+    names = list(plan.group_by)
+    out = rows.groupBy(*names).agg(aggregated(plan).alias("value"))
     if plan.operation == "rank" or plan.order_by:
         return out.orderBy(*ordering([*names, "value"], plan.descending, plan.order_by or "value")).limit(plan.limit)
     return out.orderBy(*(F.col(c).asc_nulls_last() for c in names)).limit(plan.limit) if names else out

@@ -59,9 +59,12 @@ def q_platt_fit(spark, sf_dir):
     return E.platt_curves(scored(spark, sf_dir), "lang", "score", "quality").select("lang", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
-@query(f"""WITH {_SCORED} SELECT doc_id, round(1 / (1 + exp(-greatest(-60, least(60, 2.5 * score - 1)))), 6) AS calibrated FROM s""")
+@query(f"""WITH {_SCORED}, n AS (SELECT sum(quality) AS pos, sum(1 - quality) AS neg FROM s), p AS (SELECT doc_id, 1 / (1 + exp(-greatest(-60, least(60, 2.5 * score - 1)))) AS p FROM s)
+SELECT doc_id, round(p * pos / (p * pos + (1 - p) * neg), 6) AS calibrated FROM p, n""")
 def q_platt_apply(spark, sf_dir):
-    return scored(spark, sf_dir).select("doc_id", F.round(E.platt(F.col("score"), F.lit(2.5), F.lit(-1.0)), 6).alias("calibrated"))
+    s = scored(spark, sf_dir)
+    n = s.agg(F.sum("quality"), F.sum(1 - F.col("quality"))).first()
+    return s.select("doc_id", F.round(E.platt(F.col("score"), F.lit(2.5), F.lit(-1.0), F.lit(n[0] or 0), F.lit(n[1] or 0)), 6).alias("calibrated"))
 
 
 @query("""SELECT doc_id, CAST((dense_rank() OVER (ORDER BY source) - 1) % 5 AS INTEGER) AS fold FROM documents""")

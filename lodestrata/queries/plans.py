@@ -18,7 +18,7 @@ def _by_period(aggregate: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         plan = Plan(aggregate=aggregate, filters=(SINCE,), group_by=("metric_name", "year", "quarter"), limit=200)
         kind = "long" if aggregate == "count" else "double"
-        return execute(plan, facts(spark, sf_dir)).withColumn("value", F.round(F.col("value").cast(kind), 6))
+        return execute(plan, facts(spark, sf_dir), registry_rows(spark)).withColumn("value", F.round(F.col("value").cast(kind), 6))
 
     return run
 
@@ -27,7 +27,7 @@ for _a in ("sum", "avg", "count", "min", "max"):
     _f = _by_period(_a)
     _f.__name__ = f"q_plan_{_a}"
     _value = "count(value_numeric)" if _a == "count" else "round(sum(value_numeric)::DOUBLE / count(value_numeric), 6)" if _a == "avg" else f"round({_a}(value_numeric)::DOUBLE, 6)"
-    query(f"WITH {FACTS} SELECT metric_name, year, quarter, {_value} AS value FROM facts WHERE year >= 1996 GROUP BY ALL ORDER BY metric_name, year, quarter LIMIT 200")(_f)
+    query(f"WITH {FACTS} SELECT metric_name, year, quarter, {_value} AS value FROM facts WHERE revision_id IN ('1', '2') AND year >= 1996 GROUP BY ALL ORDER BY metric_name, year, quarter LIMIT 200")(_f)
 
 
 @query("WITH o AS (SELECT o_orderstatus AS status, year(o_orderdate) AS year FROM orders) SELECT status, CAST(year AS INTEGER) AS year, count(*) AS value FROM o GROUP BY ALL")
@@ -35,32 +35,34 @@ def q_plan_record_count(spark, sf_dir):
     return execute(Plan(source="records", aggregate="count", group_by=("status", "year")), records(spark, sf_dir))
 
 
-@query(f"WITH {FACTS} SELECT metric_name, region, round(sum(value_numeric)::DOUBLE, 6) AS value FROM facts WHERE year <> 1998 AND quarter <= 3 AND quarter > 1 AND region < 'E' GROUP BY ALL")
+@query(f"WITH {FACTS} SELECT metric_name, region, round(sum(value_numeric)::DOUBLE, 6) AS value FROM facts WHERE revision_id IN ('1', '2') AND year <> 1998 AND quarter <= 3 AND quarter > 1 AND region < 'E' GROUP BY ALL")
 def q_plan_filters(spark, sf_dir):
     f = (Filter("year", "ne", 1998), Filter("quarter", "lte", 3), Filter("quarter", "gt", 1), Filter("region", "lt", "E"))
-    return execute(Plan(filters=f, group_by=("metric_name", "region")), facts(spark, sf_dir)).withColumn("value", F.round(F.col("value").cast("double"), 6))
+    return execute(Plan(filters=f, group_by=("metric_name", "region")), facts(spark, sf_dir), registry_rows(spark)).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
-@query(f"WITH {FACTS} SELECT metric_name, priority, round(sum(value_numeric)::DOUBLE, 6) AS value FROM facts WHERE priority > '2' GROUP BY ALL")
+@query(f"WITH {FACTS} SELECT metric_name, region, round(sum(value_numeric)::DOUBLE, 6) AS value FROM facts WHERE revision_id IN ('1', '2') AND priority > '2' GROUP BY ALL")
 def q_plan_json_filter(spark, sf_dir):
-    plan = Plan(filters=(Filter("priority", "gt", 2, json_key=True),), group_by=("metric_name",), json_keys=("priority",))
-    return execute(plan, facts(spark, sf_dir)).withColumn("value", F.round(F.col("value").cast("double"), 6))
+    plan = Plan(filters=(Filter("priority", "gt", 2, json_key=True),), group_by=("metric_name", "region"))
+    return execute(plan, facts(spark, sf_dir), registry_rows(spark)).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
-@query(f"""WITH {FACTS}, t AS (SELECT nation, region, sum(value_numeric) AS v FROM facts GROUP BY ALL)
-SELECT nation, region, round(v::DOUBLE, 6) AS value, row_number() OVER (ORDER BY v DESC NULLS LAST, region, nation) AS rank FROM t ORDER BY rank LIMIT 10""", long="rank")
+@query(f"""WITH {FACTS}, t AS (SELECT line_type, region, sum(value_numeric) AS v FROM facts WHERE revision_id IN ('1', '2') GROUP BY ALL)
+SELECT line_type, region, round(v::DOUBLE, 6) AS value, row_number() OVER (ORDER BY v DESC NULLS LAST, region, line_type) AS rank FROM t ORDER BY rank LIMIT 10""", long="rank")
 def q_plan_rank(spark, sf_dir):
-    top = execute(Plan(operation="rank", group_by=("region",), json_keys=("nation",), limit=10), facts(spark, sf_dir))
+    top = execute(Plan(operation="rank", group_by=("region", "line_type"), limit=10), facts(spark, sf_dir), registry_rows(spark))
     from pyspark.sql import Window
 
-    order = Window.orderBy(F.col("value").desc_nulls_last(), "region", "nation")  # over the ten rows of the answer
+    order = Window.orderBy(F.col("value").desc_nulls_last(), "region", "line_type")  # over the ten rows of the answer
     return top.withColumn("rank", F.row_number().over(order)).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
-@query(f"WITH {FACTS} SELECT metric_name, year, nation, value_numeric::DOUBLE AS value FROM facts WHERE year = 1996 ORDER BY value_numeric DESC NULLS LAST, metric_name, year, nation LIMIT 50")
+@query("""SELECT status, year, record_id, exact_duplicate_index FROM (SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey AS record_id, CAST(o_custkey % 3 AS VARCHAR) AS exact_duplicate_index FROM orders) AS o
+WHERE year = 1996 AND exact_duplicate_index > '0' ORDER BY record_id DESC NULLS LAST, status, year, exact_duplicate_index LIMIT 50""")
 def q_plan_select(spark, sf_dir):
-    plan = Plan(operation="select", filters=(Filter("year", "eq", 1996),), group_by=("metric_name", "year"), json_keys=("nation",), order_by="value", limit=50)
-    return execute(plan, facts(spark, sf_dir)).withColumn("value", F.col("value").cast("double"))
+    f = (Filter("year", "eq", 1996), Filter("exact_duplicate_index", "gt", 0, json_key=True))
+    plan = Plan(source="records", operation="select", filters=f, group_by=("status", "year", "record_id"), json_keys=("exact_duplicate_index",), order_by="record_id", limit=50)
+    return execute(plan, records(spark, sf_dir))
 
 
 @query(f"WITH {FACTS} SELECT revision_id, count(*) AS n, round(sum(value_numeric)::DOUBLE, 6) AS total FROM facts WHERE revision_id IN ('1', '2') GROUP BY ALL")
@@ -131,7 +133,7 @@ def q_bind_period(spark, sf_dir):
 
 @query(f"""WITH {_QUESTIONS}, v AS (SELECT DISTINCT 'nation' AS dimension, n_name AS value FROM nation UNION SELECT DISTINCT 'priority', o_orderpriority FROM orders),
 h AS (SELECT question_id, dimension, value, row_number() OVER (PARTITION BY question_id, dimension ORDER BY length(value) DESC, value DESC) AS n FROM q, v
- WHERE length(value) >= 3 AND NOT regexp_matches(value, '^[0-9.]+$') AND contains(' ' || regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) || ' '))
+ WHERE length(value) >= 3 AND NOT regexp_matches(value, '^[-.0-9]+$') AND contains(lower(question), lower(trim(value))) AND contains(' ' || regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) || ' '))
 SELECT question_id, dimension, value FROM h WHERE n = 1""")
 def q_bind_dimensions(spark, sf_dir):
     nations = read(spark, sf_dir, "nation").select(F.lit("nation").alias("dimension"), F.col("n_name").alias("value"))
@@ -146,10 +148,13 @@ def q_excel_gate(spark, sf_dir):
     return r.select("region", "metric_name", bind.gate(F.col("value"), [(F.col("kinds") < 2, "one segment")]).alias("outcome"))
 
 
-@query("""SELECT * FROM (VALUES ('two axes', 'clarify'), ('bad aggregate', 'reject'), ('sum of records', 'reject'), ('limit 0', 'reject'), ('plain', 'accept')) t(plan, verdict)""")
+@query("""SELECT * FROM (VALUES ('two axes', 'clarify'), ('bad aggregate', 'reject'), ('sum of records', 'reject'), ('limit 0', 'reject'), ('plain', 'accept'), ('reporting year', 'clarify'), ('reporting year of a vintage', 'accept'), ('keys of facts', 'reject'), ('keys of records', 'accept'), ('keys of a count', 'reject')) t(plan, verdict)""")
 def q_plan_clarify(spark, sf_dir):
     """Validation is part of plan building; the verdicts come from the validator itself."""
     plans = {"two axes": Plan(table_number=14, filters=(Filter("year", "eq", 2023),)), "bad aggregate": Plan(aggregate="median"), "sum of records": Plan(source="records"), "limit 0": Plan(limit=0), "plain": Plan(table_number=2)}
+    year, keys = Filter("reporting_year", "eq", 2023), ("exact_duplicate_index",)
+    plans |= {"reporting year": Plan(table_number=15, filters=(year,)), "reporting year of a vintage": Plan(table_number=15, filters=(year, Filter("source_vintage_year", "eq", 2022)))}
+    plans |= {"keys of facts": Plan(operation="select", json_keys=keys), "keys of records": Plan(source="records", operation="select", json_keys=keys), "keys of a count": Plan(source="records", aggregate="count", json_keys=keys)}
 
     def verdict(p: Plan) -> str:
         try:

@@ -100,13 +100,15 @@ def q_lexical_topk(spark, sf_dir):
     return lexical_scores(spark, sf_dir).where("score > 0").select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(30)
 
 
-_CAP = "list_distinct(regexp_extract_all(lower(caption), '([a-z0-9]+)', 1))"
+_STOP = ",".join(f"'{w}'" for w in T.STOPWORDS)
+_ACRONYMS = r"list_transform(regexp_extract_all(caption, '\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){2,}\b'), lambda r: lower(array_to_string(list_transform(regexp_split_to_array(r, '\s+'), lambda x: x[1]), '')))"
+_CAP = f"list_distinct(list_concat(list_transform(list_filter(regexp_extract_all(lower(caption), '([a-z0-9]+)', 1), lambda t: length(t) >= 3 AND NOT list_contains([{_STOP}], t)), lambda t: CASE WHEN length(t) > 4 THEN regexp_replace(t, 's$', '') ELSE t END), {_ACRONYMS}))"
 
 
 @query(f"""WITH {CHUNKS}, p AS (SELECT chunk_id, content_type, {_CAP} AS c FROM chunks)
 SELECT chunk_id, round(CASE WHEN content_type = 'narrative' OR len(c) = 0 THEN 0 ELSE len(list_intersect({_LIST}, c)) / sqrt(6.0 * len(c)) END, 6) AS prior FROM p""")
 def q_caption_prior(spark, sf_dir):
-    prior = T.overlap_prior(F.array(*map(F.lit, _TERMS)), F.array_distinct(T.tokens(F.col("caption"))))
+    prior = T.overlap_prior(F.array(*map(F.lit, _TERMS)), T.lexical_terms(F.col("caption")))
     return chunks(spark, sf_dir).select("chunk_id", F.round(F.when(F.col("content_type") == "narrative", F.lit(0.0)).otherwise(prior), 6).alias("prior"))
 
 

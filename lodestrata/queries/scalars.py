@@ -202,7 +202,9 @@ _STOP = ",".join(f"'{w}'" for w in T.STOPWORDS)
 
 
 @query(f"""WITH b AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda t: length(t) >= 3 AND NOT list_contains([{_STOP}], t)) AS w FROM benchmark),
-u AS (SELECT item_id, unnest(w) AS t FROM b), s AS (SELECT item_id, CASE WHEN length(t) > 4 THEN regexp_replace(t, 's$', '') ELSE t END AS t FROM u)
+a AS (SELECT item_id, unnest(regexp_extract_all(text, '\\b[A-Z][A-Za-z]+(?:\\s+[A-Z][A-Za-z]+){{2,}}\\b')) AS phrase FROM benchmark),
+u AS (SELECT item_id, unnest(w) AS t FROM b), s AS (SELECT item_id, CASE WHEN length(t) > 4 THEN regexp_replace(t, 's$', '') ELSE t END AS t FROM u
+ UNION ALL SELECT item_id, lower(array_to_string(list_transform(regexp_split_to_array(phrase, '\\s+'), lambda x: x[1]), '')) FROM a)
 SELECT item_id, string_agg(DISTINCT t, ' ' ORDER BY t) AS terms FROM s GROUP BY item_id""")
 def q_lexical_terms(spark, sf_dir):
     out = read(spark, sf_dir, "benchmark").select("item_id", T.lexical_terms(F.col("text")).alias("t"))

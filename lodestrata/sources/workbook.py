@@ -83,7 +83,7 @@ def workbook_rows(files: DataFrame) -> DataFrame:
                 try:
                     rows = [{"path": path, "sheet": s, "row": n, "cells": c, "error": None} for s, n, c in sheets(content)]
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError) as x:
-                    rows = [{"path": path, "sheet": None, "row": None, "cells": None, "error": f"{type(x).__name__}: {x}"[:2000]}]
+                    rows = [{"path": path, "sheet": None, "row": None, "cells": None, "error": f"{type(x).__name__}: {x}"}]
                 for i in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_pylist(rows[i : i + 5000], schema=kind)
 

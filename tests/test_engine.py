@@ -154,3 +154,28 @@ def test_stream_windows(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(src)
     S.append_to(S.windowed_counts(stream).select("window.start", "n", "total"), out, check).awaitTermination(120)
     assert [(r["n"], r["total"]) for r in spark.read.parquet(out).where("start < '2024-01-01 02:00:00'").collect()] == [(2, 3.0)]
+
+
+def test_validation_of_years_and_keys():
+    year, keys = Filter("reporting_year", "eq", 2023), ("k",)
+    with pytest.raises(ClarificationNeeded):
+        Plan(table_number=14, filters=(year,)).validate()
+    for axis in ("year_basis", "source_vintage_year"):
+        Plan(table_number=14, filters=(year, Filter(axis, "eq", 1))).validate()
+    Plan(table_number=14, filters=(year,), require_year_basis=False).validate()
+    Plan(source="records", operation="select", json_keys=keys).validate()
+    for bad in (Plan(json_keys=keys), Plan(operation="select", json_keys=keys), Plan(source="records", aggregate="count", json_keys=keys)):
+        with pytest.raises(PlanError):
+            bad.validate()
+
+
+def test_only_active_revisions_count(spark):
+    rows = spark.createDataFrame([("1", "a", 2.0), ("2", "a", 5.0)], "revision_id string, metric_name string, value_numeric double").withColumn("dimensions", F.create_map(F.lit("k"), F.lit("v")))
+    revisions = spark.createDataFrame([("1", "superseded"), ("2", "active")], "revision_id string, state string")
+    assert execute(Plan(), rows, revisions).first()["value"] == 5.0
+
+
+def test_binding_is_bounded_by_words_of_any_script(spark):
+    q = spark.createDataFrame([(1, "Los Ángeles pole 12-34 counts"), (2, "poles in Ángel land, tier-3 (high)")], "question_id long, question string")
+    vocab = spark.createDataFrame([("place", "ngeles"), ("place", "Ángel"), ("code", "12-34"), ("kind", "Pole"), ("tier", "Tier-3 (High)"), ("tier", "Tier 3")], "dimension string, value string")
+    assert sorted((r["question_id"], r["dimension"], r["value"]) for r in bind.bind_dimensions(q, vocab).collect()) == [(1, "kind", "Pole"), (2, "place", "Ángel"), (2, "tier", "Tier-3 (High)")]
