@@ -47,9 +47,10 @@ def leaf_sections(outline: DataFrame, document: str, position: str, depth: str)
 
 
 def innermost(points: DataFrame, spans: DataFrame, document: str, point: str, start: str, end: str, leaf: str) -> DataFrame:
-    """Per point the span that contains it and starts last. Joined on the document; a document's
-    spans are its outline."""
-    hits = points.join(spans, document).where((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end)))
+    """Per point the span that contains it and starts last. Points and ends are whole numbers,
+    as pages are: a span meets its points in a join on document and page, as many rows as it has pages."""
+    pages = spans.where(F.col(start) <= F.col(end)).select(document, start, leaf, F.explode(F.sequence(F.col(start), F.col(end))).alias(point))
+    hits = points.join(pages, [document, point])
     return hits.groupBy(document, point).agg(F.max_by(leaf, F.struct(F.col(start), F.col(leaf))).alias(leaf))
 
 

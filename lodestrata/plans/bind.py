@@ -55,10 +55,43 @@ def bind_dimensions(questions: DataFrame, vocab: DataFrame) -> DataFrame:
     return hits.groupBy("question_id", "dimension").agg(F.max_by("value", F.struct(F.length("value").alias("n"), "value")).alias("value"))
 
 
+#: Tables of records, words that ask for a count, and the score a card needs.
+ENTITY_TABLES = (1, 13)
+COUNT_CUES = ("how many", "number of", "count of", "how much")
+MIN_CARD_SCORE = 0.30
+
+
 def gate(result: Column, reasons: list[tuple[Column, str]]) -> Column:
-    """``answer``, or the first reason to decline that holds."""
-    out = F.when(result.isNull(), F.lit("declined: no value"))
-    chain = None
-    for condition, reason in reasons:
-        chain = F.when(condition, F.lit(f"declined: {reason}")) if chain is None else chain.when(condition, F.lit(f"declined: {reason}"))
-    return F.coalesce(chain, out, F.lit("answer")) if chain is not None else F.coalesce(out, F.lit("answer"))
+    """``answer``, or the first reason to decline that holds, a missing result last."""
+    out = F.when(result.isNull(), F.lit("declined: no value")).otherwise(F.lit("answer"))
+    for condition, reason in reversed(reasons):
+        out = F.when(condition, F.lit(f"declined: {reason}")).otherwise(out)
+    return out
+
+
+def excel_outcome(asked: DataFrame) -> Column:
+    """The gate over one row per question: question, card_score (null: no card), card_table,
+    metric_key, plan_error, bound_year, refusal, value, contributing. A reason stands before
+    those that need what it finds missing."""
+    c = {n: F.col(n) for n in asked.columns}
+    entity = F.coalesce(c["card_table"].isin(*ENTITY_TABLES), F.lit(False))
+    lowered = F.lower(F.coalesce(c["question"], F.lit("")))
+    counts = F.lit(False)
+    for cue in COUNT_CUES:
+        counts = counts | lowered.contains(cue)
+    return gate(
+        c["value"],
+        [
+            (c["card_score"].isNull(), "no card"),
+            (c["card_score"] < MIN_CARD_SCORE, "card below the floor"),
+            (c["card_table"].isNull(), "card names no table"),
+            (entity & ~counts, "records, but no count is asked for"),
+            (~entity & F.coalesce(c["metric_key"] == "", F.lit(True)), "card names no metric"),
+            (c["plan_error"].isNotNull(), "no valid plan"),
+            (c["bound_year"].isNull(), "no period"),
+            (c["refusal"].isNotNull(), "plan refused"),
+            (c["value"].isNull(), "no value"),
+            (entity & (c["value"] == 0), "no records match"),
+            (~entity & (F.coalesce(c["contributing"], F.lit(0)) == 0), "no facts contribute"),
+        ],
+    )

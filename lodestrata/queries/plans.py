@@ -141,11 +141,39 @@ def q_bind_dimensions(spark, sf_dir):
     return bind.bind_dimensions(questions(spark, sf_dir), vocab)
 
 
-@query(f"""WITH {FACTS}, r AS (SELECT region, metric_name, sum(CASE WHEN year = 1998 THEN value_numeric END) AS value, count(DISTINCT line_type) AS kinds FROM facts GROUP BY ALL)
-SELECT region, metric_name, CASE WHEN kinds < 2 THEN 'declined: one segment' WHEN value IS NULL THEN 'declined: no value' ELSE 'answer' END AS outcome FROM r""")
+_CARDS = """c AS (SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 3 = 0 THEN 'How many orders in ' ELSE 'Total of orders in ' END || CASE WHEN o_orderkey % 7 < 5 THEN CAST(2018 + year(o_orderdate) % 8 AS VARCHAR) ELSE 'all years' END || '?' AS question,
+ CASE WHEN o_orderkey % 11 > 0 THEN (o_orderkey % 13) / 12.0 END AS card_score, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 13 WHEN 2 THEN 14 ELSE 2 END AS card_table, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'spend' END AS metric_key,
+ CASE WHEN o_orderkey % 17 = 0 THEN 'bad' END AS plan_error FROM orders),
+f AS (SELECT l_orderkey AS question_id, sum(CASE WHEN l_quantity > 10 THEN l_quantity END) AS total, count(*) FILTER (l_quantity > 25) AS n FROM lineitem GROUP BY 1)"""
+
+
+@query(f"""WITH {_CARDS}, m AS (SELECT c.*, list_distinct(regexp_extract_all(question, '\\b(20[23][0-9])\\b', 1)) AS y, CASE WHEN card_table = 13 THEN n ELSE total END AS value, n AS contributing FROM c LEFT JOIN f USING (question_id))
+SELECT question_id, CASE WHEN card_score IS NULL THEN 'declined: no card' WHEN card_score < 0.3 THEN 'declined: card below the floor' WHEN card_table IS NULL THEN 'declined: card names no table'
+ WHEN card_table = 13 AND NOT contains(lower(question), 'how many') THEN 'declined: records, but no count is asked for' WHEN card_table <> 13 AND coalesce(metric_key, '') = '' THEN 'declined: card names no metric'
+ WHEN plan_error IS NOT NULL THEN 'declined: no valid plan' WHEN len(y) <> 1 THEN 'declined: no period' WHEN card_table = 14 THEN 'declined: plan refused' WHEN value IS NULL THEN 'declined: no value'
+ WHEN card_table = 13 AND value = 0 THEN 'declined: no records match' WHEN card_table <> 13 AND coalesce(contributing, 0) = 0 THEN 'declined: no facts contribute' ELSE 'answer' END AS outcome FROM m""")
 def q_excel_gate(spark, sf_dir):
-    r = facts(spark, sf_dir).groupBy("region", "metric_name").agg(F.sum(F.when(F.col("year") == 1998, F.col("value_numeric"))).alias("value"), F.count_distinct("line_type").alias("kinds"))
-    return r.select("region", "metric_name", bind.gate(F.col("value"), [(F.col("kinds") < 2, "one segment")]).alias("outcome"))
+    """Every reason of the gate on cards and sums from the order tables; table 14 has two year axes."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    year = F.when(key % 7 < 5, (2018 + F.year("o_orderdate") % 8).cast("string")).otherwise(F.lit("all years"))
+    cards = read(spark, sf_dir, "orders").select(
+        key.alias("question_id"),
+        F.concat(F.when(key % 3 == 0, F.lit("How many orders in ")).otherwise(F.lit("Total of orders in ")), year, F.lit("?")).alias("question"),
+        F.when(key % 11 > 0, (key % 13) / 12.0).alias("card_score"),
+        F.when(customer % 5 == 1, 13).when(customer % 5 == 2, 14).when(customer % 5 > 2, 2).alias("card_table"),
+        F.when(customer % 4 == 0, F.lit("")).when(customer % 4 > 1, F.lit("spend")).alias("metric_key"),
+        F.when(key % 17 == 0, F.lit("bad")).alias("plan_error"),
+    )
+    sums = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("question_id")).agg(F.sum(F.when(F.col("l_quantity") > 10, F.col("l_quantity"))).alias("total"), F.count_if(F.col("l_quantity") > 25).alias("contributing"))
+    asked = cards.join(sums, "question_id", "left").withColumn("bound_year", bind.bind_year(F.col("question")))
+    asked = asked.withColumn("value", F.when(F.col("card_table") == 13, F.col("contributing").cast("double")).otherwise(F.col("total")))
+    try:
+        Plan(table_number=14, filters=(Filter("reporting_year", "eq", 2023),)).validate()
+        refused = None
+    except ClarificationNeeded as x:
+        refused = str(x)
+    asked = asked.withColumn("refusal", F.when(F.col("card_table") == 14, F.lit(refused)))
+    return asked.select("question_id", bind.excel_outcome(asked).alias("outcome"))
 
 
 @query("""SELECT * FROM (VALUES ('two axes', 'clarify'), ('bad aggregate', 'reject'), ('sum of records', 'reject'), ('limit 0', 'reject'), ('plain', 'accept'), ('reporting year', 'clarify'), ('reporting year of a vintage', 'accept'), ('keys of facts', 'reject'), ('keys of records', 'accept'), ('keys of a count', 'reject')) t(plan, verdict)""")
