@@ -86,11 +86,12 @@ def entries_of(words: Column) -> Column:
 
 def features(text: Column, words: Column | None = None, distinct: Column | None = None, marks: Column | None = None, hits: dict[str, Column] | None = None) -> list[Column]:
     """Each a bin from 0 to N_BINS - 1; shares on a logarithmic scale. ``text`` is not null;
-    ``hits``: per domain, and for the fixed seed words, the beginnings of them that the text has."""
+    ``hits``: per domain, and for the fixed seed words, those beginnings of the text's words that
+    are on its list, repetitions included."""
     words = words_of(text) if words is None else words
     distinct = F.array_distinct(words) if distinct is None else distinct
     marks = F.regexp_replace(text, PLAIN, "") if marks is None else marks
-    hits = hits or {d: F.array_intersect(entries_of(distinct), _strings(SEED_STARTS)) if d == "seed" else F.array().cast("array<string>") for d in (*DOMAINS, "seed")}
+    hits = hits or {d: _on_list(entries_of(words), SEED_STARTS if d == "seed" else []) for d in (*DOMAINS, "seed")}
     log_bin = lambda share: F.least(F.lit(N_BINS - 1), F.greatest(F.lit(0), F.floor(F.log2(share * 4096 + 1)).cast("int")))
     part = lambda x: F.least(F.lit(N_BINS - 1), F.floor(x * N_BINS).cast("int"))
     lines, seeds = F.split(text, "\n"), _strings(sorted(w.decode() for w in SEED))
@@ -109,15 +110,19 @@ def features(text: Column, words: Column | None = None, distinct: Column | None
         part(F.size(F.array_distinct(lines)) / F.size(lines)),
     ]
     for d in DOMAINS:
-        found = hits[d]
-        listed = F.when(F.size(found) == 0, F.lit(0)).otherwise(F.size(F.filter(words, lambda w: F.array_contains(found, F.substring(w, 1, PREFIX)))))
-        out += [F.least(F.lit(N_BINS - 1), F.size(found)), F.least(F.lit(N_BINS - 1), listed), log_bin(listed / F.size(words))]
+        listed = F.size(hits[d])
+        out += [F.least(F.lit(N_BINS - 1), F.size(F.array_distinct(hits[d]))), F.least(F.lit(N_BINS - 1), listed), log_bin(listed / F.size(words))]
     return out
 
 
 SEED_STARTS = sorted({w.decode()[:PREFIX] for w in SEED})
 
 
+def _on_list(entries: Column, values: list[str]) -> Column:
+    """The entries that are among ``values``, which are hashed once a task and not once a row."""
+    return F.filter(entries, lambda e: e.isin(values))
+
+
 def _strings(values: list[str]) -> Column:
     """A constant array, as one literal whatever its length; the values hold no white space."""
     return F.split(F.lit(" ".join(values)), " ")
@@ -161,17 +166,14 @@ def text_of(docs: DataFrame) -> Column:
 
 def binned(docs: DataFrame, lists: WordLists, keep: list[Column]) -> DataFrame:
     """The columns ``keep``, tokens and bins (array of int) of every row; each part is computed once."""
-    text, marks, words, distinct, entries = (F.col(f"__{x}") for x in ("text", "marks", "words", "distinct", "entries"))
+    text, marks, words, distinct = (F.col(f"__{x}") for x in ("text", "marks", "words", "distinct"))
     hits = {d: F.col(f"__of_{d}") for d in (*DOMAINS, "seed")}
     listed = lists.words | {"seed": SEED_STARTS}
-    none = F.array().cast("array<string>")
     rows = once(docs.select(*keep, text_of(docs).alias("__text")), words_of(text).alias("__words"), F.regexp_replace(text, PLAIN, "").alias("__marks"))
-    rows = once(rows, F.array_distinct(words).alias("__distinct"))
-    rows = once(rows, entries_of(distinct).alias("__entries"))
-    # one look at a text's entries for all lists, and then at the few it has
+    # one look at all beginnings for all lists, and then at the few that are on any
     either = sorted({x for own in listed.values() for x in own})
-    rows = once(rows, F.array_intersect(entries, _strings(either)).alias("__any"))
-    rows = once(rows, *((F.array_intersect(F.col("__any"), _strings(listed[d])) if listed.get(d) else none).alias(f"__of_{d}") for d in hits))
+    rows = once(rows, F.array_distinct(words).alias("__distinct"), _on_list(entries_of(words), either).alias("__any"))
+    rows = once(rows, *(_on_list(F.col("__any"), listed.get(d, [])).alias(f"__of_{d}") for d in hits))
     kept = [quoted(c) for c in docs.select(*keep).columns]
     return rows.select(*kept, tokens_of(words).cast("long").alias("__tokens"), F.array(*features(text, words, distinct, marks, hits)).alias("__bins"))
 
