@@ -18,6 +18,18 @@ SECOND_CLAUSE = (
     r"(?i)(?:\b(?:and|or)\b|[.;?])\s*,?\s*"
     r"(?:what|who|when|where|why|how|which|is|are|was|were|do|does|did|has|have|can|could|should|would|will)\b"
 )
+#: Phrases of source labels and how questions say them.
+LABEL_PHRASES = (
+    (r"\(s\)", "s"),
+    (r"net addition \(or removal\)\s*-\s*", "net change in "),
+    (r"^number of overhead circuit miles upgraded$", "overhead circuit miles upgraded"),
+    (r"\b95 percentile\b", "95th percentile"),
+    (r"\bcold end cotter keys\b", "cold-end cotter keys"),
+    (r"\bother\s*\(specify\)\b", "other equipment"),
+    (r"\bconductor\s*-\s*veg\b", "vegetation-related conductor"),
+)
+#: Acronyms that labels spell in any case.
+LABEL_ACRONYMS = ("PSPS", "HFTD", "FPI", "CALFIRE", "OPI", "SAIDI", "SAIFI", "SCADA", "WMP")
 
 
 def clean(x: Column) -> Column:
@@ -124,9 +136,21 @@ def strip_fence(x: Column) -> Column:
     return F.regexp_replace(F.trim(x), r"^```(?:json)?[ \t]*\n|\n?```$", "")
 
 
+def squeeze(x: Column) -> Column:
+    """Blanks at the ends dropped, runs of them as one space."""
+    return F.trim(F.regexp_replace(x, SPACE, " "))
+
+
 def decomposition_reason(x: Column) -> Column:
     """Why a question holds several, or null."""
-    return F.when(F.length(x) - F.length(F.replace(x, F.lit("?"), F.lit(""))) > 1, F.lit("multiple_questions")).when(F.regexp_like(x, F.lit(SECOND_CLAUSE)), F.lit("second_clause"))
+    q = squeeze(x)
+    return F.when(F.length(q) - F.length(F.replace(q, F.lit("?"), F.lit(""))) > 1, F.lit("multiple_questions")).when(F.regexp_like(q, F.lit(SECOND_CLAUSE)), F.lit("second_clause"))
+
+
+def question_label(x: Column) -> Column:
+    """A source's label as a question says it: no leading number, phrases and acronyms as written out."""
+    said = reduce(lambda c, rule: F.regexp_replace(c, "(?i)" + rule[0], rule[1]), LABEL_PHRASES, F.regexp_replace(squeeze(x), r"^[0-9]+\.\s*", ""))
+    return reduce(lambda c, a: F.regexp_replace(c, rf"(?i)\b{a}\b", a), LABEL_ACRONYMS, said)
 
 
 def markdown_cell(x: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FAMILIES = ("long_metric", "wide_risk", "entity")
@@ -55,6 +57,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
+def signature(settings: dict) -> str:
+    """Digest of all settings that change stored rows: SHA-256 of their JSON with sorted keys and no blanks."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def signed(df: DataFrame, settings: dict[str, Column], name: str = "signature") -> DataFrame:
+    """The same digest per row, of settings that are columns; nulls stay in the JSON. Equal to
+    ``signature`` for texts in ASCII, whole numbers and booleans."""
+    values = F.struct(*(settings[k].alias(k) for k in sorted(settings)))
+    return df.withColumn(name, F.sha2(F.to_json(values, {"ignoreNullFields": "false"}), 256))
+
+
 def changed(sources: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """Sources whose (hash, signature) is not registered as active."""
     done = registry.where("state = 'active'").select(key, "content_hash", "signature")
@@ -78,3 +92,14 @@ def split_bad(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
 def write_revision(df: DataFrame, path: str, keys: list[str]) -> None:
     """Replace only the partitions that ``df`` has."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def reset(spark: SparkSession, tables: list[str], confirmed: bool = False) -> list[str]:
+    """Drops those of the given tables that exist and names them; no other table is touched, and
+    nothing is without ``confirmed``."""
+    if not confirmed:
+        raise ValueError("a reset drops tables: confirm it")
+    found = [t for t in tables if spark.catalog.tableExists(t)]
+    for t in found:
+        spark.sql(f"DROP TABLE {t}")
+    return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -107,3 +108,24 @@ def q_enrich_idempotent(spark, sf_dir):
     mark = "\nDescribing context:"
     enrich = lambda c: F.concat(F.substring_index(c, mark, 1), F.lit(mark + " "), F.col("source"))
     return read(spark, sf_dir, "documents").select("doc_id", enrich(enrich(F.col("text"))).alias("enriched"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT l_orderkey AS d, row_number() OVER w AS n, l_partkey % 3 AS depth, CASE WHEN l_suppkey % 5 = 0 THEN 'File' || l_suppkey || '.PDF' ELSE 'S' || l_suppkey END AS title FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+ up AS (SELECT o.*, (SELECT max(a.n) FROM o a WHERE a.d = o.d AND a.n < o.n AND a.depth < o.depth) AS parent FROM o),
+ t AS (SELECT d, n, depth, title, title AS breadcrumb, CASE WHEN title LIKE '%.PDF' THEN title END AS sub_document FROM up WHERE parent IS NULL
+  UNION ALL SELECT u.d, u.n, u.depth, u.title, CASE WHEN u.title LIKE '%.PDF' THEN u.title ELSE t.breadcrumb || ' > ' || u.title END, CASE WHEN u.title LIKE '%.PDF' THEN u.title ELSE t.sub_document END FROM up u JOIN t ON u.d = t.d AND u.parent = t.n)
+SELECT d AS document, n, CAST(depth AS INTEGER) AS depth, title, breadcrumb, sub_document FROM t""", long="n")
+def q_section_paths(spark, sf_dir):
+    title = F.when(F.col("l_suppkey") % 5 == 0, F.concat(F.lit("File"), F.col("l_suppkey").cast("string"), F.lit(".PDF "))).otherwise(F.concat(F.lit(" S"), F.col("l_suppkey").cast("string")))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    o = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), F.row_number().over(w).alias("n"), (F.col("l_partkey") % 3).alias("depth"), title.alias("title"))
+    return C.section_paths(o, "document", "n", "depth", "title")
+
+
+@query("""WITH p AS (SELECT conv_id AS document, turn AS page, any_value(coalesce(text, '')) AS text FROM conversations GROUP BY ALL), s AS (SELECT document, page AS section, page AS first, page + 1 + page % 3 AS until FROM p)
+SELECT s.document, section, regexp_replace(string_agg(p.text, chr(10) ORDER BY p.page), '^\\s+|\\s+$', '', 'g') AS text FROM s JOIN p ON s.document = p.document AND p.page >= first AND p.page < until GROUP BY 1, 2""")
+def q_section_text(spark, sf_dir):
+    """Conversations as documents, turns as their pages; every turn opens a section of one to three."""
+    p = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document"), F.col("turn").alias("page")).agg(F.first("text").alias("text"))
+    s = p.select("document", F.col("page").alias("section"), F.col("page").alias("first"), (F.col("page") + 1 + F.col("page") % 3).alias("until"))
+    return C.section_texts(s, p, "document", "section", "first", "until", "page", "text").select("document", "section", "text")

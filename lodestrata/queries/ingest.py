@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import values as V
 from lodestrata.operators import ingest as I
+from lodestrata.sources.tables import is_safe_key, object_uri
 from lodestrata.sources.workbook import workbook_bytes, workbook_rows
 
 from .registry import query, read
@@ -67,3 +68,17 @@ def q_workbook_rows(spark, sf_dir):
     files = spark.createDataFrame([("nations.xlsx", bytearray(workbook_bytes({"Sheet1": rows})))], "path string, content binary")
     out = workbook_rows(files)
     return out.select("sheet", (F.col("row") - 1).cast("int").alias("row"), F.array_join("cells", "|").alias("cells"))
+
+
+@query("""SELECT p_partkey, sha256('{"brand":"' || p_brand || '","overlap":null,"size":' || p_size || ',"version":"v1"}') AS signature FROM part""")
+def q_ingest_signature(spark, sf_dir):
+    settings = {"version": F.lit("v1"), "size": F.col("p_size"), "brand": F.col("p_brand"), "overlap": F.lit(None).cast("long")}
+    return I.signed(read(spark, sf_dir, "part"), settings).select("p_partkey", "signature")
+
+
+@query("""SELECT page_id, 's3://bucket/crops/' || page_id || '.png' AS uri, page_id % 3 = 0 AS unsafe FROM pages""")
+def q_object_uri(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    key = F.concat(F.lit("crops/"), F.col("page_id").cast("string"), F.lit(".png"))
+    odd = F.when(F.col("page_id") % 3 == 0, F.concat(F.element_at(F.array(F.lit("/"), F.lit("a/../"), F.lit("C:")), (F.col("page_id") / 3).cast("int") % 3 + 1), key)).otherwise(key)
+    return p.select("page_id", object_uri("s3://bucket/", key).alias("uri"), (~is_safe_key(odd)).alias("unsafe"))

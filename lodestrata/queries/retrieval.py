@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import retrieval as R
+from lodestrata.operators import rewrite as W
 
 from .registry import CHUNKS, chunks, query, read
 
@@ -200,3 +201,22 @@ def q_overlap_evidence(spark, sf_dir):
     first = read(spark, sf_dir, "benchmark").select("item_id", F.lower(F.get(F.split("text", r"[.!?]\s+"), F.lit(0))).alias("needle"))
     d = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
     return d.join(first, F.col("body").contains(F.col("needle"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+_ASKED = "CASE m WHEN 0 THEN 'What is the size of ' || p_name || '? And the price?' WHEN 1 THEN 'What is the size of ' || p_name || ' and how much is it?' ELSE 'What is the size of ' || p_name || '?' END"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_name, p_size % 3 AS m, p_partkey % 4 AS r FROM part), a AS (SELECT *, {_ASKED} AS asked FROM p),
+ x AS (SELECT a.*, mode, (mode = 'always' OR (mode = 'auto' AND m < 2)) AS sent FROM a, (VALUES ('off'), ('auto'), ('always')) AS v(mode))
+SELECT p_partkey, mode, CASE WHEN sent AND r = 0 THEN asked || '|size of ' || p_name || '|price of ' || p_name ELSE asked END AS search_queries,
+ CASE WHEN mode = 'off' THEN 'disabled' WHEN NOT sent THEN 'simple' WHEN r = 0 THEN 'api' ELSE 'fallback' END AS source,
+ CASE WHEN mode = 'off' THEN 'mode_off' WHEN mode = 'always' THEN 'mode_always' WHEN m = 0 THEN 'multiple_questions' WHEN m = 1 THEN 'independent_interrogative_clauses' ELSE 'single_intent' END AS reason FROM x""")
+def q_query_rewrite(spark, sf_dir):
+    """Replies: a fenced list with repeats, an empty list, a list with a number, none at all."""
+    m, r = F.col("p_size") % 3, F.col("p_partkey") % 4
+    asked = F.concat(F.lit(" What is the size of "), "p_name", F.when(m == 0, F.lit("? And the price?")).when(m == 1, F.lit(" and how much is it?")).otherwise(F.lit("? ")))
+    items = F.array(F.concat(F.lit(" size  of "), "p_name"), F.concat(F.lit("SIZE of "), "p_name"), F.trim(asked), F.lit(" "), F.concat(F.lit("price of "), "p_name"), F.lit("colour"))
+    reply = F.when(r == 0, F.concat(F.lit("```json\n"), F.to_json(items), F.lit("\n```"))).when(r == 1, F.lit("[]")).when(r == 2, F.lit('["size", 2]'))
+    q = read(spark, sf_dir, "part").select("p_partkey", asked.alias("question"), reply.alias("reply"))
+    modes = [W.rewrite(q, mode).select("p_partkey", F.lit(mode).alias("mode"), F.array_join("search_queries", "|").alias("search_queries"), "source", "reason") for mode in W.MODES]
+    return modes[0].union(modes[1]).union(modes[2])

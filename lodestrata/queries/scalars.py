@@ -280,3 +280,17 @@ def q_parse_answer(spark, sf_dir):
     body = F.concat(F.lit('```json\n{"answer": "Answer '), F.col("turn").cast("string"), F.lit('", "insufficient": '), (F.col("turn") % 3 == 0).cast("string"), F.lit("}\n```"))
     parsed = F.from_json(T.strip_fence(body), "answer string, insufficient boolean")
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", parsed["answer"].alias("answer"), parsed["insufficient"].alias("insufficient"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'net change in ' || p_name WHEN 1 THEN p_name || 's in HFTD' WHEN 2 THEN '95th percentile other equipments of SAIDI' WHEN 3 THEN 'overhead circuit miles upgraded'
+ ELSE 'cold-end cotter keys, vegetation-related conductor, WMP' END AS label FROM part""")
+def q_question_label(spark, sf_dir):
+    m = F.col("p_size") % 5
+    raw = (
+        F.when(m == 0, F.concat(F.col("p_size").cast("string"), F.lit(". Net addition (or removal) - "), "p_name"))
+        .when(m == 1, F.concat("p_name", F.lit("(S) \t in hftd ")))
+        .when(m == 2, F.lit("95 Percentile  other (specify)s of Saidi"))
+        .when(m == 3, F.lit("12. Number of overhead circuit miles upgraded"))
+        .otherwise(F.lit("Cold end cotter keys, Conductor - Veg, wmp"))
+    )
+    return parts(spark, sf_dir).select("p_partkey", T.question_label(raw).alias("label"))

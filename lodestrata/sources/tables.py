@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import clean
@@ -46,3 +46,13 @@ def safe_key(key: str) -> str:
     if not key or key.startswith("/") or ".." in key.split("/") or re.match(r"^[A-Za-z]:", key):
         raise ValueError(f"unsafe key {key!r}")
     return key
+
+
+def is_safe_key(key: Column) -> Column:
+    """``safe_key`` as a condition; a null key is not safe."""
+    return F.coalesce((key != "") & ~key.rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)"), F.lit(False))
+
+
+def object_uri(root: str, key: Column) -> Column:
+    """Address of a stored object below its root; an unsafe key fails the query."""
+    return F.when(is_safe_key(key), F.concat(F.lit(root.rstrip("/") + "/"), key)).otherwise(F.raise_error(F.concat(F.lit("unsafe key "), F.coalesce(key, F.lit("null")))))

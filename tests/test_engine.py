@@ -5,12 +5,15 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.operators import chunking as C
 from lodestrata.operators import ingest as I
 from lodestrata.operators import reconcile as R
+from lodestrata.operators import rewrite as W
 from lodestrata.plans import bind
 from lodestrata.plans.execute import execute, metadata
 from lodestrata.plans.model import ClarificationNeeded, Filter, Plan, PlanError
 from lodestrata.sources import tables
+from lodestrata.sources.tables import is_safe_key, object_uri
 from lodestrata.sources.workbook import sheets, workbook_bytes, workbook_rows
 from lodestrata.streaming import ingest as S
 
@@ -179,3 +182,51 @@ def test_binding_is_bounded_by_words_of_any_script(spark):
     q = spark.createDataFrame([(1, "Los Ángeles pole 12-34 counts"), (2, "poles in Ángel land, tier-3 (high)")], "question_id long, question string")
     vocab = spark.createDataFrame([("place", "ngeles"), ("place", "Ángel"), ("code", "12-34"), ("kind", "Pole"), ("tier", "Tier-3 (High)"), ("tier", "Tier 3")], "dimension string, value string")
     assert sorted((r["question_id"], r["dimension"], r["value"]) for r in bind.bind_dimensions(q, vocab).collect()) == [(1, "kind", "Pole"), (2, "place", "Ángel"), (2, "tier", "Tier-3 (High)")]
+
+
+def test_rewrite_falls_back_to_the_question(spark):
+    two = "What is a? And what is b?"
+    cases = [(1, two, '["b", " B ", "", "What  is a? and what is B?", "c  d", "e"]'), (2, two, None), (3, two, "no json"), (4, two, '{"a": 1}'), (5, two, '["a", null]'), (6, two, '["a", 2]'), (7, two, "[]"), (8, "What is a?", '["b"]'), (9, None, None)]
+    q = spark.createDataFrame(cases, "id long, question string, reply string")
+    by = {mode: {r["id"]: r for r in W.rewrite(q, mode).collect()} for mode in W.MODES}
+    assert by["auto"][1]["search_queries"] == [two, "b", "c d"] and by["auto"][1]["source"] == "api"
+    for i in range(2, 8):
+        assert (by["auto"][i]["search_queries"], by["auto"][i]["source"]) == ([two], "fallback"), i
+    assert (by["auto"][8]["search_queries"], by["auto"][8]["source"], by["auto"][8]["reason"]) == (["What is a?"], "simple", "single_intent")
+    assert by["always"][8]["search_queries"] == ["What is a?", "b"] and by["always"][8]["reason"] == "mode_always"
+    assert by["auto"][9]["search_queries"] == [""]
+    assert all(r["source"] == "disabled" and len(r["search_queries"]) == 1 for r in by["off"].values())
+    with pytest.raises(ValueError):
+        W.rewrite(q, "sometimes")
+
+
+def test_outline_paths_and_texts(spark):
+    nodes = [("d", 1, 0, " Plan "), ("d", 2, 1, "Risk"), ("d", 3, 2, "Annex.PDF"), ("d", 4, 3, "A.1"), ("d", 5, 1, None), ("d", 6, 0, "End"), ("e", 1, 2, "Deep"), ("e", 2, 1, "Up")]
+    o = spark.createDataFrame(nodes, "document string, n long, depth int, title string")
+    got = {(r["document"], r["n"]): (r["breadcrumb"], r["sub_document"]) for r in C.section_paths(o, "document", "n", "depth", "title").collect()}
+    assert got == {
+        ("d", 1): ("Plan", None), ("d", 2): ("Plan > Risk", None), ("d", 3): ("Annex.PDF", "Annex.PDF"), ("d", 4): ("Annex.PDF > A.1", "Annex.PDF"),
+        ("d", 5): ("Plan > ", None), ("d", 6): ("End", None), ("e", 1): ("Deep", None), ("e", 2): ("Up", None),
+    }
+    assert C.section_paths(o.where("false"), "document", "n", "depth", "title").count() == 0
+    pages = spark.createDataFrame([("d", 0, " one"), ("d", 1, None), ("d", 2, "three ")], "document string, page int, text string")
+    spans = spark.createDataFrame([("d", 1, 0, 3), ("d", 2, 2, 9), ("d", 3, 2, 2), ("x", 4, 0, 1)], "document string, section int, a int, b int")
+    texts = C.section_texts(spans, pages, "document", "section", "a", "b", "page", "text").collect()
+    assert {r["section"]: r["text"] for r in texts} == {1: "one\n\nthree", 2: "three", 3: "", 4: ""}
+
+
+def test_signature_reset_and_uris(spark):
+    settings = {"version": "v1", "size": 5, "fold": True, "none": None}
+    row = I.signed(spark.range(1), {k: F.lit(v) for k, v in settings.items()}).first()
+    assert row["signature"] == I.signature(settings) != I.signature(settings | {"size": 6})
+    spark.range(1).write.mode("overwrite").saveAsTable("reset_me")
+    with pytest.raises(ValueError):
+        I.reset(spark, ["reset_me"])
+    assert I.reset(spark, ["reset_me", "never_was"], confirmed=True) == ["reset_me"]
+    assert not spark.catalog.tableExists("reset_me")
+    keys = ["a/b.png", "/a", "a/../b", "C:/x", "", None, "a..b"]
+    k = spark.createDataFrame([(x,) for x in keys], "k string")
+    assert [r[0] for r in k.select(is_safe_key(F.col("k"))).collect()] == [True, False, False, False, False, False, True]
+    assert k.where("k = 'a..b'").select(object_uri("/store/", F.col("k"))).first()[0] == "/store/a..b"
+    with pytest.raises(Exception, match="unsafe key"):
+        k.where("k = '/a'").select(object_uri("/store", F.col("k"))).collect()
