@@ -9,6 +9,7 @@ from lodestrata.operators import chunking as C
 from lodestrata.operators import ingest as I
 from lodestrata.operators import reconcile as R
 from lodestrata.operators import rewrite as W
+from lodestrata.operators.contracts import contract_set, read_contracts
 from lodestrata.plans import bind
 from lodestrata.plans.execute import execute, metadata
 from lodestrata.plans.model import ClarificationNeeded, Filter, Plan, PlanError
@@ -230,3 +231,26 @@ def test_signature_reset_and_uris(spark):
     assert k.where("k = 'a..b'").select(object_uri("/store/", F.col("k"))).first()[0] == "/store/a..b"
     with pytest.raises(Exception, match="unsafe key"):
         k.where("k = '/a'").select(object_uri("/store", F.col("k"))).collect()
+
+
+def test_contracts_from_yaml():
+    pytest.importorskip("yaml")
+    got = read_contracts("""
+version: c-1
+defaults: {excluded: [phone]}
+tables:
+  one: {number: 1, family: entity, required: [id, name]}
+  two: {number: 2, family: long_metric, required: [id], value: v, excluded: []}
+""")
+    assert got.version == "c-1" and got[1].excluded == ("phone",) and got[2].persisted == ("id", "v") and got[2].excluded == ()
+    assert got[1].inventory(["id", "phone", "x"])["unknown"] == ["x"]
+    with pytest.raises(KeyError):
+        got[3]
+    one = {"number": 1, "family": "entity"}
+    bad = [{}, {"a": one, "b": one}, {"a": one | {"odd": 1}}, {"a": {"number": 1}}, {"a": one | {"required": "id"}}, {"a": one | {"required": ["id", "id"]}}, {"a": one | {"required": ["p"], "excluded": ["p"]}}, {"a": one | {"family": "x"}}, {"a": None}]
+    for tables_ in bad:
+        with pytest.raises(ValueError):
+            contract_set({"tables": tables_})
+    for text in ("a: [", "- 1", ""):
+        with pytest.raises(ValueError):
+            read_contracts(text)
