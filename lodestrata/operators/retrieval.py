@@ -18,8 +18,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def vector_search(vectors: DataFrame, query: DataFrame, k: int, within: list[str] | None = None) -> DataFrame:
     """Exact k nearest by cosine distance, ties by id; per value of ``within`` if given. ``query``
-    is one row (checked by its limit), the only side that is sent around."""
-    q = F.broadcast(query.select(F.col("embedding").alias("query")).limit(1))
+    is one row, the only side that is sent around; more than one fail the query (searches for
+    many are VectorIndex.search)."""
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("one query row expected"))).otherwise(F.first("embedding"))
+    q = F.broadcast(query.limit(2).agg(one.alias("query")).where("query is not null"))
     scored = vectors.crossJoin(q).withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.col("query")), 6)).drop("query")
     if not within:
         return scored.orderBy("distance", "vec_id").limit(k)
@@ -51,34 +53,16 @@ def ranked_within(df: DataFrame, group: list[str], order: list[Column], k: int,
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
 
 
-def interleave(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """Round-robin over groups: every group's first, then every group's second."""
-    return df.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-
-
-def lane_confidence(ranked: DataFrame, lane: str = "lane") -> DataFrame:
-    """Per lane from (lane, rank, score): top score, gap, mean of three, how many above one half,
-    spread of the first ten, and confidence = top + gap / 10."""
-    at = lambda n: F.max(F.when(F.col("rank") == n, F.col("score")))
-    out = ranked.groupBy(lane).agg(
-        at(1).alias("top1"),
-        (at(1) - F.coalesce(at(2), F.lit(0.0))).alias("gap"),
-        F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("mean_top3"),
-        F.count_if(F.col("score") > 0.5).alias("n_above"),
-        F.stddev_pop(F.when(F.col("rank") <= 10, F.col("score"))).alias("spread"),
-    )
-    return out.withColumn("confidence", F.col("top1") + 0.10 * F.col("gap"))
-
-
-def demote(ranked: DataFrame, floor: float, by: float = 1.0) -> DataFrame:
-    """The first result of a lane whose confidence is below the floor loses ``by``; its others do not."""
-    weak = lane_confidence(ranked).select("lane", (F.col("confidence") < floor).alias("weak"))
-    return ranked.join(weak, "lane").withColumn("score", F.col("score") - F.when(F.col("weak") & (F.col("rank") == 1), F.lit(by)).otherwise(F.lit(0.0))).drop("weak")
+def interleave(ranked: DataFrame, keys: list[str], group: str, order: list[Column]) -> DataFrame:
+    """Round-robin over the groups of every key: each group's first, then each group's second.
+    ``ranked`` holds the candidates of a key, so its windows are bounded."""
+    rounds = ranked.withColumn("round", F.row_number().over(Window.partitionBy(*keys, group).orderBy(*order)))
+    return rounds.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("round", group)))
 
 
 def weighted_frequency(terms: Column, fields: list[tuple[Column, float]]) -> Column:
     """Sum over fields of weight times the field's tokens that are terms: what cover density
-    comes to for a query that is a plain OR."""
+    comes to for a query that is a plain OR. For texts at hand; a corpus is searched by LexicalIndex."""
     total = F.lit(0.0)
     for words, weight in fields:
         total = total + weight * F.size(F.filter(words, lambda t: F.array_contains(terms, t)))

@@ -83,7 +83,8 @@ CONTENT_TYPES = {"en": "narrative", "fr": "table", "de": "figure", "es": "excel_
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence chunks from documents: type by language, caption of six words, section by source."""
+    """Evidence chunks from documents: type by language, caption of six words, section by source,
+    for figures the next six words as a hint."""
     kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in CONTENT_TYPES.items() for x in kv)), F.col("lang"))
     words = F.split("text", " ")
     return read(spark, sf_dir, "documents").select(
@@ -93,10 +94,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("breadcrumb"),
         F.col("text").alias("content"),
         (F.col("doc_id") % 100).alias("page"),
+        F.when(F.col("lang") == "de", F.array_join(F.slice(words, 7, 6), " ")).alias("hint"),
     )
 
 
 CHUNKS = """chunks AS (
 SELECT doc_id AS chunk_id, CASE lang WHEN 'fr' THEN 'table' WHEN 'de' THEN 'figure' WHEN 'es' THEN 'excel_card' ELSE 'narrative' END AS content_type,
- array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS caption, source AS breadcrumb, text AS content, doc_id % 100 AS page
+ array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS caption, source AS breadcrumb, text AS content, doc_id % 100 AS page,
+ CASE WHEN lang = 'de' THEN array_to_string(list_slice(string_split(text, ' '), 7, 12), ' ') END AS hint
 FROM documents)"""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.functions.stem import STOP, stems_sql
+from lodestrata.operators import lanes as L
 from lodestrata.operators import retrieval as R
 from lodestrata.operators import rewrite as W
+from lodestrata.operators.lexical import WEIGHTS, LexicalIndex
+from lodestrata.operators.vectors import VectorIndex
+from lodestrata.sources.scratch import new_path, written
 
 from .registry import CHUNKS, chunks, query, read
 
@@ -80,30 +83,105 @@ def q_subquestion_dedupe(spark, sf_dir):
 
 _TERMS = ["the", "and", "onthe", "thing", "les", "que"]
 _LIST = "[" + ",".join(f"'{t}'" for t in _TERMS) + "]"
-_CNT = lambda c: f"len(list_filter(regexp_extract_all(lower({c}), '([a-z0-9]+)', 1), lambda t: list_contains({_LIST}, t)))"
-_SCORE = f"round((1.0::DOUBLE) * {_CNT('caption')} + 0.4::DOUBLE * {_CNT('breadcrumb')} + 0.2::DOUBLE * {_CNT('content')} + 0.4::DOUBLE * {_CNT('caption')}, 6)"
 
 
-def lexical_scores(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    terms = F.array(*map(F.lit, _TERMS))
-    caption, crumb, content = (T.tokens(F.col(x)) for x in ("caption", "breadcrumb", "content"))
-    return c.withColumn("score", F.round(R.weighted_frequency(terms, [(caption, 1.0), (crumb, 0.4), (content, 0.2), (caption, 0.4)]), 6))
+def search_queries(spark, sf_dir):
+    """Two search queries of every benchmark item: its text, and its first six words; their vectors
+    are those of the items' numbers and of the numbers a hundred later."""
+    b = read(spark, sf_dir, "benchmark")
+    short = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    q = b.select(F.col("item_id").alias("question_id"), F.explode(F.array(F.struct(F.lit(0).alias("query_no"), F.col("text").alias("question")), F.struct(F.lit(1).alias("query_no"), short.alias("question")))).alias("q")).select("question_id", "q.*")
+    vectors = _vec(spark, sf_dir).select(F.col("vec_id").alias("of"), F.col("embedding").alias("raw"), _weighted("embedding").alias("contextual"))
+    return q.join(vectors, F.col("of") == F.col("question_id") + 100 * F.col("query_no"), "left").drop("of")
+
+
+def _weighted(c):
+    """A second vector of a chunk: every third and next component weighs twice and three times."""
+    return F.transform(c, lambda x, i: x.cast("double") * (1 + i % 3))
+
+
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark, sf_dir, name, make):
+    """What is built once per application and folder and searched by several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def lexical_index(spark, sf_dir):
+    return _once(spark, sf_dir, "lexical", lambda: LexicalIndex.build(chunks(spark, sf_dir), new_path(spark, "lexical"), shards=16))
+
+
+def vector_index(spark, sf_dir, contextual=False):
+    """Vectors of chunks with their lanes; a chunk's vector has its number."""
+
+    def make():
+        lanes = chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), L.lane_of(F.col("content_type")).alias("lane"))
+        v = _vec(spark, sf_dir).select(F.col("vec_id").alias("id"), (_weighted("embedding") if contextual else F.col("embedding")).alias("embedding"))
+        return VectorIndex.build(v.join(lanes, "id"), new_path(spark, "vectors"))
+
+    return _once(spark, sf_dir, f"vectors-{contextual}", make)
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, {_SCORE} AS score FROM chunks")
+def _words(column):
+    return f"regexp_extract_all(lower(coalesce({column}, '')), '[a-z0-9]+')"
+
+
+_STOP = ",".join(f"'{w}'" for w in T.STOPWORDS)
+_FUNCTION_WORDS = ",".join(f"'{w}'" for w in STOP)
+
+
+def _acronyms(column):
+    return rf"list_transform(regexp_extract_all({column}, '\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){{2,}}\b'), lambda r: lower(array_to_string(list_transform(regexp_split_to_array(r, '\s+'), lambda x: x[1]), '')))"
+
+
+def _meaning(column):
+    return f"list_filter({_words(column)}, lambda t: length(t) >= 3 AND NOT list_contains([{_STOP}], t))"
+
+
+def _light_terms(column):
+    return f"list_distinct(list_concat(list_transform({_meaning(column)}, lambda t: CASE WHEN length(t) > 4 THEN regexp_replace(t, 's$', '') ELSE t END), {_acronyms(column)}))"
+
+
+_CONTEXTUAL = "list_transform(embedding::DOUBLE[], lambda x, i: x * (1 + (i - 1) % 3))"
+_SEARCH = f"""{CHUNKS}, sq AS MATERIALIZED (SELECT question_id, query_no, question, embedding::DOUBLE[] AS raw, {_CONTEXTUAL} AS contextual
+ FROM (SELECT item_id AS question_id, 0 AS query_no, text AS question FROM benchmark UNION ALL SELECT item_id, 1, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') FROM benchmark) s LEFT JOIN embeddings ON vec_id = question_id + 100 * query_no)"""
+_LEXICAL = f"""{_SEARCH}, occ AS ({" UNION ALL ".join(f"SELECT chunk_id, content_type, unnest({_words(c)}) AS word, {w} AS impact FROM chunks" for c, w in WEIGHTS.items())}),
+ qw AS MATERIALIZED (SELECT question_id, query_no, unnest(list_distinct(list_concat({_meaning("question")}, {_acronyms("question")}))) AS word FROM sq),
+ vocab AS MATERIALIZED (SELECT word FROM (SELECT word FROM occ UNION SELECT word FROM qw) WHERE word NOT IN ({_FUNCTION_WORDS})),
+ {stems_sql("vocab", "word", "st")},
+ post AS MATERIALIZED (SELECT chunk_id, content_type, stem AS term, sum(impact) AS impact FROM occ JOIN st USING (word) GROUP BY ALL),
+ qt AS MATERIALIZED (SELECT DISTINCT question_id, query_no, stem AS term FROM qw JOIN st USING (word)),
+ lex AS MATERIALIZED (SELECT question_id, query_no, content_type, chunk_id, sum(impact)::BIGINT::DOUBLE / 1000 AS score FROM post JOIN qt USING (term) GROUP BY ALL)"""
+
+
+@query(f"WITH {_LEXICAL} SELECT question_id, chunk_id, round(score, 6) AS score FROM lex WHERE query_no = 0")
 def q_lexical_score(spark, sf_dir):
-    return lexical_scores(spark, sf_dir).select("chunk_id", "score")
+    """Every chunk that matches a benchmark item's text, through the index."""
+    q = search_queries(spark, sf_dir).where("query_no = 0")
+    return lexical_index(spark, sf_dir).scores(q, ["question_id"]).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {CHUNKS}, s AS (SELECT chunk_id, {_SCORE} AS score FROM chunks) SELECT chunk_id, score FROM s WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 30")
+@query(f"WITH {_LEXICAL} SELECT question_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM lex WHERE query_no = 0 QUALIFY rank <= 30", long="rank")
 def q_lexical_topk(spark, sf_dir):
-    return lexical_scores(spark, sf_dir).where("score > 0").select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(30)
+    """The best 30 chunks of every benchmark item's text; only blocks that can hold one are summed."""
+    q = search_queries(spark, sf_dir).where("query_no = 0")
+    return lexical_index(spark, sf_dir).topk(q, ["question_id"], 30).select("question_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-_STOP = ",".join(f"'{w}'" for w in T.STOPWORDS)
-_ACRONYMS = r"list_transform(regexp_extract_all(caption, '\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){2,}\b'), lambda r: lower(array_to_string(list_transform(regexp_split_to_array(r, '\s+'), lambda x: x[1]), '')))"
-_CAP = f"list_distinct(list_concat(list_transform(list_filter(regexp_extract_all(lower(caption), '([a-z0-9]+)', 1), lambda t: length(t) >= 3 AND NOT list_contains([{_STOP}], t)), lambda t: CASE WHEN length(t) > 4 THEN regexp_replace(t, 's$', '') ELSE t END), {_ACRONYMS}))"
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)
+SELECT query_id, vec_id AS id, round(list_cosine_distance(embedding::DOUBLE[], v), 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_distance(embedding::DOUBLE[], v), 6), vec_id) AS rank FROM q, embeddings QUALIFY rank <= 10""", long="rank")
+def q_vector_index(spark, sf_dir):
+    """Ten nearest of every fiftieth vector through the index: near lists first, then those that their radius leaves open."""
+    make = lambda: VectorIndex.build(_vec(spark, sf_dir).withColumnRenamed("vec_id", "id"), new_path(spark, "vectors"))
+    q = _vec(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _once(spark, sf_dir, "vectors", make).search(q, ["query_id"], 10).drop("lane")
+
+
+_CAP = _light_terms("caption")
 
 
 @query(f"""WITH {CHUNKS}, p AS (SELECT chunk_id, content_type, {_CAP} AS c FROM chunks)
@@ -113,55 +191,110 @@ def q_caption_prior(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", F.round(F.when(F.col("content_type") == "narrative", F.lit(0.0)).otherwise(prior), 6).alias("prior"))
 
 
-_BASE = "(doc_id * 7919 % 1000) / 1000.0"
+_LANE = "CASE content_type WHEN 'table' THEN 'structured' WHEN 'figure' THEN 'structured' WHEN 'excel_card' THEN 'excel' ELSE 'narrative' END"
 
 
-@query(f"""WITH s AS (SELECT doc_id, sha256(text) AS h, round({_BASE} + 0.25 * CASE WHEN lang = 'en' THEN 0 ELSE 1 END, 6) AS score FROM documents),
-d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY h ORDER BY score DESC, doc_id) = 1)
-SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM d ORDER BY rank LIMIT 100""", long="rank")
-def q_rerank(spark, sf_dir):
-    score = F.round((F.col("doc_id") * 7919 % 1000) / 1000.0 + 0.25 * F.when(F.col("lang") == "en", 0).otherwise(1), 6)
-    s = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"), score.alias("score"))
-    best = s.groupBy("h").agg(F.min(F.struct((-F.col("score")).alias("k"), "doc_id")).alias("m")).select("m.doc_id", (-F.col("m.k")).alias("score"))
-    top = best.orderBy(F.desc("score"), "doc_id").limit(100)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+def _dense_sql(name, channel, vector, chunk_vector):
+    far = f"round(list_cosine_distance({chunk_vector}, {vector}), 6)"
+    return f"""{name} AS (SELECT question_id, query_no, lane, id, {channel} AS channel, row_number() OVER (PARTITION BY question_id, query_no, lane ORDER BY {far}, id) AS rank FROM sq, cv WHERE {vector} IS NOT NULL QUALIFY rank <= 10)"""
+
+
+_POOL = f"""{_LEXICAL}, cv AS MATERIALIZED (SELECT vec_id AS id, {_LANE} AS lane, embedding::DOUBLE[] AS e, {_CONTEXTUAL} AS c FROM embeddings JOIN chunks ON vec_id = chunk_id),
+ {_dense_sql("ch0", 0, "raw", "e")}, {_dense_sql("ch1", 1, "contextual", "c")},
+ ch2 AS (SELECT question_id, query_no, {_LANE} AS lane, chunk_id AS id, 2 AS channel, row_number() OVER (PARTITION BY question_id, query_no, {_LANE} ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 10),
+ ch AS (SELECT * FROM ch0 UNION ALL SELECT * FROM ch1 UNION ALL SELECT * FROM ch2),
+ place AS (SELECT *, row_number() OVER (PARTITION BY question_id, lane, id ORDER BY query_no, channel, rank) AS n FROM ch),
+ found AS (SELECT question_id, lane, id, string_agg(DISTINCT channel::VARCHAR, '' ORDER BY channel::VARCHAR) AS numbers FROM ch GROUP BY ALL),
+ pool AS MATERIALIZED (SELECT question_id, lane, id, replace(replace(replace(array_to_string(string_split(numbers, ''), ';'), '0', 'raw'), '1', 'contextual'), '2', 'lexical') AS channels,
+  row_number() OVER (PARTITION BY question_id, lane ORDER BY query_no, channel, rank, id) AS pool_rank FROM place JOIN found USING (question_id, lane, id) WHERE n = 1)"""
+
+
+def candidates(spark, sf_dir):
+    """Ten of each channel, lane and search query of every benchmark item."""
 
+    def make():
+        dense = {"raw": (vector_index(spark, sf_dir), "raw"), "contextual": (vector_index(spark, sf_dir, True), "contextual")}
+        return written(L.candidate_pool(search_queries(spark, sf_dir), dense, lexical_index(spark, sf_dir), 10), "pool")
 
-@query(f"""WITH {_AB}, l AS (SELECT id, 1000 + row_number() OVER (ORDER BY id DESC) AS rank FROM (SELECT vec_id AS id FROM embeddings ORDER BY vec_id DESC LIMIT 20)), u AS (SELECT id, 'raw' AS channel, rank FROM a UNION ALL SELECT id, 'contextual', rank FROM b UNION ALL SELECT id, 'lexical', rank FROM l)
-SELECT id, string_agg(channel, ';' ORDER BY channel) AS channels, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY id""")
+    return _once(spark, sf_dir, "pool", make)
+
+
+@query(f"WITH {_POOL} SELECT question_id, lane, id, channels, pool_rank FROM pool", long="pool_rank")
 def q_candidates(spark, sf_dir):
-    lex = _vec(spark, sf_dir).select(F.col("vec_id").alias("id")).orderBy(F.desc("id")).limit(20)
-    lex = lex.select("id", F.lit("lexical").alias("channel"), (1000 + F.row_number().over(Window.orderBy(F.desc("id")))).alias("rank"))
-    parts = [_near(spark, sf_dir, n).select("id", F.lit(c).alias("channel"), "rank") for n, c in ((0, "raw"), (1, "contextual"))]
-    u = reduce(lambda a, b: a.union(b), [*parts, lex])
-    return u.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("channel")), ";").alias("channels"), F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"))
+    return candidates(spark, sf_dir)
+
+
+_PRIOR = "CASE WHEN len({0}) = 0 OR len(asked) = 0 THEN 0 ELSE len(list_intersect(asked, {0}))::DOUBLE / sqrt(len(asked)::DOUBLE * len({0})) END"
+_SCORED = f"""{_POOL}, asked AS MATERIALIZED (SELECT question_id, {_light_terms("question")} AS asked FROM sq WHERE query_no = 0),
+ terms AS MATERIALIZED (SELECT chunk_id AS id, content_type, sha256(content) AS content_hash, {_light_terms("content")} AS body, {_light_terms("caption")} AS cap FROM chunks WHERE chunk_id IN (SELECT id FROM pool)),
+ scored AS MATERIALIZED (SELECT question_id, lane, id, content_type, content_hash, pool_rank, round({_PRIOR.format("body")} + 0.25 * CASE WHEN content_type = 'narrative' THEN 0 ELSE {_PRIOR.format("cap")} END, 6) AS score
+  FROM pool JOIN terms USING (id) JOIN asked USING (question_id))"""
+
+
+def _reranked_sql(name, group):
+    return f"""{name} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY score DESC, pool_rank) AS rank
+ FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY {group}, content_hash ORDER BY score DESC, pool_rank) = 1))"""
+
 
+_RANKED = f"{_SCORED}, {_reranked_sql('r', 'question_id, lane')}"
 
-_LANES = f"""r AS (SELECT lang AS lane, doc_id, {_BASE} AS score, row_number() OVER (PARTITION BY lang ORDER BY {_BASE} DESC, doc_id) AS rank FROM documents)"""
-_CONF = """c AS (SELECT lane, max(CASE WHEN rank = 1 THEN score END) AS top1, max(CASE WHEN rank = 1 THEN score END) - coalesce(max(CASE WHEN rank = 2 THEN score END), 0) AS gap, avg(CASE WHEN rank <= 3 THEN score END) AS mean_top3,
-count(*) FILTER (score > 0.5) AS n_above, stddev_pop(CASE WHEN rank <= 10 THEN score END) AS spread FROM r GROUP BY lane)"""
 
+def scored_pool(spark, sf_dir):
+    """Candidates with a score: the terms that question and content share, in place of a model's
+    score, and a quarter of the caption's prior. Contents are read for candidates only."""
 
-def _ranked(spark, sf_dir):
-    score = ((F.col("doc_id") * 7919 % 1000) / 1000.0).alias("score")
-    d = read(spark, sf_dir, "documents").select(F.col("lang").alias("lane"), "doc_id", score)
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("score"), "doc_id")))
+    def make():
+        asked = search_queries(spark, sf_dir).where("query_no = 0").select("question_id", T.lexical_terms(F.col("question")).alias("asked"))
+        pool = candidates(spark, sf_dir)
+        c = chunks(spark, sf_dir).withColumnRenamed("chunk_id", "id").join(pool.select("id").distinct(), "id", "left_semi")
+        c = c.select("id", "content_type", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), T.lexical_terms(F.col("content")).alias("body"), T.lexical_terms(F.col("caption")).alias("cap"))
+        prior = F.when(F.col("content_type") == "narrative", F.lit(0.0)).otherwise(T.overlap_prior(F.col("asked"), F.col("cap")))
+        score = F.round(T.overlap_prior(F.col("asked"), F.col("body")) + 0.25 * prior, 6)
+        return written(pool.join(c, "id").join(asked, "question_id").select("question_id", "lane", "id", "content_type", "content_hash", "pool_rank", score.alias("score")), "scored")
 
+    return _once(spark, sf_dir, "scored", make)
 
-@query(f"WITH {_LANES}, {_CONF} SELECT lane, round(top1, 6) AS top1, round(gap, 6) AS gap, round(mean_top3, 6) AS mean_top3, n_above, round(spread, 6) AS spread, round(top1 + 0.10 * gap, 6) AS confidence FROM c")
+
+def lane_ranks(spark, sf_dir):
+    return L.reranked(scored_pool(spark, sf_dir), ["question_id", "lane"], F.col("score"))
+
+
+@query(f"WITH {_RANKED} SELECT question_id, lane, id, score, rank FROM r", long="rank")
+def q_rerank(spark, sf_dir):
+    return lane_ranks(spark, sf_dir).select("question_id", "lane", "id", "score", "rank")
+
+
+_CONF = """(SELECT question_id, lane, max(CASE WHEN n = 1 THEN {0} END) AS top1, max(CASE WHEN n = 1 THEN {0} END) - coalesce(max(CASE WHEN n = 2 THEN {0} END), max(CASE WHEN n = 1 THEN {0} END)) AS gap, avg(CASE WHEN n <= 3 THEN {0} END) AS mean_top3,
+ count(*) FILTER ({0} >= 0.5) AS n_above, stddev_pop(CASE WHEN n <= 10 THEN {0} END) AS spread, count(*) AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY question_id, lane ORDER BY {0} DESC) AS n FROM {1}) GROUP BY question_id, lane)"""
+
+
+@query(f"WITH {_RANKED}, c AS {_CONF.format('score', 'r')} SELECT question_id, lane, n_above, candidates, round(top1, 6) AS top1, round(gap, 6) AS gap, round(mean_top3, 6) AS mean_top3, round(spread, 6) AS spread, round(top1 + 0.10 * gap, 6) AS confidence FROM c")
 def q_lane_confidence(spark, sf_dir):
-    out = R.lane_confidence(_ranked(spark, sf_dir))
-    return out.select("lane", "n_above", *(F.round(c, 6).alias(c) for c in ("top1", "gap", "mean_top3", "spread", "confidence")))
+    out = L.confidence(lane_ranks(spark, sf_dir), ["question_id", "lane"])
+    return out.select("question_id", "lane", "n_above", "candidates", *(F.round(c, 6).alias(c) for c in ("top1", "gap", "mean_top3", "spread", "confidence")))
+
+
+_CURVES = f"""{CHUNKS.replace("chunks AS (", "typed AS (")}, curves AS (SELECT content_type, 4.0::DOUBLE + avg(quality) AS a, -1.0::DOUBLE - avg(toxic) AS b FROM labels JOIN typed ON doc_id = chunk_id GROUP BY 1 QUALIFY count(*) > min(count(*)) OVER ())"""
+
+
+def curves(spark, sf_dir):
+    """Calibration curves of the content types with labels, but for the one with the fewest."""
+    n = read(spark, sf_dir, "labels").join(chunks(spark, sf_dir), F.col("doc_id") == F.col("chunk_id")).groupBy("content_type").agg((4.0 + F.avg("quality")).alias("a"), (-1.0 - F.avg("toxic")).alias("b"), F.count(F.lit(1)).alias("n"))
+    return n.join(n.agg(F.min("n").alias("least")), F.col("n") > F.col("least")).drop("n", "least")
+
+
+def _merge_sql(floor):
+    return f"""{_RANKED}, {_CURVES}, j AS (SELECT r.*, a, b, bool_and(a IS NOT NULL) OVER (PARTITION BY question_id) AS covered, count(*) OVER (PARTITION BY question_id, lane) AS size FROM r LEFT JOIN curves USING (content_type)),
+ s AS MATERIALIZED (SELECT *, CASE WHEN covered AND size >= 3 THEN 1 / (1 + exp(-(a * score + b))) ELSE score END AS shared FROM j), c AS {_CONF.format("shared", "s")},
+ k AS (SELECT s.*, shared - CASE WHEN top1 + 0.10 * gap < {floor} AND rank = 1 THEN 1 ELSE 0 END AS key, list_position(['narrative', 'structured', 'excel'], lane) AS lane_no FROM s JOIN c USING (question_id, lane)),
+ d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY question_id, content_hash ORDER BY key DESC, lane_no, rank) = 1)"""
 
 
-@query(f"""WITH {_LANES}, {_CONF}, t AS (SELECT lane, doc_id, rank, score - CASE WHEN top1 + 0.1 * gap < 2.0 AND lane = 'fr' AND rank = 1 THEN 1.0 ELSE 0 END AS score FROM r JOIN c USING (lane) WHERE rank <= 10)
-SELECT lane, doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, lane, rank) AS merged_rank FROM t""", long="merged_rank")
+@query(f"WITH {_merge_sql(0.45)} SELECT question_id, lane, id, round(key, 6) AS key, row_number() OVER (PARTITION BY question_id ORDER BY key DESC, lane_no, rank) AS merged_rank FROM d", long="merged_rank")
 def q_lane_merge(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
-    fr = R.demote(ranked.where("lane = 'fr'"), 2.0)
-    top = fr.unionByName(ranked.where("lane <> 'fr'")).where("rank <= 10")
-    w = Window.orderBy(F.desc("score"), "lane", "rank")  # over ten rows of each lane
-    return top.select("lane", "doc_id", F.round("score", 6).alias("score"), F.row_number().over(w).alias("merged_rank"))
+    """Lanes on one scale: calibrated where all types have a curve, weak lanes lose the first place."""
+    out = L.merged(lane_ranks(spark, sf_dir), "question_id", curves(spark, sf_dir), floor=0.45)
+    return out.select("question_id", "lane", "id", F.round("key", 6).alias("key"), "merged_rank")
 
 
 @query("""SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'text' WHEN 'es' THEN 'spreadsheet' ELSE 'structured' END AS lane FROM documents""")
@@ -170,21 +303,26 @@ def q_lane_map(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("lang", lanes.alias("lane")).distinct()
 
 
-@query(f"WITH {_LANES} SELECT lane, doc_id, rank FROM r WHERE rank <= 10", long="rank")
+@query(f"WITH {_SCORED}, {_reranked_sql('r', 'question_id, content_type')} SELECT question_id, content_type, id, rank FROM r WHERE rank <= 10", long="rank")
 def q_evidence_groups(spark, sf_dir):
-    return _ranked(spark, sf_dir).where("rank <= 10").select("lane", "doc_id", "rank")
+    """Four groups by content type, each with its own first ten."""
+    groups = L.reranked(scored_pool(spark, sf_dir), ["question_id", "content_type"], F.col("score"))
+    return groups.where("rank <= 10").select("question_id", "content_type", "id", "rank")
 
 
-@query(f"SELECT doc_id, {_BASE} AS score, row_number() OVER (ORDER BY {_BASE} DESC, doc_id) AS rank FROM documents ORDER BY rank LIMIT 50", long="rank")
+@query(f"WITH {_SCORED}, p AS (SELECT * REPLACE (row_number() OVER (PARTITION BY question_id ORDER BY list_position(['narrative', 'structured', 'excel'], lane), pool_rank) AS pool_rank) FROM scored), {_reranked_sql('r', 'question_id').replace('FROM scored', 'FROM p')} SELECT question_id, id, score, rank FROM r WHERE rank <= 10", long="rank")
 def q_flat_rank(spark, sf_dir):
-    top = read(spark, sf_dir, "documents").select("doc_id", ((F.col("doc_id") * 7919 % 1000) / 1000.0).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+    """One list without lanes; the pools stand one after the other."""
+    lane_no = F.array_position(F.array(*map(F.lit, L.LANE_ORDER)), F.col("lane"))
+    pool = scored_pool(spark, sf_dir).withColumn("pool_rank", F.row_number().over(Window.partitionBy("question_id").orderBy(lane_no, "pool_rank")))
+    return L.reranked(pool, ["question_id"], F.col("score")).where("rank <= 10").select("question_id", "id", "score", "rank")
 
 
-@query(f"WITH {_LANES} SELECT lane, doc_id, rank AS round FROM r", long="round")
+@query(f"WITH {_RANKED} SELECT question_id, lane, id, rank AS round, row_number() OVER (PARTITION BY question_id ORDER BY rank, lane) AS place FROM r", long="round place")
 def q_interleave(spark, sf_dir):
-    """Order of the mixed list is (round, lane)."""
-    return R.interleave(_ranked(spark, sf_dir).drop("rank"), "lane", [F.desc("score"), F.col("doc_id")]).select("lane", "doc_id", "round")
+    """Round-robin over the lanes of every question."""
+    mixed = R.interleave(lane_ranks(spark, sf_dir), ["question_id"], "lane", [F.col("rank")])
+    return mixed.select("question_id", "lane", "id", "round", "place")
 
 
 @query("""SELECT source, count(*) AS chunks, count(*) FILTER (lang = 'en') AS narrative, min(doc_id) AS first_chunk FROM documents GROUP BY 1""")
