@@ -240,7 +240,9 @@ def build_manifest(docs: DataFrame, tampered: Column | None = None) -> Manifest:
     """The manifest of ``docs``. ``tampered``, if given, is what each text is claimed to be at verification."""
     own = leaf_digest(quoted("text"))
     rows = docs.select(quoted("source").cast("string").alias("g"), quoted("doc_id").cast("bigint").alias("doc_id"), own.alias("node"), (own if tampered is None else leaf_digest(tampered)).alias("changed"), F.monotonically_increasing_id().alias("tie"))
-    leaves, runs = numbered(rows, [F.col("doc_id").asc_nulls_first(), F.col("node"), F.col("tie")], "leaves")
+    hashed = materialize(rows, "hashed")  # sorting samples its input first: texts are read and hashed once
+    leaves, runs = numbered(hashed, [F.col("doc_id").asc_nulls_first(), F.col("node"), F.col("tie")], "leaves")
+    discard(hashed)
     sources = build(leaves.drop("tie"), "nodes")
     tops = sources.roots().select(F.lit("").alias("g"), F.col("g").alias("ref"), "node")
     ordered, top_runs = numbered(tops, [F.col("ref").asc_nulls_first()], "subroots")
