@@ -92,7 +92,8 @@ def section_number(x: Column) -> Column:
 
 
 def figure_label(x: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(x, r"(?i)((?:figure|fig|table|map|chart|exhibit)\.? [0-9]+(?:[-.][0-9]+)*)", 1)), F.lit(""))
+    """The first label of a figure or the like, blanks as one; the word may stand right before its number."""
+    return F.nullif(F.lower(squeeze(F.regexp_extract(x, r"(?i)\b((?:figure|fig|table|map|chart|exhibit)\.?\s*[0-9]+(?:[-.][0-9]+)*)", 1))), F.lit(""))
 
 
 def trim_to_heading(text: Column, title: Column) -> Column:
@@ -144,7 +145,7 @@ def squeeze(x: Column) -> Column:
 def decomposition_reason(x: Column) -> Column:
     """Why a question holds several, or null."""
     q = squeeze(x)
-    return F.when(F.length(q) - F.length(F.replace(q, F.lit("?"), F.lit(""))) > 1, F.lit("multiple_questions")).when(F.regexp_like(q, F.lit(SECOND_CLAUSE)), F.lit("second_clause"))
+    return F.when(F.length(q) - F.length(F.replace(q, F.lit("?"), F.lit(""))) > 1, F.lit("multiple_questions")).when(F.regexp_like(q, F.lit(SECOND_CLAUSE)), F.lit("independent_interrogative_clauses"))
 
 
 def question_label(x: Column) -> Column:

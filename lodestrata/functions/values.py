@@ -87,8 +87,15 @@ def plain(x: Column) -> Column:
 
 
 def numeric_variants(x: Column) -> Column:
-    """Ways in which prose may print a number."""
-    return F.array_distinct(F.array(plain(x.cast("decimal(18,2)")), *(F.format_number(x.cast("double"), d) for d in (0, 1, 2, 3))))
+    """Ways in which prose may print an exact number: as it is stored, without trailing zeros, and,
+    of a whole number, in thousands; of any other, at one, two and three digits (half to even),
+    with and without thousands."""
+    exact = x.cast("string")
+    trimmed = F.when(F.contains(exact, F.lit(".")), F.regexp_replace(exact, r"\.?0+$", "")).otherwise(exact)
+    bare = lambda d: F.replace(F.format_number(x, d), F.lit(","), F.lit(""))
+    whole = F.array(F.format_number(x, 0), bare(0))
+    parts = F.array(*(f(d) for d in (1, 2, 3) for f in (lambda d: F.format_number(x, d), bare)))
+    return F.array_distinct(F.concat(F.array(exact, trimmed), F.when(x == F.floor(x), whole).otherwise(parts)))
 
 
 def column_index(letters: Column) -> Column:

@@ -46,12 +46,34 @@ def leaf_sections(outline: DataFrame, document: str, position: str, depth: str)
     return nxt.where(F.col("next_depth").isNull() | (F.col("next_depth") <= F.col(depth))).drop("next_depth")
 
 
+def aligned_nodes(start: Column, end: Column) -> Column:
+    """The span start..end (whole numbers, both included) as its dyadic nodes, an array of
+    (level, node): node n of level k is the 2^k numbers from n * 2^k on. At most two a level, so a
+    span of a thousand million numbers has some sixty. An empty span has none."""
+
+    def at(k: Column) -> Column:
+        low = -F.call_function("shiftright", -start, k)  # the first node of the level that begins in the span
+        high = F.call_function("shiftright", end + 1, k) - 1  # the last one that ends in it
+        there = low <= high
+        left = F.when(there & (low.bitwiseAND(1) == 1), F.struct(k.alias("level"), low.alias("node")))
+        right = F.when(there & (high.bitwiseAND(1) == 0), F.struct(k.alias("level"), high.alias("node")))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2((end - start + 1).cast("double"))).cast("int"))  # a node is no longer than the span
+    return F.when(start <= end, F.filter(F.flatten(F.transform(levels, at)), lambda n: n.isNotNull()))
+
+
 def innermost(points: DataFrame, spans: DataFrame, document: str, point: str, start: str, end: str, leaf: str) -> DataFrame:
-    """Per point the span that contains it and starts last. Points and ends are whole numbers,
-    as pages are: a span meets its points in a join on document and page, as many rows as it has pages."""
-    pages = spans.where(F.col(start) <= F.col(end)).select(document, start, leaf, F.explode(F.sequence(F.col(start), F.col(end))).alias(point))
-    hits = points.join(pages, [document, point])
-    return hits.groupBy(document, point).agg(F.max_by(leaf, F.struct(F.col(start), F.col(leaf))).alias(leaf))
+    """Per point the span that contains it and starts last, ties to the larger leaf. Points and ends
+    are whole numbers. A span stands as its dyadic nodes and a point as the nodes above it, up to
+    the length of the longest span: a join on document, level and node, whatever the spans' lengths."""
+    low, high = F.col(start).cast("long"), F.col(end).cast("long")
+    nodes = spans.where(low <= high).select(document, F.col(start).alias("starts"), leaf, F.explode(aligned_nodes(low, high)).alias("n"))
+    nodes = nodes.select(document, "starts", leaf, "n.level", "n.node")
+    longest = spans.where(low <= high).agg(F.max(high - low)).first()[0] or 0
+    above = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.call_function("shiftright", F.col(point).cast("long"), F.lit(k)).alias("node")) for k in range((longest + 1).bit_length()))))
+    hits = points.select(document, point, above.alias("n")).select(document, point, "n.level", "n.node").join(nodes, [document, "level", "node"])
+    return hits.groupBy(document, point).agg(F.max_by(leaf, F.struct("starts", leaf)).alias(leaf))
 
 
 def sentences(text: Column) -> Column:

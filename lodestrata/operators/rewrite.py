@@ -9,8 +9,6 @@ from lodestrata.functions import text as T
 
 MODES = ("off", "auto", "always")
 MAX_SUB_QUESTIONS = 2
-#: Fixed value: the name of this reason in a trace.
-SECOND_CLAUSE = "independent_interrogative_clauses"
 
 
 def sub_questions(question: Column, reply: Column, most: int = MAX_SUB_QUESTIONS) -> Column:
@@ -34,7 +32,7 @@ def rewrite(questions: DataFrame, mode: str, question: str = "question", reply:
     if mode not in MODES:
         raise ValueError(f"unknown rewrite mode {mode!r}; one of {MODES}")
     asked = F.trim(F.coalesce(F.col(question), F.lit("")))
-    alone, why = F.array(asked), F.replace(T.decomposition_reason(asked), F.lit("second_clause"), F.lit(SECOND_CLAUSE))
+    alone, why = F.array(asked), T.decomposition_reason(asked)
     if mode == "off":
         return questions.withColumns({"search_queries": alone, "source": F.lit("disabled"), "reason": F.lit("mode_off")})
     single = F.lit(False) if mode == "always" else why.isNull()

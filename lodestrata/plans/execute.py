@@ -20,10 +20,17 @@ def predicate(f: Filter, json_column: str = "dimensions") -> Column:
     return _COMPARE[f.operator](F.col(f.field), F.lit(f.value))
 
 
-def active(rows: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Rows of active revisions only. The registry has one row per revision; Spark broadcasts it
-    while it is below the session's threshold and merges otherwise."""
-    return rows.join(revisions.where("state = 'active'").select("revision_id"), "revision_id")
+#: Active revisions that are broadcast; with more of them Spark joins by revision.
+FEW_REVISIONS = 100_000
+
+
+def active(rows: DataFrame, revisions: DataFrame | None) -> DataFrame:
+    """Rows of active revisions only. The registry has one row per revision and is counted before
+    it is broadcast. ``rows`` of a source that keeps no revisions go without one."""
+    if revisions is None:
+        return rows
+    ids = revisions.where("state = 'active'").select("revision_id").distinct()
+    return rows.join(F.broadcast(ids) if ids.limit(FEW_REVISIONS + 1).count() <= FEW_REVISIONS else ids, "revision_id")
 
 
 #: Where rows of each source keep their further attributes.
@@ -33,6 +40,9 @@ JSON_COLUMN = {"facts": "dimensions", "records": "attributes"}
 def filtered(plan: Plan, rows: DataFrame) -> DataFrame:
     if plan.table_number is not None:
         rows = rows.where(F.col("table_number") == plan.table_number)
+    for name in ("semantic_metric_key", "measure_name"):
+        if plan.source == "facts" and getattr(plan, name):
+            rows = rows.where(F.col(name) == getattr(plan, name))
     if plan.year_basis is not None:
         rows = rows.where(F.col("year_basis") == plan.year_basis)
     for name, value in plan.dedupe:
@@ -57,9 +67,9 @@ def ordering(columns: list[str], descending: bool, by: str) -> list[Column]:
 
 def execute(plan: Plan, rows: DataFrame, revisions: DataFrame | None = None) -> DataFrame:
     """The plan's answer: group columns and ``value``, or for a select the rows' own columns.
-    Only rows of active revisions count; ``rows`` of a source without revisions go without."""
+    Only rows of active revisions count."""
     plan.validate()
-    rows = filtered(plan, rows if revisions is None else active(rows, revisions))
+    rows = filtered(plan, active(rows, revisions))
     if plan.operation == "select":
         value = [F.col("value_numeric").alias("value")] if plan.source == "facts" else []
         out = rows.select(*plan.group_by, *(F.try_element_at(F.col(JSON_COLUMN[plan.source]), F.lit(k)).alias(k) for k in plan.json_keys), *value)
@@ -71,17 +81,21 @@ def execute(plan: Plan, rows: DataFrame, revisions: DataFrame | None = None) ->
     return out.orderBy(*(F.col(c).asc_nulls_last() for c in names)).limit(plan.limit) if names else out
 
 
-def metadata(plan: Plan, rows: DataFrame) -> DataFrame:
-    """One row: contributing values, units, revisions, and whether units can be combined."""
+def metadata(plan: Plan, rows: DataFrame, revisions: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """What the plan's answer rests on, over the rows that it counts, in one row or one for each
+    value of ``by``: contributing values, units, the first revision, why values are blank, and
+    whether units can be combined."""
     units = F.sort_array(F.collect_set("unit"))
-    return filtered(plan, rows).agg(
+    blank = [F.array_join(F.sort_array(F.collect_set(F.when(F.col("value_numeric").isNull(), F.col("blank_meaning")))), ";").alias("blank_meanings")] if "blank_meaning" in rows.columns else []
+    return filtered(plan, active(rows, revisions)).groupBy(*(by or [])).agg(
         F.count("value_numeric").alias("contributing"),
         F.array_join(units, ";").alias("units"),
         F.min("revision_id").alias("first_revision"),
         F.when(F.size(units) > 1, F.lit("refused")).otherwise(F.lit("ok")).alias("unit_status"),
+        *blank,
     )
 
 
-def provenance(plan: Plan, rows: DataFrame, n: int = 5) -> DataFrame:
-    """The first contributing rows, in a stated order."""
-    return filtered(plan, rows).where("value_numeric is not null").orderBy("fact_id").limit(n)
+def provenance(plan: Plan, rows: DataFrame, revisions: DataFrame | None = None, n: int = 5) -> DataFrame:
+    """The first contributing rows of active revisions, in a stated order."""
+    return filtered(plan, active(rows, revisions)).where("value_numeric is not null").orderBy("fact_id").limit(n)

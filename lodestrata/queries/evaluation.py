@@ -54,7 +54,12 @@ def q_roc_auc(spark, sf_dir):
     return E.roc_auc(scored(spark, sf_dir), "score", "quality").withColumn("auc", F.round("auc", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SCORED}, n AS MATERIALIZED (SELECT lang, score AS x, quality AS y, count(*)::DOUBLE AS n FROM s GROUP BY ALL),
+z AS MATERIALIZED (SELECT lang, sum(n) FILTER (y = 1) AS pos, sum(n) FILTER (y = 0) AS neg FROM n GROUP BY lang),
+w AS MATERIALIZED (SELECT lang, x, y, n * CASE WHEN y = 1 THEN 0.5 / pos ELSE 0.5 / neg END AS w FROM n JOIN z USING (lang) WHERE pos > 0 AND neg > 0),
+g AS (SELECT 0 AS step, lang, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM (SELECT DISTINCT lang FROM w)
+ UNION ALL SELECT any_value(step) + 1, lang, any_value(a) - 0.05 * sum(e * x), any_value(b) - 0.05 * sum(e) FROM (SELECT g.*, x, w * (1 / (1 + exp(-greatest(-60, least(60, a * x + b)))) - y) AS e FROM g JOIN w USING (lang) WHERE step < 400) GROUP BY lang)
+SELECT lang, round(a, 6) AS a, round(b, 6) AS b FROM z LEFT JOIN (SELECT * FROM g WHERE step = 400) USING (lang)""")
 def q_platt_fit(spark, sf_dir):
     return E.platt_curves(scored(spark, sf_dir), "lang", "score", "quality").select("lang", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 

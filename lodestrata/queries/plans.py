@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.plans import bind
+from lodestrata.plans import batch, bind
+from lodestrata.plans import generate as G
 from lodestrata.plans.execute import active, execute, filtered, metadata, provenance
-from lodestrata.plans.model import ClarificationNeeded, Filter, Plan, PlanError
+from lodestrata.plans.model import ClarificationNeeded, Filter, Plan
 
 from .registry import FACTS, facts, query, read, records, registry_rows
 
@@ -30,9 +31,9 @@ for _a in ("sum", "avg", "count", "min", "max"):
     query(f"WITH {FACTS} SELECT metric_name, year, quarter, {_value} AS value FROM facts WHERE revision_id IN ('1', '2') AND year >= 1996 GROUP BY ALL ORDER BY metric_name, year, quarter LIMIT 200")(_f)
 
 
-@query("WITH o AS (SELECT o_orderstatus AS status, year(o_orderdate) AS year FROM orders) SELECT status, CAST(year AS INTEGER) AS year, count(*) AS value FROM o GROUP BY ALL")
+@query("WITH o AS (SELECT o_orderstatus AS status, year(o_orderdate) AS year FROM orders WHERE o_orderkey % 3 > 0) SELECT status, CAST(year AS INTEGER) AS year, count(*) AS value FROM o GROUP BY ALL")
 def q_plan_record_count(spark, sf_dir):
-    return execute(Plan(source="records", aggregate="count", group_by=("status", "year")), records(spark, sf_dir))
+    return execute(Plan(source="records", aggregate="count", group_by=("status", "year")), records(spark, sf_dir), registry_rows(spark))
 
 
 @query(f"WITH {FACTS} SELECT metric_name, region, round(sum(value_numeric)::DOUBLE, 6) AS value FROM facts WHERE revision_id IN ('1', '2') AND year <> 1998 AND quarter <= 3 AND quarter > 1 AND region < 'E' GROUP BY ALL")
@@ -57,12 +58,12 @@ def q_plan_rank(spark, sf_dir):
     return top.withColumn("rank", F.row_number().over(order)).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
-@query("""SELECT status, year, record_id, exact_duplicate_index FROM (SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey AS record_id, CAST(o_custkey % 3 AS VARCHAR) AS exact_duplicate_index FROM orders) AS o
+@query("""SELECT status, year, record_id, exact_duplicate_index FROM (SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey AS record_id, CAST(o_custkey % 3 AS VARCHAR) AS exact_duplicate_index FROM orders WHERE o_orderkey % 3 > 0) AS o
 WHERE year = 1996 AND exact_duplicate_index > '0' ORDER BY record_id DESC NULLS LAST, status, year, exact_duplicate_index LIMIT 50""")
 def q_plan_select(spark, sf_dir):
     f = (Filter("year", "eq", 1996), Filter("exact_duplicate_index", "gt", 0, json_key=True))
     plan = Plan(source="records", operation="select", filters=f, group_by=("status", "year", "record_id"), json_keys=("exact_duplicate_index",), order_by="record_id", limit=50)
-    return execute(plan, records(spark, sf_dir))
+    return execute(plan, records(spark, sf_dir), registry_rows(spark))
 
 
 @query(f"WITH {FACTS} SELECT revision_id, count(*) AS n, round(sum(value_numeric)::DOUBLE, 6) AS total FROM facts WHERE revision_id IN ('1', '2') GROUP BY ALL")
@@ -70,27 +71,35 @@ def q_active_only(spark, sf_dir):
     return active(facts(spark, sf_dir), registry_rows(spark)).groupBy("revision_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value_numeric").cast("double"), 6).alias("total"))
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS value FROM orders WHERE o_custkey % 3 = 1 GROUP BY ALL")
+@query("SELECT o_orderstatus AS status, count(*) AS value FROM orders WHERE o_custkey % 3 = 1 AND o_orderkey % 3 > 0 GROUP BY ALL")
 def q_dedupe_default(spark, sf_dir):
     plan = Plan(source="records", aggregate="count", group_by=("status",), dedupe=(("exact_duplicate_index", "1"),))
-    return execute(plan, records(spark, sf_dir))
+    return execute(plan, records(spark, sf_dir), registry_rows(spark))
 
 
-@query(f"WITH {FACTS} SELECT metric_name, count(value_numeric) AS contributing, string_agg(DISTINCT region, ';' ORDER BY region) AS regions, min(revision_id) AS first_revision FROM facts GROUP BY ALL")
+_MIXED = "u AS (SELECT *, CASE WHEN metric_name = 'AF' AND quarter = 1 THEN 'thousands' ELSE 'dollars' END AS unit FROM facts WHERE revision_id IN ('1', '2'))"
+
+
+def _mixed(spark, sf_dir):
+    """Facts of which some have another unit."""
+    other = (F.col("metric_name") == "AF") & (F.col("quarter") == 1)
+    return facts(spark, sf_dir).withColumn("unit", F.when(other, F.lit("thousands")).otherwise(F.col("unit")))
+
+
+@query(f"""WITH {FACTS}, {_MIXED} SELECT metric_name, count(value_numeric) AS contributing, string_agg(DISTINCT unit, ';' ORDER BY unit) AS units, min(revision_id) AS first_revision,
+ CASE WHEN count(DISTINCT unit) > 1 THEN 'refused' ELSE 'ok' END AS unit_status FROM u GROUP BY ALL""")
 def q_plan_metadata(spark, sf_dir):
-    return facts(spark, sf_dir).groupBy("metric_name").agg(F.count("value_numeric").alias("contributing"), F.array_join(F.sort_array(F.collect_set("region")), ";").alias("regions"), F.min("revision_id").alias("first_revision"))
+    return metadata(Plan(), _mixed(spark, sf_dir), registry_rows(spark), by=["metric_name"])
 
 
-@query(f"""WITH {FACTS}, u AS (SELECT *, CASE WHEN metric_name = 'AF' AND quarter = 1 THEN 'thousands' ELSE 'dollars' END AS unit FROM facts)
-SELECT count(value_numeric) AS contributing, string_agg(DISTINCT unit, ';' ORDER BY unit) AS units, min(revision_id) AS first_revision, CASE WHEN count(DISTINCT unit) > 1 THEN 'refused' ELSE 'ok' END AS unit_status FROM u WHERE year = 1997""")
+@query(f"""WITH {FACTS}, {_MIXED} SELECT count(value_numeric) AS contributing, string_agg(DISTINCT unit, ';' ORDER BY unit) AS units, min(revision_id) AS first_revision, CASE WHEN count(DISTINCT unit) > 1 THEN 'refused' ELSE 'ok' END AS unit_status FROM u WHERE year = 1997""")
 def q_unit_guard(spark, sf_dir):
-    mixed = facts(spark, sf_dir).withColumn("unit", F.when((F.col("metric_name") == "AF") & (F.col("quarter") == 1), F.lit("thousands")).otherwise(F.col("unit")))
-    return metadata(Plan(filters=(Filter("year", "eq", 1997),)), mixed)
+    return metadata(Plan(filters=(Filter("year", "eq", 1997),)), _mixed(spark, sf_dir), registry_rows(spark))
 
 
-@query(f"WITH {FACTS} SELECT fact_id, metric_name, value_numeric::DOUBLE AS value FROM facts WHERE year = 1997 AND value_numeric IS NOT NULL ORDER BY fact_id LIMIT 5")
+@query(f"WITH {FACTS} SELECT fact_id, metric_name, value_numeric::DOUBLE AS value FROM facts WHERE revision_id IN ('1', '2') AND year = 1997 AND value_numeric IS NOT NULL ORDER BY fact_id LIMIT 5")
 def q_provenance_sample(spark, sf_dir):
-    return provenance(Plan(filters=(Filter("year", "eq", 1997),)), facts(spark, sf_dir)).select("fact_id", "metric_name", F.col("value_numeric").cast("double").alias("value"))
+    return provenance(Plan(filters=(Filter("year", "eq", 1997),)), facts(spark, sf_dir), registry_rows(spark)).select("fact_id", "metric_name", F.col("value_numeric").cast("double").alias("value"))
 
 
 @query(f"""WITH {FACTS}, p AS (SELECT DISTINCT 'region' AS dimension, region AS value FROM facts UNION SELECT 'metric_name', metric_name FROM facts UNION SELECT 'priority', priority FROM facts UNION SELECT 'nation', nation FROM facts)
@@ -176,31 +185,77 @@ def q_excel_gate(spark, sf_dir):
     return asked.select("question_id", bind.excel_outcome(asked).alias("outcome"))
 
 
-@query("""SELECT * FROM (VALUES ('two axes', 'clarify'), ('bad aggregate', 'reject'), ('sum of records', 'reject'), ('limit 0', 'reject'), ('plain', 'accept'), ('reporting year', 'clarify'), ('reporting year of a vintage', 'accept'), ('keys of facts', 'reject'), ('keys of records', 'accept'), ('keys of a count', 'reject')) t(plan, verdict)""")
+def part_plans(spark, sf_dir):
+    """A plan of every part: right and wrong ones of each rule by the part's number."""
+    k = F.col("p_partkey")
+    pick = lambda n, *values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod(k + n, F.lit(len(values))) + 1).cast("int"))
+    field = pick(0, "year", "reporting_year", "region", "year_basis", "source_vintage_year", "nation", "unit")
+    two = F.struct(field.alias("field"), pick(1, "eq", "gte", "ne", "like", "lt", "eq", "gt", "lte", "eq", "eq", "eq").alias("operator"), F.lit("2023").alias("value"), (k % 5 == 0).alias("json_key"))
+    one = F.struct(F.lit("reporting_year").alias("field"), F.lit("eq").alias("operator"), F.lit("2023").alias("value"), F.lit(False).alias("json_key"))
+    return read(spark, sf_dir, "part").select(
+        k.cast("string").alias("plan_id"), pick(0, "facts", "records", "facts", "facts", "records", "facts", "views").alias("source"), pick(0, "aggregate", "rank", "select", "aggregate", "aggregate").alias("operation"),
+        pick(2, "sum", "count", "avg", "min", "count", "max", "count", "sum", "median").alias("aggregate"), F.col("p_size").cast("int").alias("table_number"), F.lit(None).cast("string").alias("semantic_metric_key"), F.lit(None).cast("string").alias("measure_name"),
+        F.when(k % 3 == 0, F.array(two)).when(k % 3 == 1, F.array(two, one)).otherwise(F.array(one)).alias("filters"),
+        F.when(k % 4 == 0, F.array(F.lit("region"))).when(k % 29 == 1, F.array(F.lit("nation"))).otherwise(F.array().cast("array<string>")).alias("group_by"), F.when(k % 6 == 2, F.array(F.lit("priority"))).otherwise(F.array().cast("array<string>")).alias("json_keys"),
+        F.when(k % 7 == 0, F.lit("region")).when(k % 7 == 1, F.lit("value")).alias("order_by"), F.lit(True).alias("descending"), (k % 23 * 10).cast("int").alias("limit"), F.when(k % 13 == 0, F.lit("reported")).alias("year_basis"), (k % 11 > 0).alias("require_year_basis"),
+    )
+
+
+_ALLOWED = "['table_number', 'record_id', 'utility_id', 'reporting_year', 'reporting_quarter', 'line_type', 'hftd_tier', 'year', 'quarter', 'region', 'priority']"
+_PICK = lambda n, *v: f"[{', '.join(repr(x) for x in v)}][(p_partkey + {n}) % {len(v)} + 1]"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size, {_PICK(0, 'facts', 'records', 'facts', 'facts', 'records', 'facts', 'views')} AS source, {_PICK(0, 'aggregate', 'rank', 'select', 'aggregate', 'aggregate')} AS operation,
+ {_PICK(2, 'sum', 'count', 'avg', 'min', 'count', 'max', 'count', 'sum', 'median')} AS aggregate, {_PICK(0, 'year', 'reporting_year', 'region', 'year_basis', 'source_vintage_year', 'nation', 'unit')} AS field, {_PICK(1, 'eq', 'gte', 'ne', 'like', 'lt', 'eq', 'gt', 'lte', 'eq', 'eq', 'eq')} AS op,
+ p_partkey % 3 < 2 AS has_two, p_partkey % 3 > 0 AS has_one, p_partkey % 5 = 0 AS json, CASE WHEN p_partkey % 4 = 0 THEN 'region' WHEN p_partkey % 29 = 1 THEN 'nation' END AS grouped, p_partkey % 6 = 2 AS keyed, CASE p_partkey % 7 WHEN 0 THEN 'region' WHEN 1 THEN 'value' END AS ordered FROM part),
+ c AS (SELECT *, list_contains(CASE WHEN source = 'facts' THEN list_concat({_ALLOWED}, ['year_basis', 'source_vintage_year', 'unit']) ELSE {_ALLOWED} END, field) AS known FROM p)
+SELECT p_partkey::VARCHAR AS plan_id, CASE WHEN source = 'views' THEN 'reject: source' WHEN aggregate = 'median' THEN 'reject: aggregate' WHEN source = 'records' AND operation <> 'select' AND aggregate <> 'count' THEN 'reject: records can be counted only'
+ WHEN p_partkey % 23 NOT BETWEEN 1 AND 20 THEN 'reject: limit' WHEN has_two AND op = 'like' THEN 'reject: comparison' WHEN has_two AND NOT json AND NOT known THEN 'reject: filter' WHEN grouped = 'nation' THEN 'reject: group' WHEN keyed AND NOT (operation = 'select' AND source = 'records') THEN 'reject: key'
+ WHEN ordered = 'region' AND grouped IS DISTINCT FROM 'region' THEN 'reject: order'
+ WHEN p_partkey % 11 > 0 AND p_size IN (14, 15) AND p_partkey % 13 <> 0 AND (has_one OR (has_two AND NOT json AND field IN ('year', 'reporting_year'))) AND NOT (has_two AND NOT json AND field IN ('year_basis', 'source_vintage_year')) THEN 'clarify' ELSE 'accept' END AS verdict FROM c""")
 def q_plan_clarify(spark, sf_dir):
-    """Validation is part of plan building; the verdicts come from the validator itself."""
-    plans = {"two axes": Plan(table_number=14, filters=(Filter("year", "eq", 2023),)), "bad aggregate": Plan(aggregate="median"), "sum of records": Plan(source="records"), "limit 0": Plan(limit=0), "plain": Plan(table_number=2)}
-    year, keys = Filter("reporting_year", "eq", 2023), ("exact_duplicate_index",)
-    plans |= {"reporting year": Plan(table_number=15, filters=(year,)), "reporting year of a vintage": Plan(table_number=15, filters=(year, Filter("source_vintage_year", "eq", 2022)))}
-    plans |= {"keys of facts": Plan(operation="select", json_keys=keys), "keys of records": Plan(source="records", operation="select", json_keys=keys), "keys of a count": Plan(source="records", aggregate="count", json_keys=keys)}
-
-    def verdict(p: Plan) -> str:
-        try:
-            p.validate()
-        except ClarificationNeeded:
-            return "clarify"
-        except PlanError:
-            return "reject"
-        return "accept"
-
-    return spark.createDataFrame([(k, verdict(p)) for k, p in plans.items()], "plan string, verdict string")
-
-
-@query(f"""WITH {FACTS}, d AS (SELECT DISTINCT region, metric_name, year FROM facts), a AS (SELECT region, metric_name, year, sum(value_numeric)::DOUBLE AS answer FROM facts GROUP BY ALL)
-SELECT 'What was the total of ' || metric_name || ' in ' || region || ' in ' || CAST(year AS VARCHAR) || '?' AS question, round(answer, 2) AS answer FROM d JOIN a USING (region, metric_name, year)""")
+    """Every part's plan judged by the rules as one expression."""
+    return part_plans(spark, sf_dir).select("plan_id", batch.verdict().alias("verdict"))
+
+
+_QA = f"""{FACTS}, a AS (SELECT * FROM facts WHERE revision_id IN ('1', '2')),
+ m AS (SELECT metric_name, year, quarter, sum(value_numeric)::DOUBLE AS v FROM a GROUP BY ALL),
+ qa AS (SELECT 'metric_lookup' AS kind, CASE (year + quarter) % 4 WHEN 0 THEN format('What was {{}} in {{}} Q{{}}?', metric_name, year, quarter) WHEN 1 THEN format('For {{1}} Q{{2}}, what value was reported for {{0}}?', metric_name, year, quarter)
+   WHEN 2 THEN format('What value for {{0}} was reported in the Q{{2}} {{1}} update?', metric_name, year, quarter) ELSE format('In Q{{2}} {{1}}, what was reported as {{0}}?', metric_name, year, quarter) END AS question, v AS answer, 1 AS n_rows FROM m
+ UNION ALL SELECT 'scoped_aggregate', format('In {{}}, how much {{}} was attributed to {{}}?', year, metric_name, nation), sum(value_numeric)::DOUBLE, 1 FROM a GROUP BY metric_name, year, nation
+ UNION ALL SELECT 'split_lookup', format('For {{}} lines in {{}}, what {{}} was reported in {{}} Q{{}}?', line_type, region, metric_name, year, quarter), sum(value_numeric)::DOUBLE, 1 FROM a GROUP BY metric_name, year, quarter, region, line_type
+ UNION ALL SELECT 'period_trend', format('How did {{}} of {{}} change across the quarters of {{}}?', metric_name, line_type, year), arg_min(v, quarter), count(*) FROM (SELECT metric_name, line_type, year, quarter, sum(value_numeric)::DOUBLE AS v FROM a GROUP BY ALL) GROUP BY metric_name, line_type, year HAVING count(*) > 1
+ UNION ALL SELECT 'group_comparison', format('In {{}} Q{{}}, which regions but ASIA reported most {{}}?', year, quarter, metric_name), max(v), least(3, count(*)) FROM (SELECT metric_name, year, quarter, region, sum(value_numeric)::DOUBLE AS v FROM a WHERE region <> 'ASIA' GROUP BY ALL) GROUP BY metric_name, year, quarter HAVING count(*) > 1
+ UNION ALL SELECT 'ranking', format('In {{}}, which three segments had the highest {{}}?', year, metric_name), max(v), least(3, count(*)) FROM (SELECT metric_name, year, line_type, max(value_numeric)::DOUBLE AS v FROM a GROUP BY ALL) GROUP BY metric_name, year HAVING count(*) > 1
+ UNION ALL SELECT 'missing_value', format('Has {{}} been reported for {{}} Q{{}} yet?', metric_name, year + 30, quarter), NULL, 0 FROM m
+ UNION ALL SELECT DISTINCT 'year_scope', format('What {{}} was reported for {{}}?', metric_name, year), NULL::DOUBLE, 0 FROM m)"""
+
+
+@query(f"""WITH {_QA} SELECT kind, question, round(answer, 2) AS answer, n_rows FROM qa""", long="n_rows")
 def q_question_templates(spark, sf_dir):
-    a = facts(spark, sf_dir).groupBy("region", "metric_name", "year").agg(F.sum("value_numeric").cast("double").alias("answer"))
-    return a.select(F.concat(F.lit("What was the total of "), "metric_name", F.lit(" in "), "region", F.lit(" in "), F.col("year").cast("string"), F.lit("?")).alias("question"), F.round("answer", 2).alias("answer"))
+    """Questions whose plans, run together, give what the facts say."""
+    return G.verified(G.candidates(facts(spark, sf_dir), registry_rows(spark)), facts(spark, sf_dir), registry_rows(spark)).select("kind", "question", F.round("answer", 2).alias("answer"), "n_rows")
+
+
+@query(f"""WITH {FACTS}, a AS (SELECT region, line_type, year, value_numeric AS v, priority FROM facts WHERE revision_id IN ('1', '2')),
+ k AS (SELECT c_custkey, c_mktsegment, c_nationkey % 3 AS m, CAST(1992 + c_custkey % 7 AS INTEGER) AS y, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT c_custkey::VARCHAR AS plan_id, array_to_string(CASE WHEN m = 2 THEN [region] ELSE [] END, ';') AS groups, round(CASE m WHEN 0 THEN sum(v) WHEN 1 THEN sum(v) / count(v) ELSE max(v) END::DOUBLE, 4) AS value, row_number() OVER (PARTITION BY c_custkey ORDER BY max(v) DESC NULLS LAST, region) AS place, count(v) AS contributing
+FROM (SELECT k.*, a.v, CASE WHEN m = 2 THEN region END AS region FROM k LEFT JOIN a ON a.line_type = c_mktsegment AND CASE m WHEN 0 THEN a.year = y AND a.region = r_name WHEN 1 THEN a.year >= y AND a.priority = '2-HIGH' ELSE a.year = y AND a.region <> r_name END) WHERE m < 2 OR v IS NOT NULL GROUP BY c_custkey, m, region QUALIFY place <= 3""", long="place contributing")
+def q_plan_batch(spark, sf_dir):
+    """A plan of every customer: a sum, a mean over a JSON key, or a rank, answered in one scan of the facts."""
+    places = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("m", F.col("c_nationkey") % 3)
+    f = lambda field, op, value, json=False: F.struct(F.lit(field).alias("field"), F.lit(op).alias("operator"), value.cast("string").alias("value"), F.lit(json).alias("json_key"))
+    year, of = 1992 + F.col("c_custkey") % 7, f("line_type", "eq", F.col("c_mktsegment"))
+    filters = F.when(F.col("m") == 0, F.array(of, f("year", "eq", year), f("region", "eq", F.col("r_name")))).when(F.col("m") == 1, F.array(of, f("year", "gte", year), f("priority", "eq", F.lit("2-HIGH"), True))).otherwise(F.array(of, f("year", "eq", year), f("region", "ne", F.col("r_name"))))
+    null, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    plans = c.select(
+        F.col("c_custkey").cast("string").alias("plan_id"), F.lit("facts").alias("source"), F.when(F.col("m") == 2, F.lit("rank")).otherwise(F.lit("aggregate")).alias("operation"), F.when(F.col("m") == 0, F.lit("sum")).when(F.col("m") == 1, F.lit("avg")).otherwise(F.lit("max")).alias("aggregate"),
+        F.lit(2).alias("table_number"), null.alias("semantic_metric_key"), null.alias("measure_name"), filters.alias("filters"), F.when(F.col("m") == 2, F.array(F.lit("region"))).otherwise(none).alias("group_by"), none.alias("json_keys"),
+        null.alias("order_by"), F.lit(True).alias("descending"), F.lit(3).alias("limit"), null.alias("year_basis"), F.lit(True).alias("require_year_basis"),
+    )
+    out = batch.answers(plans, facts(spark, sf_dir), registry_rows(spark))
+    return out.select("plan_id", F.array_join("groups", ";").alias("groups"), F.round("value", 4).alias("value"), "place", "contributing")
 
 
 @query(f"WITH {FACTS} SELECT count(*) AS n FROM facts WHERE year = 1996 AND quarter IS NOT NULL")

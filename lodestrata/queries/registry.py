@@ -71,6 +71,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("record_key"),
         F.col("o_orderkey").alias("record_id"),
+        (F.col("o_orderkey") % 3).cast("string").alias("revision_id"),
         F.col("o_orderstatus").alias("status"),
         F.year("o_orderdate").alias("year"),
         F.col("o_orderpriority").alias("priority"),

@@ -11,10 +11,12 @@ from lodestrata.operators import lanes as L
 from lodestrata.operators import retrieval as R
 from lodestrata.operators import rewrite as W
 from lodestrata.operators.lexical import WEIGHTS, LexicalIndex
+from lodestrata.operators.overlap import find_evidence
 from lodestrata.operators.vectors import VectorIndex
 from lodestrata.sources.scratch import new_path, written
 
 from .registry import CHUNKS, chunks, query, read
+from .scalars import variants_sql
 
 _D = "round(list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 
@@ -332,13 +334,26 @@ def q_chunk_doc_join(spark, sf_dir):
     return c.join(sources, "breadcrumb").groupBy(F.col("breadcrumb").alias("source")).agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("content_type") == "narrative").alias("narrative"), F.min("chunk_id").alias("first_chunk"))
 
 
-@query("""SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(list_extract(string_split_regex(b.text, '[.!?]\\s+'), 1)))) GROUP BY item_id""")
+_NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9.%-]+', ' ', 'g'))"
+_EVIDENCE = f"""o AS (SELECT o_orderkey, n_name, c_mktsegment, CAST(2020 + year(o_orderdate) % 8 AS VARCHAR) AS y, CAST(quarter(o_orderdate) AS VARCHAR) AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+c AS (SELECT o_orderkey AS chunk_id, {_NORMAL.format("n_name || ' Order for ' || c_mktsegment || ' in Q' || k || ' ' || y || ': total ' || CASE WHEN o_orderkey % 3 = 0 THEN format('{:,}', CAST(v * 100 AS BIGINT) // 100) || '.' || lpad(CAST(CAST(v * 100 AS BIGINT) % 100 AS VARCHAR), 2, '0') ELSE CAST(v AS VARCHAR) END || ' (no. ' || CAST(o_orderkey AS VARCHAR) || ').'")} AS text FROM o),
+w AS (SELECT o_orderkey AS needle_id, y, 'q' || k AS q, list_transform({variants_sql("v")}, lambda x: {_NORMAL.format("x")}) AS forms, lower(n_name) AS w1, lower(c_mktsegment) AS w2 FROM o WHERE o_orderkey IN (SELECT arg_max(o_orderkey, {{'v': v, 'k': o_orderkey}}) FROM o GROUP BY n_name, c_mktsegment, y, k)),
+f AS (SELECT *, regexp_extract(form, '([0-9.]+)$', 1) AS run FROM (SELECT * EXCLUDE (forms), unnest(forms) AS form FROM w)),
+r AS (SELECT chunk_id, text, unnest(list_distinct(regexp_extract_all(text, '[0-9.]+'))) AS run FROM c)"""
+
+
+@query(f"""WITH {_EVIDENCE} SELECT needle_id, min(chunk_id) AS chunk_id FROM f JOIN r USING (run) WHERE list_contains(string_split(text, ' '), y) AND contains(text, q)
+ AND regexp_matches(text, '(^|[^0-9.])' || replace(form, '.', '[.]') || '($|[^0-9.])') AND (SELECT count(*) FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(w1 || ' ' || w2, '[a-z0-9]+'), lambda t: length(t) >= 3))) AS t) WHERE contains(text, t)) >= 2 GROUP BY needle_id""")
 def q_overlap_evidence(spark, sf_dir):
-    """Which documents repeat an item's first sentence. The benchmark is small and checked as
-    such by its broadcast threshold; documents are scanned once."""
-    first = read(spark, sf_dir, "benchmark").select("item_id", F.lower(F.get(F.split("text", r"[.!?]\s+"), F.lit(0))).alias("needle"))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
-    return d.join(first, F.col("body").contains(F.col("needle"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    """The largest order of every nation, segment and quarter as a needle, all orders as sentences."""
+    n = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    year, quarter = (2020 + F.year("o_orderdate") % 8).cast("string"), F.quarter("o_orderdate").cast("string")
+    o = read(spark, sf_dir, "orders").join(n, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_name", "c_mktsegment", year.alias("y"), quarter.alias("k"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    total = F.when(F.col("o_orderkey") % 3 == 0, F.format_number("v", 2)).otherwise(F.col("v").cast("string"))
+    content = F.concat(F.lit("Order for "), "c_mktsegment", F.lit(" in Q"), "k", F.lit(" "), "y", F.lit(": total "), total, F.lit(" (no. "), F.col("o_orderkey").cast("string"), F.lit(")."))
+    largest = o.groupBy("n_name", "c_mktsegment", "y", "k").agg(F.max(F.struct("v", "o_orderkey")).alias("m"))
+    needles = largest.select(F.col("m.o_orderkey").alias("needle_id"), F.concat(F.lit("What was the largest order in Q"), "k", F.lit(" of "), "y", F.lit("?")).alias("question"), F.concat_ws(" ", "n_name", "c_mktsegment").alias("concept"), F.col("m.v").alias("value"))
+    return find_evidence(needles, o.select(F.col("o_orderkey").alias("chunk_id"), F.col("n_name").alias("caption"), content.alias("content")))
 
 
 _ASKED = "CASE m WHEN 0 THEN 'What is the size of ' || p_name || '? And the price?' WHEN 1 THEN 'What is the size of ' || p_name || ' and how much is it?' ELSE 'What is the size of ' || p_name || '?' END"

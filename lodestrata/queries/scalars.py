@@ -223,7 +223,7 @@ def q_slug(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("source", T.slug(F.concat("source", F.lit(" / A&B"))).alias("slug")).distinct()
 
 
-@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'multiple_questions' WHEN 1 THEN 'second_clause' END AS reason FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'multiple_questions' WHEN 1 THEN 'independent_interrogative_clauses' END AS reason FROM part""")
 def q_decompose_reason(spark, sf_dir):
     m = F.col("p_size") % 3
     q = F.concat(F.lit("What is the size of "), "p_name", F.when(m == 0, F.lit("? And the price?")).when(m == 1, F.lit(" and how much is it?")).otherwise(F.lit("?")))
@@ -235,17 +235,29 @@ def q_noise_filter(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.round(T.dot_ratio(F.col("html")), 6).alias("ratio"), (T.dot_ratio(F.col("html")) > 0.02).alias("noisy"), (F.length("html") < 1000).alias("small"))
 
 
-@query("""SELECT p_partkey, list_contains([CAST(CAST(p_retailprice AS DECIMAL(18,0)) AS VARCHAR)], regexp_replace(v, ',', '', 'g')) AS has_whole FROM (SELECT p_partkey, p_retailprice, CAST(CAST(p_retailprice AS DECIMAL(18,0)) AS VARCHAR) AS v FROM part)""")
+def variants_sql(value: str) -> str:
+    """All forms of a non-negative DECIMAL(18,2) ``value``, whole numbers apart, as a list."""
+    cents = f"CAST(({value}) * 100 AS BIGINT)"
+    tenths = f"({cents} // 10 + CASE WHEN {cents} % 10 > 5 OR ({cents} % 10 = 5 AND ({cents} // 10) % 2 = 1) THEN 1 ELSE 0 END)"
+    grouped = lambda whole: f"format('{{:,}}', {whole})"
+    two, one = f"'.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0')", f"'.' || CAST({tenths} % 10 AS VARCHAR)"
+    whole = f"[CAST({cents} // 100 AS VARCHAR) || '.00', CAST({cents} // 100 AS VARCHAR), {grouped(f'{cents} // 100')}]"
+    parts = ", ".join(f"{w} || {t}{z}" for t, n, z in ((one, f"{tenths} // 10", ""), (two, f"{cents} // 100", ""), (two, f"{cents} // 100", " || '0'")) for w in (grouped(n), f"CAST({n} AS VARCHAR)"))
+    trimmed = f"regexp_replace(CAST({cents} // 100 AS VARCHAR) || {two}, '[.]?0+$', '')"
+    return f"list_distinct(CASE WHEN {cents} % 100 = 0 THEN {whole} ELSE [{trimmed}, {parts}] END)"
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_sort({variants_sql("p")}), ';') AS variants FROM (SELECT p_partkey, CAST(p_retailprice * (1 + p_partkey % 9) AS DECIMAL(18,2)) AS p FROM part)""")
 def q_numeric_variants(spark, sf_dir):
-    whole = F.col("p_retailprice").cast("decimal(18,0)").cast("string")
-    found = F.transform(V.numeric_variants(F.col("p_retailprice").cast("decimal(18,0)")), lambda v: F.replace(v, F.lit(","), F.lit("")))
-    return parts(spark, sf_dir).select("p_partkey", F.array_contains(found, whole).alias("has_whole"))
+    price = (F.col("p_retailprice") * (1 + F.col("p_partkey") % 9)).cast("decimal(18,2)")
+    return parts(spark, sf_dir).select("p_partkey", F.array_join(F.array_sort(V.numeric_variants(price)), ";").alias("variants"))
 
 
-@query("""SELECT p_partkey, CAST(p_partkey % 18278 AS INTEGER) AS i, CAST(p_partkey % 18278 AS INTEGER) AS back FROM part""")
+@query("""WITH d AS (SELECT p_partkey, CAST(p_partkey % 18278 AS INTEGER) AS i FROM part)
+SELECT p_partkey, i, i AS back, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(65 + (i - 26) // 26) || chr(65 + i % 26) ELSE chr(65 + (i - 702) // 676) || chr(65 + (i - 702) // 26 % 26) || chr(65 + (i - 702) % 26) END AS letters FROM d""")
 def q_col_letter(spark, sf_dir):
     i = (F.col("p_partkey") % 18278).cast("int")
-    return parts(spark, sf_dir).select("p_partkey", i.alias("i"), V.column_index(V.column_letters(i)).alias("back"))
+    return parts(spark, sf_dir).select("p_partkey", i.alias("i"), V.column_index(V.column_letters(i)).alias("back"), V.column_letters(i).alias("letters"))
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")

@@ -58,7 +58,7 @@ def test_text_helpers(spark):
     assert col(spark, ["see Figure 3-1 below", "Map 7", "no label"], "string", T.figure_label) == ["figure 3-1", "map 7", None]
     assert col(spark, ["short", "one two three four five"], "string", lambda x: T.truncate_at_word(x, 12)) == ["short", "one two…"]
     assert col(spark, ['```json\n{"a": 1}\n```', "{}"], "string", T.strip_fence) == ['{"a": 1}', "{}"]
-    assert col(spark, ["What? Why?", "What is it and how much is it?", "What is it?"], "string", T.decomposition_reason) == ["multiple_questions", "second_clause", None]
+    assert col(spark, ["What? Why?", "What is it and how much is it?", "What is it?"], "string", T.decomposition_reason) == ["multiple_questions", "independent_interrogative_clauses", None]
     assert col(spark, ["the Wildfire Mitigation Plan costs"], "string", T.lexical_query) == [["wildfire", "mitigation", "plan", "costs", "wmp"]]
     assert col(spark, ["costs gas"], "string", T.lexical_terms) == [["cost", "gas"]]
     assert col(spark, [[["a|b", "c"], ["d"]]], "array<array<string>>", T.grid_to_markdown) == ["| a\\|b | c |\n| --- | --- |\n| d |  |"]
