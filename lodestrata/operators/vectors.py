@@ -96,7 +96,7 @@ def _searched(queries: np.ndarray, wanted: dict[int, np.ndarray], k: int, laned:
             n = [len(i) for i, _ in held.values()]
             columns = [np.repeat([q for q, _ in held], n).astype("i8"), None, np.concatenate([i for i, _ in held.values()]), np.concatenate([d for _, d in held.values()])]
             lane = pa.array([lane for (_, lane), m in zip(held, n, strict=True) for _ in range(m)], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), lane, pa.array(columns[2]), pa.array(columns[3])], ["q", "lane", "id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), lane, pa.array(columns[2]), pa.array(columns[3])], ["_query", "lane", "id", "distance"])
 
     return search
 
@@ -153,7 +153,7 @@ class VectorIndex:
     def _block(self, queries: DataFrame, keys: list[str], k: int, probes: int | None, lane: str | None, first: int) -> DataFrame:
         rows = queries.collect()  # at most QUERY_BYTES of vectors
         kinds = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in keys)
-        names = self.spark.createDataFrame([(i, *(r[c] for c in keys)) for i, r in enumerate(rows)], f"q bigint, {kinds}")
+        names = self.spark.createDataFrame([(i, *(r[c] for c in keys)) for i, r in enumerate(rows)], f"_query bigint, {kinds}")
         matrix = np.array([r["v"] for r in rows], "f8").reshape(len(rows), self.centroids.shape[1])
         matrix /= np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)) if len(rows) else 1
         angle = np.arccos(np.clip(matrix @ self.centroids.T, -1, 1))
@@ -165,21 +165,21 @@ class VectorIndex:
             found = written(self._cut(found, k), "nearest")
             lanes = max(1, self.rows().where(F.col(lane).isNotNull()).select(lane).distinct().count() if lane else 1)
             reach = np.full(len(rows), np.inf)
-            last = found.groupBy("q", "lane").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).groupBy("q")
+            last = found.groupBy("_query", "lane").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).groupBy("_query")
             for r in last.agg(F.max("far").alias("far"), F.min("n").alias("n"), F.count(F.lit(1)).alias("lanes")).collect():  # a row a query of the block
                 if r["n"] == k and r["lanes"] == lanes:
-                    reach[r["q"]] = np.arccos(np.clip(1 - r["far"] - 1e-6, -1, 1)) + 1e-6
+                    reach[r["_query"]] = np.arccos(np.clip(1 - r["far"] - 1e-6, -1, 1)) + 1e-6
             more = (angle - self.radii <= reach[:, None]) & ~chosen
             found = found.drop("rank").union(self._scan(matrix, more, k, lane))
-        return self._cut(found, k).join(F.broadcast(names), "q").select(*keys, "lane", "id", "distance", "rank")
+        return self._cut(found, k).join(F.broadcast(names), "_query").select(*keys, "lane", "id", "distance", "rank")
 
     def _scan(self, matrix: np.ndarray, chosen: np.ndarray, k: int, lane: str | None) -> DataFrame:
         wanted = {int(c): np.flatnonzero(chosen[:, c]) for c in np.flatnonzero(chosen.any(axis=0))}
         rows = self.rows().where(F.col("list").isin(list(wanted)) if wanted else F.lit(False))
         rows = rows.select("id", "embedding", "list", *([F.col(lane).cast("string")] if lane else []))
-        return rows.mapInArrow(_searched(matrix, wanted, k, lane is not None), "q bigint, lane string, id bigint, distance double")
+        return rows.mapInArrow(_searched(matrix, wanted, k, lane is not None), "_query bigint, lane string, id bigint, distance double")
 
     @staticmethod
     def _cut(found: DataFrame, k: int) -> DataFrame:
-        w = Window.partitionBy("q", "lane").orderBy("distance", "id")
+        w = Window.partitionBy("_query", "lane").orderBy("distance", "id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
