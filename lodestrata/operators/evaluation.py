@@ -89,16 +89,17 @@ def platt_curves(df: DataFrame, group: str, score: str, label: str, steps: int =
     Rows without group, score or label do not count."""
     spark = df.sparkSession
     sound = df.where(F.col(group).isNotNull() & F.col(score).isNotNull() & F.col(label).isNotNull())
-    counted = sound.groupBy(group, F.col(score).cast("double").alias("x"), F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    counted = sound.groupBy(F.col(group).alias("of"), F.col(score).cast("double").alias("x"), F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
     counted = written(counted, "counts")
-    sizes = counted.groupBy(group).agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("neg"))
+    kind = counted.schema["of"].dataType.simpleString()
+    sizes = counted.groupBy("of").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("neg"))
     groups = sizes.limit(MOST_CURVES + 1).collect()
     if len(groups) > MOST_CURVES:
         raise ValueError(f"more than {MOST_CURVES} groups to fit")
     fitted = [r for r in groups if r["pos"] and r["neg"]]
-    numbers = spark.createDataFrame([(r[group], i, 0.5 / r["pos"], 0.5 / r["neg"]) for i, r in enumerate(fitted)], f"`{group}` {counted.schema[group].dataType.simpleString()}, g int, of_pos double, of_neg double")
+    numbers = spark.createDataFrame([(r["of"], i, 0.5 / r["pos"], 0.5 / r["neg"]) for i, r in enumerate(fitted)], f"of {kind}, g int, of_pos double, of_neg double")
     weight = F.col("n") * F.when(F.col("y") == 1, F.col("of_pos")).otherwise(F.col("of_neg"))
-    points = counted.join(F.broadcast(numbers), group).select("g", "x", "y", weight.alias("w"))
+    points = counted.join(F.broadcast(numbers), "of").select("g", "x", "y", weight.alias("w"))
     few = counted.limit(FEW_COUNTS + 1).count() <= FEW_COUNTS
     gradient = _gradients_here(points.collect()) if few else _gradients(written(points, "points"))
     a, b = [1.0] * len(fitted), [0.0] * len(fitted)
@@ -106,9 +107,9 @@ def platt_curves(df: DataFrame, group: str, score: str, label: str, steps: int =
         for g, da, db in gradient(a, b):
             a[g] -= rate * da
             b[g] -= rate * db
-    at = {r[group]: i for i, r in enumerate(fitted)}
-    rows = [(r[group], a[at[r[group]]] if r[group] in at else None, b[at[r[group]]] if r[group] in at else None, r["pos"], r["neg"]) for r in groups]
-    return spark.createDataFrame(rows, f"`{group}` {counted.schema[group].dataType.simpleString()}, a double, b double, positives bigint, negatives bigint")
+    at = {r["of"]: i for i, r in enumerate(fitted)}
+    rows = [(r["of"], a[at[r["of"]]] if r["of"] in at else None, b[at[r["of"]]] if r["of"] in at else None, r["pos"], r["neg"]) for r in groups]
+    return spark.createDataFrame(rows, f"`{group}` {kind}, a double, b double, positives bigint, negatives bigint")
 
 
 def platt(score: Column, a: Column, b: Column, positives: Column | None = None, negatives: Column | None = None) -> Column:
