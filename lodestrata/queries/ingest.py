@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import values as V
 from lodestrata.operators import ingest as I
+from lodestrata.operators.publish import ObjectStore, Publisher
+from lodestrata.sources.jdbc import embedded
+from lodestrata.sources.scratch import new_path
 from lodestrata.sources.tables import is_safe_key, object_uri
-from lodestrata.sources.workbook import workbook_bytes, workbook_rows
+from lodestrata.sources.workbook import register
 
 from .registry import query, read
 
@@ -61,13 +64,16 @@ def q_dead_letter(spark, sf_dir):
     return count(good, "loaded").union(count(bad, "rejected"))
 
 
-@query("""SELECT 'Sheet1' AS sheet, CAST(n_nationkey AS INTEGER) AS row, CAST(n_nationkey AS VARCHAR) || '|' || n_name AS cells FROM nation""")
+@query("""SELECT 'orders' AS sheet, o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority, 'yyyy-mm-dd' AS date_format FROM orders""")
 def q_workbook_rows(spark, sf_dir):
-    """Writes the nations to a workbook in memory and reads its rows back."""
-    rows = [[r["n_nationkey"], r["n_name"]] for r in read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows, by the table's definition
-    files = spark.createDataFrame([("nations.xlsx", bytearray(workbook_bytes({"Sheet1": rows})))], "path string, content binary")
-    out = workbook_rows(files)
-    return out.select("sheet", (F.col("row") - 1).cast("int").alias("row"), F.array_join("cells", "|").alias("cells"))
+    """Writes the orders to workbooks, one a task, and reads all their rows back."""
+    register(spark)
+    path = new_path(spark, "workbooks").removeprefix("file://")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority")
+    orders.repartition(4, "o_orderkey").write.format("workbook").option("sheet", "orders").mode("append").save(path)
+    rows = spark.read.format("workbook").option("sheet", "orders").load(path).where("row > 1")
+    at = lambda i, kind: F.get("cells", F.lit(i)).cast(kind).alias(orders.columns[i])
+    return rows.select("sheet", at(0, "bigint"), at(1, "string"), at(2, "double"), at(3, "date"), at(4, "string"), F.get("formats", F.lit(3)).alias("date_format"))
 
 
 @query("""SELECT p_partkey, sha256('{"brand":"' || p_brand || '","overlap":null,"size":' || p_size || ',"version":"v1"}') AS signature FROM part""")
@@ -82,3 +88,46 @@ def q_object_uri(spark, sf_dir):
     key = F.concat(F.lit("crops/"), F.col("page_id").cast("string"), F.lit(".png"))
     odd = F.when(F.col("page_id") % 3 == 0, F.concat(F.element_at(F.array(F.lit("/"), F.lit("a/../"), F.lit("C:")), (F.col("page_id") / 3).cast("int") % 3 + 1), key)).otherwise(key)
     return p.select("page_id", object_uri("s3://bucket/", key).alias("uri"), (~is_safe_key(odd)).alias("unsafe"))
+
+
+@query("""WITH p AS (SELECT o_orderstatus AS source, 1 AS revision, count(*) AS rows FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1 UNION ALL SELECT o_orderstatus, 2, count(*) FROM orders GROUP BY 1)
+SELECT source, revision, CASE revision WHEN 2 THEN 'active' ELSE 'superseded' END AS state, rows FROM p
+UNION ALL SELECT source, NULL, 'failed', NULL FROM p WHERE revision = 2""", long="revision rows")
+def q_revision_publish(spark, sf_dir):
+    """Orders by status as sources: half of them, all of them, all once more, and a load that its check refuses."""
+    publisher, orders = Publisher(spark, new_path(spark, "published")), read(spark, sf_dir, "orders")
+    for (status,) in orders.select("o_orderstatus").distinct().collect():  # the three states of an order
+        mine = orders.where(F.col("o_orderstatus") == status)
+        publisher.publish(status, mine.where("o_orderkey % 2 = 0"), "half")
+        publisher.publish(status, mine, "whole")
+        publisher.publish(status, mine, "whole")
+        try:
+            publisher.publish(status, mine.select("o_orderkey"), "bad", check=lambda df: None if "o_orderstatus" in df.columns else "no status")
+        except ValueError:
+            pass
+    return publisher.registry().select("source", "revision", "state", "rows")
+
+
+@query("""SELECT 'host' || page_id % 7 || '/' || page_id || '.html' AS key, strlen(html) AS size, sha256(html) AS sha256 FROM pages WHERE page_id % 7 <> 3""", long="size")
+def q_object_store(spark, sf_dir):
+    """Puts every page as an object, clears one prefix, and reads the rest."""
+    pages, store = read(spark, sf_dir, "pages"), ObjectStore(spark, new_path(spark, "objects"))
+    key = F.concat(F.lit("host"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".html"))
+    store.put(pages.select(key.alias("key"), F.col("html").cast("binary").alias("content"))).write.format("noop").mode("overwrite").save()
+    store.clear_prefix("host3")
+    return store.read().select("key", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("""SELECT c_custkey, c_name, c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS c_acctbal, c_mktsegment FROM customer""")
+def q_jdbc_upsert(spark, sf_dir):
+    """Customers into a database in two loads, the second again: old rows change, new ones are added, and
+    the table is read back in ranges of its key."""
+    c, db = read(spark, sf_dir, "customer"), embedded(spark)
+    rows = c.select("c_custkey", "c_name", (F.col("c_acctbal") + F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0)).alias("c_acctbal"), "c_mktsegment")
+    types = {"c_custkey": "BIGINT", "c_name": "VARCHAR(64)", "c_acctbal": "DOUBLE", "c_mktsegment": "VARCHAR(32)"}
+    db.upsert(c.where("c_custkey % 2 = 0"), "customers", ["c_custkey"], types)
+    db.upsert(rows, "customers", ["c_custkey"], types)
+    if db.upsert(rows, "customers", ["c_custkey"], types):
+        raise ValueError("a repeated load has changed rows")
+    out = db.table("customers", "c_custkey", 4)
+    return out.toDF(*(x.lower() for x in out.columns))
