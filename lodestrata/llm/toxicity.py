@@ -6,11 +6,13 @@
    word, density, shouting, masked and drawn-out spelling) vote on every document in one pass;
    the vote patterns of all documents, at most 2^N_VOTERS, are counted in one grouped aggregation.
 3. A generative label model is fitted to these counts by expectation maximisation: each voter's
-   rates in both classes, and correlations of voters within a class, which discount voters that
-   say the same thing.
+   rates in both classes under independence, and correlations of voters within a class from the
+   posteriors' residuals, by whose sum a voter's log odds are divided: those that say the same
+   thing count once. (A heuristic for correlation, not a term of the likelihood.)
 4. A linear classifier of lexicon entries and votes is trained on the label model's posteriors:
-   of at most ``max_labelled`` labelled rows, whose label is one more voter, and of as many
-   unlabelled ones. Its output is the score, computed in the JVM from the votes of step 2.
+   of at most ``max_labelled`` labelled rows, whose label is one more voter, and of all other
+   documents by their vote patterns, each as often as it stands there. Its output is the score,
+   computed in the JVM from the votes of step 2.
 
 Rows whose crc32(doc_id) mod 3 is 1 never take part in a fit of labels; lang, source and doc_id
 are no inputs. Near-copies among labelled rows of one label (0.8 of their 5-word shingles) count
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_TABLE, as_bytes, discard, hash_sample, held_out, id_key, materialize, numbers, pieces, quoted, slices, text_key, without, words_of
 
-#: Bound of the rows that are fitted on the driver, labelled and again unlabelled.
+#: Bound of the labelled rows that are fitted on the driver.
 MAX_LABELLED = 20_000
 PREFIXES = (4, 5, 6, 7)
 #: Fixed words and phrases of the voters.
@@ -93,10 +95,25 @@ class Lexicon:
         return [5 if e.endswith(b"*") else 4 for e in sorted(self.index, key=self.index.get)]
 
 
+CAPITALS, SMALL, ASCII = (bytes(range(a, b)) for a, b in ((0x41, 0x5B), (0x61, 0x7B), (0, 0x80)))
+
+
+def letters(data: bytes) -> tuple[int, int]:
+    """How many capital and how many small letters a text has, of any script."""
+    upper, lower = (len(data) - len(data.translate(None, delete=x)) for x in (CAPITALS, SMALL))
+    rest = data.translate(None, delete=ASCII).decode(errors="replace")
+    for c in set(rest):
+        if c.isupper():
+            upper += rest.count(c)
+        elif c.islower():
+            lower += rest.count(c)
+    return upper, lower
+
+
 def examine(data: bytes, lexicon: Lexicon, groups: list[int]) -> tuple[list[int], int]:
     """Entries present and votes of one text."""
     hits: set[int] = set()
-    votes, n_words, telling, before = 0, 0, 0, []
+    votes, n_words, telling, before, told = 0, 0, 0, [], set()  # told: those of the last words that are telling
     for piece in pieces(data):
         words = piece.translate(WORD_TABLE).split()
         own = set(words)
@@ -109,18 +126,20 @@ def examine(data: bytes, lexicon: Lexicon, groups: list[int]) -> tuple[list[int]
                     marks |= fixed & own
         n_words += len(words)
         telling += sum(map(marks.__contains__, words)) if marks else 0
-        if not votes >> 8 & 1 and not YOU.isdisjoint(own.union(before)) and (marks or not SEED.isdisjoint(before)):
+        marks = marks | told
+        if not votes >> 8 & 1 and marks and not YOU.isdisjoint(own.union(before)):
             joined = before + words
-            at = [i for i, w in enumerate(joined) if w in marks or w in SEED]
+            at = [i for i, w in enumerate(joined) if w in marks]
             votes |= any(w in YOU for i in at for w in joined[max(0, i - NEAR) : i + NEAR + 1]) << 8
-        before = words[-NEAR:]
+        before = (before + words)[-NEAR:]
+        told = marks.intersection(before)
     for h in hits:
         votes |= 1 << groups[h]
     plain = data.lower()
     votes |= any(a in plain for a in ATTACKS) << 6
     votes |= (telling >= 2) << 7
-    letters = sum(map(data.count, (b"e", b"a", b"n", b"t")))
-    votes |= (sum(map(data.count, (b"E", b"A", b"N", b"T"))) > letters) << 9
+    upper, lower = letters(data)
+    votes |= (upper > lower) << 9
     votes |= (b"!!" in data and sum(1 for _ in SHOUT.finditer(data)) >= 3) << 10
     votes |= (0 < n_words <= 100 * telling) << 11
     votes |= (MASKED.search(data) is not None) << 12
@@ -277,15 +296,17 @@ def fit_label_model(counts: dict[int, int], labelled: dict[tuple[int, int], int]
     return model
 
 
-def fit_linear(hits: list[list[int]], bits: np.ndarray, y: np.ndarray, n_entries: int, steps: int = 400, l2: float = 1e-5) -> tuple[float, np.ndarray]:
-    """Logistic regression on entries and votes with soft labels, by Adam; bias and weights."""
+def fit_linear(hits: list[list[int]], bits: np.ndarray, y: np.ndarray, n: np.ndarray, n_entries: int, steps: int = 400, l2: float = 1e-5) -> tuple[float, np.ndarray]:
+    """Logistic regression on entries and votes with soft labels, by Adam; bias and weights.
+    ``n``: how much a row counts."""
+    n = n / n.sum()
     rows = np.concatenate([np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.nonzero(bits)[0]])
     cols = np.concatenate([np.array([i for h in hits for i in h], np.int64), np.nonzero(bits)[1] + n_entries])
-    w, b = np.zeros(n_entries + N_VOTERS), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+    w, b = np.zeros(n_entries + N_VOTERS), math.log(((n * y).sum() + 1e-3) / (1 - (n * y).sum() + 1e-3))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(rows, w[cols], len(y))
-        err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(y)
+        err = n * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
         g = np.append(np.bincount(cols, err[rows], len(w)) + l2 * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -345,13 +366,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
         labelled[r["votes"], r["toxic"]] = labelled.get((r["votes"], r["toxic"]), 0) + 1
     model = fit_label_model(counts, labelled) if counts else LabelModel(0.5, np.full((2, N_VOTERS), 0.5), np.eye(N_VOTERS), np.ones(N_VOTERS))
     if len({r["toxic"] for r in rows}) == 2:
-        others = hash_sample(seen.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"), max_labelled, "h").collect()
-        bits = as_bits([r["votes"] for r in [*rows, *others]])
+        # all other documents count by their votes, each pattern as often as it stands there, together as much as the labelled ones
+        rest = {k: n - sum(labelled.get((k, y), 0) for y in (0, 1)) for k, n in counts.items()}
+        rest = {k: n for k, n in rest.items() if n > 0}
+        bits = as_bits([*(r["votes"] for r in rows), *rest])
         post = model.posterior(bits).clip(1e-6, 1 - 1e-6)
         # a labelled row's own label is one more voter, right in 95 of 100 cases
-        said = np.array([(1 if r["toxic"] else -1) * math.log(0.95 / 0.05) for r in rows] + [0.0] * len(others))
+        said = np.array([(1 if r["toxic"] else -1) * math.log(0.95 / 0.05) for r in rows] + [0.0] * len(rest))
         y = 1 / (1 + np.exp(-(np.log(post / (1 - post)) + said)))
-        bias, weights = fit_linear([r["hits"] for r in [*rows, *others]], bits, y, len(groups))
+        n = np.array([1.0] * len(rows) + [k * len(rows) / max(1, sum(rest.values())) for k in rest.values()])
+        bias, weights = fit_linear([*(r["hits"] for r in rows), *([] for _ in rest)], bits, y, n, len(groups))
     else:
         bias, votes = model.log_odds()
         weights = np.concatenate([np.zeros(len(groups)), votes])
