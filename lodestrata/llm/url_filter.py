@@ -4,13 +4,14 @@ Only DataFrame functions run here, and no step depends on how deep paths are: a
 segments are rows (host, path, level, segment), and a branch is known by its host, its level and a
 hash of the segments down to it.
 
-1. Segments that are evidently variable (numbers, hex, dates) become typed wildcards. At a
-   position where a branch has more than ``max_children`` values, those that hold under
-   1 / max_children of its pages become ``*``, unless their labels differ from the rest. Branches
-   are told apart by segments generalised in the same way over the whole position of the host.
+1. Segments that are evidently variable (numbers, hex, dates) become typed wildcards. Values that
+   hold under 1 / ``max_children`` of a branch's pages at a position are rare; if all rare values
+   hold at least that share together, however many they are, those become ``*`` whose labels do not
+   differ from the rest. Branches are told apart by segments
+   generalised in the same way over the whole position of the host.
 2. Labelled pages are summed over every branch up to the host. A branch stands for itself if its
    share of bad pages differs from that of its siblings (two-proportion z of at least
-   ``merge_z``, scaled down for few labels); all others merge with their similar siblings into
+   ``merge_z``; few labels are allowed for once, in 3); all others merge with their similar siblings into
    the nearest branch above that stands, at last the host.
 3. A pool is what merged into one standing branch, without what stands below it. Its purity is
    its share of bad pages smoothed by that of the pool above, and so on up to the share of all
@@ -79,12 +80,12 @@ def typed_segments(path: Column) -> Column:
     )
 
 
-def _differs(n: Column, b: Column, all_n: Column, all_b: Column, prior: float, merge_z: float, prior_weight: float) -> Column:
+def _differs(n: Column, b: Column, all_n: Column, all_b: Column, prior: float, merge_z: float) -> Column:
     """Whether a branch with ``b`` bad of ``n`` labelled differs from the rest of its parent's."""
     rest_n, rest_b = all_n - n, all_b - b
     p = (all_b + prior) / (all_n + 1)
     z = F.abs(F.try_divide(b, n) - F.try_divide(rest_b, rest_n)) / F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), rest_n)))
-    return F.coalesce(z * n / (n + prior_weight) >= merge_z, F.lit(False))
+    return F.coalesce(z >= merge_z, F.lit(False))
 
 
 def _branches(rows: DataFrame, segment: str, branch: str) -> DataFrame:
@@ -97,11 +98,11 @@ def _branches(rows: DataFrame, segment: str, branch: str) -> DataFrame:
 def _generalised(rows: DataFrame, above: list[str], segment: str, name: str, max_children: int, differs: Column | None) -> DataFrame:
     """``rows`` with the segment, or ``*`` where it is one of many rare values under ``above``."""
     values = rows.groupBy("host", *above, segment).agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
-    all_of = values.groupBy("host", *above).agg(F.count(F.lit(1)).alias("values"), *(F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "bad")))
-    rare = (F.col("values") > max_children) & (F.col("pages") * max_children < F.col("all_pages"))
-    if differs is not None:
-        rare = rare & ~differs
-    stars = values.join(all_of, ["host", *above]).where(rare).select("host", *above, segment, F.lit("*").alias(name))
+    all_of = values.groupBy("host", *above).agg(*(F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "bad")))
+    rare = values.join(all_of, ["host", *above]).where(F.col("pages") * max_children < F.col("all_pages"))
+    together = rare.groupBy("host", *above).agg(F.sum("pages").alias("rare_pages"))
+    stars = rare.join(together, ["host", *above]).where(F.col("rare_pages") * max_children >= F.col("all_pages"))
+    stars = (stars if differs is None else stars.where(~differs)).select("host", *above, segment, F.lit("*").alias(name))
     return rows.join(stars, ["host", *above, segment], "left").withColumn(name, F.coalesce(name, segment))
 
 
@@ -118,7 +119,7 @@ def template_tree(urls: DataFrame, labelled: DataFrame, max_children: int = 50,
     leaves = materialize(seen.join(judged, ["host", "typed"], "left").na.fill(0, ["labelled", "bad"]), "leaves")
     totals = leaves.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()
     prior = (totals.b + 1) / (totals.n + 2) if totals.n else 0.0
-    differs = _differs(F.col("labelled"), F.col("bad"), F.col("all_labelled"), F.col("all_bad"), prior, merge_z, prior_weight)
+    differs = _differs(F.col("labelled"), F.col("bad"), F.col("all_labelled"), F.col("all_bad"), prior, merge_z)
     # level 0 is the host; an empty path has only that
     segments = F.concat(F.array(F.lit("")), F.when(F.col("typed") == "", F.array().cast("array<string>")).otherwise(F.split("typed", "/")))
     rows = leaves.select("host", "typed", "pages", "labelled", "bad", F.posexplode(segments).alias("level", "segment"))

@@ -307,6 +307,21 @@ def test_url_tree_wildcards(spark):
     assert {r["template"] for r in rows} == {"*/about", "*/x.html"}
 
 
+@pytest.mark.parametrize("others", [48, 49, 50, 51])
+def test_url_rare_values_do_not_depend_on_their_number(spark, others):
+    urls = ["http://h.org/main/x"] * (2000 - others) + [f"http://h.org/v{i}/x" for i in range(others)]
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame([], "url string, bad int"), []).collect()
+    assert {r["template"] for r in rows} == {"main/x", "*/x"}
+
+
+def test_url_bad_branch_of_few_pages_is_blocked(spark):
+    pages = [(f"http://s.example.net/es/{i}", int(i < 10)) for i in range(11)] + [(f"http://s.example.net/{k}/{i}", 0) for k in ("a", "b", "c") for i in range(20)]
+    urls = [u for u, _ in pages] + ["http://s.example.net/es/99", "http://s.example.net/a/99"]
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(pages, "url string, bad int"), []).collect()
+    verdict = {urls[r["page_id"]]: r["verdict"] for r in rows}
+    assert verdict["http://s.example.net/es/99"] == "block" and verdict["http://s.example.net/a/99"] == "allow"
+
+
 def test_url_branches_merge_up_to_the_host(spark):
     sections = {"http://spam.org/a": 1, "http://spam.org/b": 1, "http://fine.org/a": 0, "http://fine.org/b": 0, "http://mixed.org/good": 0, "http://mixed.org/bad": 1}
     pages = [(f"{k}/{i}", bad) for k, bad in sections.items() for i in range(20)]
@@ -332,7 +347,7 @@ def brute_tree(pages, labelled, max_children=50, merge_z=2.0, w=5.0):
             return False
         p = (all_b + prior) / (all_n + 1)
         z = abs(own_b / own_n - rest_b / rest_n) / (p * (1 - p) * (1 / own_n + 1 / rest_n)) ** 0.5
-        return z * own_n / (own_n + w) >= merge_z
+        return z >= merge_z
 
     def generalise(context, use_labels):
         values = defaultdict(lambda: [0, 0, 0])
@@ -346,7 +361,8 @@ def brute_tree(pages, labelled, max_children=50, merge_z=2.0, w=5.0):
         star = set()
         for g, vs in groups.items():
             total = [sum(v[k] for _, v in vs) for k in range(3)]
-            star |= {(g, s) for s, v in vs if len(vs) > max_children and v[0] * max_children < total[0] and not (use_labels and differs(v[1], v[2], total[1], total[2]))}
+            rare = [(s, v) for s, v in vs if v[0] * max_children < total[0]]
+            star |= {(g, s) for s, v in rare if sum(v[0] for _, v in rare) * max_children >= total[0] and not (use_labels and differs(v[1], v[2], total[1], total[2]))}
         return {t: tuple("*" if ((t[0], i, context(t, i)), s) in star else s for i, s in enumerate(t[1])) for t in seen}
 
     loose = generalise(lambda t, i: None, False)
@@ -505,3 +521,23 @@ def test_toxicity_score_in_the_plan_is_the_models(spark):
     got = {r["doc_id"]: r["s"] for r in seen.select("doc_id", model.score().alias("s")).collect()}
     assert all(abs(got[r["doc_id"]] - model.score_text((r["text"] or "").encode())) < 1e-9 for r in docs.collect())
     assert abs(sum(got.values()) / len(got)) < 0.5
+
+
+# --- toxicity: no letters, cuts or rows left out
+
+
+def test_shouting_counts_all_letters():
+    vote = lambda t: toxicity.examine(t.encode(), toxicity.Lexicon({}), [])[1] >> 9 & 1
+    assert [vote(t) for t in ("YOU SUCK GO BUY ROLL", "you suck go buy roll", "ТЫ ДУРАК", "ты дурак", "ÉÈÀ éè", "", "123 !!", "aB", "ABc")] == [1, 0, 1, 0, 1, 0, 0, 0, 1]
+    text = "Straße ÀÉÎ ωΩ Жж 漢字 aZ"
+    assert toxicity.letters(text.encode()) == (sum(map(str.isupper, text)), sum(map(str.islower, text)))
+
+
+@pytest.mark.parametrize("word", ["basura", "idiot", "crap"])
+@pytest.mark.parametrize("shift", range(0, 24, 3))
+def test_second_person_near_a_telling_word_across_pieces(word, shift):
+    vote = lambda t: toxicity.examine(t, toxicity.Lexicon({}), [])[1] >> 8 & 1
+    filler = b"w " * ((1 << 19) - 12 + shift // 2)
+    assert vote(filler + f"{word} so you ".encode() + b"w " * 40) == 1
+    assert vote(filler + f"{word} a b c you ".encode() + b"w " * 40) == 0
+    assert vote(filler + f"you a b {word} ".encode() + b"w " * 40) == 1
