@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import section_paths as section_paths  # a fold over an outline's nodes
+
 
 def token_windows(words: Column, size: int, overlap: int) -> Column:
     """Array of windows (arrays of words) that advance by size - overlap and stop where one
@@ -16,7 +18,8 @@ def token_windows(words: Column, size: int, overlap: int) -> Column:
 
 
 def greedy_pack(costs: Column, budget: int) -> Column:
-    """Pack number of each item in order: an item that does not fit opens the next pack."""
+    """Pack number of each item in order, of an array at hand: an item that does not fit opens the
+    next pack. Rows of a table are packed by ``folds.packed``."""
     zero = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("packs"))
 
     def step(a: Column, c: Column) -> Column:
@@ -28,7 +31,8 @@ def greedy_pack(costs: Column, budget: int) -> Column:
 
 
 def greedy_select(costs: Column, budget: int) -> Column:
-    """Which items fit, in order; one that does not fit is skipped and takes nothing."""
+    """Which items of an array at hand fit, in order; one that does not fit is skipped and takes
+    nothing. Rows of a table are selected by ``folds.selected``."""
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
 
     def step(a: Column, c: Column) -> Column:
@@ -88,32 +92,6 @@ def sentence_window(text: Column, needle: Column, around: int = 1) -> Column:
     return F.when(at > 0, F.array_join(F.slice(parts, first, at + around - first + 1), ". "))
 
 
-def section_paths(outline: DataFrame, document: str, position: str, depth: str, title: str) -> DataFrame:
-    """Per outline node (document, position, depth, title) its ``breadcrumb``, the titles from the
-    outermost ancestor on, and its ``sub_document``. A title that ends in .pdf opens a document of
-    its own: it starts a new breadcrumb and names the sub-document of all below it.
-
-    A node's ancestors are the last nodes before it of each lesser depth since the last that was
-    less deep still; a fold over a document's nodes in order carries that path. Bound: one
-    document's bookmarks are in one row. Titles are trimmed, a null one is empty."""
-    node = F.struct(F.col(position).alias("at"), F.col(depth).cast("int").alias("depth"), F.trim(F.coalesce(F.col(title), F.lit(""))).alias("title"))
-    nodes = outline.groupBy(document).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    zero = F.expr(f"cast(struct(array(), array()) as struct<path:array<struct<depth:int,breadcrumb:string,sub:string>>,out:array<struct<at:{outline.schema[position].dataType.simpleString()},depth:int,title:string,breadcrumb:string,sub_document:string>>>)")
-
-    def step(a: Column, n: Column) -> Column:
-        above = F.filter(a["path"], lambda p: p["depth"] < n["depth"])
-        parent = F.try_element_at(above, F.lit(-1))
-        opens = F.lower(n["title"]).endswith(".pdf")
-        crumb = F.when(opens | (F.coalesce(parent["breadcrumb"], F.lit("")) == ""), n["title"]).otherwise(F.concat(parent["breadcrumb"], F.lit(" > "), n["title"]))
-        sub = F.when(opens, n["title"]).otherwise(parent["sub"])
-        here = F.struct(n["depth"].alias("depth"), crumb.alias("breadcrumb"), sub.alias("sub"))
-        row = F.struct(n["at"].alias("at"), n["depth"].alias("depth"), n["title"].alias("title"), crumb.alias("breadcrumb"), sub.alias("sub_document"))
-        return F.struct(F.array_append(above, here).alias("path"), F.array_append(a["out"], row).alias("out"))
-
-    rows = nodes.select(document, F.inline(F.aggregate("nodes", zero, step, lambda a: a["out"])))
-    return rows.withColumnsRenamed({"at": position, "depth": depth, "title": title})
-
-
 def section_texts(sections: DataFrame, pages: DataFrame, document: str, section: str, start: str, end: str, page: str, text: str) -> DataFrame:
     """Text of each section's pages from ``start`` up to but not at ``end``, in order, a line end
     between two. Pages that do not exist add nothing, one without text adds an empty line; a

@@ -45,6 +45,23 @@ class TableContract:
             "excluded_present": [c for c in header if c in self.excluded],
         }
 
+    def inventory_rows(self, rows: DataFrame, keys: str) -> DataFrame:
+        """(bucket, column_name, n_rows): what becomes of the columns that the rows of a ragged table
+        have, each row naming its own in the array ``keys``, and which the contract misses. Required
+        columns that only some rows have are ``incomplete_required``."""
+        n = rows.count()
+        found = rows.select(F.explode(F.array_distinct(keys)).alias("column_name")).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rows"))
+        known = [(c, "excluded" if c in self.excluded else "required" if c in self.required else "optional" if c in self.optional else "persisted") for c in dict.fromkeys((*self.persisted, *self.excluded))]
+        stated = rows.sparkSession.createDataFrame(known, "column_name string, kind string")
+        both = found.join(F.broadcast(stated), "column_name", "left").select("column_name", "kind", "n_rows").union(stated.join(found, "column_name", "left_anti").select("column_name", "kind", F.lit(0).cast("bigint")))
+        missing, kind = F.col("n_rows") == 0, F.col("kind")
+        bucket = (
+            F.when(kind.isNull(), F.lit("unknown")).when(kind == "excluded", F.when(~missing, F.lit("excluded_present")))
+            .when((kind == "required") & missing, F.lit("missing_required")).when((kind == "required") & (F.col("n_rows") < n), F.lit("incomplete_required"))
+            .when(missing, F.when(kind == "optional", F.lit("missing_optional"))).otherwise(F.lit("present"))
+        )
+        return both.select(bucket.alias("bucket"), "column_name", "n_rows").where("bucket is not null")
+
     def load(self, rows: DataFrame) -> DataFrame:
         found = self.inventory(rows.columns)
         if found["missing_required"]:
@@ -52,6 +69,14 @@ class TableContract:
         return rows.select(*(F.col(f"`{c}`") for c in found["present"]))
 
 
+def one_row_each(df: DataFrame, key: str) -> DataFrame:
+    """``df`` if ``key`` is unique in it; otherwise an error that names the first repeated values, before anything is written."""
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(key).limit(5).collect()
+    if twice:
+        raise ValueError(f"{key} repeats: {[r[0] for r in twice]}")
+    return df
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows, and old rows whose key has none."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.sources.tables import is_safe_key, safe_key
-from lodestrata.sources.workbook import _store
+from lodestrata.sources.workbook import store_of
 
 #: Fixed value: characters of an error that are kept.
 SUMMARY_CHARS = 2000
@@ -158,7 +158,7 @@ class ObjectStore:
         checked = objects.select(F.when(is_safe_key(F.col("key")), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("unsafe key "), F.coalesce("key", F.lit("null"))))).alias("key"), F.coalesce(F.col("content"), F.lit(b"")).alias("content"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store, base = _store(root)
+            store, base = store_of(root)
             for batch in batches:
                 done = []
                 for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -172,7 +172,7 @@ class ObjectStore:
         return checked.mapInArrow(run, "key string, uri string, size bigint")
 
     def read(self, prefix: str = "") -> DataFrame:
-        """(key, size, content) of all objects below a prefix."""
+        """(key, size, content) of all objects below a prefix that hold anything: Spark skips empty files."""
         folder = self.uri(prefix) if prefix else self.root
         rows = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         plain = re.sub("^[a-z0-9]+:(//[^/]*)?", "", self.root)

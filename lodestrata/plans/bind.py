@@ -43,15 +43,16 @@ def vocabulary(rows: DataFrame, promoted: list[str], json_column: str = "dimensi
 
 def bind_dimensions(questions: DataFrame, vocab: DataFrame) -> DataFrame:
     """(question_id, dimension, value): per dimension the longest value a question mentions, of
-    three characters on and not a number or code of digits. Runs of a question's words, up to as
-    many as the longest value has, meet the vocabulary in a join on equal words; the few pairs
-    that come of it are then compared exactly."""
-    usable = vocab.where((F.length(F.trim("value")) >= 3) & ~F.col("value").rlike(r"^[-.0-9\s]+$")).withColumn("key", F.array_join(plain_words(F.col("value")), " ")).where("key <> ''")
-    longest = usable.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
-    words = questions.select("question_id", "question", plain_words(F.col("question")).alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
-    asked = words.where(F.size("w") > 0).select("question_id", "question", F.explode(F.array_distinct(runs)).alias("key")) if longest else words.select("question_id", "question", F.lit("").alias("key")).limit(0)
-    hits = asked.join(usable, "key").where(mentions(F.col("question"), F.col("value")))
+    three characters on and not a number or code of digits. A question's words meet the values
+    that begin with them in a join; the rest of the value's words are compared where it starts, and
+    what is left exactly."""
+    words = plain_words(F.col("value"))
+    usable = vocab.where((F.length(F.trim("value")) >= 3) & ~F.col("value").rlike(r"^[-.0-9\s]+$")).withColumn("own", words).where("size(own) > 0")
+    usable = usable.withColumn("word", F.get("own", F.lit(0)))
+    asked = questions.select("question_id", "question", plain_words(F.col("question")).alias("w"))
+    asked = asked.select("question_id", "question", "w", F.posexplode("w").alias("at", "word"))
+    there = F.slice("w", F.col("at") + 1, F.size("own")) == F.col("own")
+    hits = asked.join(usable, "word").where(there & mentions(F.col("question"), F.col("value")))
     return hits.groupBy("question_id", "dimension").agg(F.max_by("value", F.struct(F.length("value").alias("n"), "value")).alias("value"))
 
 

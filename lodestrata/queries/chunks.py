@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import chunking as C
+from lodestrata.operators import folds
 
 from .registry import query, read
 
@@ -20,14 +21,16 @@ def q_chunk_window(spark, sf_dir):
     return c.where(F.length(body) >= 20).select("doc_id", "chunk_index", F.size("words").cast("long").alias("n_tokens"), F.sha2(body.cast("binary"), 256).alias("content_hash"))
 
 
-_COSTS = "SELECT conv_id, list(CAST(greatest(1, ceil(length(text) / 4)) AS BIGINT) ORDER BY turn, role, text) AS costs FROM conversations GROUP BY conv_id"
+_COSTS = "SELECT conv_id, list(CAST(greatest(1, ceil(length(text) / 4)) AS BIGINT) ORDER BY turn, role, sha256(text)) AS costs FROM conversations GROUP BY conv_id"
 
 
-def _costs(spark, sf_dir):
-    """Estimated tokens of a conversation's turns, in order."""
-    item = F.struct("turn", "role", "text", T.token_estimate(F.col("text")).cast("long").alias("cost"))
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return c.select("conv_id", F.transform("items", lambda x: x["cost"]).alias("costs"))
+def _turns(spark, sf_dir):
+    """Estimated tokens of the turns of conversations; equal turns are ordered by a hash of their text, which stays where it is."""
+    c = read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", "role", F.sha2(F.col("text").cast("binary"), 256).alias("tie"), T.token_estimate(F.col("text")).cast("long").alias("cost"))
+
+
+_ORDER = ("turn", "role", "tie")
 
 
 def _fold(budget: int, skip: bool) -> str:
@@ -41,12 +44,12 @@ def _fold(budget: int, skip: bool) -> str:
 
 @query(_fold(200, False) + " SELECT conv_id, i - 1 AS item, out AS pack FROM f WHERE i > 0")
 def q_greedy_pack(spark, sf_dir):
-    return _costs(spark, sf_dir).select("conv_id", F.posexplode(C.greedy_pack(F.col("costs"), 200)).alias("item", "pack"))
+    return folds.packed(_turns(spark, sf_dir), ["conv_id"], _ORDER, "cost", 200).select("conv_id", "item", "pack")
 
 
 @query(_fold(300, True) + " SELECT conv_id, i - 1 AS item, out = 1 AS kept FROM f WHERE i > 0")
 def q_prompt_budget(spark, sf_dir):
-    return _costs(spark, sf_dir).select("conv_id", F.posexplode(C.greedy_select(F.col("costs"), 300)).alias("item", "kept"))
+    return folds.selected(_turns(spark, sf_dir), ["conv_id"], _ORDER, "cost", 300).select("conv_id", "item", "kept")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), s AS (SELECT doc_id, i, sum(CAST(greatest(1, ceil(length(line) / 4)) AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM l)

@@ -9,7 +9,7 @@ from lodestrata.operators import ingest as I
 from lodestrata.operators.publish import ObjectStore, Publisher
 from lodestrata.sources.jdbc import embedded
 from lodestrata.sources.scratch import new_path
-from lodestrata.sources.tables import is_safe_key, object_uri
+from lodestrata.sources.tables import cleaned, is_safe_key, object_uri, read_csv, read_jsonl, write_csv
 from lodestrata.sources.workbook import register
 
 from .registry import query, read
@@ -131,3 +131,29 @@ def q_jdbc_upsert(spark, sf_dir):
         raise ValueError("a repeated load has changed rows")
     out = db.table("customers", "c_custkey", 4)
     return out.toDF(*(x.lower() for x in out.columns))
+
+@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^[=+@-]') THEN chr(39) || t ELSE t END AS text FROM (SELECT conv_id, turn, nullif(trim(regexp_replace(CASE WHEN turn % 3 = 0 THEN '=' ELSE '' END || text || chr(10) || '"quoted", end', '[\s\x{00A0}]+', ' ', 'g')), '') AS t FROM conversations)""")
+def q_csv_round_trip(spark, sf_dir):
+    """Turns written as CSV, cells that look like formulas made harmless, read back as text and cleaned."""
+    path = new_path(spark, "csv")
+    text = F.concat(F.when(F.col("turn") % 3 == 0, F.lit("=")).otherwise(F.lit("")), "text", F.lit('\n"quoted", end'))
+    write_csv(read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text")), path)
+    return cleaned(read_csv(spark, path)).select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "text")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def q_jsonl_scan(spark, sf_dir):
+    """Turns written as JSON lines and read by their schema."""
+    path = new_path(spark, "jsonl")
+    read(spark, sf_dir, "conversations").write.json(path)
+    return read_jsonl(spark, path, "conv_id bigint, turn bigint, role string, text string")
+
+
+@query("SELECT n_nationkey, n_name, 1 AS dropped FROM nation", long="dropped")
+def q_reset(spark, sf_dir):
+    """Of two tables one is reset, beside a name that is no table; the other keeps its rows."""
+    mark = new_path(spark, "reset").rsplit("-", 1)[1]
+    for name in ("region", "nation"):
+        read(spark, sf_dir, name).write.format("parquet").option("path", new_path(spark, "table")).saveAsTable(f"{name}_{mark}")
+    dropped = I.reset(spark, [f"region_{mark}", f"absent_{mark}"], confirmed=True)
+    return spark.table(f"nation_{mark}").select("n_nationkey", "n_name", F.lit(len(dropped)).alias("dropped"))

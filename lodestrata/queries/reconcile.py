@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import reconcile as R
-from lodestrata.operators.ingest import TableContract
+from lodestrata.operators.ingest import TableContract, one_row_each
+from lodestrata.sources.scratch import written
+from lodestrata.sources.tables import without_raw
 
 from .registry import query, read
 
@@ -186,21 +188,31 @@ def q_chunk_index(spark, sf_dir):
 CONTRACT = TableContract(2, "long_metric", ("c_custkey", "c_name", "reporting_year"), ("c_mktsegment", "comment"), ("c_acctbal",), None)
 
 
-@query("""SELECT * FROM (VALUES ('excluded_present', 'c_acctbal'), ('missing_optional', 'comment'), ('missing_required', 'reporting_year'), ('present', 'c_custkey'), ('present', 'c_mktsegment'), ('present', 'c_name'), ('unknown', 'c_nationkey')) t(bucket, column_name)""")
+@query("""WITH k AS (SELECT unnest(list_concat(['c_custkey', 'c_nationkey'], CASE WHEN c_custkey % 7 > 0 THEN ['c_name'] ELSE [] END, CASE WHEN c_acctbal < 0 THEN ['c_acctbal'] ELSE [] END, CASE WHEN c_mktsegment = 'BUILDING' THEN ['c_mktsegment'] ELSE [] END)) AS column_name FROM customer), f AS (SELECT column_name, count(*) AS n_rows FROM k GROUP BY 1)
+SELECT CASE column_name WHEN 'c_nationkey' THEN 'unknown' WHEN 'c_acctbal' THEN 'excluded_present' WHEN 'c_mktsegment' THEN 'present' ELSE CASE WHEN n_rows < (SELECT count(*) FROM customer) THEN 'incomplete_required' ELSE 'present' END END AS bucket, column_name, n_rows FROM f
+UNION ALL SELECT 'missing_optional', 'comment', 0 UNION ALL SELECT 'missing_required', 'reporting_year', 0""", long="n_rows")
 def q_column_inventory(spark, sf_dir):
-    found = CONTRACT.inventory(read(spark, sf_dir, "customer").columns)
-    return spark.createDataFrame([(b, c) for b, cs in found.items() for c in cs], "bucket string, column_name string")
+    """Columns that ragged rows of customers have, against their contract."""
+    some = lambda condition, name: F.when(condition, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(F.array(F.lit("c_custkey"), F.lit("c_nationkey")), some(F.col("c_custkey") % 7 > 0, "c_name"), some(F.col("c_acctbal") < 0, "c_acctbal"), some(F.col("c_mktsegment") == "BUILDING", "c_mktsegment"))
+    return CONTRACT.inventory_rows(read(spark, sf_dir, "customer").select(keys.alias("keys")), "keys")
 
 
 @query("SELECT c_custkey, c_name FROM customer")
 def q_drop_raw_columns(spark, sf_dir):
-    raw = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").alias("balance_RAW"))
-    return raw.select(*(c for c in raw.columns if not c.lower().endswith("_raw")))
+    return without_raw(read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").alias("balance_RAW")))
 
 
-@query("SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1")
+@query("""SELECT 'doc_id' AS target, 'written' AS outcome, count(*) AS n FROM documents UNION ALL SELECT 'source', 'source repeats: [' || (SELECT string_agg(chr(39) || source || chr(39), ', ' ORDER BY source) FROM (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 5)) || ']', 0""", long="n")
 def q_unique_guard(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Two writes of the documents, with one output for each number and one for each source; the second is refused."""
+    d, outcomes = read(spark, sf_dir, "documents").select("doc_id", "source"), []
+    for key in d.columns:
+        try:
+            outcomes.append((key, "written", written(one_row_each(d, key), "guarded").count()))
+        except ValueError as x:
+            outcomes.append((key, str(x), 0))
+    return spark.createDataFrame(outcomes, "target string, outcome string, n long")
 
 
 @query("""SELECT (SELECT count(*) FROM (SELECT n_nationkey, n_name FROM nation EXCEPT ALL SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'X' ELSE n_name END FROM nation)) AS only_first, (SELECT count(*) FROM (SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'X' ELSE n_name END FROM nation EXCEPT ALL SELECT n_nationkey, n_name FROM nation)) AS only_second""")

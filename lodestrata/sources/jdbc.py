@@ -72,7 +72,7 @@ class Database:
         self.execute(f"CREATE TABLE {staging} ({', '.join(f'{c} {t}' for c, t in types.items())})")
         try:
             df.select(*columns).write.format("jdbc").option("url", self.url).option("dbtable", staging).option("batchsize", BATCH).options(**self.properties).mode("append").save()
-            same = " AND ".join(f"(t.{c} = s.{c} OR (t.{c} IS NULL AND s.{c} IS NULL))" for c in columns if c not in keys)
+            same = " AND ".join(f"((t.{c} IS NOT NULL AND s.{c} IS NOT NULL AND t.{c} = s.{c}) OR (t.{c} IS NULL AND s.{c} IS NULL))" for c in columns if c not in keys)
             rest = [c for c in columns if c not in keys]
             update = f"WHEN MATCHED AND NOT ({same}) THEN UPDATE SET {', '.join(f'{c} = s.{c}' for c in rest)} " if rest else ""
             merge = f"MERGE INTO {name} t USING {staging} s ON {' AND '.join(f't.{k} = s.{k}' for k in keys)} {update}WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({', '.join(f's.{c}' for c in columns)})"

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime
 import io
+import itertools
 import re
 import uuid
 import zipfile
@@ -69,7 +70,7 @@ def is_date_format(code: str) -> bool:
     return bare.lower() != "general" and bool(re.search(r"[ymdhs]", bare, re.IGNORECASE))
 
 
-def date_text(serial: float, code: str, from_1904: bool = False) -> str:
+def date_text(serial: float, from_1904: bool = False) -> str:
     """A serial number as ISO text: a date, or a date with its time if it has one."""
     start = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 30)
     at = start + datetime.timedelta(seconds=round(serial * 86400))
@@ -101,6 +102,7 @@ class Workbook:
         targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
         self.parts = [(s.get("name", ""), self._part(targets[s.get(_REL)])) for s in book.iter(f"{_MAIN}sheet")]
         self.formats = self._formats() if "xl/styles.xml" in names else ["General"]
+        self.dates = [is_date_format(code) for code in self.formats]
 
     @staticmethod
     def _part(target: str) -> str:
@@ -127,7 +129,7 @@ class Workbook:
     def value(self, cell: ElementTree.Element) -> tuple[str | None, str]:
         """A cell's text and number format."""
         kind, v, style = cell.get("t"), cell.find(f"{_MAIN}v"), int(cell.get("s", 0))
-        code = self.formats[style] if style < len(self.formats) else "General"
+        code, date = (self.formats[style], self.dates[style]) if style < len(self.formats) else ("General", False)
         if kind == "inlineStr":
             return _text(cell.find(f"{_MAIN}is")) or None, code
         if v is None or v.text is None:
@@ -139,8 +141,8 @@ class Workbook:
         if kind in (None, "n"):
             try:
                 number = float(v.text)
-                if is_date_format(code):
-                    return date_text(number, code, self.from_1904), code
+                if date:
+                    return date_text(number, self.from_1904), code
             except (ValueError, OverflowError):
                 return v.text, code
             return (str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)), code
@@ -219,7 +221,7 @@ def workbook_rows(files: DataFrame) -> DataFrame:
 # --- the format
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
@@ -232,12 +234,15 @@ class SheetsPartition(InputPartition):
     sheet: str | None = None
 
 
+_ROW = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("formats", pa.list_(pa.string())), ("error", pa.string())])
+
+
 class WorkbookReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.only, self.fill = options["path"], options.get("sheet"), options.get("merged", "") == "fill"
 
     def partitions(self) -> list[SheetsPartition]:
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         info = store.get_file_info(root)
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.path)
@@ -257,8 +262,13 @@ class WorkbookReader(DataSourceReader):
             group, size = [*group, f.path], size + f.size
         return [*out, SheetsPartition(group)] if group else out
 
-    def read(self, partition: SheetsPartition) -> Iterator[tuple]:
-        store, _ = _store(self.path)
+    def read(self, partition: SheetsPartition) -> Iterator[pa.RecordBatch]:
+        rows = self._rows(partition)
+        while held := list(itertools.islice(rows, 2000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ROW, strict=True)], schema=_ROW)
+
+    def _rows(self, partition: SheetsPartition) -> Iterator[tuple]:
+        store, _ = store_of(self.path)
         wanted = self.only or partition.sheet
         for path in partition.paths:
             try:
@@ -286,7 +296,7 @@ class WorkbookWriter(DataSourceWriter):
         self.header, self.overwrite, self.job = options.get("header", "true").lower() == "true", overwrite, uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Written:
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         name = f"part-{uuid.uuid4().hex}.xlsx"
         staged = f"{root}/_staging-{self.job}/{name}"
         store.create_dir(staged.rsplit("/", 1)[0], recursive=True)
@@ -298,7 +308,7 @@ class WorkbookWriter(DataSourceWriter):
         return Written(staged, f"{root}/{name}")
 
     def commit(self, messages: list) -> None:
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         if self.overwrite:
             for f in store.get_file_info(pafs.FileSelector(root)):
                 if f.is_file and f.path.lower().endswith(".xlsx"):
@@ -309,7 +319,7 @@ class WorkbookWriter(DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         staging = f"{root}/_staging-{self.job}"
         if store.get_file_info(staging).type == pafs.FileType.Directory:
             store.delete_dir(staging)

@@ -167,3 +167,23 @@ def test_innermost_of_long_spans(spark):
     got = C.innermost(spark.createDataFrame(points, "d string, p long"), spark.createDataFrame(spans, "d string, a long, b long, leaf string"), "d", "p", "a", "b", "leaf")
     assert {(r["d"], r["p"]): r["leaf"] for r in got.collect()} == want
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streamed_folds(spark):
+    from lodestrata.operators import folds
+
+    rng = random.Random(12)
+    rows = [(k, i, rng.choice([None, 0, rng.randint(1, 120)]), f"t{i}") for k in (None, "a", "b", *map(str, range(40))) for i in range(rng.randint(1, 30))] + [("hot", i, 7, "t") for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, i int, cost long, text string").repartition(6)
+    packs, kept = {}, {}
+    for k, i, c, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])):
+        c = c or 0
+        pack, used = packs.get(k, [(None, 0, 0)])[-1][1:]
+        packs.setdefault(k, []).append((i, pack + 1, c) if used > 0 and used + c > 100 else (i, pack, used + c))
+        taken = sum(x for _, x, y in kept.get(k, []) if y)
+        kept.setdefault(k, []).append((i, c, taken + c <= 100)) if k != "hot" else None
+    got = folds.packed(df, ["k"], ["i"], "cost", 100)
+    assert got.columns == ["k", "i", "cost", "text", "item", "pack"]
+    assert {(r["k"], r["i"]): (r["item"], r["pack"]) for r in got.collect()} == {(k, i): (n, p) for k, v in packs.items() for n, (i, p, _) in enumerate(v)}
+    assert {(r["k"], r["i"]): r["kept"] for r in folds.selected(df.where("k is null or k <> 'hot'"), ["k"], ["i"], "cost", 100).collect()} == {(k, i): y for k, v in kept.items() for i, _, y in v}
+    assert folds.packed(df.where("false"), ["k"], ["i"], "cost", 5).collect() == []
