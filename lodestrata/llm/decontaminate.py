@@ -7,9 +7,10 @@ is binary-searched in every shard. Runs of occurrences along an item and a text
 verbatim matches with their locations, and from these matches alone follow the words that are
 hit, the items found and whether a document is contaminated and removed.
 
-Documents are never shuffled while there is one block of benchmark text. A larger benchmark goes
-in several blocks of bounded size: the driver and every worker hold one block at a time, the
-texts are read once for each, and the matches of a row are put together by its number.
+Documents are never shuffled while there is one block of benchmark text. Of a larger benchmark,
+all windows go into a filter of bounded size first. One scan of the texts keeps those that may have
+a window; only they meet the blocks, of bounded size, one after the other, and the matches of a
+row are put together by its number.
 
 Defined cases: an item with a null id is searched and counts in n_hit and contaminated, but not
 in n_items and items_sha256, which are of ids (in ``matches`` its id is empty); a null text has
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ WINDOW = 13
 BLOCK_BYTES = 8 << 20
 #: Bytes of text in one shard, give or take one document.
 SHARD_BYTES = 6 << 20
+#: Bits of the largest filter of benchmark windows (128 MB).
+MOST_BITS = 1 << 30
 NONE = np.zeros(0, np.int64)
 
 
@@ -172,6 +176,80 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: in
     return out
 
 
+@dataclass
+class WindowFilter:
+    """Which windows a benchmark may have: bits of their hashes, 64 for each window or MOST_BITS in all.
+    It lets no document with a window pass by, and few of the others through."""
+
+    bits: np.ndarray
+    widths: list[int]
+
+    @classmethod
+    def of(cls, benchmark: DataFrame, window: int = WINDOW) -> WindowFilter:
+        """One partition of the benchmark at a time comes to the driver."""
+        texts = benchmark.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+        total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        out = cls(np.zeros(min(MOST_BITS, 1 << max(16, (total * 64 // 5).bit_length())) // 8, np.uint8), [])
+        widths, known = set(), {}
+        for r in texts.toLocalIterator():
+            hashes = _word_hashes(bytes(r["text"]), known)
+            if len(hashes):
+                width = min(window, len(hashes))
+                widths.add(width)
+                for at in out.places(hashes, width):
+                    np.bitwise_or.at(out.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        out.widths = sorted(widths)
+        return out
+
+    def places(self, hashes: np.ndarray, width: int) -> list[np.ndarray]:
+        """Bits of every window of ``width`` words."""
+        n = len(hashes) - width + 1
+        h = np.full(n, width, np.uint64)
+        for j in range(width):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+            h ^= h >> np.uint64(29)
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return [((h + np.uint64(i) * step) & np.uint64(len(self.bits) * 8 - 1)).astype(np.int64) for i in range(4)]
+
+    def may_have(self, hashes: np.ndarray) -> bool:
+        for width in self.widths:
+            if width <= len(hashes):
+                there = np.ones(len(hashes) - width + 1, bool)
+                for at in self.places(hashes, width):
+                    there &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                if there.any():
+                    return True
+        return False
+
+
+def _word_hashes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """A hash of every word; ``known`` keeps those of words seen, a million at most."""
+    if len(known) > 1 << 20:
+        known.clear()
+    parts = [p.split() for p in pieces(text.translate(WORD_TABLE))]
+    for words in parts:
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+    return np.concatenate([np.fromiter((known[w] for w in words), np.uint64, len(words)) for words in parts])
+
+
+def _candidates(rows: DataFrame, sent) -> DataFrame:  # noqa: ANN001
+    """row, doc_id, h, n_words, and the text of those that may have a window: the one scan of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in slices(batches):
+            n, kept = [], []
+            for data in as_bytes(batch.column("text")):
+                hashes = _word_hashes(data, known)
+                n.append(len(hashes))
+                kept.append(data.decode() if sent.value.may_have(hashes) else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "h")), pa.array(n, pa.int64()), pa.array(kept, pa.string())], ["row", "doc_id", "h", "n_words", "text"])
+
+    return rows.select("row", "doc_id", "h", "text").mapInArrow(run, "row long, doc_id long, h long, n_words long, text string")
+
+
 MATCH = "array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
 
 
@@ -205,12 +283,14 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     if len(blocks) == 1:
         found = _search(rows, ["doc_id", "h"], blocks[0])
     else:
-        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "shards")
-        parts = [_search(rows.select("row", "doc_id", "h", "text"), ["row", "doc_id", "h"], b) for b in blocks]
+        sent = docs.sparkSession.sparkContext.broadcast(WindowFilter.of(benchmark))
+        passed = materialize(_candidates(rows.withColumn("row", F.monotonically_increasing_id()), sent), "candidates")
+        parts = [_search(passed.where("text is not null").select("row", "doc_id", "h", "text"), ["row", "doc_id", "h"], b) for b in blocks]
         found = parts[0]
         for p in parts[1:]:
             found = found.union(p)
         found = found.groupBy("row", "doc_id", "h").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("row")  # a list a block
+        found = found.union(passed.where("text is null").select("doc_id", "h", "n_words", F.expr(f"cast(array() as {MATCH})").alias("matches")))
     found = found.withColumn("n_hit", covered(F.col("matches")))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -1,9 +1,9 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a Parquet table bucketed and sorted by digest. A batch is reduced to one row per
-digest (map-side combined, so a text that holds a third of all rows is one row per task), that
-reduced set is anti-joined with the index by sort-merge on the bucketing, and what is new is
-appended. Rows then look up their digest's entry; digests with many rows go through a broadcast
+The index is Parquet tables bucketed and sorted by digest, a generation for each batch and merged
+ones. A batch is reduced to one row per digest (map-side combined, so a text that holds a third of
+all rows is one row per task), that reduced set is anti-joined with every generation by
+sort-merge, in the order that its files have, and what is new is appended as a generation. Rows then look up their digest's entry; digests with many rows go through a broadcast
 of at most ``1 / HOT_SHARE`` entries, all others through a sort-merge join.
 
 A batch has a name, the caller's or one made of its ids and digests. Entries that carry the
@@ -20,12 +20,17 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import delete_path, discard, id_key, materialize, quoted, scratch_path, without
 
+#: Generations of one size that are merged; buckets at least, and entries of a bucket about.
+FAN, LEAST_BUCKETS, BUCKET_ROWS = 8, 64, 1 << 20
 #: A digest with at least this share of a batch's rows is hot; so at most 1 / HOT_SHARE are.
 HOT_SHARE = 1e-3
 
@@ -38,21 +43,49 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made here trust the order of buckets that are one file each."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class DigestIndex:
-    """A table over files at ``path``; an existing path is opened again. Without a path the index
-    lives in the scratch folder and goes with ``close``, which otherwise only forgets the table's
-    name in the session's catalog."""
+    """Generations of tables over files at ``path``; an existing path is opened again. Without a path
+    the index lives in the scratch folder and goes with ``close``, which otherwise only forgets the
+    tables' names in the session's catalog.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.own, self.path = spark, path is None, path or scratch_path(spark, "digests")
-        self.name = f"digests_{uuid.uuid4().hex}"
+    Every batch adds a generation, bucketed and sorted by digest with one file a bucket, which no later
+    batch touches; FAN generations of one size are merged into one. A folder's name has the first and
+    last batch that it holds: one that is not finished, or whose batches a finished one holds
+    as well, is not read, so a crash in a merge or an append changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.own, self.path = spark, path is None, (path or scratch_path(spark, "digests")).rstrip("/")
         if not re.fullmatch(r"[^'\\]+", self.path):
             raise ValueError("the index path must not hold quotes or backslashes")
-        self.buckets = buckets
-        spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, n_rows BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+        self.buckets, self.generations, self.name = buckets, {}, f"digests_{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        names = {m.groups(): f for f in found if (m := re.fullmatch(r"batches-(\d+)-(\d+)-(\d+)-\w+", f.getName())) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))}
+        spans = {(int(a), int(b)): (int(n), f) for (a, b, n), f in names.items()}
+        for (a, b), (n, f) in sorted(spans.items()):
+            if not any(x <= a and b <= y and (x, y) != (a, b) for x, y in spans):
+                self._name(a, b, n, f"{self.path}/{f.getName()}")
+
+    def _name(self, first: int, last: int, buckets: int, path: str) -> None:
+        name = f"{self.name}_{first}_{last}"
+        self.spark.sql(
+            f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, n_rows BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
+        self.generations[first, last] = (name, path)
 
     def __enter__(self) -> DigestIndex:
         return self
@@ -61,13 +94,38 @@ class DigestIndex:
         self.close()
 
     def close(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name, _ in self.generations.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.generations = {}
         if self.own:
             delete_path(self.spark, self.path)
 
+    def tables(self) -> list[DataFrame]:
+        return [self.spark.table(name) for _, (name, _) in sorted(self.generations.items())]
+
     def rows(self) -> DataFrame:
-        self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+        none = self.spark.createDataFrame([], "digest binary, keep_id long, n_rows long, batch string")
+        return reduce(DataFrame.union, self.tables(), none)
+
+    def _append(self, entries: DataFrame, n: int, first: int, last: int) -> None:
+        """Write a generation of about ``n`` entries."""
+        buckets = self.buckets or max(LEAST_BUCKETS, 1 << max(0, (n // BUCKET_ROWS).bit_length()))
+        name, path = f"{self.name}_{first}_{last}", f"{self.path}/batches-{first:08d}-{last:08d}-{buckets}-{uuid.uuid4().hex}"
+        entries.repartition(buckets, "digest").sortWithinPartitions("digest").write.format("parquet").option("path", path).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
+        self.generations[first, last] = (name, path)
+
+    def _merge(self) -> None:
+        """Of the newest generations, FAN that hold equally many batches become one."""
+        while True:
+            newest = sorted(self.generations, reverse=True)[:FAN]
+            if len(newest) < FAN or len({b - a for a, b in newest}) > 1:
+                return
+            old = [self.generations.pop(k) for k in newest]
+            every = self.spark.read.parquet(*(path for _, path in old))  # as plain files, so that buckets are dealt anew, one file each
+            self._append(every, every.count(), newest[-1][0], newest[0][1])
+            for name, path in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                delete_path(self.spark, path)
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Append what is new in ``docs``; returns one row per row of ``docs``: doc_id, keep_id,
@@ -82,10 +140,14 @@ class DigestIndex:
         batch = f"content:{n}:{sign}" if batch is None else f"named:{batch}"
         groups = seen.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
         groups = materialize(groups.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), "group_size"), "groups")
-        new = groups.join(self.rows().hint("merge"), "digest", "left_anti")
-        new.select("digest", F.col("first_id").alias("keep_id"), F.col("group_size").alias("n_rows"), F.lit(batch).alias("batch")).repartition(self.buckets, "digest").write.insertInto(self.name)
-        known = groups.join(self.rows().hint("merge"), "digest").select("digest", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("first_row")).alias("kept_row"))
-        known = materialize(known, "known")
+        own = F.lit(batch).alias("batch")
+        with _sorted_scans(self.spark):
+            new = reduce(lambda left, table: left.join(table.hint("merge"), "digest", "left_anti"), self.tables(), groups)
+            last = max((b for _, b in self.generations), default=0) + 1
+            self._append(new.select("digest", F.col("first_id").alias("keep_id"), F.col("group_size").alias("n_rows"), own), n, last, last)
+            found = [groups.join(table.hint("merge"), "digest").select("digest", "keep_id", "group_size", F.when(F.col("batch") == own, F.col("first_row")).alias("kept_row")) for table in self.tables()]  # a digest is in one generation
+            known = materialize(reduce(DataFrame.union, found), "known")
+            self._merge()
         discard(groups)
         at_least = max(2, int(n * HOT_SHARE))
         hot = known.where(F.col("group_size") > at_least)  # fewer than 1 / HOT_SHARE rows, by its own condition

@@ -541,3 +541,40 @@ def test_second_person_near_a_telling_word_across_pieces(word, shift):
     assert vote(filler + f"{word} so you ".encode() + b"w " * 40) == 1
     assert vote(filler + f"{word} a b c you ".encode() + b"w " * 40) == 0
     assert vote(filler + f"you a b {word} ".encode() + b"w " * 40) == 1
+
+
+# --- the digest index over many batches
+
+
+def test_digest_index_stays_sorted_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FAN", 4)
+    path, seen = f"file://{tmp_path}/generations", {}
+    index = exact_dedup.DigestIndex(spark, path, buckets=4)
+    for k in range(9):
+        rows = [(100 * k + i, f"t{(k * 17 + i * (k + 1)) % 60}") for i in range(40)]
+        got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in index.add(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for i, t in sorted(rows):
+            seen.setdefault(t, i)
+        assert got == {i: (seen[t], seen[t] == i) for i, t in rows}
+        if k == 5:
+            index.close()
+            index = exact_dedup.DigestIndex(spark, path, buckets=4)
+    assert sorted(index.generations) == [(1, 4), (5, 8), (9, 9)] and index.rows().count() == len(seen)
+    batch = spark.createDataFrame([(b"x" * 32,)], "digest binary")
+    with exact_dedup._sorted_scans(spark):
+        plan = batch.join(index.tables()[0].hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "SelectedBucketsCount: 4 out of 4" in plan  # the batch alone is sorted
+
+
+def test_digest_index_ignores_what_a_crash_leaves(spark, tmp_path):
+    path = f"file://{tmp_path}/crash"
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, path, buckets=2)
+    index.add(rows((1, "a"), (2, "b"))).collect()
+    index.add(rows((3, "b"), (4, "c"))).collect()
+    index._append(index.rows(), 3, 1, 2)  # merged, but the old ones are still there
+    (tmp_path / "crash/batches-00000003-00000003-2-ff").mkdir()  # begun, not finished
+    again = exact_dedup.DigestIndex(spark, path, buckets=2)
+    assert list(again.generations) == [(1, 2)] and again.rows().count() == 3
+    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again.add(rows((5, "c"), (6, "d"))).collect()}
+    assert got == {5: (4, False), 6: (6, True)}

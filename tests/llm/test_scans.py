@@ -292,3 +292,26 @@ def test_digest_columns_of_the_queries(spark):
             joined = ",".join(f"{kinds[k]}:{s}:{e}" for k, s, e in want)
             assert [row[f"n_{k}"] for k in kinds] == [sum(x == i for x, _, _ in want) for i in range(len(kinds))]
             assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and set(filter(None, joined.split(","))) <= set(row["spans"].split(","))
+
+
+def test_large_benchmark_reads_the_texts_once(spark):
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(r.choices(words, k=r.choice([0, 1, 3, 12, 13, 14, 40])))) for i in range(120)]
+    rows = []
+    for i in range(300):
+        body = r.choices(words, k=r.choice([0, 5, 60, 400]))
+        if i % 3 == 0:
+            part = r.choice(items)[1].split()
+            body[len(body) // 2 : len(body) // 2] = part[: r.choice([13, 20, 40])]
+        rows.append((i, " ".join(body) if i % 50 else None))
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), benchmark(spark, items)
+    assert len(decontaminate.benchmark_blocks(tests, block_bytes=2000)) > 5
+    one, many = (by_id(decontaminate.scan(docs, tests, with_matches=True, block_bytes=b)) for b in (8 << 20, 2000))
+    assert one == many and sum(x[-2] for x in one) > 20
+    filtered = decontaminate.WindowFilter.of(tests)
+    long = [(0, " ".join(r.choices(words, k=13))) for _ in range(50)]
+    strict = decontaminate.WindowFilter.of(benchmark(spark, long))
+    known = {}
+    assert all(filtered.may_have(decontaminate._word_hashes(t.encode(), known)) for _, t in items if t)
+    assert not any(strict.may_have(decontaminate._word_hashes(" ".join(r.choices(words, k=300)).encode(), known)) for _ in range(50))
