@@ -270,10 +270,11 @@ _CONF = """(SELECT question_id, lane, max(CASE WHEN n = 1 THEN {0} END) AS top1,
  count(*) FILTER ({0} >= 0.5) AS n_above, stddev_pop(CASE WHEN n <= 10 THEN {0} END) AS spread, count(*) AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY question_id, lane ORDER BY {0} DESC) AS n FROM {1}) GROUP BY question_id, lane)"""
 
 
-@query(f"WITH {_RANKED}, c AS {_CONF.format('score', 'r')} SELECT question_id, lane, n_above, candidates, round(top1, 6) AS top1, round(gap, 6) AS gap, round(mean_top3, 6) AS mean_top3, round(spread, 6) AS spread, round(top1 + 0.10 * gap, 6) AS confidence FROM c")
+@query(f"WITH {_RANKED}, c AS {_CONF.format('score', 'r')} SELECT question_id, lane, n_above, candidates, round(top1, 6) AS top1, round(gap, 6) AS gap, round(mean_top3, 8) AS mean_top3, round(spread, 6) AS spread, round(top1 + 0.10 * gap, 8) AS confidence FROM c")
 def q_lane_confidence(spark, sf_dir):
     out = L.confidence(lane_ranks(spark, sf_dir), ["question_id", "lane"])
-    return out.select("question_id", "lane", "n_above", "candidates", *(F.round(c, 6).alias(c) for c in ("top1", "gap", "mean_top3", "spread", "confidence")))
+    digits = {"top1": 6, "gap": 6, "mean_top3": 8, "spread": 6, "confidence": 8}  # sums and halves of six digits have more
+    return out.select("question_id", "lane", "n_above", "candidates", *(F.round(c, n).alias(c) for c, n in digits.items()))
 
 
 _CURVES = f"""{CHUNKS.replace("chunks AS (", "typed AS (")}, curves AS (SELECT content_type, 4.0::DOUBLE + avg(quality) AS a, -1.0::DOUBLE - avg(toxic) AS b FROM labels JOIN typed ON doc_id = chunk_id GROUP BY 1 QUALIFY count(*) > min(count(*)) OVER ())"""

@@ -161,7 +161,7 @@ class Workbook:
         out, n = Sheet(name, part), 0
         for node in self._rows(part):
             if node.tag == f"{_MAIN}mergeCell":
-                ends = re.fullmatch(r"([A-Za-z]+)([0-9]+):([A-Za-z]+)([0-9]+)", node.get("ref", ""))
+                ends = re.match(r"([A-Za-z]+)([0-9]+):([A-Za-z]+)([0-9]+)$", node.get("ref", ""))
                 if ends:
                     out.merged.append((int(ends[2]), int(ends[4]), _column(ends[1]), _column(ends[3])))
                 continue
