@@ -52,7 +52,7 @@ STAGES = [
     ("mix", mix),
 ]
 
-#: A trained classifier and chained fingerprints are beyond SQL; tests hold each stage against brute force.
+#: A trained classifier and chained fingerprints are beyond SQL; tests hold the chain of stages against plain Python.
 ORACLE_SQL = None
 
 
