@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.sources.scratch import written
 
-#: Vectors at most that centroids are fitted on, rounds of fitting, lists at most, bytes of a block of queries.
-SAMPLE, FIT_ROUNDS, MOST_LISTS, QUERY_BYTES = 20_000, 8, 4096, 64 << 20
+#: Vectors at most that centroids are fitted on, rounds of fitting, lists at most, bytes of a block of queries, distances held at once.
+SAMPLE, FIT_ROUNDS, MOST_LISTS, QUERY_BYTES, CELLS = 20_000, 8, 4096, 8 << 20, 1 << 22
 
 
 def usable(vector: Column, dim: int | None = None) -> Column:
@@ -85,18 +85,19 @@ def _searched(queries: np.ndarray, wanted: dict[int, np.ndarray], k: int, laned:
                     continue
                 here = np.flatnonzero(lists == c)
                 for lane in sorted({*lanes[here]} - {None}) if laned else (None,):
-                    rows = here[lanes[here] == lane] if laned else here
-                    far = np.round(1 - queries[of] @ vectors[rows].T, 6) + 0.0
-                    for q, distances in zip(of, far, strict=True):
-                        i, d = held.get((q, lane), (ids[:0], far[0, :0]))
-                        i, d = np.concatenate([i, ids[rows]]), np.concatenate([d, distances])
-                        keep = _best(i, d, k)
-                        held[q, lane] = i[keep], d[keep]
+                    every, step = here[lanes[here] == lane] if laned else here, max(1, CELLS // len(of))
+                    for rows in (every[i : i + step] for i in range(0, len(every), step)):
+                        far = np.round(1 - queries[of] @ vectors[rows].T, 6) + 0.0
+                        for q, distances in zip(of, far, strict=True):
+                            i, d = held.get((q, lane), (ids[:0], far[0, :0]))
+                            i, d = np.concatenate([i, ids[rows]]), np.concatenate([d, distances])
+                            keep = _best(i, d, k)
+                            held[q, lane] = i[keep], d[keep]
         if held:
             n = [len(i) for i, _ in held.values()]
-            columns = [np.repeat([q for q, _ in held], n).astype("i8"), None, np.concatenate([i for i, _ in held.values()]), np.concatenate([d for _, d in held.values()])]
-            lane = pa.array([lane for (_, lane), m in zip(held, n, strict=True) for _ in range(m)], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), lane, pa.array(columns[2]), pa.array(columns[3])], ["_query", "lane", "id", "distance"])
+            queries_of, lanes_of = np.repeat([q for q, _ in held], n).astype("i8"), [lane for (_, lane), m in zip(held, n, strict=True) for _ in range(m)]
+            ids_of, far_of = (np.concatenate(x) for x in zip(*held.values(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(queries_of), pa.array(lanes_of, pa.string()), pa.array(ids_of), pa.array(far_of)], ["_query", "lane", "id", "distance"])
 
     return search
 

@@ -183,6 +183,7 @@ def test_vector_queries_go_in_blocks(vectors, monkeypatch):
     q = df.where("id % 100 = 0 and id < 2000").select(F.col("id").alias("q"), "embedding")
     whole = found(index.search(q, ["q"], 3))
     monkeypatch.setattr(V, "QUERY_BYTES", 16 * 8 * 4)
+    monkeypatch.setattr(V, "CELLS", 50)
     assert found(index.search(q, ["q"], 3)) == whole and len(whole) == 15
 
 
