@@ -140,3 +140,16 @@ def test_citation_scores(spark):
 def test_lexical_weights(spark):
     df = spark.createDataFrame([(["a", "b", "a"], ["b"])], "x array<string>, y array<string>")
     assert df.select(R.weighted_frequency(F.array(F.lit("a")), [(F.col("x"), 0.5), (F.col("y"), 9.0)])).first()[0] == 1.0
+
+
+def test_acronyms_at_accented_letters_as_in_sql(spark):
+    import duckdb
+
+    from lodestrata.queries.retrieval import _light_terms
+
+    texts = ["ÉEL LLAR OS", "Wildfire Mitigation Planñ", "ESCI LLAR OSÉ LA DE EL", "a_EL LLAR OS", "Étude Net Zero Plan", "Net\x0bZero Plan Now", "Net\t Zero\nPlan", "ELÀ PAELLE ON ÀON PAELLE EN"]
+    got = col(spark, texts, "string", T.lexical_terms)
+    con = duckdb.connect()
+    want = [con.execute(f"SELECT {_light_terms('t')} FROM (SELECT ? AS t)", [t]).fetchall()[0][0] for t in texts]
+    assert [sorted(g) for g in got] == [sorted(w) for w in want]
+    assert "elo" in got[0] and "wmp" in got[1]
