@@ -80,6 +80,22 @@ def innermost(points: DataFrame, spans: DataFrame, document: str, point: str, st
     return hits.groupBy(document, point).agg(F.max_by(leaf, F.struct("starts", leaf)).alias(leaf))
 
 
+def nearest(points: DataFrame, places: DataFrame, keys: list[str], point: str, at: str, value: str) -> DataFrame:
+    """(*keys, point, away, value): for every distinct point the place with equal keys that is nearest,
+    ties to the smaller value; places without a position come last, with a null distance. Rows are
+    brought down to one for each position first, and each looks back and ahead once: no pairs."""
+    marked = points.where(F.col(point).isNotNull()).select(*keys, F.col(point).alias("pos"), F.lit(True).alias("asked"), F.lit(None).cast(places.schema[value].dataType).alias("v")).distinct()
+    held = places.select(*keys, F.col(at).alias("pos"), F.lit(None).cast("boolean").alias("asked"), F.col(value).alias("v"))
+    rows = marked.unionByName(held).groupBy(*keys, "pos").agg(F.max("asked").alias("asked"), F.min("v").alias("v"))
+    there = F.when(F.col("v").isNotNull() & F.col("pos").isNotNull(), F.struct("pos", "v"))
+    whole = Window.partitionBy(*keys)
+    back, ahead = (F.last(there, ignorenulls=True).over(whole.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)) for o in (F.asc("pos"), F.desc("pos")))
+    seen = rows.select("*", back.alias("b"), ahead.alias("a"), F.min(F.when(F.col("pos").isNull(), F.col("v"))).over(whole).alias("unplaced")).where("asked")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.pos") - F.col("pos")).alias("away"), F.col(f"{c}.v").alias("v")))
+    best = seen.select(*keys, F.col("pos").alias(point), F.least(far("b"), far("a")).alias("n"), "unplaced")
+    return best.select(*keys, point, F.col("n.away").alias("away"), F.coalesce("n.v", "unplaced").alias(value)).where(F.col(value).isNotNull())
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"[.!?]\s+"), lambda s: s != "")
 

@@ -93,17 +93,18 @@ t2 AS (SELECT figure, chunk, 2 AS tier, row_number() OVER (PARTITION BY figure O
 u AS (SELECT figure, chunk, tier FROM t1 WHERE r = 1 UNION ALL SELECT figure, chunk, tier FROM t2 WHERE r = 1)
 SELECT f.figure, coalesce(arg_min(u.chunk, u.tier), -1) AS chunk, coalesce(min(u.tier), 3) AS tier FROM f LEFT JOIN u ON f.figure = u.figure GROUP BY f.figure""")
 def q_figure_link(spark, sf_dir):
-    """A figure meets the chunks that name its label, and those up to three pages away, each in a
-    join on equal values; the best tier, then distance, wins by a grouped minimum."""
+    """Figures of one document, page and label have one answer: the nearest chunk that names the label,
+    else the nearest within three pages. Chunks come down to the first of a page before they meet."""
     p = read(spark, sf_dir, "part")
     f = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("figure"), F.col("p_brand").alias("document"), F.col("p_size").alias("page"), (F.col("p_size") % 7).cast("string").alias("label"))
     n = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("chunk"), F.col("p_brand").alias("document"), F.col("p_size").alias("at"), F.lower(F.concat(F.lit("see Figure "), (F.col("p_partkey") % 7).cast("string"), F.lit(" of "), "p_name")).alias("content"))
-    away = F.abs(F.col("at") - F.col("page"))
     named = n.select("document", "chunk", "at", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("figure ([0-9]+) of"), 1))).alias("label"))
-    near = n.select("document", "chunk", "at", F.explode(F.sequence(F.col("at") - 3, F.col("at") + 3)).alias("page"))
-    met = f.join(named, ["document", "label"]).select("figure", "page", "at", "chunk", F.lit(1).alias("tier")).union(f.join(near, ["document", "page"]).select("figure", "page", "at", "chunk", F.lit(2)))
-    best = met.groupBy("figure").agg(F.min(F.struct("tier", away.alias("away"), "chunk")).alias("b"))
-    return f.select("figure").join(best, "figure", "left").select("figure", F.coalesce("b.chunk", F.lit(-1)).alias("chunk"), F.coalesce("b.tier", F.lit(3)).alias("tier"))
+    first = C.nearest(f, named, ["document", "label"], "page", "at", "chunk").select("document", "label", "page", F.col("chunk").alias("named"))
+    pages = n.groupBy("document", "at").agg(F.min("chunk").alias("chunk")).select("document", "at", "chunk", F.explode(F.sequence(F.col("at") - 3, F.col("at") + 3)).alias("page"))
+    near = pages.groupBy("document", "page").agg(F.min(F.struct(F.abs(F.col("at") - F.col("page")).alias("away"), "chunk")).alias("near"))
+    found = f.join(first, ["document", "label", "page"], "left").join(near, ["document", "page"], "left")
+    tier = F.when(F.col("named").isNotNull(), 1).when(F.col("near").isNotNull(), 2).otherwise(3)
+    return found.select("figure", F.coalesce("named", "near.chunk", F.lit(-1)).alias("chunk"), tier.alias("tier"))
 
 
 @query("""SELECT doc_id, string_split(text, chr(10) || 'Describing context:')[1] || chr(10) || 'Describing context: ' || source AS enriched FROM documents""")

@@ -1,12 +1,14 @@
 """Queries against their SQL on small tables of odd rows."""
 
 import os
+import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 from test_queries import table
 
+from lodestrata.operators import chunking as C
 from lodestrata.queries import QUERIES, SQL
 
 
@@ -25,3 +27,25 @@ def test_caption_prior_of_accented_captions(spark, tmp_path):
     docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "lang": ["es", "fr", "de", "es", "fr", None], "source": ["s"] * len(texts), "n_chars": pa.array([len(t or "") for t in texts], pa.int64())})
     pq.write_table(docs, tmp_path / "documents.parquet")
     assert len(agrees(spark, tmp_path, "q_caption_prior")) == len(texts)
+
+
+def test_figure_links_of_pages_that_repeat_or_lack(spark, tmp_path):
+    n, sizes = 3000, [None, 1, 1, 2, 3, 9, 30, 50]
+    names = ["green figure 5 of" if i % 11 == 0 else "red" for i in range(n)]
+    part = pa.table({"p_partkey": pa.array(range(n), pa.int64()), "p_name": names, "p_brand": ["A" if i < n - 40 else f"B{i % 3}" for i in range(n)], "p_size": pa.array([sizes[i // 4 % 8 - i % 2] for i in range(n)], pa.int32())})
+    pq.write_table(part, tmp_path / "part.parquet")
+    assert len(agrees(spark, tmp_path, "q_figure_link")) == n // 4
+
+
+def test_nearest_against_pairs(spark):
+    rng = random.Random(3)
+    points = [(rng.choice("ab"), rng.choice([None, *range(30)])) for _ in range(60)]
+    places = [(rng.choice("abc"), rng.choice([None, *range(0, 30, 4)]), i) for i in range(25)]
+    got = C.nearest(spark.createDataFrame(points, "k string, p int"), spark.createDataFrame(places, "k string, at int, v int"), ["k"], "p", "at", "v").collect()
+    want = {}
+    for k, p in points:
+        held = [((at is None), abs(at - p) if at is not None else 0, v) for key, at, v in places if key == k] if p is not None else []
+        if held:
+            far, away, v = min(held)
+            want[k, p] = (None if far else away, v)
+    assert {(r["k"], r["p"]): (r["away"], r["v"]) for r in got} == want and len(got) == len(want)
