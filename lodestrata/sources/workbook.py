@@ -4,7 +4,8 @@
 path, sheet, row from 1, cells as text, their number formats, and an error for a file that cannot
 be read. Small files share a partition, each sheet of a large one is a partition of its own.
 Options: ``path`` (a file or folder), ``sheet`` (only this one), ``merged`` = ``fill`` (every cell of a
-merged range has the range's value). ``df.write.format("workbook")`` writes a workbook a partition.
+merged range has the range's value). ``df.write.format("workbook")`` writes a workbook a partition, and another
+one for what a sheet does not hold.
 The format reaches what pyarrow's file systems reach; for a store that only Spark reads,
 ``workbook_rows`` takes (path, content) rows as ``binaryFile`` gives them.
 
@@ -284,12 +285,12 @@ class WorkbookReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    staged: str
-    final: str
+    moves: list[tuple[str, str]]
 
 
 class WorkbookWriter(DataSourceWriter):
-    """A task streams its rows into one staged workbook; the commit on the driver moves them into place."""
+    """A task streams its rows into staged workbooks, the next one begun when the sheet of one is full,
+    header included: every row is in a sheet of the given name. The commit on the driver moves them into place."""
 
     def __init__(self, options: dict, columns: list[str], overwrite: bool) -> None:
         self.path, self.sheet, self.columns = options["path"], options.get("sheet", "Sheet1"), columns
@@ -297,15 +298,21 @@ class WorkbookWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         store, root = store_of(self.path)
-        name = f"part-{uuid.uuid4().hex}.xlsx"
-        staged = f"{root}/_staging-{self.job}/{name}"
-        store.create_dir(staged.rsplit("/", 1)[0], recursive=True)
-        with store.open_output_stream(staged) as out, WorkbookFile(out) as book:
-            if self.header:
-                book.append(self.sheet, self.columns)
-            for row in rows:
-                book.append(self.sheet, list(row))
-        return Written(staged, f"{root}/{name}")
+        staging, moves, room = f"{root}/_staging-{self.job}", [], SHEET_ROWS - self.header
+        store.create_dir(staging, recursive=True)
+        rows, more = iter(rows), True
+        while more:
+            name, first, n = f"part-{uuid.uuid4().hex}.xlsx", next(rows, None), 0
+            if first is None and moves:
+                break
+            with store.open_output_stream(f"{staging}/{name}") as out, WorkbookFile(out) as book:
+                if self.header:
+                    book.append(self.sheet, self.columns)
+                for n, row in enumerate(itertools.chain([] if first is None else [first], itertools.islice(rows, room - 1)), 1):
+                    book.append(self.sheet, list(row))
+            moves.append((f"{staging}/{name}", f"{root}/{name}"))
+            more = n == room
+        return Written(moves)
 
     def commit(self, messages: list) -> None:
         store, root = store_of(self.path)
@@ -314,8 +321,8 @@ class WorkbookWriter(DataSourceWriter):
                 if f.is_file and f.path.lower().endswith(".xlsx"):
                     store.delete_file(f.path)
         for m in messages:
-            if m is not None:
-                store.move(m.staged, m.final)
+            for staged, final in m.moves if m is not None else ():
+                store.move(staged, final)
         self.abort(messages)
 
     def abort(self, messages: list) -> None:

@@ -10,6 +10,7 @@ from test_queries import table
 
 from lodestrata.operators import chunking as C
 from lodestrata.queries import QUERIES, SQL
+from lodestrata.sources import workbook
 
 
 def agrees(spark, folder, name):
@@ -49,3 +50,17 @@ def test_nearest_against_pairs(spark):
             far, away, v = min(held)
             want[k, p] = (None if far else away, v)
     assert {(r["k"], r["p"]): (r["away"], r["v"]) for r in got} == want and len(got) == len(want)
+
+
+def test_workbooks_beyond_a_full_sheet(spark, tmp_path, monkeypatch):
+    """A task with more rows than a sheet holds: none is lost, and each workbook has its header."""
+    monkeypatch.setattr(workbook, "SHEET_ROWS", 10)
+    for n, files in ((0, 1), (1, 1), (9, 1), (10, 2), (18, 2), (31, 4)):
+        folder = tmp_path / str(n)
+        writer = workbook.WorkbookWriter({"path": str(folder), "sheet": "orders"}, ["k"], False)
+        writer.commit([writer.write(iter([(i,) for i in range(n)]))])
+        reader = workbook.WorkbookReader({"path": str(folder), "sheet": "orders"})
+        rows = [r for p in reader.partitions() for r in reader._rows(p)]
+        assert len(list(folder.iterdir())) == files
+        assert sorted(int(r[3][0]) for r in rows if r[2] > 1) == list(range(n))
+        assert [r[3] for r in rows if r[2] == 1] == [["k"]] * files and {r[1] for r in rows} == {"orders"}
