@@ -11,7 +11,9 @@ block. A search takes a table of questions:
    chunks: blocks that are bounded below it hold none of the best k;
 3. the postings of the remaining blocks are summed, and the best k kept, ties by chunk number.
 
-The result is that of a full scan. A chunk matches if it has any term. Impacts are integers,
+Questions are broadcast (up to FEW_TERMS terms); postings are dealt by chunk once, whatever the
+number of questions, and summed where they are. Of more than FEW_TERMS remaining blocks of questions
+none is left out: the sums are the same, only more. The result is that of a full scan. A chunk matches if it has any term. Impacts are integers,
 thousandths of a weight for each occurrence, so sums do not depend on their order.
 
 Chunk numbers should be dense: with random ones a block holds few chunks, and the table of maxima
@@ -34,6 +36,8 @@ from lodestrata.sources.scratch import delete, new_path, written
 WEIGHTS = {"caption": 1400, "breadcrumb": 400, "content": 200, "hint": 25}
 #: Rows of terms of one search, and distinct words of an index build, that are broadcast; beyond, Spark joins and splits hot terms.
 FEW_TERMS = 200_000
+#: Pairs of a question's term and a posting that one task of a search sums.
+TASK_PAIRS = 2_000_000
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -93,15 +97,26 @@ class LexicalIndex:
 
     def scores(self, questions: DataFrame, keys: list[str], question: str = "question") -> DataFrame:
         """Every matching chunk: (*keys, chunk_id, content_type, score)."""
-        terms = self.terms(questions, keys, question)
-        return self._summed(self._reads(self.postings(), terms), keys)
+        return self._summed(self.terms(questions, keys, question), keys)
 
     def _reads(self, stored: DataFrame, terms: DataFrame) -> DataFrame:
+        """Rows of the terms, each once, however many questions ask for it."""
         self.scanned = sorted(r[0] for r in terms.select("shard").distinct().collect())  # at most as many as there are directories
-        return stored.where(F.col("shard").isin(self.scanned) if self.scanned else F.lit(False)).join(few(terms), ["shard", "term"])
-
-    @staticmethod
-    def _summed(hits: DataFrame, keys: list[str]) -> DataFrame:
+        return stored.where(F.col("shard").isin(self.scanned) if self.scanned else F.lit(False)).join(few(terms.select("shard", "term").distinct()), ["shard", "term"], "left_semi")
+
+    def _parts(self, terms: DataFrame) -> int:
+        """Tasks of a search, by the pairs of a question's term and a posting, which the blocks count."""
+        asked = terms.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("asked"))
+        pairs = self._reads(self.blocks(), terms).join(few(asked), ["shard", "term"]).agg(F.sum(F.col("n") * F.col("asked"))).first()[0] or 0
+        return max(self.spark.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))
+
+    def _summed(self, terms: DataFrame, keys: list[str], live: DataFrame | None = None) -> DataFrame:
+        """Postings are dealt by chunk, each once; questions meet them there, so a chunk's scores are
+        summed where it is and pairs of questions and chunks are never shuffled."""
+        dealt = self._reads(self.postings(), terms).repartition(self._parts(terms), "chunk_id")
+        hits = dealt.join(few(terms), ["shard", "term"])
+        if live is not None:
+            hits = hits.join(F.broadcast(live), [*keys, "content_type", "block"], "left_semi")
         total = hits.groupBy(*keys, "content_type", "chunk_id").agg(F.sum("impact").alias("impact"))
         return total.select(*keys, "chunk_id", "content_type", (F.col("impact") / 1000.0).alias("score"))
 
@@ -113,14 +128,14 @@ class LexicalIndex:
         lane = T.mapped(F.col("content_type"), lanes) if lanes else F.lit(None).cast("string")
         of_lane = (lambda df: df.withColumn("lane", lane).where("lane IS NOT NULL")) if lanes else (lambda df: df.withColumn("lane", lane))
         group = [*keys, "lane"]
-        bounds = of_lane(self._reads(self.blocks(), terms)).groupBy(*group, "content_type", "block").agg(F.sum("most").alias("bound"), F.max("most").alias("reached"))
+        largest = self._reads(self.blocks(), terms).repartition("block").join(few(terms), ["shard", "term"])
+        bounds = of_lane(largest).groupBy(*group, "content_type", "block").agg(F.sum("most").alias("bound"), F.max("most").alias("reached"))
         bounds = written(bounds, "bounds")
         place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("reached")))
         floor = bounds.withColumn("n", place).where(F.col("n") <= k).groupBy(*group).agg(F.when(F.count(F.lit(1)) == k, F.min("reached")).otherwise(F.lit(0)).alias("floor"))
         floor = floor.toDF(*(f"of_{c}" for c in group), "floor")
         same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group]
-        live = bounds.join(floor, same).where("bound >= floor").select(*keys, "content_type", "block")
-        hits = self._reads(self.postings(), terms)
-        scores = of_lane(self._summed(hits.join(few(written(live, "live")), [*keys, "content_type", "block"], "left_semi"), keys))
+        live = written(bounds.join(floor, same).where("bound >= floor").select(*keys, "content_type", "block"), "live")
+        scores = of_lane(self._summed(terms, keys, live if live.limit(FEW_TERMS + 1).count() <= FEW_TERMS else None))
         best = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "chunk_id"))
         return scores.withColumn("rank", best).where(F.col("rank") <= k).select(*group, "chunk_id", "score", "rank")

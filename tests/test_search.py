@@ -114,6 +114,13 @@ def test_lexical_empty(spark, lexical):
     assert index.topk(questions(spark), ["q"], 3).collect() == [] and index.scores(questions(spark), ["q"]).collect() == []
 
 
+def test_lexical_sums_are_not_shuffled_by_question(spark, lexical):
+    """Postings move once, by chunk, not once for every question that asks for them."""
+    plan = lexical.scores(questions(spark), ["q"])._jdf.queryExecution().executedPlan().toString()
+    moves = re.findall(r"hashpartitioning\((\w+)#", plan)
+    assert "chunk_id" in moves and "q" not in moves
+
+
 # --- vector index
 
 
