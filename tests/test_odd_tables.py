@@ -2,6 +2,8 @@
 
 import os
 import random
+import subprocess
+import sys
 
 import duckdb
 import pyarrow as pa
@@ -64,3 +66,31 @@ def test_workbooks_beyond_a_full_sheet(spark, tmp_path, monkeypatch):
         assert len(list(folder.iterdir())) == files
         assert sorted(int(r[3][0]) for r in rows if r[2] > 1) == list(range(n))
         assert [r[3] for r in rows if r[2] == 1] == [["k"]] * files and {r[1] for r in rows} == {"orders"}
+
+
+_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from lodestrata.queries import QUERIES
+from lodestrata.sources.jdbc import embedded
+
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", f"file://{sys.argv[1]}").config("spark.driver.host", "127.0.0.1").getOrCreate()
+db, odd = embedded(spark), [(1, 'a"b,\\n', 0.1), (2, "", None), (3, None, 1e-300), (4, "  x ", 1 / 3), (5, "a\\\\b", -2.5)]
+rows = spark.createDataFrame(odd, "k long, n string, v double")
+types = {"k": "BIGINT", "n": "VARCHAR(20)", "v": "DOUBLE"}
+assert (db.upsert(rows, "t", ["k"], types), db.upsert(rows, "t", ["k"], types), db.upsert(rows.selectExpr("k + 3 as k", "n", "v"), "t", ["k"], types)) == (5, 0, 5)
+want = {**{r[0]: r for r in odd}, **{r[0] + 3: (r[0] + 3, *r[1:]) for r in odd}}
+assert sorted(tuple(r) for r in db.table("t", "k", 3).collect()) == sorted(want.values())
+QUERIES["q_jdbc_upsert"](spark, "/root/testdata/sf0.001").write.parquet(f"file://{sys.argv[1]}/out")
+"""
+
+
+def test_jdbc_upsert_on_several_executors(tmp_path):
+    script = tmp_path / "run.py"
+    script.write_text(_CLUSTER, encoding="utf-8")
+    subprocess.run([sys.executable, str(script), str(tmp_path)], check=True, timeout=300, capture_output=True, text=True)
+    con = duckdb.connect()
+    con.sql("create view customer as select * from '/root/testdata/sf0.001/customer.parquet'")
+    got = con.sql(f"select * from '{tmp_path}/out/*.parquet'")
+    want = con.sql(SQL["q_jdbc_upsert"])
+    assert table(got.columns, got.fetchall()) == table(want.columns, want.fetchall())
