@@ -3,7 +3,7 @@
 A table of plans has the columns of ``SCHEMA``; values of filters are text. ``verdict`` says of
 every row what ``Plan.validate`` says of a plan. ``answers`` runs all valid aggregates and ranks
 over facts or records together. Rows are first summed to cells that no plan tells apart. What a
-plan wants to be equal is its key; cells, which stand once for every set of fields that plans
+plan wants to be equal is its key; plans that say the same are one; cells, which stand once for every set of fields that plans
 compare, meet the plans of their keys in a join, and other comparisons are checked on what has
 met. A grouped aggregation gives every plan's groups. Plans without any equality meet all cells.
 """
@@ -105,7 +105,12 @@ def answers(plans: DataFrame, rows: DataFrame, revisions: DataFrame | None, sour
     one row if it groups by nothing, with nothing in it, else none. ``status`` is ``refused`` if the
     plan's values have several units; then ``value`` is null."""
     spark, json_column = rows.sparkSession, JSON_COLUMN[source]
-    valid = written(_implied(plans.where((F.col("source") == source) & F.col("operation").isin("aggregate", "rank") & (verdict() == "accept"))), "plans")
+    stated = _implied(plans.where((F.col("source") == source) & F.col("operation").isin("aggregate", "rank") & (verdict() == "accept")))
+    content = [c for c in stated.columns if c != "plan_id"]
+    stated = written(stated.withColumn("same", F.sha2(F.to_json(F.struct(*content)), 256)), "stated")
+    asked = stated.select(F.col("plan_id").alias("asked"), "same")
+    # plans that say the same are answered once, under their digest
+    valid = written(stated.groupBy("same").agg(*(F.first(c).alias(c) for c in content)).withColumnRenamed("same", "plan_id"), "plans")
     sets = [r[0] for r in valid.select(F.array_join(F.transform("equal", lambda e: e["name"]), "\n").alias("names")).distinct().collect()]
     compared = F.concat(F.transform("other", _name), F.transform("group_by", lambda g: F.concat(F.lit("c:"), g)), F.transform("equal", lambda e: e["name"]))
     used = sorted(r[0] for r in valid.select(F.explode(compared)).distinct().collect())
@@ -159,4 +164,5 @@ def answers(plans: DataFrame, rows: DataFrame, revisions: DataFrame | None, sour
     ]
     placed = out.withColumn("place", F.row_number().over(Window.partitionBy("plan_id").orderBy(*order))).where(F.col("place") <= MAX_ROWS).where("place <= limit")
     several = F.coalesce(F.size("all_units"), F.lit(0)) > 1
+    placed = asked.join(placed, F.col("same") == F.col("plan_id")).drop("same", "plan_id").withColumnRenamed("asked", "plan_id")
     return placed.select("plan_id", "groups", F.when(~several, F.col("value")).alias("value"), "place", "contributing", F.coalesce(F.array_join("all_units", ";"), F.lit("")).alias("units"), "first_revision", F.when(several, F.lit("refused")).otherwise(F.lit("ok")).alias("status"))

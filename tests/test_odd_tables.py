@@ -11,8 +11,10 @@ import pyarrow.parquet as pq
 from test_queries import table
 
 from lodestrata.operators import chunking as C
+from lodestrata.plans import batch
 from lodestrata.queries import QUERIES, SQL
-from lodestrata.sources import workbook
+from lodestrata.queries.registry import facts, registry_rows
+from lodestrata.sources import scratch, workbook
 
 
 def agrees(spark, folder, name):
@@ -94,3 +96,17 @@ def test_jdbc_upsert_on_several_executors(tmp_path):
     got = con.sql(f"select * from '{tmp_path}/out/*.parquet'")
     want = con.sql(SQL["q_jdbc_upsert"])
     assert table(got.columns, got.fetchall()) == table(want.columns, want.fetchall())
+
+
+def test_plans_that_say_the_same_are_answered_once(spark, monkeypatch):
+    sizes = []
+
+    def written(df, name):
+        sizes.append((name, df.count()))
+        return scratch.written(df, name)
+
+    monkeypatch.setattr(batch, "written", written)
+    plans = spark.range(50).selectExpr("CAST(id AS STRING) AS plan_id", "'facts' AS source", "'aggregate' AS operation", "'sum' AS aggregate", "2 AS table_number", "CAST(NULL AS STRING) AS semantic_metric_key", "CAST(NULL AS STRING) AS measure_name", "array(named_struct('field', 'region', 'operator', 'eq', 'value', IF(id % 2 = 0, 'ASIA', 'EUROPE'), 'json_key', false)) AS filters", "CAST(array() AS array<string>) AS group_by", "CAST(array() AS array<string>) AS json_keys", "CAST(NULL AS STRING) AS order_by", "true AS descending", "3 AS limit", "CAST(NULL AS STRING) AS year_basis", "true AS require_year_basis")
+    got = batch.answers(plans, facts(spark, "/root/testdata/sf0.001"), registry_rows(spark)).collect()
+    assert sorted(int(r["plan_id"]) for r in got) == list(range(50)) and len({r["value"] for r in got}) == 2
+    assert {n for name, n in sizes if name == "plans"} == {2}
