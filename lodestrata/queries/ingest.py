@@ -67,11 +67,11 @@ def q_dead_letter(spark, sf_dir):
 @query("""SELECT 'orders' AS sheet, o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority, 'yyyy-mm-dd' AS date_format FROM orders""")
 def q_workbook_rows(spark, sf_dir):
     """Writes the orders to workbooks, one a task and full sheet, and reads all their rows back. Tasks are
-    as many as Spark makes of the rows."""
+    as many as there are cores, four at least: few bytes are much work here."""
     register(spark)
     path = new_path(spark, "workbooks").removeprefix("file://")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority")
-    orders.repartition("o_orderkey").write.format("workbook").option("sheet", "orders").mode("append").save(path)
+    orders.repartition(max(4, spark.sparkContext.defaultParallelism), "o_orderkey").write.format("workbook").option("sheet", "orders").mode("append").save(path)
     rows = spark.read.format("workbook").option("sheet", "orders").load(path).where("row > 1")
     at = lambda i, kind: F.get("cells", F.lit(i)).cast(kind).alias(orders.columns[i])
     return rows.select("sheet", at(0, "bigint"), at(1, "string"), at(2, "double"), at(3, "date"), at(4, "string"), F.get("formats", F.lit(3)).alias("date_format"))
