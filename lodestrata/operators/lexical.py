@@ -1,30 +1,39 @@
 """Lexical search: a persisted inverted index with block maxima.
 
-``LexicalIndex.build`` counts every chunk's words once, stems the distinct ones, and writes
-postings (term, chunk, impact), in directories by hash of the term and sorted by term and chunk.
-A block is a range of chunk numbers; a second table has the largest impact of every term in every
-block. A search takes a table of questions:
+``LexicalIndex.build`` counts every chunk's words in one pass over the texts, stems the distinct ones,
+and writes lists of postings (chunk, impact) of a word, type and block of chunk numbers, in
+directories by the word's first two letters and sorted by word and block; a second table has the stem
+of every word. A list is moved once, and not joined with the stems: a search finds the words of its
+stems in that table. Words of a stem share their first two letters, y as i, so they are in one
+directory; those of a stem of one letter may be in several, and all are read. A list has its largest impact beside it. A search takes a table of questions:
 
-1. only the directories of the questions' terms are read (partition filters of the scan);
+1. only the directories of the questions' words are read (partition filters of the scan);
 2. the sum of a block's maxima bounds the score of every chunk in it, and a block's largest
    maximum is a score that one of its chunks reaches, so the k-th largest of these is reached by k
-   chunks: blocks that are bounded below it hold none of the best k;
+   chunks: blocks that are bounded below it for all questions hold none of the best k;
 3. the postings of the remaining blocks are summed, and the best k kept, ties by chunk number.
 
-Questions are broadcast (up to FEW_TERMS terms); postings are dealt by chunk once, whatever the
-number of questions, and summed where they are. Of more than FEW_TERMS remaining blocks of questions
-none is left out: the sums are the same, only more. The result is that of a full scan. A chunk matches if it has any term. Impacts are integers,
-thousandths of a weight for each occurrence, so sums do not depend on their order.
+Postings are dealt by chunk once, whatever the number of questions, and summed where they are. For the
+best k, questions go out in blocks of bounded size; a task sums all questions' scores of some chunks at
+a time and keeps the best k of each question (and lane), so only these are shuffled. The result is that of a full
+scan. A chunk matches if it has any term. Impacts are integers, thousandths of a weight for each
+occurrence, so sums do not depend on their order.
 
-Chunk numbers should be dense: with random ones a block holds few chunks, and the table of maxima
-grows to the size of the postings. A null field has no words, a null question none either; a
+Chunk numbers should be dense and near each other in the input: else a list holds few chunks. Rows
+of one number and type are one chunk; bounds are as many times as large as rows share a number. A null field has no words, a null question none either; a
 chunk without words is not in the index.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +43,14 @@ from lodestrata.sources.scratch import delete, new_path, written
 
 #: Fixed values, in thousandths: caption 1.0 and another 4 x 0.1, breadcrumb 0.4, content 0.2, unverified hint 0.25 x 0.1.
 WEIGHTS = {"caption": 1400, "breadcrumb": 400, "content": 200, "hint": 25}
-#: Rows of terms of one search, and distinct words of an index build, that are broadcast; beyond, Spark joins and splits hot terms.
+#: Rows of terms that are broadcast, and of a block of questions; beyond, Spark joins, and a search takes several blocks.
 FEW_TERMS = 200_000
-#: Pairs of a question's term and a posting that one task of a search sums.
-TASK_PAIRS = 2_000_000
+#: Pairs of a question's word and a posting that one task of a search sums: in Spark, and in arrays.
+TASK_PAIRS, ARRAY_PAIRS = 2_000_000, 64_000_000
+#: Scores, and pairs, that a task holds at once; candidates that it holds before it keeps the best k; postings that a task of a build makes into lists at once.
+CELLS, PAIRS, HELD, LISTED = 1 << 22, 1 << 21, 1 << 16, 1 << 20
+#: The number of a chunk without one, after all others.
+NO_CHUNK = (1 << 63) - 1
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -49,8 +62,124 @@ def meaningful(word: str) -> Column:
     return ~F.col(word).isin(S.STOP)
 
 
-def weighted_tokens(text: Column, weight: int) -> Column:
-    return F.transform(T.tokens(text), lambda t: F.struct(t.alias("word"), F.lit(weight).cast("bigint").alias("impact")))
+def _counted(weights: tuple[int, ...], span: int) -> Callable:
+    """Rows (chunk_id, content_type, lower-case texts as bytes) to lists of postings."""
+    words, stop = re.compile(rb"[a-z0-9]+").findall, frozenset(w.encode() for w in S.STOP)
+
+    def lists(batch: pa.RecordBatch, rows: list[int], found: list[bytes], impacts: list[int]) -> pa.RecordBatch:
+        of, word = np.array(rows), pa.array(found, pa.binary()).dictionary_encode()
+        kind, block = batch.column(1).dictionary_encode(), pc.floor(pc.divide(batch.column(0).cast(pa.float64(), safe=False), span)).cast(pa.int64())
+        key = word.indices.to_numpy(), kind.indices.fill_null(-1).to_numpy()[of], block.fill_null(NO_CHUNK).to_numpy()[of]
+        order = np.lexsort(key[::-1])
+        new = np.zeros(len(of), bool)
+        new[0] = True
+        for part in key:
+            new[1:] |= np.diff(part[order]) != 0
+        first = np.flatnonzero(new)
+        ends, head = pa.array(np.r_[first, len(of)].astype("i4")), pa.array(of[order[first]])
+        impact = np.array(impacts)[order]
+        columns = {
+            "word": pc.take(word.dictionary, pa.array(key[0][order[first]])).cast(pa.string()),
+            "content_type": batch.column(1).take(head),
+            "block": block.take(head),
+            "most": pa.array(np.maximum.reduceat(impact, first)),
+            "n": pa.array(np.diff(np.r_[first, len(of)])),
+            "chunks": pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(of[order]))),
+            "impacts": pa.ListArray.from_arrays(ends, pa.array(impact)),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found, impacts = [], [], []
+            for i, texts in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+                impact: dict[bytes, int] = {}
+                for text, weight in zip(texts, weights, strict=True):
+                    for w, n in Counter(words(text)).items():
+                        impact[w] = impact.get(w, 0) + n * weight
+                for w in stop & impact.keys():
+                    del impact[w]
+                rows += [i] * len(impact)
+                found += impact
+                impacts += impact.values()
+                if len(rows) >= LISTED:
+                    yield lists(batch, rows, found, impacts)
+                    rows, found, impacts = [], [], []
+            if rows:
+                yield lists(batch, rows, found, impacts)
+
+    return count
+
+
+def _kept(starts: np.ndarray, asked: np.ndarray, questions: int, k: int) -> Callable:
+    """The best k per question and lane of a task's postings (chunk_id, content_type, lane, number of
+    a word, impact), which come sorted by chunk and type. Word n is asked by the questions
+    asked[starts[n]:starts[n + 1]]."""
+
+    def best(parts: list[tuple]) -> tuple:
+        q, ids, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+        return q[keep], ids[keep], score[keep]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times, floor, held, new = np.diff(starts), {}, {}, {}
+
+        def settle(lane: str | None) -> None:
+            held[lane] = q, _, score = best([*([held[lane]] if lane in held else []), *new.pop(lane)])
+            full = np.flatnonzero(np.bincount(q, minlength=questions) == k)
+            last = np.searchsorted(q, full, "right") - 1
+            floor[lane][full] = score[last]
+
+        def add(ids: np.ndarray, lanes: np.ndarray, run: np.ndarray, word: np.ndarray, impact: np.ndarray) -> None:
+            """Sums postings of whole chunks: of chunk run[i], 0 on, with its number and lane by that."""
+            n = times[word]
+            at = np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell = np.repeat(run * questions, n) + asked[at]
+            total = np.bincount(cell, np.repeat(impact, n), len(ids) * questions).reshape(len(ids), questions)
+            for lane in {*lanes}:
+                rows = np.flatnonzero(lanes == lane)
+                c, q = np.nonzero(total[rows] > floor.setdefault(lane, np.zeros(questions)))  # later chunks lose ties
+                if len(c):
+                    new.setdefault(lane, []).append((q, ids[rows[c]], total[rows[c], q]))
+                    if sum(len(x[0]) for x in new[lane]) >= HELD:
+                        settle(lane)
+
+        rest = None
+        for batch in _then_none(batches):
+            if batch is not None:
+                rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rest is None or not len(rest):
+                continue
+            ids = rest.column(0).combine_chunks().fill_null(NO_CHUNK).to_numpy()
+            types = rest.column(1).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            lanes = np.array(rest.column(2).to_pylist(), object)
+            word, impact = rest.column(3).to_numpy(), rest.column(4).to_numpy()
+            first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (types[1:] != types[:-1])])
+            ends = np.r_[first[1:], len(ids)]
+            if batch is not None:  # the last chunk may go on in the next batch
+                rest, first, ends = rest.slice(first[-1]), first[:-1], ends[:-1]
+            pairs, i = np.cumsum(times[word]), 0
+            while i < len(first):
+                before = pairs[first[i] - 1] if first[i] else 0
+                j = max(i + 1, min(i + max(1, CELLS // questions), np.searchsorted(pairs[ends - 1], before + PAIRS, "right")))
+                part = slice(first[i], ends[j - 1])
+                add(ids[first[i:j]], lanes[first[i:j]], np.repeat(np.arange(j - i), ends[i:j] - first[i:j]), word[part], impact[part])
+                i = j
+        for lane in [*new]:
+            settle(lane)
+        for lane, (q, ids, score) in held.items():
+            columns = [pa.array(q, pa.int64()), pa.array([lane] * len(q), pa.string()), pa.array(ids, pa.int64(), mask=ids == NO_CHUNK), pa.array(score.astype("i8"))]
+            yield pa.RecordBatch.from_arrays(columns, ["_question", "lane", "chunk_id", "impact"])
+
+    return keep
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 @dataclass
@@ -59,83 +188,111 @@ class LexicalIndex:
     path: str
     shards: int
     span: int
+    shared: int = 1  # rows that share a chunk's number, at most
     scanned: list[int] = field(default_factory=list)  # the directories that the last search read
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, weights: dict[str, int] = WEIGHTS, shards: int = 64, span: int = 4096) -> LexicalIndex:
         """Index ``chunks`` (chunk_id, content_type and the weighted columns) at ``path``."""
         spark = chunks.sparkSession
-        occurrences = F.concat(*(weighted_tokens(F.col(c), w) for c, w in weights.items()))
-        words = chunks.select("chunk_id", "content_type", F.explode(occurrences).alias("o")).select("chunk_id", "content_type", "o.word", "o.impact").where(meaningful("word"))
+        texts = chunks.select(F.col("chunk_id").cast("bigint"), "content_type", *(F.lower(F.coalesce(F.col(c), F.lit(""))).cast("binary").alias(f"text_{i}") for i, c in enumerate(weights)))
         staged = new_path(spark, "words")
-        counts = written(words.groupBy("chunk_id", "content_type", "word").agg(F.sum("impact").alias("impact")), "words", staged)
-        stems = written(S.with_stems(counts.select("word").distinct(), "word", "term"), "stems", f"{path}/stems")
-        postings = counts.join(few(stems), "word").groupBy("chunk_id", "content_type", "term").agg(F.sum("impact").alias("impact"))
-        placed = postings.withColumn("shard", cls._shard("term", shards)).withColumn("block", F.floor(F.col("chunk_id") / span))
-        order = ("shard", "term", "block", "chunk_id")
+        counts = written(texts.mapInArrow(_counted(tuple(weights.values()), span), cls._LISTS), "words", staged)
+        placed = counts.withColumn("shard", cls._shard("word", shards))
+        written(S.with_stems(placed.select("word", "shard").distinct(), "word", "term"), "stems", f"{path}/stems")
+        order = ("shard", "word", "block")
         placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("shard").parquet(f"{path}/postings")
         delete(spark, staged)
-        index = cls(spark, path, shards, span)
-        maxima = index.postings().groupBy("shard", "term", "content_type", "block").agg(F.max("impact").alias("most"), F.count(F.lit(1)).alias("n"))
-        maxima.repartitionByRange("shard", "term", "block").sortWithinPartitions("shard", "term", "block").write.partitionBy("shard").parquet(f"{path}/blocks")
-        return index
+        shared = chunks.groupBy("chunk_id").count().agg(F.max("count")).first()[0]
+        return cls(spark, path, shards, span, shared or 1)
+
+    _LISTS = "word string, content_type string, block bigint, most bigint, n bigint, chunks array<bigint>, impacts array<bigint>"
 
     @staticmethod
-    def _shard(term: str, shards: int) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+    def _shard(word: str, shards: int) -> Column:
+        """By what a word shares with its stem."""
+        return F.pmod(F.xxhash64(F.translate(F.substring(word, 1, 2), "y", "i")), F.lit(shards)).cast("int")
+
+    def lists(self) -> DataFrame:
+        return self.spark.read.schema(f"{self._LISTS}, shard int").parquet(f"{self.path}/postings")
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.schema("chunk_id bigint, content_type string, term string, impact bigint, block bigint, shard int").parquet(f"{self.path}/postings")
+    @staticmethod
+    def _postings(lists: DataFrame) -> DataFrame:
+        """A row for each chunk of the lists."""
+        own = [c for c in lists.columns if c not in ("most", "n", "chunks", "impacts")]
+        return lists.select(*own, F.inline(F.arrays_zip("chunks", "impacts"))).withColumnsRenamed({"chunks": "chunk_id", "impacts": "impact"})
 
-    def blocks(self) -> DataFrame:
-        return self.spark.read.schema("term string, content_type string, block bigint, most bigint, n bigint, shard int").parquet(f"{self.path}/blocks")
+    def stems(self) -> DataFrame:
+        return self.spark.read.schema("word string, term string, shard int").parquet(f"{self.path}/stems")
 
-    def terms(self, questions: DataFrame, keys: list[str], question: str) -> DataFrame:
-        """Distinct stems of the questions' search words: (*keys, term, shard)."""
-        words = questions.select(*keys, F.explode(T.lexical_query(F.col(question))).alias("word")).where(meaningful("word"))
-        return written(S.with_stems(words, "word", "term").select(*keys, "term").distinct().withColumn("shard", self._shard("term", self.shards)), "terms")
+    def words(self, questions: DataFrame, keys: list[str], question: str) -> DataFrame:
+        """The index's words with a stem of the questions' search words: (*keys, word, shard)."""
+        asked = questions.select(*keys, F.explode(T.lexical_query(F.col(question))).alias("word")).where(meaningful("word"))
+        terms = written(S.with_stems(asked, "word", "term").select(*keys, "term").distinct(), "terms")
+        return written(self.stems().join(few(terms), "term").select(*keys, "word", "shard"), "asked")
 
     def scores(self, questions: DataFrame, keys: list[str], question: str = "question") -> DataFrame:
-        """Every matching chunk: (*keys, chunk_id, content_type, score)."""
-        return self._summed(self.terms(questions, keys, question), keys)
-
-    def _reads(self, stored: DataFrame, terms: DataFrame) -> DataFrame:
-        """Rows of the terms, each once, however many questions ask for it."""
-        self.scanned = sorted(r[0] for r in terms.select("shard").distinct().collect())  # at most as many as there are directories
-        return stored.where(F.col("shard").isin(self.scanned) if self.scanned else F.lit(False)).join(few(terms.select("shard", "term").distinct()), ["shard", "term"], "left_semi")
-
-    def _parts(self, terms: DataFrame) -> int:
-        """Tasks of a search, by the pairs of a question's term and a posting, which the blocks count."""
-        asked = terms.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("asked"))
-        pairs = self._reads(self.blocks(), terms).join(few(asked), ["shard", "term"]).agg(F.sum(F.col("n") * F.col("asked"))).first()[0] or 0
-        return max(self.spark.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))
-
-    def _summed(self, terms: DataFrame, keys: list[str], live: DataFrame | None = None) -> DataFrame:
-        """Postings are dealt by chunk, each once; questions meet them there, so a chunk's scores are
-        summed where it is and pairs of questions and chunks are never shuffled."""
-        dealt = self._reads(self.postings(), terms).repartition(self._parts(terms), "chunk_id")
-        hits = dealt.join(few(terms), ["shard", "term"])
-        if live is not None:
-            hits = hits.join(F.broadcast(live), [*keys, "content_type", "block"], "left_semi")
-        total = hits.groupBy(*keys, "content_type", "chunk_id").agg(F.sum("impact").alias("impact"))
+        """Every matching chunk: (*keys, chunk_id, content_type, score). Questions meet the postings where
+        a chunk's are, so pairs of questions and chunks are never shuffled."""
+        words = self.words(questions, keys, question)
+        dealt = self._postings(self._reads(self.lists(), words)).repartition(self._parts(words, TASK_PAIRS), "chunk_id")
+        total = dealt.join(few(words), ["shard", "word"]).groupBy(*keys, "content_type", "chunk_id").agg(F.sum("impact").alias("impact"))
         return total.select(*keys, "chunk_id", "content_type", (F.col("impact") / 1000.0).alias("score"))
 
+    def _reads(self, stored: DataFrame, words: DataFrame) -> DataFrame:
+        """Lists of the words, each once, however many questions ask for it."""
+        self.scanned = sorted(r[0] for r in words.select("shard").distinct().collect())  # at most as many as there are directories
+        return stored.where(F.col("shard").isin(self.scanned) if self.scanned else F.lit(False)).join(few(words.select("shard", "word").distinct()), ["shard", "word"], "left_semi")
+
+    def _parts(self, words: DataFrame, most: int) -> int:
+        """Tasks of a search, by the pairs of a question's word and a posting, which the lists count."""
+        asked = words.groupBy("shard", "word").agg(F.count(F.lit(1)).alias("asked"))
+        pairs = self._reads(self.lists(), words).join(few(asked), ["shard", "word"]).agg(F.sum(F.col("n") * F.col("asked"))).first()[0] or 0
+        return max(self.spark.sparkContext.defaultParallelism, -(-pairs // most))
+
     def topk(self, questions: DataFrame, keys: list[str], k: int, question: str = "question", lanes: dict[str, str] | None = None) -> DataFrame:
         """The best k chunks of every question, or of every question and lane if ``lanes`` maps content
         types to lanes: (*keys, lane, chunk_id, score, rank); lane is null without lanes. Content
         types that are in no lane are left out."""
-        terms = self.terms(questions, keys, question)
-        lane = T.mapped(F.col("content_type"), lanes) if lanes else F.lit(None).cast("string")
-        of_lane = (lambda df: df.withColumn("lane", lane).where("lane IS NOT NULL")) if lanes else (lambda df: df.withColumn("lane", lane))
+        words = self.words(questions, keys, question)
+        blocks = max(1, -(-words.count() // FEW_TERMS))
+        out = None
+        for b in range(blocks):
+            mine = words if blocks == 1 else words.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b)
+            part = self._block(mine, keys, k, lanes)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _live(self, words: DataFrame, keys: list[str], k: int, of_lane: Callable) -> DataFrame:
+        """(content_type, block) of the blocks that can hold one of some question's best k."""
         group = [*keys, "lane"]
-        largest = self._reads(self.blocks(), terms).repartition("block").join(few(terms), ["shard", "term"])
-        bounds = of_lane(largest).groupBy(*group, "content_type", "block").agg(F.sum("most").alias("bound"), F.max("most").alias("reached"))
+        largest = self._reads(self.lists(), words).groupBy("shard", "word", "content_type", "block").agg(F.max("most").alias("most"))
+        largest = largest.repartition("block").join(few(words), ["shard", "word"])
+        bounds = of_lane(largest).groupBy(*group, "content_type", "block").agg((F.sum("most") * self.shared).alias("bound"), F.max("most").alias("reached"))
         bounds = written(bounds, "bounds")
         place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("reached")))
         floor = bounds.withColumn("n", place).where(F.col("n") <= k).groupBy(*group).agg(F.when(F.count(F.lit(1)) == k, F.min("reached")).otherwise(F.lit(0)).alias("floor"))
         floor = floor.toDF(*(f"of_{c}" for c in group), "floor")
         same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group]
-        live = written(bounds.join(floor, same).where("bound >= floor").select(*keys, "content_type", "block"), "live")
-        scores = of_lane(self._summed(terms, keys, live if live.limit(FEW_TERMS + 1).count() <= FEW_TERMS else None))
-        best = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "chunk_id"))
-        return scores.withColumn("rank", best).where(F.col("rank") <= k).select(*group, "chunk_id", "score", "rank")
+        return written(bounds.join(floor, same).where("bound >= floor").select("content_type", "block").distinct(), "live")
+
+    def _block(self, words: DataFrame, keys: list[str], k: int, lanes: dict[str, str] | None) -> DataFrame:
+        lane = T.mapped(F.col("content_type"), lanes) if lanes else F.lit(None).cast("string")
+        of_lane = (lambda df: df.withColumn("lane", lane).where("lane IS NOT NULL")) if lanes else (lambda df: df.withColumn("lane", lane))
+        rows = words.collect()  # about FEW_TERMS
+        question_no = {q: i for i, q in enumerate(dict.fromkeys(tuple(r[c] for c in keys) for r in rows))}
+        word_no = {w: i for i, w in enumerate(dict.fromkeys((r["shard"], r["word"]) for r in rows))}
+        kinds = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in keys)
+        names = self.spark.createDataFrame([(i, *q) for q, i in question_no.items()], f"_question bigint, {kinds}")
+        numbers = self.spark.createDataFrame([(*w, i) for w, i in word_no.items()], "shard int, word string, number int")
+        pairs = np.array(sorted((word_no[r["shard"], r["word"]], question_no[tuple(r[c] for c in keys)]) for r in rows), "i8").reshape(-1, 2)
+        starts = np.searchsorted(pairs[:, 0], np.arange(len(word_no) + 1))
+        live = self._live(words, keys, k, of_lane).toDF("of_type", "of_block")
+        hits = of_lane(self._reads(self.lists(), words).join(F.broadcast(numbers), ["shard", "word"]))
+        hits = self._postings(hits.join(few(live), F.col("content_type").eqNullSafe(F.col("of_type")) & F.col("block").eqNullSafe(F.col("of_block")), "left_semi"))
+        dealt = hits.select("chunk_id", "content_type", "lane", "number", "impact").repartition(self._parts(words, ARRAY_PAIRS), "chunk_id")
+        dealt = dealt.sortWithinPartitions(F.asc_nulls_last("chunk_id"), "content_type")
+        found = dealt.mapInArrow(_kept(starts, pairs[:, 1].copy(), max(1, len(question_no)), k), "_question bigint, lane string, chunk_id bigint, impact bigint")
+        best = F.row_number().over(Window.partitionBy("_question", "lane").orderBy(F.desc("impact"), F.asc_nulls_last("chunk_id")))
+        cut = found.withColumn("rank", best).where(F.col("rank") <= k).join(F.broadcast(names), "_question")
+        return cut.select(*keys, "lane", "chunk_id", (F.col("impact") / 1000.0).alias("score"), "rank")

@@ -121,6 +121,57 @@ def test_lexical_sums_are_not_shuffled_by_question(spark, lexical):
     assert "chunk_id" in moves and "q" not in moves
 
 
+def test_lexical_build_moves_lists(spark, monkeypatch):
+    """Postings are gathered by word where texts are read: no row for every word of every chunk."""
+    from lodestrata.operators import lexical as X
+
+    sizes, old = {}, X.written
+
+    def written(df, name, *path):
+        out = old(df, name, *path)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(X, "written", written)
+    rows = [(i, "table", None, None, " ".join(f"word{j}" for j in range(40)), None) for i in range(600)]
+    index = LexicalIndex.build(chunks(spark, rows).coalesce(2), new_path(spark, "lexical"), shards=4)
+    assert sizes["words"] <= 2 * 40 and sizes["stems"] == 40
+    assert index.scores(spark.createDataFrame([(1, "word7")], "q long, question string"), ["q"]).count() == 600
+
+
+@pytest.mark.parametrize("lanes", [None, L.LANES])
+def test_lexical_search_in_small_pieces(spark, monkeypatch, lanes):
+    """Rows of one number are one chunk, also for bounds; slices, blocks of questions and lists of any size give the same."""
+    from lodestrata.operators import lexical as X
+
+    for name, n in {"CELLS": 64, "PAIRS": 50, "HELD": 20, "LISTED": 100, "ARRAY_PAIRS": 500, "FEW_TERMS": 5}.items():
+        monkeypatch.setattr(X, name, n)
+    rows = corpus(300)
+    more = [(c, kind, None, None, "nations hoping electricity " * (c % 5), None) for c, kind, *_ in rows[::3]]
+    want = {}
+    first, second = expected_scores(rows), expected_scores(more)
+    for q, c in first.keys() | second.keys():
+        (a, kind), (b, _) = first.get((q, c), second.get((q, c))), second.get((q, c), (0, ""))
+        score = round(a + b if (q, c) in first else b, 6)
+        if lanes is None or kind in lanes:
+            want.setdefault((q, lanes and lanes[kind]), []).append((-score, c))
+    index = LexicalIndex.build(chunks(spark, [*rows, *more]), new_path(spark, "lexical"), shards=4, span=16)
+    got = {}
+    for r in index.topk(questions(spark), ["q"], 7, lanes=lanes).collect():
+        got.setdefault((r["q"], r["lane"]), []).append((r["rank"], round(-r["score"], 6), r["chunk_id"]))
+    assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == {q: sorted(v)[:7] for q, v in want.items()}
+
+
+def test_words_of_a_stem_share_a_directory():
+    """But for stems of one letter, whose words a search finds in several."""
+    letters = "aeiouybcdgkstxl"
+    rng = random.Random(4)
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 7))) + rng.choice(["", "s", "ies", "ied", "ing", "ed", "eed", "y", "ly"]) for _ in range(20_000)]
+    words += [*S.IRREGULAR, *S.FINISHED, "ties", "ies", "dyed", "yes", "a2", "1st"]
+    place = lambda w: w[:2].replace("y", "i")
+    assert [w for w in words if len(procedure(w)) > 1 and place(w) != place(procedure(w))] == []
+
+
 # --- vector index
 
 
