@@ -347,3 +347,22 @@ def test_overlap_evidence_against_every_pair(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     want = plain_evidence(needles, texts)
     assert {r["needle_id"]: r["chunk_id"] for r in got.collect()} == want and len(want) > 30
+
+
+def test_overlap_evidence_of_few_and_of_many_needles(spark, monkeypatch, tmp_path):
+    """Few needles go to the chunks: these are read once and not dealt by their runs. Many meet them in a shuffle."""
+    from decimal import Decimal
+
+    texts = [(i, f"Order in Q{1 + i % 4} {2020 + i % 8}", f"poles and wire: {i * 37 % 900},{100 + i % 800}.{10 + i % 90} (no. {i}).") for i in range(400)]
+    needles = [(i, f"In Q{1 + i % 4} of {2020 + i % 8}?", "poles", Decimal(f"{i * 37 % 900}{100 + i % 800}.{10 + i % 90}")) for i in range(0, 400, 9)]
+    spark.createDataFrame(texts, "chunk_id long, caption string, content string").write.parquet(str(tmp_path / "texts"))
+    found = lambda: overlap.find_evidence(spark.createDataFrame(needles, "needle_id long, question string, concept string, value decimal(18,2)"), spark.read.parquet(str(tmp_path / "texts")))
+    names, old = [], overlap.written
+    monkeypatch.setattr(overlap, "written", lambda df, name: (names.append(name), old(df, name))[1])
+    want, few = plain_evidence(needles, texts), found()
+    assert names == ["forms"]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(run" not in plan and plan.count("/texts") == 1 and "ReadSchema: struct<chunk_id:bigint,caption:string,content:string>" in plan
+    assert {r["needle_id"]: r["chunk_id"] for r in few.collect()} == want and len(want) == len(needles)
+    monkeypatch.setattr(overlap, "FEW_FORMS", 0)
+    assert {r["needle_id"]: r["chunk_id"] for r in found().collect()} == want
