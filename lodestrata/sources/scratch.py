@@ -41,8 +41,8 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` written once and read back: its lineage ends there."""
+def written(df: DataFrame, name: str, path: str | None = None, *by: str) -> DataFrame:
+    """``df`` written once, in directories by the columns ``by``, and read back: its lineage ends there."""
     path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

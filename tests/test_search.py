@@ -162,6 +162,49 @@ def test_lexical_search_in_small_pieces(spark, monkeypatch, lanes):
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == {q: sorted(v)[:7] for q, v in want.items()}
 
 
+def test_lexical_lists_go_over_batches_and_stay(spark, monkeypatch):
+    """A list has all of its block that a task reads, however small the batches, and is written once, where the index is."""
+    from lodestrata.operators import lexical as X
+
+    made, old = {}, X.written
+
+    def written(df, name, *path):
+        made[name] = path
+        return old(df, name, *path)
+
+    monkeypatch.setattr(X, "written", written)
+    rows = [(i, "table", None, None, " ".join(f"word{j}" for j in range(40)), None) for i in range(600)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        index = LexicalIndex.build(chunks(spark, rows).coalesce(1), new_path(spark, "lexical"), shards=4, span=300)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert index.lists().count() == 2 * 40 and made["words"][0].startswith(index.path)
+
+
+def test_lexical_search_moves_lists(spark, lexical, monkeypatch):
+    """The best k are found from lists as they are stored: no row for every posting."""
+    want = sorted(map(tuple, lexical.topk(questions(spark), ["q"], 7).collect()), key=str)
+
+    def postings(lists):
+        raise AssertionError("a row for every posting")
+
+    monkeypatch.setattr(LexicalIndex, "_postings", staticmethod(postings))
+    assert want and sorted(map(tuple, lexical.topk(questions(spark), ["q"], 7).collect()), key=str) == want
+
+
+def test_words_end_with_their_text():
+    import pyarrow as pa
+
+    from lodestrata.operators.lexical import _counted
+
+    texts = ["ab", "cd ab the", "", "é9é", "x" * 300 + "-", "ab", ""]
+    batch = pa.record_batch([pa.array([*range(6), None], pa.int64()), pa.array(["t"] * 6 + [None]), pa.array([x.encode() for x in texts]), pa.array([b"ab"] * 7)], ["chunk_id", "content_type", "a", "b"])
+    got = {(r["word"], c): i for out in _counted((10, 1), 4)([batch.slice(0, 3), batch.slice(3)]) for r in out.to_pylist() for c, i in zip(r["chunks"], r["impacts"], strict=True)}
+    want = {("ab", c): 11 if c in (0, 1, 5) else 1 for c in (*range(6), None)}
+    assert got == want | {("cd", 1): 10, ("9", 3): 10, ("x" * 300, 4): 10}
+
+
 def test_words_of_a_stem_share_a_directory():
     """But for stems of one letter, whose words a search finds in several."""
     letters = "aeiouybcdgkstxl"
