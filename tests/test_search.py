@@ -205,6 +205,15 @@ def test_words_end_with_their_text():
     assert got == want | {("cd", 1): 10, ("9", 3): 10, ("x" * 300, 4): 10}
 
 
+def test_captions_and_hints_are_the_first_words(spark, tmp_path):
+    from lodestrata.queries import registry
+
+    texts = ["", None, " ", "a", " a  b ", " ".join(map(str, range(6))), " ".join(map(str, range(12))) + " ", " ".join(map(str, range(13))), "x\ty " * 40]
+    spark.createDataFrame([(i, t, "de", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["chunk_id"]: (r["caption"], r["hint"]) for r in registry.chunks(spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if t is None else (" ".join(t.split(" ")[:6]), " ".join(t.split(" ")[6:12])) for i, t in enumerate(texts)}
+
+
 def test_words_of_a_stem_share_a_directory():
     """But for stems of one letter, whose words a search finds in several."""
     letters = "aeiouybcdgkstxl"
