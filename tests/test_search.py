@@ -356,6 +356,26 @@ def test_candidates_fill_pools_in_channel_order(spark):
     assert L.lane_of(F.lit("x")) is not None
 
 
+def test_chunks_meet_their_vectors_once(spark, monkeypatch):
+    """A build reads its vectors several times: both indexes get them from a table, not from a join."""
+    from lodestrata.queries import retrieval as Q
+
+    sf, joins, old = "/root/testdata/sf0.001", [], VectorIndex.build
+
+    def build(vectors, path):
+        joins.append("Join" in vectors._jdf.queryExecution().executedPlan().toString())
+        return old(vectors, path)
+
+    monkeypatch.setattr(Q, "_kept", {})
+    monkeypatch.setattr(Q.VectorIndex, "build", build)
+    raw, contextual = Q.vector_index(spark, sf), Q.vector_index(spark, sf, contextual=True)
+    assert joins == [False, False]
+    lanes = {r["doc_id"]: {"en": "narrative", "fr": "structured", "de": "structured", "es": "excel"}.get(r["lang"], "narrative") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    want = {r["vec_id"]: (r["embedding"], lanes[r["vec_id"]]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r["vec_id"] in lanes}
+    assert want and {r["id"]: (r["embedding"], r["lane"]) for r in raw.rows().collect()} == want
+    assert {r["id"]: (r["embedding"], r["lane"]) for r in contextual.rows().collect()} == {i: ([x * (1 + n % 3) for n, x in enumerate(v)], lane) for i, (v, lane) in want.items()}
+
+
 # --- overlap evidence
 
 
